@@ -4,7 +4,7 @@ Each source's target, divided by its size, is the number of times that each of i
 and a fraction. The fractions are inclusion probabilities. The cube method moves them through the null space of the
 balancing constraints (tokens and documents), so that both totals stay put while one probability after another lands
 on 0 or 1. A source is cut into blocks of bounded size; each block ends with at most two probabilities between 0 and
-1, which form the blocks of the next round, until one block is left; only its last two are rounded freely.
+1, which form the blocks of the next round, until one block is left; its last few are the landing problem.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage
 from .common import table
 
-WEIGHTS, SHARE, MOST_COPIES, BLOCK, SEED = (3, 1, 2), 1.5, 2, 2048, 42
+WEIGHTS, SHARE, MOST_COPIES, BLOCK, HELD, SEED = (3, 1, 2), 1.5, 2, 2048, 12, 42
 _EPS = 1e-9
 
 
@@ -81,26 +81,38 @@ def flight(pi: np.ndarray, x: np.ndarray, chance: np.ndarray) -> np.ndarray:
 
 
 def landing(pi: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Rounds the few probabilities left: the choice whose token total is nearest, then whose document total is."""
+    """Rounds the few probabilities left: of all choices, the one whose token total and, at a twentieth of that weight, document total are nearest."""
     left = np.flatnonzero((pi > _EPS) & (pi < 1 - _EPS))
-    want, count, best = float(pi[left] @ x[left]), float(pi[left].sum()), None
-    for choice in range(1 << len(left)):
-        s = np.array([choice >> j & 1 for j in range(len(left))], float)
-        cost = (abs(float(s @ x[left]) - want), abs(float(s.sum()) - count), choice)
-        if best is None or cost < best[0]:
-            best = (cost, s)
+    if len(left) == 0:
+        return pi
+    choices = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    tokens = np.abs(choices @ x[left] - float(pi[left] @ x[left])) / max(1.0, float(np.abs(x).mean()))
+    docs = np.abs(choices.sum(axis=1) - float(pi[left].sum()))
     out = pi.copy()
-    out[left] = best[1]
+    out[left] = choices[int(np.argmin(tokens + docs / 20))]
     return out
 
 
+def last_block(pi: np.ndarray, x: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Flight of all but ``HELD`` small documents, then the landing of those and of what the flight left."""
+    open_ = np.flatnonzero((pi > _EPS) & (pi < 1 - _EPS))
+    by_size = open_[np.argsort(x[open_], kind="stable")]
+    small = by_size[x[by_size] > 0][: max(HELD, len(by_size) // 2)]
+    held = small[:: max(1, len(small) // HELD)][:HELD]
+    rest = pi.copy()
+    rest[held] = 0
+    out = flight(rest, x, chance)
+    out[held] = pi[held]
+    return landing(out, x)
+
+
 def _round(last: bool, salt: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("id", "ascending"), ("size", "ascending"), ("row", "ascending")])
         row, size = rows.column("row").to_numpy(), rows.column("size").to_numpy()
         ids = rows.column("id").fill_null(-1).to_numpy()
-        pi = flight(rows.column("pi").to_numpy(), size, _unit(ids ^ (np.arange(len(ids)) << 40), salt))
-        return pa.table({"row": row, "id": rows.column("id"), "source": rows.column("source"), "size": size, "pi": landing(pi, size) if last else pi})
+        pi = (last_block if last else flight)(rows.column("pi").to_numpy(), size, _unit(ids ^ (np.arange(len(ids)) << 40), salt))
+        return pa.table({"row": row, "id": rows.column("id"), "source": rows.column("source"), "size": size, "pi": pi})
 
     return run
 

@@ -1,13 +1,15 @@
 """Queries of the corpus operators, with SQL where SQL can express them."""
 
+from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .mixing import op7_mix_sources
 from .simhash import op4_simhash_near_dedup
 from .topk import OP10_SQL, op10_exact_top_k_search
 
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op10_exact_top_k_search": op10_exact_top_k_search,
 }
 
-ORACLES = {"op10_exact_top_k_search": OP10_SQL}
+ORACLES = {"op3_benchmark_decontamination": OP3_SQL, "op10_exact_top_k_search": OP10_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def ascii_lower(text: Column) -> Column:
 def rows_by(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most about ``most`` bytes of the string column ``name``; a longer text stands alone."""
     column = batch.column(batch.schema.get_field_index(name))
-    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     first, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most:

@@ -4,11 +4,13 @@ from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .mixing import op7_mix_sources
 from .secrets import op6_secret_scans
 from .simhash import op4_simhash_near_dedup
+from .toxicity import op5_toxicity
 from .topk import OP10_SQL, op10_exact_top_k_search
 
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scans": op6_secret_scans,
     "op7_mix_sources": op7_mix_sources,
     "op10_exact_top_k_search": op10_exact_top_k_search,

@@ -6,6 +6,7 @@ from .secrets import op6_secret_scans
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op5_toxicity
 from .topk import OP10_SQL, op10_exact_top_k_search
+from .urlfilter import OP9_SQL, op9_url_filters
 
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
@@ -13,7 +14,8 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_secret_scans": op6_secret_scans,
     "op7_mix_sources": op7_mix_sources,
+    "op9_url_filters": op9_url_filters,
     "op10_exact_top_k_search": op10_exact_top_k_search,
 }
 
-ORACLES = {"op3_benchmark_decontamination": OP3_SQL, "op10_exact_top_k_search": OP10_SQL}
+ORACLES = {"op3_benchmark_decontamination": OP3_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k_search": OP10_SQL}

@@ -2,6 +2,7 @@
 
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .mixing import op7_mix_sources
+from .pii import op8_pii
 from .secrets import op6_secret_scans
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op5_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_secret_scans": op6_secret_scans,
     "op7_mix_sources": op7_mix_sources,
+    "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
     "op10_exact_top_k_search": op10_exact_top_k_search,
 }

@@ -136,7 +136,10 @@ def _stump(x: np.ndarray, g: np.ndarray, h: np.ndarray):
 
 
 def boost(cells: np.ndarray, n: np.ndarray, pos: np.ndarray, held_n: np.ndarray, held_pos: np.ndarray) -> Trees:
-    """Trees for the counts of each cell in the training fold; thresholds from those in the other fold."""
+    """Trees for the counts of each cell in the training fold.
+
+    A loose kind's threshold is the least score, of at least even odds, beyond which the other fold has the wanted precision.
+    """
     x, rest = np.zeros((len(cells), len(FEATURES)), np.int64), cells.copy()
     for k, size in reversed(list(enumerate(FEATURES.values()))):
         x[:, k], rest = rest % size, rest // size
@@ -159,7 +162,7 @@ def boost(cells: np.ndarray, n: np.ndarray, pos: np.ndarray, held_n: np.ndarray,
         own = np.flatnonzero(x[:, 0] == KINDS.index(kind))
         own = own[np.argsort(-f[own], kind="stable")]
         good, every = np.cumsum(held_pos[own]), np.cumsum(held_n[own])
-        at = [i for i in range(len(own)) if good[i] >= LEAST_POSITIVES and good[i] >= PRECISION * every[i] and (i + 1 == len(own) or f[own[i + 1]] < f[own[i]])]
+        at = [i for i in range(len(own)) if f[own[i]] >= 0 and good[i] >= LEAST_POSITIVES and good[i] >= PRECISION * every[i] and (i + 1 == len(own) or f[own[i + 1]] < f[own[i]])]
         if at:
             least[kind] = float(f[own[at[-1]]]) - 1e-9
     return Trees(bias, trees, least)

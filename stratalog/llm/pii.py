@@ -20,7 +20,7 @@ from ..lineage import cut_lineage
 from .common import table
 
 BASE = ("email", "ip", "card", "phone")
-LOOSE = ("mail_like", "number_like", "ip6")
+LOOSE = ("mail_like", "card_like", "number_like", "ip6")
 KINDS = BASE + LOOSE
 _LOCAL, _PART = "A-Za-z0-9._%+-", r"[^\s@<>()\[\]\",;:]"
 #: The base patterns begin only where a leftmost match can, and don't give back what they have taken; both change no match.
@@ -30,6 +30,7 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "mail_like": rf"(?<!{_PART}){_PART}++@{_PART}++",
+    "card_like": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{2,4}(?![0-9])",
     "number_like": r"(?<![0-9])\+?\(?[0-9][0-9().\x20/-]{5,}[0-9]",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}",
 }

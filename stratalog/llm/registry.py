@@ -1,6 +1,7 @@
 """Queries of the corpus operators, with SQL where SQL can express them."""
 
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .htmltext import op2_html_extraction
 from .mixing import op7_mix_sources
 from .pii import op8_pii
 from .secrets import op6_secret_scans
@@ -10,6 +11,7 @@ from .topk import OP10_SQL, op10_exact_top_k_search
 from .urlfilter import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_toxicity": op5_toxicity,

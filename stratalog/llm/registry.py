@@ -7,10 +7,12 @@ from .pii import op8_pii
 from .secrets import op6_secret_scans
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op5_toxicity
+from .tokens import op1_token_counts
 from .topk import OP10_SQL, op10_exact_top_k_search
 from .urlfilter import OP9_SQL, op9_url_filters
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_html_extraction": op2_html_extraction,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,

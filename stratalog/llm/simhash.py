@@ -108,10 +108,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id; rows that repeat it count once. Rows with a null id stay."""
-    keep = near_duplicates(docs, id_col, text_col).filter("id = component").select(F.col("id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """Of each component the row with the smallest id; of rows that repeat it, one stays. Rows with a null id stay."""
+    found = near_duplicates(docs, id_col, text_col).filter("id is not null")
+    gone = found.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    repeated = cut_lineage(found.filter("id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("__again")))
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, kept[id_col] == repeated["__again"], "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, kept[id_col] == repeated["__again"], "left_anti").unionByName(again)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

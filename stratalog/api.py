@@ -79,8 +79,8 @@ def limits_from(path: str | None) -> Limits:
 
 
 def scan_frames(found: DataFrame, pack: Pack, exact_chunks: bool = True) -> Frames:
-    """Coverage and numbered hits of artifacts in ARTIFACT_SCHEMA; both are stored in the shared folder."""
-    found = classified(found)
+    """Coverage and numbered hits of artifacts in ARTIFACT_SCHEMA, classified or not; both are stored in the shared folder."""
+    found = found if "cls" in found.columns else classified(found)
     covered = cut_lineage(coverage(found, exact_chunks))
     hits = text_hits(line_arrays(text_part(found)), pack).unionByName(binary_hits(fragments(binary_part(found), exact_chunks), pack))
     return Frames(covered, cut_lineage(numbered(hits)), pack)
@@ -91,7 +91,7 @@ def scan(spark: SparkSession, inputs: list[str], workspace: str, options: Option
     options = options or Options()
     limits = options.limits or limits_from(options.config)
     found = artifacts(spark, discover(inputs), workspace, limits, options.tools)
-    return scan_frames(cut_lineage(found), options.pack, options.exact_chunks)
+    return scan_frames(cut_lineage(classified(found)), options.pack, options.exact_chunks)
 
 
 def run_scan(spark: SparkSession, inputs: list[str], output: str, options: Options | None = None) -> Result:

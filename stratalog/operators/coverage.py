@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..schema import COVERAGE_COLUMNS
-from .classify import classify
+from .classify import classify, meaning
 from .scan import fragments, line_arrays, pattern_flags
 
 
 def classified(artifacts: DataFrame) -> DataFrame:
     """Artifacts with ``cls``, null for policy rows."""
-    cls = classify(*[F.col(c) for c in ("artifact_path", "content", "is_zip", "is_tar", "is_json", "marker_text")])
-    return artifacts.withColumn("cls", F.when(F.col("policy").isNull(), cls))
+    number = classify(*[F.col(c) for c in ("artifact_path", "content", "is_zip", "is_tar", "is_json", "marker_text")])
+    numbered = artifacts.withColumn("__outcome", F.when(F.col("policy").isNull(), number))
+    return numbered.withColumn("cls", meaning(F.col("__outcome"))).drop("__outcome")
 
 
 def text_part(found: DataFrame) -> DataFrame:

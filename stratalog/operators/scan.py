@@ -122,12 +122,15 @@ def numbered(hits: DataFrame, prefix: str = "H", width: int = 6) -> DataFrame:
 
 def pattern_flags(text: Column, specs=fixed.NEGATIVE_SEARCHES) -> Column:
     """A bit for each negative search whose words occur together in one line of the text."""
-    low = F.lower(text)
-    out = F.lit(0)
-    for k, (_, _, needles, _) in enumerate(specs):
-        if len(needles) == 1:
-            out = out + F.when(low.contains(needles[0]), 1 << k).otherwise(0)
-        elif needles:
-            a, b = needles
-            out = out + F.when(low.rlike(rf"{a}[^\r\n]*{b}|{b}[^\r\n]*{a}"), 1 << k).otherwise(0)
-    return F.coalesce(out, F.lit(0))
+
+    def bits(low: Column) -> Column:
+        out = F.lit(0)
+        for k, (_, _, needles, _) in enumerate(specs):
+            if len(needles) == 1:
+                out = out + F.when(F.contains(low, F.lit(needles[0])), 1 << k).otherwise(0)
+            elif needles:
+                a, b = needles
+                out = out + F.when(low.rlike(rf"{a}[^\r\n]*{b}|{b}[^\r\n]*{a}"), 1 << k).otherwise(0)
+        return out
+
+    return F.coalesce(F.get(F.transform(F.array(F.lower(text)), bits), F.lit(0)), F.lit(0))

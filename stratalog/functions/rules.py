@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,41 +104,115 @@ def _hit(ord_: int, rule: Rule, matched: Column) -> Column:
     return F.struct(*[v.alias(n.split(":")[0]) for v, n in zip(values, _HIT[7:-1].split(","))]).cast(_HIT)
 
 
-def rule_match(line: Column, rule: Rule) -> Column:
-    """What the first pattern of the rule, in order, that is found in the line matches; else null. Patterns that match nothing but the empty text count as found and give it."""
+#: Letters that match s or i without case although their lower case is another letter.
+_ODD = ("\u017f", "\u0131", "\u0130")
+
+
+def literal_of(pattern: str) -> str:
+    """The longest text, in lower case, that whatever the pattern matches has to hold; empty if none is plain to see."""
+    runs, run, i = [], [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|":
+            return ""
+        if c in "([":
+            depth, inside = 0, False
+            while i < len(pattern):
+                d = pattern[i]
+                if d == "\\":
+                    i += 1
+                elif inside:
+                    inside = d != "]"
+                elif d == "[":
+                    inside = True
+                elif d == "(":
+                    depth += 1
+                elif d == ")":
+                    depth -= 1
+                if depth == 0 and not inside:
+                    break
+                i += 1
+            runs.append("".join(run))
+            run = []
+        elif c in "?*{":
+            runs.append("".join(run[:-1]))
+            run = []
+            if c == "{":
+                i = pattern.index("}", i)
+        elif c in "+.^$":
+            runs.append("".join(run))
+            run = []
+        elif c == "\\":
+            i += 1
+            if pattern[i].isalnum():
+                runs.append("".join(run))
+                run = []
+            else:
+                run.append(pattern[i])
+        else:
+            run.append(c)
+        i += 1
+    found = max([*runs, "".join(run)], key=len).lower()
+    return found if found.isascii() else ""
+
+
+def _bound(line: Column, f) -> Column:
+    """``f`` of (lower-case line, whether it holds odd letters), each computed once for a line."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit(_ODD[0]))
+    for c in _ODD[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.get(F.transform(F.array(F.struct(low.alias("low"), odd.alias("odd"))), lambda x: f(x["low"], x["odd"])), F.lit(0))
+
+
+def _match(line: Column, low: Column, odd: Column, rule: Rule) -> Column:
     out = F.lit(None).cast("string")
     for p in reversed(rule.patterns):
-        java = to_java(p)
-        out = F.when(line.rlike(java), F.regexp_extract(line, java, 0)).otherwise(out)
+        java, text = to_java(p), literal_of(p)
+        found = line.rlike(java)
+        out = F.when((F.contains(low, F.lit(text)) | odd) & found if text else found, F.regexp_extract(line, java, 0)).otherwise(out)
     return out
 
 
+def rule_match(line: Column, rule: Rule) -> Column:
+    """What the first pattern of the rule, in order, that is found in the line matches; else null. A pattern is tried only where its literal text occurs."""
+    return _bound(line, lambda low, odd: _match(line, low, odd, rule))
+
+
+def _as_hit(ord_: int, rule: Rule):
+    return lambda matched: _hit(ord_, rule, matched)
+
+
 def line_hits(line: Column, pack: Pack, rules: bool = True) -> Column:
     """All hits of a line: rules in pack order, one hit each, then terms in order. Empty for null."""
-    found = []
-    if rules:
-        for k, r in enumerate(pack.rules):
-            m = rule_match(line, r)
-            found.append(F.when(m.isNotNull(), _hit(k, r, m)))
-    low = F.lower(line)
-    for k, t in enumerate(pack.terms):
-        found.append(F.when(low.contains(t), _hit(len(pack.rules) + k, Rule(fixed.GENERIC_RULE, ()), F.lit(t))))
-    return F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{_HIT}>")
+
+    def listed(low, odd):
+        found = []
+        for k, r in enumerate(pack.rules if rules else ()):
+            hit = F.get(F.transform(F.filter(F.array(_match(line, low, odd, r)), lambda m: m.isNotNull()), _as_hit(k, r)), F.lit(0))
+            found.append(hit)
+        for k, t in enumerate(pack.terms):
+            found.append(F.when(F.contains(low, F.lit(t)), _hit(len(pack.rules) + k, Rule(fixed.GENERIC_RULE, ()), F.lit(t))))
+        return F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{_HIT}>")
+
+    return F.coalesce(_bound(line, listed), F.array().cast(f"array<{_HIT}>"))
 
 
 def may_hit(line: Column, pack: Pack, rules: bool = True) -> Column:
-    """A cheap test that every line with hits passes: one pattern of all alternatives."""
-    parts = [f"(?:{to_java(p)[6:]})" for r in pack.rules for p in r.patterns] if rules else []
-    terms = [re.escape(t) for t in pack.terms]
-    tests = []
-    if terms:
-        tests.append(F.lower(line).rlike("|".join(terms)))
-    if parts:
-        tests.append(line.rlike("(?iUd)" + "|".join(parts)))
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+    """A cheap test that every line with hits passes: the terms and the literal texts of the patterns, less those that hold another of them."""
+    texts, patterns = {t.lower() for t in pack.terms}, []
+    for r in pack.rules if rules else ():
+        for p in r.patterns:
+            if len(text := literal_of(p)) > 1:
+                texts.add(text)
+            else:
+                patterns.append(f"(?:{to_java(p)[6:]})")
+    least = sorted(t for t in texts if not any(o != t and o in t for o in texts))
+    listed = F.array(*map(F.lit, least)) if least else F.array().cast("array<string>")
+    test = _bound(line, lambda low, odd: F.exists(listed, lambda t: F.contains(low, t)) | (odd if rules else F.lit(False)))
+    if patterns:
+        test = test | line.rlike("(?iUd)" + "|".join(patterns))
+    return F.coalesce(test, F.lit(False))
 
 
 def rules_table(spark: SparkSession, pack: Pack) -> DataFrame:

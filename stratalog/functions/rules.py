@@ -230,6 +230,6 @@ def dynamic_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     pats = rules.select("rule_ord", "rule_id", F.posexplode("patterns").alias("pattern_ord", "pattern"))
     packed = pats.groupBy().agg(F.sort_array(F.collect_list(F.struct("rule_ord", "pattern_ord", "rule_id", "pattern"))).alias("pack")).first()
     listed = F.array(*[F.struct(F.lit(p.rule_ord).alias("rule_ord"), F.lit(p.pattern_ord).alias("pattern_ord"), F.lit(p.rule_id).alias("rule_id"), F.when(F.col("raw_line").rlike(to_java(p.pattern)), F.regexp_extract("raw_line", to_java(p.pattern), 0)).alias("matched_text")) for p in packed.pack])
-    found = lines.withColumn("__m", F.explode(F.filter(listed, lambda m: m["matched_text"].isNotNull())))
+    found = lines.withColumn("__m", F.explode_outer(F.filter(listed, lambda m: m["matched_text"].isNotNull()))).filter("__m is not null")
     first = found.groupBy(*lines.columns, "__m.rule_ord", "__m.rule_id").agg(F.min_by(F.col("__m.matched_text"), F.col("__m.pattern_ord")).alias("matched_text"))
     return first

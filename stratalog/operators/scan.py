@@ -17,8 +17,11 @@ HITS = [*HIT_ORDER, "artifact_path", "line_number", "byte_offset", *_KEYS, "raw_
 
 
 def _exploded(df: DataFrame, raw: Column, pack: Pack, rules: bool) -> DataFrame:
-    """The rows whose ``raw`` has hits, once for each hit; the cheap test comes first."""
-    return df.filter(may_hit(raw, pack, rules)).withColumn("__h", F.explode(line_hits(raw, pack, rules)))
+    """The rows whose ``raw`` has hits, once for each hit; the cheap test comes first.
+
+    Outer generators here and below: from others Spark infers a filter that computes the generated array once more.
+    """
+    return df.filter(may_hit(raw, pack, rules)).withColumn("__h", F.explode_outer(line_hits(raw, pack, rules))).filter("__h is not null")
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def line_arrays(artifacts: DataFrame) -> DataFrame:
 
 def text_hits(arrays: DataFrame, pack: Pack) -> DataFrame:
     """Hits of artifacts whose lines come as arrays: context is cut from the array, so nothing is shuffled."""
-    x = arrays.select("artifact_ord", "artifact_path", "encoding", "lines", F.posexplode("lines").alias("i", "raw_line"))
+    x = arrays.select("artifact_ord", "artifact_path", "encoding", "lines", F.posexplode_outer("lines").alias("i", "raw_line")).filter("i is not null")
     x = _exploded(x, F.col("raw_line"), pack, True)
     x = x.withColumn("context_before", T.lines_before(F.col("lines"), F.col("i"))).withColumn("context_after", T.lines_after(F.col("lines"), F.col("i")))
     return _shape(_as_text(x.withColumn("line_number", (F.col("i") + 1).cast("long"))))
@@ -59,7 +62,7 @@ def with_context(lines: DataFrame, block: int = LINE_BLOCK, n: int = T.CONTEXT)
     """
     own = F.floor((F.col("line_number") - 1) / block)
     edges = F.array_distinct(F.array(own, F.floor((F.col("line_number") - 1 - n) / block), F.floor((F.col("line_number") - 1 + n) / block)))
-    dealt = lines.withColumn("raw_line", F.coalesce("raw_line", F.lit(""))).withColumn("__own", own).withColumn("__block", F.explode(edges))
+    dealt = lines.withColumn("raw_line", F.coalesce("raw_line", F.lit(""))).withColumn("__own", own).withColumn("__block", F.explode_outer(edges))
     w = Window.partitionBy("artifact_path", "__block").orderBy("line_number")
     joined = lambda a, b: F.array_join(F.collect_list("raw_line").over(w.rowsBetween(a, b)), "\n")
     out = dealt.withColumn("context_before", joined(-n, -1)).withColumn("context_after", joined(1, n))
@@ -82,7 +85,7 @@ def fragments(artifacts: DataFrame, exact_chunks: bool = True) -> DataFrame:
     for name, pattern, width in (("a", T.ASCII_RUN, 1), ("w", T.WIDE_RUN, 2)):
         y = x.select("artifact_ord", "artifact_path", F.regexp_extract_all("__l", F.lit(pattern), F.lit(0)).alias("m"), F.split("__l", pattern, -1).alias("g"))
         y = y.filter(F.size("m") > 0).withColumn("p", F.arrays_zip("m", T.places(F.col("m"), F.col("g")).alias("at")))
-        y = y.select("artifact_ord", "artifact_path", F.explode("p").alias("p")).select("artifact_ord", "artifact_path", F.col("p.m").alias("run"), F.col("p.at").alias("byte_offset"))
+        y = y.select("artifact_ord", "artifact_path", F.explode_outer("p").alias("p")).filter("p is not null").select("artifact_ord", "artifact_path", F.col("p.m").alias("run"), F.col("p.at").alias("byte_offset"))
         y = y.withColumn("n", T.cut_run(F.col("byte_offset"), F.length("run"), width, exact_chunks)).filter(F.col("n") >= T.LEAST_RUN)
         raw = F.substring(F.translate("run", "\x00", "") if width == 2 else F.col("run"), F.lit(1), F.col("n").cast("int"))
         parts.append(y.select("artifact_ord", "artifact_path", (F.lit(0) if width == 1 else 1 + F.col("byte_offset") % 2).cast("int").alias("kind_ord"), "byte_offset", raw.alias("raw_line")))

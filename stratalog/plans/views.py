@@ -55,7 +55,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("artifact_path"), F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("i", "raw_line"))
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("artifact_path"), F.posexplode_outer(split_lines(F.coalesce("text", F.lit("")))).alias("i", "raw_line")).filter("i is not null")
     return docs.select(F.col("artifact_path").alias("artifact_ord"), "artifact_path", (F.col("i") + 1).cast("long").alias("line_number"), "raw_line")
 
 

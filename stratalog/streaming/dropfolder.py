@@ -43,6 +43,6 @@ def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, pack:
 def windowed_hits(events: DataFrame, pack: Pack, time_col: str = "ts", line_col: str = "raw_line", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Hits per rule and time window of a stream (or table) of timed lines; lines more than ``late`` behind are left out of a stream."""
     line = F.col(line_col)
-    hits = events.withWatermark(time_col, late).filter(may_hit(line, pack)).select(F.col(time_col), F.explode(line_hits(line, pack)).alias("h"))
+    hits = events.withWatermark(time_col, late).filter(may_hit(line, pack)).select(F.col(time_col), F.explode_outer(line_hits(line, pack)).alias("h")).filter("h is not null")
     counts = hits.groupBy(F.window(time_col, window).alias("w"), F.col("h.rule_id").alias("rule_id"), F.col("h.severity").alias("severity")).agg(F.count("*").alias("hit_count"))
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "rule_id", "severity", "hit_count")

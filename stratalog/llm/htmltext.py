@@ -204,7 +204,8 @@ def main_text(page: str | None) -> str:
         if label:
             before = k
         else:
-            left, right = (labels[before] if before >= 0 else OPEN), (labels[after[k]] if after[k] < len(found) else OPEN)
+            edge = OPEN if marked else BAD  # without a marked article, a page's ends count as outside
+            left, right = (labels[before] if before >= 0 else edge), (labels[after[k]] if after[k] < len(found) else edge)
             near = (k - before if left else 1 << 60) - (after[k] - k if right else 1 << 60)
             if left == right or not near:
                 label = left if left == right else GOOD if marked else BAD

@@ -63,7 +63,7 @@ def links(classes: DataFrame) -> DataFrame:
 
     They hold at least one path between any two representatives within that distance, and no link beyond it.
     """
-    probes = classes.select("node", "fp", F.explode(_ball(F.col("fp"))).alias("code"))
+    probes = classes.select("node", "fp", F.explode_outer(_ball(F.col("fp"))).alias("code"))  # not explode: Spark would compute the ball twice
     first = probes.groupBy("code").agg(F.min(F.struct("node", "fp")).alias("least"), F.collect_list(F.struct("node", "fp")).alias("members"))
     met = first.filter(F.size("members") > 1).select("least", F.explode("members").alias("m"))
     verified = (F.col("m.node") != F.col("least.node")) & (F.bit_count(F.col("m.fp").bitwiseXOR(F.col("least.fp"))) <= MOST_BITS)

@@ -283,3 +283,21 @@ def test_queries_equal_sql(spark, name):
     df = registry.QUERIES[name](spark, d)
     assert sorted(df.columns) == sorted(names)
     assert Counter(map(tuple, df.select(*names).collect())) == Counter(want.fetchall())
+
+
+def test_large_logs_in_splits(spark, tmp_path):
+    rnd = random.Random(4)
+    want = {}
+    for name in ("a.log", "b.log"):
+        lines = [rnd.choice(["ok", "error here", "", "é timeout", "x" * 200]) for _ in range(4000)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want[name] = [(k + 1, x) for k, x in enumerate(lines) if "error" in x or "timeout" in x]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = {}
+        for r in api.scan_large_logs(spark, str(tmp_path)).orderBy("hit_no").collect():
+            got.setdefault(r.artifact_path.rsplit("/", 1)[-1], []).append((r.line_number, r.raw_line))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +216,19 @@ def may_hit(line: Column, pack: Pack, rules: bool = True) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+_KEPT: dict[tuple, tuple] = {}
+
+
+def compiled(name: str, pack: Pack, rules: bool = True) -> tuple[Column, Column]:
+    """(may_hit, line_hits) of the column ``name``; the expressions of the last few packs are kept, for they are large."""
+    key = (name, id(pack), rules, id(SparkContext._active_spark_context))
+    if key not in _KEPT:
+        while len(_KEPT) >= 8:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = (may_hit(F.col(name), pack, rules), line_hits(F.col(name), pack, rules), pack)
+    return _KEPT[key][:2]
+
+
 def rules_table(spark: SparkSession, pack: Pack) -> DataFrame:
     """The pack's rules as a table: (rule_ord, rule_id, severity, ..., kb_candidates, required_evidence, patterns)."""
     rows = [(k, r.rule_id, r.severity, r.product, r.issue_category, r.component, list(r.kb_candidates), r.false_positive_cautions, list(r.required_evidence), r.missing_evidence, list(r.patterns)) for k, r in enumerate(pack.rules)]

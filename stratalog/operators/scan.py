@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
-from ..functions.rules import Pack, line_hits, may_hit
+from ..functions.rules import Pack, compiled
+from ..lineage import cut_lineage
 
 LINE_BLOCK = 8192
 _KEYS = ["rule_id", "severity", "product", "issue_category", "component", "kb_candidate_ids", "matched_text"]
@@ -16,12 +17,13 @@ HIT_ORDER = ["artifact_ord", "chunk_no", "kind_ord", "pos", "rule_ord"]
 HITS = [*HIT_ORDER, "artifact_path", "line_number", "byte_offset", *_KEYS, "raw_line", "context_before", "context_after", "match_type", "scanner", "encoding"]
 
 
-def _exploded(df: DataFrame, raw: Column, pack: Pack, rules: bool) -> DataFrame:
-    """The rows whose ``raw`` has hits, once for each hit; the cheap test comes first.
+def _exploded(df: DataFrame, pack: Pack, rules: bool) -> DataFrame:
+    """The rows whose raw_line has hits, once for each hit; the cheap test comes first.
 
     Outer generators here and below: from others Spark infers a filter that computes the generated array once more.
     """
-    return df.filter(may_hit(raw, pack, rules)).withColumn("__h", F.explode_outer(line_hits(raw, pack, rules))).filter("__h is not null")
+    may, hits = compiled("raw_line", pack, rules)
+    return df.filter(may).withColumn("__h", F.explode_outer(hits)).filter("__h is not null")
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def line_arrays(artifacts: DataFrame) -> DataFrame:
 def text_hits(arrays: DataFrame, pack: Pack) -> DataFrame:
     """Hits of artifacts whose lines come as arrays: context is cut from the array, so nothing is shuffled."""
     x = arrays.select("artifact_ord", "artifact_path", "encoding", "lines", F.posexplode_outer("lines").alias("i", "raw_line")).filter("i is not null")
-    x = _exploded(x, F.col("raw_line"), pack, True)
+    x = _exploded(x, pack, True)
     x = x.withColumn("context_before", T.lines_before(F.col("lines"), F.col("i"))).withColumn("context_after", T.lines_after(F.col("lines"), F.col("i")))
     return _shape(_as_text(x.withColumn("line_number", (F.col("i") + 1).cast("long"))))
 
@@ -72,7 +74,7 @@ def with_context(lines: DataFrame, block: int = LINE_BLOCK, n: int = T.CONTEXT)
 def row_hits(lines: DataFrame, pack: Pack, encoding: str = "utf-8") -> DataFrame:
     """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line): for logs too large for one row."""
     x = with_context(lines.withColumn("encoding", F.lit(encoding)))
-    return _shape(_as_text(_exploded(x, F.col("raw_line"), pack, True)))
+    return _shape(_as_text(_exploded(x, pack, True)))
 
 
 def fragments(artifacts: DataFrame, exact_chunks: bool = True) -> DataFrame:
@@ -94,7 +96,7 @@ def fragments(artifacts: DataFrame, exact_chunks: bool = True) -> DataFrame:
 
 def binary_hits(runs: DataFrame, pack: Pack) -> DataFrame:
     """Hits of printable runs: terms only, rules are for lines."""
-    x = _exploded(runs, F.col("raw_line"), pack, False)
+    x = _exploded(runs, pack, False)
     x = x.withColumns({
         "chunk_no": F.floor(F.col("byte_offset") / T.CHUNK), "pos": F.col("byte_offset"), "line_number": F.lit(None).cast("long"), "context_before": F.lit(""), "context_after": F.lit(""),
         "match_type": F.when(F.col("kind_ord") == 0, "ascii-string").otherwise("utf-16le-string"), "scanner": F.lit("binary-string-scanner"), "encoding": F.lit("binary"),
@@ -108,8 +110,7 @@ def numbered(hits: DataFrame, prefix: str = "H", width: int = 6) -> DataFrame:
     Rows are dealt by ranges of the order and counted by partition; each partition then numbers its own rows from the
     sum of those before it, so no task sees all rows.
     """
-    from ..lineage import cut_lineage
-
+    hits = cut_lineage(hits)  # finding the ranges reads them once more
     parted = cut_lineage(hits.repartitionByRange(*HIT_ORDER).sortWithinPartitions(*HIT_ORDER).withColumn("__part", F.spark_partition_id()))
     counts = {r["__part"]: r["n"] for r in parted.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0

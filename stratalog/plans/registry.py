@@ -56,7 +56,7 @@ _COVER = f"""cover AS (SELECT artifact_path, count(*) AS n, sum(length(raw_line)
 @query("line_split_counts", f"WITH {V.DOCUMENT_LINES} SELECT artifact_path, CAST(len(s) AS BIGINT) AS n_lines FROM parts")
 def line_split_counts(spark, sf_dir):
     """Lines per document file."""
-    docs = V.read(spark, sf_dir, "documents")
+    docs = V.read_texts(spark, sf_dir, "documents")
     return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("artifact_path"), F.size(split_lines(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"))
 
 
@@ -212,7 +212,7 @@ _MARK_PAGE = _marker_sql("lower(html)")
 @query("page_families", f"WITH t AS (SELECT page_id, html, ltrim(html, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s, {_MARK_PAGE} FROM (SELECT page_id, html, html AS whole FROM pages WHERE strlen(html) <= 4096)) SELECT page_id, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f WHEN starts_with(s, '<?xml') OR starts_with(s, '<Event') THEN 'xml' WHEN contains(lower(s[1:512]), '<html') OR contains(lower(s[1:512]), '<!doctype html') THEN 'html' ELSE 'text_log' END AS family FROM t")
 def page_families(spark, sf_dir):
     """Pages that fit into the probe, classified by content before name."""
-    pages = V.read(spark, sf_dir, "pages").filter(F.octet_length("html") <= 4096)
+    pages = V.read_texts(spark, sf_dir, "pages").filter(F.octet_length("html") <= 4096)
     found = classified(from_table(pages, F.concat(F.col("page_id").cast("string"), F.lit(".log")), F.col("html")))
     return found.select(F.regexp_extract("artifact_path", r"\d+", 0).cast("long").alias("page_id"), F.col("cls.family").alias("family"))
 

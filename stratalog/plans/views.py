@@ -32,6 +32,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Text tables smaller than this are dealt to all cores after reading; larger ones are read in enough splits.
+SMALL = 128 << 20
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL else df
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1: a log per user, a line per event in time order."""
     from pyspark.sql import Window
@@ -50,12 +61,12 @@ EVENT_LINES = f"""lines AS (SELECT 'user-' || user_id || '.log' AS artifact_path
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2: a text file per document."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     return from_table(docs, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("artifact_path"), F.posexplode_outer(split_lines(F.coalesce("text", F.lit("")))).alias("i", "raw_line")).filter("i is not null")
+    docs = read_texts(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("artifact_path"), F.posexplode_outer(split_lines(F.coalesce("text", F.lit("")))).alias("i", "raw_line")).filter("i is not null")
     return docs.select(F.col("artifact_path").alias("artifact_ord"), "artifact_path", (F.col("i") + 1).cast("long").alias("line_number"), "raw_line")
 
 
@@ -71,7 +82,7 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("chat-"), F.col("conv_id").cast("string"), F.lit(".log"))
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     line = F.regexp_replace(F.concat_ws(": ", "role", F.coalesce("text", F.lit(""))), "[\r\n]+", " ")
-    return read(spark, sf_dir, "conversations").select(path.alias("artifact_ord"), path.alias("artifact_path"), n.alias("line_number"), line.alias("raw_line"))
+    return read_texts(spark, sf_dir, "conversations").select(path.alias("artifact_ord"), path.alias("artifact_path"), n.alias("line_number"), line.alias("raw_line"))
 
 
 TURN_LINES = r"""lines AS (SELECT 'chat-' || conv_id || '.log' AS artifact_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS line_number,

@@ -92,7 +92,7 @@ def scan(spark: SparkSession, inputs: list[str], workspace: str, options: Option
     options = options or Options()
     limits = options.limits or limits_from(options.config)
     found = artifacts(spark, discover(inputs), workspace, limits, options.tools)
-    return scan_frames(cut_lineage(classified(found)), options.pack, options.exact_chunks)
+    return scan_frames(found, options.pack, options.exact_chunks)
 
 
 def scan_large_logs(spark: SparkSession, path: str, pack: Pack | None = None) -> DataFrame:

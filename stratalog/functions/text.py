@@ -53,6 +53,12 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_count(text: Column) -> Column:
+    """How many lines ``split_lines`` gives, without making them."""
+    ends = F.regexp_count(text, F.lit("\r\n|\r|\n"))
+    return F.when(text == "", 0).otherwise(ends + F.when(text.rlike(r"[\r\n]\z"), 0).otherwise(1))
+
+
 def lines_before(lines: Column, pos: Column, n: int = CONTEXT) -> Column:
     """Up to ``n`` lines before the 0-based ``pos``, joined by line feeds."""
     return F.array_join(F.slice(lines, F.greatest(pos - n + 1, F.lit(1)), F.least(pos, F.lit(n))), "\n")

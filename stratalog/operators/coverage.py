@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.text import decoded, encoding_of, line_count
 from ..schema import COVERAGE_COLUMNS
 from .classify import classify, meaning
-from .scan import fragments, line_arrays, pattern_flags
+from .scan import fragments, pattern_flags
 
 
 def classified(artifacts: DataFrame) -> DataFrame:
@@ -30,49 +31,52 @@ def binary_part(found: DataFrame) -> DataFrame:
 def coverage(found: DataFrame, exact_chunks: bool = True) -> DataFrame:
     """(artifact_ord, flags, COVERAGE_COLUMNS): one row per artifact; ``flags`` has a bit per negative search found in the text.
 
-    Lines are counted where they lie; printable runs are counted by artifact and joined, which moves only counts.
+    One pass decides everything but the number of printable runs, which is counted over the binary artifacts alone and
+    joined as a number.
     """
-    texts = line_arrays(text_part(found))
-    size = F.coalesce(F.octet_length("content").cast("long"), F.lit(0))
-    base = ["artifact_ord", "artifact_path", "original_input_path", "extracted_from"]
-    row = lambda df, family, by, mode, numbers, n, size_, ok, used, status, encoding, limits, flags: df.select(
-        *base, family.alias("artifact_family"), by.alias("identified_by"), mode.alias("review_mode"), numbers.alias("line_numbers_supported"), n.cast("long").alias("lines_or_rows_scanned"),
-        size_.cast("long").alias("bytes_scanned"), ok.alias("decoded_successfully"), used.alias("decoder_used"), status.alias("decoder_status"), encoding.alias("encoding"),
-        F.lit("").alias("root_cause_value"), F.lit("").alias("related_rule_ids"), limits.alias("limitations"), flags.cast("int").alias("flags"),
+    cls, dec, pol = (lambda n: F.col(f"cls.{n}")), (lambda n: F.col(f"decoder.{n}")), (lambda n: F.col(f"policy.{n}"))
+    family = cls("family")
+    fallback = F.coalesce(dec("fallback"), F.lit(False))
+    has = F.col("content").isNotNull()
+    kind = (
+        F.when(F.col("policy").isNotNull(), "policy").when(family.isin(*fixed.TEXT_FAMILIES), "text").when((family.isin(*fixed.BINARY_FAMILIES) | fallback) & has, "binary")
+        .when(family.isin(*fixed.BINARY_FAMILIES), "unread").when(F.col("decoder").isNotNull(), "decoded").otherwise("other")
     )
-    lit, cls = F.lit, lambda n: F.col(f"cls.{n}")
-    ok = F.col("lines").isNotNull()
-    text_rows = row(
-        texts, cls("family"), cls("identified_by"), F.when(ok, "stream-scanned").otherwise("unreadable"), cls("line_numbers"), F.when(ok, F.size("lines")).otherwise(0), size, ok,
-        lit("text-line-scanner"), F.when(ok, "scanned").otherwise("decode-failed"), F.col("encoding"), F.when(ok, "").otherwise(F.coalesce("utf16_error", lit(""))), F.when(ok, pattern_flags(F.col("text"))).otherwise(0),
-    )
-    binary = binary_part(found)
-    counts = fragments(binary, exact_chunks).groupBy("artifact_ord").agg(F.count("*").alias("runs"))
-    strings = binary.withColumn("__size", size).drop("content", "utf16_text").join(counts, "artifact_ord", "left")
-    runs, told = F.coalesce("runs", lit(0)), F.col("decoder").isNotNull()
-    string_rows = row(
-        strings, cls("family"), cls("identified_by"), lit("binary-string-scanned"), cls("line_numbers"), runs, F.col("__size"), lit(True),
-        F.when(told, F.col("decoder.used")).otherwise("binary-string-scanner"), F.when(told, F.col("decoder.status")).otherwise("scanned"), lit("binary"),
-        F.when(told, F.col("decoder.limitations")).when(runs == 0, fixed.LIMIT_NO_STRINGS).otherwise(""), lit(0),
-    )
-    unread = found.filter(cls("family").isin(*fixed.BINARY_FAMILIES) & F.col("content").isNull())
-    unread_rows = row(unread, cls("family"), cls("identified_by"), lit("unreadable"), cls("line_numbers"), lit(0), lit(0), lit(False), lit("binary-string-scanner"), lit("unreadable"), lit("binary"), lit("Binary scan failed."), lit(0))
-    decoded = found.filter(F.col("decoder").isNotNull() & ~F.col("decoder.fallback"))
-    status = F.col("decoder.status")
-    decoded_rows = row(
-        decoded, cls("family"), cls("identified_by"), F.when(status.isin("specialized-tool-unavailable", "decode-failed"), "specialized-tool-unavailable").otherwise("metadata-only"), cls("line_numbers"),
-        lit(0), size, status.isin("decoded", "decoded-with-limitation"), F.col("decoder.used"), status, lit(""), F.col("decoder.limitations"), lit(0),
-    )
-    rest = found.filter(F.col("cls").isNotNull() & F.col("decoder").isNull() & ~cls("family").isin(*fixed.TEXT_FAMILIES, *fixed.BINARY_FAMILIES))
-    limited = F.size("archive_limitations") > 0
-    rest_rows = row(
-        rest, cls("family"), cls("identified_by"), cls("review_mode"), cls("line_numbers"), lit(0), size, lit(False), lit("none"), F.when(limited, "extracted-with-limitations").otherwise(cls("status")), lit(""),
-        F.concat_ws(" ", F.when(cls("limitations") != "", cls("limitations")), F.when(limited, F.array_join("archive_limitations", " "))), lit(0),
-    )
-    policies = found.filter(F.col("policy").isNotNull())
-    p = lambda n: F.col(f"policy.{n}")
-    policy_rows = row(policies, p("family"), p("identified_by"), p("review_mode"), lit(False), lit(0), lit(0), lit(False), lit("none"), p("status"), lit(""), p("limitations"), lit(0))
-    out = text_rows
-    for more in (string_rows, unread_rows, decoded_rows, rest_rows, policy_rows):
-        out = out.unionByName(more)
-    return out.select("artifact_ord", "flags", *COVERAGE_COLUMNS)
+    x = found.withColumn("kind", kind).withColumn("utf16", F.col("utf16_text").isNotNull())
+    x = x.withColumn("e", F.when(F.col("kind") == "text", encoding_of(F.col("content"), F.col("utf16"))))
+    x = x.withColumn("text", F.when(F.col("e.ok"), decoded(F.col("content"), F.col("e.encoding"), F.col("utf16_text"))))
+    x = x.withColumns({"n_lines": line_count(F.col("text")), "flags": pattern_flags(F.col("text")), "size": F.octet_length("content").cast("long")}).drop("content", "text", "utf16_text", "marker_text")
+    counts = fragments(binary_part(found), exact_chunks).groupBy("artifact_ord").agg(F.count("*").alias("runs"))
+    x = x.join(counts, "artifact_ord", "left")
+    ok, runs, told = F.coalesce(F.col("e.ok"), F.lit(False)), F.coalesce("runs", F.lit(0)), F.col("decoder").isNotNull()
+    status, limited = dec("status"), F.size("archive_limitations") > 0
+
+    def by(policy, text, binary, unread, decoded_, other):
+        """The value for each kind."""
+        out = F.lit(None)
+        for name, v in (("policy", policy), ("text", text), ("binary", binary), ("unread", unread), ("decoded", decoded_), ("other", other)):
+            out = F.when(F.col("kind") == name, v if not isinstance(v, str) else F.lit(v)).otherwise(out)
+        return out
+
+    no, zero = F.lit(False), F.lit(0)
+    tool_mode = F.when(status.isin("specialized-tool-unavailable", "decode-failed"), "specialized-tool-unavailable").otherwise("metadata-only")
+    other_limits = F.concat_ws(" ", F.when(cls("limitations") != "", cls("limitations")), F.when(limited, F.array_join("archive_limitations", " ")))
+    values = {
+        "artifact_family": by(pol("family"), family, family, family, family, family),
+        "identified_by": by(pol("identified_by"), *[cls("identified_by")] * 5),
+        "review_mode": by(pol("review_mode"), F.when(ok, "stream-scanned").otherwise("unreadable"), "binary-string-scanned", "unreadable", tool_mode, cls("review_mode")),
+        "line_numbers_supported": by(no, *[cls("line_numbers")] * 5),
+        "lines_or_rows_scanned": by(zero, F.when(ok, F.col("n_lines")).otherwise(0), runs, zero, zero, zero).cast("long"),
+        "bytes_scanned": F.when(F.col("kind") == "policy", 0).otherwise(F.coalesce("size", F.lit(0))).cast("long"),
+        "decoded_successfully": by(no, ok, F.lit(True), no, status.isin("decoded", "decoded-with-limitation"), no),
+        "decoder_used": by("none", "text-line-scanner", F.when(told, dec("used")).otherwise("binary-string-scanner"), "binary-string-scanner", dec("used"), "none"),
+        "decoder_status": by(pol("status"), F.when(ok, "scanned").otherwise("decode-failed"), F.when(told, status).otherwise("scanned"), "unreadable", status, F.when(limited, "extracted-with-limitations").otherwise(cls("status"))),
+        "encoding": by("", F.col("e.encoding"), "binary", "binary", "", ""),
+        "root_cause_value": F.lit(""),
+        "related_rule_ids": F.lit(""),
+        "limitations": by(
+            pol("limitations"), F.when(ok, "").otherwise(F.coalesce("utf16_error", F.lit(""))), F.when(told, dec("limitations")).when(runs == 0, fixed.LIMIT_NO_STRINGS).otherwise(""), "Binary scan failed.", dec("limitations"), other_limits
+        ),
+    }
+    kept = [F.col(c) for c in COVERAGE_COLUMNS if c not in values]
+    return x.select("artifact_ord", F.when(ok, F.col("flags")).otherwise(0).cast("int").alias("flags"), *kept, *[v.alias(n) for n, v in values.items()]).select("artifact_ord", "flags", *COVERAGE_COLUMNS)

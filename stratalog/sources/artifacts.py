@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..lineage import cut_lineage
 from ..schema import ARTIFACT_SCHEMA
 from . import decoders
 from .manifest import Entry
@@ -265,6 +266,7 @@ def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits:
 
     Plain files are read in parallel. Those out of which more may come are expanded in scan order by one task, for they
     share a byte budget and the archives seen; with ``limits.per_input`` each has its own and all expand in parallel.
+    What is expanded is stored in the shared folder; plain files are read again by whoever needs their bytes again.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -308,7 +310,7 @@ def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits:
     nested = manifest.mapInArrow(which, manifest.schema)
     if not limits.per_input:
         nested = nested.repartition(1).sortWithinPartitions("ord")
-    return manifest.mapInArrow(plain, schema).unionByName(nested.mapInArrow(expand, schema))
+    return manifest.mapInArrow(plain, schema).unionByName(cut_lineage(nested.mapInArrow(expand, schema)))
 
 
 def from_binary_files(spark: SparkSession, path: str) -> DataFrame:

@@ -235,15 +235,20 @@ def rules_table(spark: SparkSession, pack: Pack) -> DataFrame:
     return spark.createDataFrame(rows, "rule_ord int, rule_id string, severity string, product string, issue_category string, component string, kb_candidates array<string>, false_positive_cautions string, required_evidence array<string>, missing_evidence string, patterns array<string>")
 
 
-def dynamic_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def dynamic_hits(lines: DataFrame, rules: DataFrame, block: int = 500) -> DataFrame:
     """Lines with the rules of a table whose patterns come as data: every (line, rule) that matches, with the first pattern's match.
 
-    ``rules`` is a bounded dimension (at most a few thousand patterns) and goes to every executor; for fixed packs
-    ``line_hits`` is faster, since its patterns are literals.
+    A join on patterns would be a nested loop that compiles every pattern for every line. Rules are a dimension, not a
+    table that grows with the logs: they are fetched in blocks and compiled like a pack, one pass over the lines a block.
     """
-    pats = rules.select("rule_ord", "rule_id", F.posexplode("patterns").alias("pattern_ord", "pattern"))
-    packed = pats.groupBy().agg(F.sort_array(F.collect_list(F.struct("rule_ord", "pattern_ord", "rule_id", "pattern"))).alias("pack")).first()
-    listed = F.array(*[F.struct(F.lit(p.rule_ord).alias("rule_ord"), F.lit(p.pattern_ord).alias("pattern_ord"), F.lit(p.rule_id).alias("rule_id"), F.when(F.col("raw_line").rlike(to_java(p.pattern)), F.regexp_extract("raw_line", to_java(p.pattern), 0)).alias("matched_text")) for p in packed.pack])
-    found = lines.withColumn("__m", F.explode_outer(F.filter(listed, lambda m: m["matched_text"].isNotNull()))).filter("__m is not null")
-    first = found.groupBy(*lines.columns, "__m.rule_ord", "__m.rule_id").agg(F.min_by(F.col("__m.matched_text"), F.col("__m.pattern_ord")).alias("matched_text"))
-    return first
+    found = None
+    rows = rules.select("rule_ord", "rule_id", "patterns").orderBy("rule_ord").collect()
+    for at in range(0, max(len(rows), 1), block):
+        part = rows[at : at + block]
+        pack = Pack(tuple(Rule(r.rule_id, tuple(r.patterns)) for r in part), ())
+        ords = F.array(*[F.lit(r.rule_ord) for r in part]) if part else F.array().cast("array<int>")
+        may, hits = may_hit(F.col("raw_line"), pack), line_hits(F.col("raw_line"), pack)
+        x = lines.filter(may).withColumn("__m", F.explode_outer(hits)).filter("__m is not null")
+        x = x.select(*lines.columns, F.get(ords, F.col("__m.rule_ord")).alias("rule_ord"), "__m.rule_id", "__m.matched_text")
+        found = x if found is None else found.unionByName(x)
+    return found

@@ -178,7 +178,7 @@ def test_all_reports(reports):
 
 
 def test_text_and_html(reports):
-    result, d, _ = reports
+    result, _, _ = reports
     text, page = result.report("triage_report.txt").read_text(), result.report("triage_report.html").read_text()
     heads = ["Scan summary", "Product detected", "Artifacts reviewed", "Artifacts not decoded", *[f"{s} findings" for s in fixed.SEVERITIES], "Missing evidence", "Negative searches", "KB candidates", "False-positive cautions", "Raw hit appendix", "Limitations"]
     at = [text.index(f"\n{h}\n{'-' * len(h)}\n") for h in heads]
@@ -283,6 +283,15 @@ def test_queries_equal_sql(spark, name):
     df = registry.QUERIES[name](spark, d)
     assert sorted(df.columns) == sorted(names)
     assert Counter(map(tuple, df.select(*names).collect())) == Counter(want.fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython", plan)
+
+
+def test_scans_read_what_they_need(spark):
+    plan = registry.QUERIES["keyword_hits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lang" not in plan and "n_chars" not in plan
+    plan = registry.QUERIES["coverage_dedup_last"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "props" not in plan
 
 
 def test_large_logs_in_splits(spark, tmp_path):

@@ -1,6 +1,5 @@
 """Corpus operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
-import hashlib
 import random
 import re
 from collections import Counter

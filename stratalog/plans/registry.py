@@ -195,10 +195,10 @@ def _marker_sql(text: str) -> str:
     return f"list_sort([{', '.join(parts)}], 'DESC')[1] AS best, ({strong}) AS strong"
 
 
-@query("marker_families", f"WITH {V.TURN_LINES}, t AS (SELECT artifact_path, {_marker_sql('lower(raw_line)')} FROM lines WHERE line_number = 1 UNION ALL SELECT DISTINCT event_type, {_marker_sql('lower(' + V._CASE + ')')} FROM events) SELECT artifact_path, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f END AS family FROM t")
+@query("marker_families", f"WITH {V.TURN_LINES}, t AS (SELECT artifact_path, {_marker_sql('lower(raw_line)')} FROM lines UNION ALL SELECT DISTINCT event_type, {_marker_sql('lower(' + V._CASE + ')')} FROM events) SELECT artifact_path, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f END AS family FROM t")
 def marker_families(spark, sf_dir):
     """Families by content markers, ties by order."""
-    turns = V.turn_lines(spark, sf_dir).filter("line_number = 1").select("artifact_path", "raw_line")
+    turns = V.turn_lines(spark, sf_dir).select("artifact_path", "raw_line")
     message = F.lit("")
     for kind, text in V.MESSAGES.items():
         message = F.when(F.col("event_type") == kind, text).otherwise(message)
@@ -206,14 +206,11 @@ def marker_families(spark, sf_dir):
     return turns.unionByName(kinds).select("artifact_path", marker_family(F.col("raw_line")).alias("family"))
 
 
-_MARK_PAGE = _marker_sql("lower(html)")
-
-
-@query("page_families", f"WITH t AS (SELECT page_id, html, ltrim(html, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s, {_MARK_PAGE} FROM (SELECT page_id, html, html AS whole FROM pages WHERE strlen(html) <= 4096)) SELECT page_id, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f WHEN starts_with(s, '<?xml') OR starts_with(s, '<Event') THEN 'xml' WHEN contains(lower(s[1:512]), '<html') OR contains(lower(s[1:512]), '<!doctype html') THEN 'html' ELSE 'text_log' END AS family FROM t")
+@query("page_families", f"WITH {V.probe_sql('html', 'pages', 'page_id')}, t AS (SELECT page_id, ltrim(head, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s, {_marker_sql('lower(head)')} FROM probed) SELECT page_id, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f WHEN starts_with(s, '<?xml') OR starts_with(s, '<Event') THEN 'xml' WHEN contains(lower(s[1:512]), '<html') OR contains(lower(s[1:512]), '<!doctype html') THEN 'html' ELSE 'text_log' END AS family FROM t")
 def page_families(spark, sf_dir):
-    """Pages that fit into the probe, classified by content before name."""
-    pages = V.read_texts(spark, sf_dir, "pages").filter(F.octet_length("html") <= 4096)
-    found = classified(from_table(pages, F.concat(F.col("page_id").cast("string"), F.lit(".log")), F.col("html")))
+    """Pages classified by content before name; markers are looked for in the first 4096 bytes."""
+    pages = V.read_texts(spark, sf_dir, "pages")
+    found = classified(from_table(pages, F.concat(F.col("page_id").cast("string"), F.lit(".log")), F.coalesce("html", F.lit(""))))
     return found.select(F.regexp_extract("artifact_path", r"\d+", 0).cast("long").alias("page_id"), F.col("cls.family").alias("family"))
 
 
@@ -227,11 +224,10 @@ def suffix_families(spark, sf_dir):
     return V.read(spark, sf_dir, "pages").select("page_id", by_suffix(name).alias("c")).select("page_id", "c.family", "c.identified_by")
 
 
-@query("artifact_coverage", f"WITH {V.DOCUMENT_LINES}, small AS (SELECT * FROM documents WHERE strlen(text) <= 4096), t AS (SELECT doc_id, text, {_marker_sql('lower(text)')} FROM small) SELECT 'doc-' || doc_id || '.txt' AS artifact_path, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f ELSE 'text_log' END AS artifact_family, 'stream-scanned' AS review_mode, CAST(len(s) AS BIGINT) AS lines_or_rows_scanned, CAST(strlen(text) AS BIGINT) AS bytes_scanned, 'utf-8' AS encoding, true AS decoded_successfully FROM t JOIN parts ON parts.artifact_path = 'doc-' || doc_id || '.txt'")
+@query("artifact_coverage", f"WITH {V.DOCUMENT_LINES}, {V.probe_sql('text', 'documents', 'doc_id')}, t AS (SELECT doc_id, t, {_marker_sql('lower(head)')} FROM probed) SELECT 'doc-' || doc_id || '.txt' AS artifact_path, CASE WHEN best.n >= 2 OR (best.n = 1 AND strong) THEN best.f ELSE 'text_log' END AS artifact_family, 'stream-scanned' AS review_mode, CAST(len(s) AS BIGINT) AS lines_or_rows_scanned, CAST(strlen(t) AS BIGINT) AS bytes_scanned, 'utf-8' AS encoding, true AS decoded_successfully FROM t JOIN parts ON parts.artifact_path = 'doc-' || doc_id || '.txt'")
 def artifact_coverage(spark, sf_dir):
-    """Coverage rows of documents that fit into the probe."""
-    files = V.document_files(spark, sf_dir).filter(F.octet_length("content") <= 4096)
-    return coverage(classified(files)).select("artifact_path", "artifact_family", "review_mode", "lines_or_rows_scanned", "bytes_scanned", "encoding", "decoded_successfully")
+    """Coverage rows of all documents as text files."""
+    return coverage(classified(V.document_files(spark, sf_dir))).select("artifact_path", "artifact_family", "review_mode", "lines_or_rows_scanned", "bytes_scanned", "encoding", "decoded_successfully")
 
 
 @query("coverage_dedup_last", "SELECT artifact_path, arg_max(artifact_family, artifact_ord) AS artifact_family, max(artifact_ord) AS artifact_ord FROM (SELECT 'user-' || user_id AS artifact_path, event_type AS artifact_family, CAST(event_id AS VARCHAR) AS artifact_ord FROM events) GROUP BY 1")

@@ -62,7 +62,7 @@ EVENT_LINES = f"""lines AS (SELECT 'user-' || user_id || '.log' AS artifact_path
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2: a text file per document."""
     docs = read_texts(spark, sf_dir, "documents")
-    return from_table(docs, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"))
+    return from_table(docs, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")), F.coalesce("text", F.lit("")))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,13 @@ CONTEXT = """ctx AS (SELECT *, coalesce(string_agg(raw_line, chr(10)) OVER (PART
   coalesce(string_agg(raw_line, chr(10)) OVER (PARTITION BY artifact_path ORDER BY line_number ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS context_after FROM lines)"""
 
 
+def probe_sql(text: str, table: str, key: str, probe: int = 4096) -> str:
+    """``probed``: the rows of ``table`` with ``head``, the whole characters among the first bytes of ``text``; found in two steps, then by single characters."""
+    step = lambda a, b, s: f"coalesce(list_max(list_filter(range({a}, {b}, {s}), lambda k: strlen(left(t, k)) <= {probe})), 0)"
+    return f"""probed AS (SELECT {key}, t, CASE WHEN strlen(t) <= {probe} THEN t ELSE left(t, {step('k1', 'k1 + 64', 1)}) END AS head
+  FROM (SELECT {key}, t, CASE WHEN strlen(t) <= {probe} THEN 0 ELSE {step(probe // 4, probe + 1, 64)} END AS k1 FROM (SELECT {key}, coalesce({text}, '') AS t FROM {table})))"""
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

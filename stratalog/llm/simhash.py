@@ -41,14 +41,14 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_type: str = "long") -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every row; null text counts as empty."""
 
     def run(batch):
         out = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "fp"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast(key_type).alias("id"), F.col(text_col).alias("text")), run, f"id {key_type}, fp long")
 
 
 def _ball(code, segments: int = SEGMENTS):
@@ -107,16 +107,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id; of rows that repeat it, one stays. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col).filter("id is not null")
-    gone = found.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    repeated = cut_lineage(found.filter("id = component").groupBy("id").count().filter("count > 1").select(F.col("id").alias("__again")))
+def code_groups(rows: DataFrame) -> DataFrame:
+    """(id, h, component) of every row of (id, h, text), by fingerprints; a component is its least fingerprint."""
+    prints = cut_lineage(fingerprints(rows.select(F.struct("id", "h").alias("key"), "text"), "key", key_type="struct<id:long,h:long>"))
+    labels = components(links(prints.select(F.col("fp").alias("node"), "fp").distinct()))
+    found = prints.join(labels, prints.fp == labels.node, "left")
+    return found.select("id.id", "id.h", F.coalesce("component", "fp").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=code_groups) -> DataFrame:
+    """Of each component of near copies the row with the smallest id; of rows that repeat it, one stays.
+
+    A row is known by its id and a hash of its text, so other texts under the same id stand for themselves. Rows without
+    an id are near copies like any other; one of them stays only where no row of its component has an id. ``groups``
+    gives (id, h, component) of every row of (id, h, text).
+    """
+    own = F.xxhash64(text_col)
+    found = groups(docs.select(F.col(id_col).cast("long").alias("id"), own.alias("h"), F.col(text_col).alias("text")))
+    keys = cut_lineage(found.groupBy("component", "id", "h").count())
+    best = keys.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("best"))
+    keys = cut_lineage(keys.join(best, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))))
+    named = lambda which: keys.filter(which).select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__h"))
+    kept = docs.join(named("not stays"), same, "left_anti")
+    repeated = named("stays and count > 1")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, kept[id_col] == repeated["__again"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == repeated["__again"], "left_anti").unionByName(again)
+    again = kept.join(repeated, same, "left_semi").withColumn("__own", own).dropDuplicates([id_col, "__own"]).drop("__own")
+    return kept.join(repeated, same, "left_anti").unionByName(again)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

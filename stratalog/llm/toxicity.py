@@ -24,6 +24,7 @@ from ..lineage import cut_lineage
 from .common import map_batches, table
 
 SAMPLE, FEATURES, FACTORS, LEAST_TEXTS, LEAST_RATIO, FOLDS = 16_000, 8_192, 4, 3, 24.0, 5
+LEAST_SHARE = 1e-3
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _SLOTS = (1 << 60) - 1
 
@@ -84,7 +85,7 @@ def train(features: list[np.ndarray], labels: np.ndarray, n: int, rounds: int =
     doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
     feat = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
     rng = np.random.default_rng(seed)
-    share = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-3), 1 - 1e-3)
+    share = min(max(float(labels.mean()) if len(labels) else 0.0, LEAST_SHARE), 1 - LEAST_SHARE)
     p = [np.array([np.log(share / (1 - share))]), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))]
     m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     d = len(features)
@@ -110,7 +111,10 @@ def held_out(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """The machine for the labelled documents that are not held out. Repeated labels count as the highest of them; null labels do not count."""
+    """The machine for the labelled documents that are not held out. Repeated labels count as the highest of them; null labels do not count.
+
+    Without any labelled document there is nothing to tell by: every score is that of the least share, far under a half.
+    """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = cut_lineage(known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(SAMPLE).drop("h"))
     texts = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"))
@@ -128,6 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sums = texts.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("pos")).first()
     total, toxic = sums.n, sums.pos or 0
+    if not total:
+        return Machine({}, float(np.log(LEAST_SHARE / (1 - LEAST_SHARE))), np.zeros(0), np.zeros((0, FACTORS)))
     if not toxic or toxic == total:
         return Machine({}, float(np.log((toxic + 0.5) / (total - toxic + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
     counts = texts.select("text", "label").mapInArrow(count, "slot long, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter(F.col("n") >= LEAST_TEXTS)
@@ -161,7 +167,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores under ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores under ``threshold``; all rows if no document is labelled."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
     def run(batches):

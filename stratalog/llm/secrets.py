@@ -3,7 +3,7 @@
 All rules are compiled into a single transition table. One pass over the bytes gives the places where keywords end and
 where keys, hexadecimal runs and other tokens become long enough; spans follow from those places, and an exact check of
 what stands after a keyword follows for assignments. Beyond the base kinds (assign, access, hex) the operator adds
-``github``, ``slack`` and ``pem`` spans.
+``github``, ``slack`` and ``pem`` spans. A ``pem`` span is a whole private key, to its END line or over the base64 lines.
 """
 
 from __future__ import annotations
@@ -35,6 +35,11 @@ _RULES = [
 _N = len(KEYWORDS)
 _TAIL = re.compile(rb"[\"']?\x20*[:=]\x20*[\"']?(" + _VALUE.encode() + rb"+)")
 _GITHUB, _SLACK = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}"), re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}")
+#: What follows the header of a key without an END line: header fields, base64 lines (ends of lines may be written as \\n), a short last one.
+_BODY = re.compile(
+    rb"(?:(?:\r?\n|\\r|\\n)\s*+[A-Za-z][A-Za-z-]*+:[^\r\n\\]*+)*+(?:(?:\s|\\r|\\n)++(?:>\x20?)*+[A-Za-z0-9+/=]{16,}+(?![^\s\\\"',;<]))++"
+    rb"(?:(?:\r?\n|\\n)[\x20\t>]*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n\\\"'<]|\Z)))?+"
+)
 
 
 @cache
@@ -50,6 +55,21 @@ def _runs(where: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(where[np.concatenate(([0], breaks + 1))].tolist(), where[np.concatenate((breaks, [len(where) - 1]))].tolist()))
 
 
+def _keys(text: bytes, ends: list[int]) -> list[tuple[int, int, str]]:
+    """Spans of private keys whose header lines end at these places, each up to the next header at most."""
+    heads = [(text.rindex(b"-----BEGIN ", 0, e + 1), e + 1) for e in ends]
+    out = []
+    for (start, body), (most, _) in zip(heads, [*heads[1:], (len(text), 0)]):
+        close = b"-----END " + text[start + len(b"-----BEGIN ") : body]
+        at = text.find(close, body, most)
+        if at >= 0:
+            out.append((start, at + len(close), "pem"))
+        else:
+            m = _BODY.match(text, body, most)
+            out.append((start, m.end() if m else body, "pem"))
+    return out
+
+
 def _spans(text: bytes, where: np.ndarray, what: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans in bytes of one text from the places where rules end."""
     of = lambda k: where[(what >> k) & 1 == 1]
@@ -70,7 +90,7 @@ def _spans(text: bytes, where: np.ndarray, what: np.ndarray) -> list[tuple[int,
             if e - back >= last and (m := exact.match(text, e - back)):
                 out.append((m.start(), m.end(), kind))
                 last = m.end()
-    out += [(text.rindex(b"-----BEGIN ", 0, e + 1), e + 1, "pem") for e in of(_N + 5).tolist()]
+    out += _keys(text, of(_N + 5).tolist())
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

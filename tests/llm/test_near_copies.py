@@ -1,13 +1,14 @@
-"""Near copies of the pipeline: repeated and missing ids."""
+"""Near copies of the pipeline: edited copies by brute force, repeated and missing ids."""
 
 import random
 from collections import Counter
 
 import pytest
 
-from stratalog.llm import simhash
+import corpus_pipeline
+from stratalog.llm import shingles, simhash
 
-from .test_operators import words_of
+from .test_operators import EDGE, words_of
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,7 +17,64 @@ def rows_of(spark, pairs):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], KINDS)
 
 
-@pytest.mark.parametrize("groups", [simhash.code_groups])
+def plain_set(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_groups(texts):
+    sets, up = [plain_set(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(x) for x in range(len(texts))]
+
+
+def edited(rnd, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+    return " ".join(w)
+
+
+def edited_texts():
+    rnd = random.Random(31)
+    line = words_of(rnd, 30, 5000)
+    texts = [*EDGE[:6], "a b c d e f g h", "a b c d e f g h i"]
+    for _ in range(12):
+        b = words_of(rnd, rnd.randrange(60, 300), 5000)
+        texts += [b, *(edited(rnd, b, rnd.randrange(1, 12)) + (" " + line) * rnd.randrange(2) for _ in range(5))]
+    b = words_of(rnd, 200, 5000)
+    for _ in range(15):  # a chain: ends differ
+        texts.append(b)
+        b = edited(rnd, b, 3)
+    return texts + [words_of(rnd, 40, 5000) + " " + line for _ in range(20)]
+
+
+def test_stage_drops_edited_copies(spark):
+    texts = edited_texts()
+    kept = corpus_pipeline.near_copies_out(spark, rows_of(spark, enumerate(texts)), "")
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(plain_groups(texts)))
+
+
+def test_no_choice_of_common_shingles_or_rounds_loses_a_link(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SAMPLE", 1)
+    monkeypatch.setattr(shingles, "STARS", 1)
+    texts = edited_texts()
+    kept = corpus_pipeline.near_copies_out(spark, rows_of(spark, enumerate(texts)), "")
+    assert {r.doc_id for r in kept.collect()} == set(plain_groups(texts))
+    assert corpus_pipeline.near_copies_out(spark, rows_of(spark, []), "").count() == 0
+
+
+@pytest.mark.parametrize("groups", [simhash.code_groups, shingles.near_groups])
 def test_texts_under_one_id_and_without_id(spark, groups):
     rnd = random.Random(32)
     x, y, z, u, v = (words_of(rnd, 60, 5000) for _ in range(5))

@@ -2,21 +2,7 @@
 
 from __future__ import annotations
 
-COVERAGE_COLUMNS = [
-    "artifact_path", "original_input_path", "extracted_from", "artifact_family", "identified_by", "review_mode", "line_numbers_supported",
-    "lines_or_rows_scanned", "bytes_scanned", "decoded_successfully", "decoder_used", "decoder_status", "encoding", "root_cause_value", "related_rule_ids", "limitations",
-]
-HIT_COLUMNS = [
-    "hit_id", "rule_id", "severity", "product", "issue_category", "component", "artifact_path", "line_number", "byte_offset", "timestamp", "matched_text",
-    "raw_line", "context_before", "context_after", "match_type", "scanner", "encoding", "kb_candidate_ids",
-]
-RULE_FINDING_COLUMNS = [
-    "rule_id", "product", "issue_category", "component", "severity", "hit_count", "artifacts_hit", "first_seen_file", "first_seen_line", "kb_candidate_ids",
-    "required_evidence_status", "missing_evidence", "false_positive_cautions",
-]
-FILE_FINDING_COLUMNS = [
-    "artifact_path", "artifact_family", "hit_count", "critical_count", "high_count", "medium_count", "low_count", "info_count", "matched_rule_ids", "limitations",
-]
+from .fixed import COVERAGE_COLUMNS, FILE_FINDING_COLUMNS, HIT_COLUMNS, RULE_FINDING_COLUMNS  # noqa: F401
 
 #: Artifacts as sources give them: ``policy`` rows have no content and carry their own status.
 ARTIFACT_SCHEMA = (

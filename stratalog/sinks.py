@@ -64,12 +64,10 @@ def _at(h) -> str:
 
 def _fields(h, html_style: bool) -> list[tuple[str, str]]:
     """Labels and values of a finding, in order; the context comes apart in HTML."""
-    out = [("rule_id", h.rule_id), ("severity", h.severity), ("likely issue family", h.issue_category), ("component", h.component), ("matched_file", h.artifact_path)]
-    out += [("line_number or byte_offset" if html_style else "line_or_offset", _at(h)), ("timestamp", "")]
-    if not html_style:
-        out += [("observed evidence", h.raw_line), ("context_before", h.context_before), ("context_after", h.context_after)]
-    out += [("KB candidate", h.kb_candidate_ids), ("why_this_matched", f"Pattern matched text {h.matched_text}." if html_style else f"Pattern matched text '{h.matched_text}'.")]
-    return [*out, ("false_positive_caution", _caution(h)), ("required_evidence_status", _status(h))]
+    said = [h.raw_line, h.context_before, h.context_after] if not html_style else []
+    why = f"Pattern matched text {h.matched_text}." if html_style else f"Pattern matched text '{h.matched_text}'."
+    values = [h.rule_id, h.severity, h.issue_category, h.component, h.artifact_path, _at(h), "", *said, h.kb_candidate_ids, why, _caution(h), _status(h)]
+    return list(zip(fixed.LABELS_HTML if html_style else fixed.LABELS_TEXT, values, strict=True))
 
 
 def _text_finding(h) -> str:
@@ -79,7 +77,7 @@ def _text_finding(h) -> str:
 def _html_finding(h) -> str:
     e = html.escape
     told = "<br>".join(f"<strong>{label}:</strong> {e(value)}" for label, value in _fields(h, True))
-    return f"<div class='finding'><p>{told}</p><pre>raw_line: {e(h.raw_line)}\ncontext_before: {e(h.context_before)}\ncontext_after: {e(h.context_after)}</pre></div>"
+    return f"<div class='hit'><p>{told}</p><pre>raw_line: {e(h.raw_line)}\ncontext_before: {e(h.context_before)}\ncontext_after: {e(h.context_after)}</pre></div>"
 
 
 class Facts:
@@ -106,39 +104,50 @@ def write_text_report(facts: Facts, path: Path, title: str = TITLE) -> None:
         section = lambda name: put("", name, "-" * len(name))
         listed = lambda items: put(*(f"- {i}" for i in items)) if items else put("- None")
         put(title, "=" * len(title), f"Terminology: {TERMINOLOGY}", PURPOSE)
-        section("Scan summary")
+        section(fixed.SECTIONS_BEFORE[0])
         put(f"Artifacts reviewed: {facts.artifacts}", f"Hits observed: {s.hit_count}", f"Rules observed: {s.rule_count}")
-        section("Product detected")
+        section(fixed.SECTIONS_BEFORE[1])
         put(s.product)
-        section("Artifacts reviewed")
+        section(fixed.SECTIONS_BEFORE[2])
         for r in facts.by_file.toLocalIterator():
             put(f"- {r.artifact_path} ({r.artifact_family}) hits={r.hit_count}")
-        section("Artifacts not decoded")
+        section(fixed.SECTIONS_BEFORE[3])
         listed(facts.not_decoded)
         for severity in fixed.SEVERITIES:
-            section(f"{severity} findings")
+            section(fixed.SECTION_OF_SEVERITY.format(severity))
             none = True
             for h in facts.hits_of(severity):
                 none = False
                 put(_text_finding(h))
             if none:
                 put("- None")
-        section("Missing evidence")
+        section(fixed.SECTIONS_AFTER[0])
         put(facts.checklist.rstrip())
-        section("Negative searches")
+        section(fixed.SECTIONS_AFTER[1])
         listed(facts.negatives)
-        section("KB candidates")
+        section(fixed.SECTIONS_AFTER[2])
         put(*facts.kb_lines)
-        section("False-positive cautions")
+        section(fixed.SECTIONS_AFTER[3])
         listed(facts.cautions)
-        section("Raw hit appendix")
+        section(fixed.SECTIONS_AFTER[4])
         for h in facts.hits_of():
             put(f"- {h.rule_id} {h.artifact_path}:{_at(h)} {h.raw_line}")
-        section("Limitations")
+        section(fixed.SECTIONS_AFTER[5])
         put(*facts.limitations)
 
 
-_CSS = "body{font-family:sans-serif;margin:24px;color:#222}table{border-collapse:collapse;width:100%}th,td{border:1px solid #ccc;padding:6px;vertical-align:top}pre{white-space:pre-wrap;background:#f7f7f7;padding:8px}.finding{border:1px solid #ddd;padding:10px;margin:8px 0}"
+_CSS = """
+:root { --line: #b9c4d0; --tint: #eef3f8; --ink: #14202b; }
+html { background: var(--tint); color: var(--ink); font: 15px/1.5 "Segoe UI", "Noto Sans", Ubuntu, sans-serif; }
+body { max-width: 72rem; margin: 0 auto; padding: 2rem 3rem; background: white; }
+h1, h2 { font-weight: 600; letter-spacing: -.01em; }
+section { border-top: 2px solid var(--line); margin-top: 2.5rem; }
+table { border-spacing: 0; font-size: .9em; }
+td { border-bottom: 1px dotted var(--line); padding: .2rem 1.2rem .2rem 0; text-align: left; }
+th { text-align: left; padding-right: 1.2rem; }
+.hit { border-left: .3rem solid var(--line); padding-left: 1rem; margin-bottom: 1.5rem; }
+.hit pre, section > pre { overflow-x: auto; background: var(--tint); padding: .6rem 1rem; font-size: .85em; }
+"""
 
 
 def write_html_report(facts: Facts, path: Path, title: str = TITLE) -> None:
@@ -162,23 +171,23 @@ def write_html_report(facts: Facts, path: Path, title: str = TITLE) -> None:
                 yield "<p>None</p>"
 
         def files():
-            yield "<table><tr><th>Artifact</th><th>Family</th><th>Hits</th><th>Rules</th><th>Limitations</th></tr>"
+            yield "<table><tr>" + "".join(f"<th>{h}</th>" for h in fixed.FILE_TABLE_HEAD) + "</tr>"
             for r in facts.by_file.toLocalIterator():
                 yield "<tr>" + "".join(f"<td>{e(str(x))}</td>" for x in (r.artifact_path, r.artifact_family, r.hit_count, r.matched_rule_ids, r.limitations)) + "</tr>"
             yield "</table>"
 
         put(f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{e(title)}</title><style>{_CSS}</style></head><body><h1>{e(title)}</h1>")
         put(f"<p><strong>Terminology:</strong> {TERMINOLOGY} {PURPOSE}</p>")
-        section("Scan summary", [f"<p>Artifacts reviewed: {facts.artifacts}<br>Hits observed: {s.hit_count}<br>Rules observed: {s.rule_count}</p>"])
-        section("Product detected", [f"<p>{e(s.product)}</p>"])
-        section("Artifacts reviewed", files())
-        section("Artifacts not decoded", [listed(facts.not_decoded)])
+        section(fixed.SECTIONS_BEFORE[0], [f"<p>Artifacts reviewed: {facts.artifacts}<br>Hits observed: {s.hit_count}<br>Rules observed: {s.rule_count}</p>"])
+        section(fixed.SECTIONS_BEFORE[1], [f"<p>{e(s.product)}</p>"])
+        section(fixed.SECTIONS_BEFORE[2], files())
+        section(fixed.SECTIONS_BEFORE[3], [listed(facts.not_decoded)])
         for severity in fixed.SEVERITIES:
-            section(f"{severity} findings", findings(severity))
-        section("Missing evidence", [f"<pre>{e(facts.checklist)}</pre>"])
-        section("Negative searches", [listed(facts.negatives)])
-        section("KB candidates", [listed(facts.kb_lines)])
-        section("False-positive cautions", [listed(facts.cautions)])
-        section("Raw hit appendix", findings())
-        section("Limitations", [listed(facts.limitations)])
+            section(fixed.SECTION_OF_SEVERITY.format(severity), findings(severity))
+        section(fixed.SECTIONS_AFTER[0], [f"<pre>{e(facts.checklist)}</pre>"])
+        section(fixed.SECTIONS_AFTER[1], [listed(facts.negatives)])
+        section(fixed.SECTIONS_AFTER[2], [listed(facts.kb_lines)])
+        section(fixed.SECTIONS_AFTER[3], [listed(facts.cautions)])
+        section(fixed.SECTIONS_AFTER[4], findings())
+        section(fixed.SECTIONS_AFTER[5], [listed(facts.limitations)])
         put("</body></html>")

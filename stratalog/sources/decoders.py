@@ -77,10 +77,10 @@ def decode(kind: str, path: str, content: bytes, number: str, root: str, tools:
         os.mkdir(target)
         if kind in ("pcap", "pcapng"):
             return _text_tool("tshark", "tshark", tools, lambda t: [t, "-r", source, "-T", "fields", "-E", "header=y", "-E", "separator=,", "-E", "quote=d", *(x for f in fixed.PACKET_FIELDS for x in ("-e", f))],
-                              os.path.join(root, "decoded", f"pcap_{number}.csv"), fixed.LIMIT_NO_TSHARK, "tshark exited with {}; binary string fallback used.", True)
+                              os.path.join(root, "decoded", f"pcap_{number}.csv"), fixed.LIMIT_NO_TSHARK, fixed.SAY_TSHARK_FAILED, True)
         if kind == "evtx":
             return _text_tool("wevtutil", "wevtutil.exe", tools, lambda t: [t, "qe", source, "/lf:true", "/f:xml"], os.path.join(root, "decoded", f"evtx_{number}.xml"),
-                              "wevtutil.exe was not found in PATH.", "wevtutil.exe failed with exit code {}.", False)
+                              fixed.SAY_NO_WEVTUTIL, fixed.SAY_WEVTUTIL_FAILED, False)
         if kind == "etl":
             return _etl(source, target, tools, os.path.join(root, "decoded", f"etl_{number}.csv"))
         if kind == "seven_zip":
@@ -112,20 +112,19 @@ def _etl(source, target, tools, out):
 def _unpacked(name, used, tools, source, target, shown, budget):
     """Unpacked files under the same byte limits as other archives; what exceeds them is left out and told."""
     tool = tools.find(name)
-    label = "7-Zip" if used == "7zip" else used
     if tool is None:
-        return _told(used, "specialized-tool-unavailable", fixed.LIMIT_NO_7Z if used == "7zip" else "expand.exe was not found in PATH."), []
+        return _told(used, "specialized-tool-unavailable", fixed.LIMIT_NO_7Z if used == "7zip" else fixed.SAY_NO_EXPAND), []
     if used == "7zip":
         code, listing = tools.execute([tool, "l", "-slt", source])
         if code:
-            return _told(used, "decode-failed", f"7-Zip listing failed with exit code {code}."), []
+            return _told(used, "decode-failed", fixed.SAY_7Z_LISTING_FAILED.format(code)), []
         if bad := [b for b in unsafe_listed(listing) if b != source]:
-            return _told(used, "skipped-by-policy", f"7-Zip archive contains unsafe member path: {bad[0]}"), []
+            return _told(used, "skipped-by-policy", fixed.SAY_7Z_UNSAFE.format(bad[0])), []
         code, _ = tools.execute([tool, "x", "-y", f"-o{target}", source])
-        failed = f"{label} extraction failed with exit code {code}."
+        failed = fixed.SAY_7Z_FAILED.format(code)
     else:
         code, _ = tools.execute([tool, "-F:*", source, target])
-        failed = f"{label} failed with exit code {code}."
+        failed = fixed.SAY_EXPAND_FAILED.format(code)
     if code:
         return _told(used, "decode-failed", failed), []
     found, refused = [], []
@@ -144,7 +143,7 @@ def _pdf(content: bytes, out: str):
         try:
             return _told(module, "decoded"), [(out, pdf_text(module, content).encode())]
         except Exception as e:  # these libraries raise anything on broken files
-            return _told(module, "decode-failed", f"PDF text extraction failed; OCR is not implemented: {e}"), []
+            return _told(module, "decode-failed", fixed.SAY_PDF_FAILED.format(e)), []
     return _told("pdf-basic", "specialized-tool-unavailable", fixed.LIMIT_NO_PDF), []
 
 

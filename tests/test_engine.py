@@ -1,6 +1,7 @@
 """Rule compiler, scanners against plain models, reports, command line, streaming and registered queries."""
 
 import csv
+import io
 import json
 import random
 import re
@@ -205,7 +206,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([str(tmp_path / "a.log"), "--output", str(tmp_path / "o1")], spark) == 0
     said = capsys.readouterr().out
     assert "Files discovered: 1" in said and "Findings count: 1" in said and "Detected case number: UNKNOWN" in said
-    monkeypatch.setattr("builtins.input", lambda *_: "")
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n"))
     assert cli.main([str(tmp_path / "a.log"), str(tmp_path / "gone.log"), "--output", str(tmp_path / "o2"), "--pause"], spark) == 2
     assert "WARNING: " in capsys.readouterr().out
     monkeypatch.setattr(api, "run_scan", lambda *a: 1 / 0)

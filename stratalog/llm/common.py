@@ -43,3 +43,29 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             yield from f(b)
 
     return df.mapInArrow(run, schema)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df``, which is stored, with a broadcast hint if its rows and their text are few enough; beyond that Spark shuffles both sides."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.concat_ws(",", *[F.to_json(F.struct(c)) for c in df.columns])).cast("long")), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size.n <= most_rows and size.b <= most_bytes else df
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
+    """Left join of ``rows`` with ``counted``, which has one row for each value of ``keys`` and the number ``rows_of_key`` of its rows.
+
+    Values with more than ``most`` rows are dealt over several parts on both sides, so no task gets a hot key whole. Of
+    them there are at most rows / ``most``, which bounds what is broadcast. Keys are not null.
+    """
+    hot = counted.filter(F.col("rows_of_key") > most).select(*keys, F.ceil(F.col("rows_of_key") / most).cast("long").alias("__parts"))
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", part).drop("__parts")
+    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows_of_key") / most).cast("long") - 1)
+    spread = counted.withColumn("__part", F.explode(F.when(F.col("rows_of_key") > most, parts).otherwise(F.array(F.lit(0).cast("long"))))).drop("rows_of_key")
+    return dealt.join(spread, [*keys, "__part"], "left").drop("__part")
+
+
+def spread_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """``df``, which is stored, dealt evenly over tasks: for steps that make many rows of each."""
+    n = df.count()
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_task)))

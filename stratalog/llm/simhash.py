@@ -1,24 +1,31 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A 64-bit fingerprint has two segments. Two fingerprints that differ in at most two bits meet if each enumerates the
-Hamming ball of radius one within each of its segments: both get to the code halfway between them. The table's key
-is the changed segment together with the other one, so a table entry holds at most the 65 codes around its key,
-however many near copies a group has. From each entry only links to its smallest member are made, after the complete
-distance is verified; any other two members of that entry are two such links apart, so no connection is lost.
+A 64-bit fingerprint is cut into segments, and each segment has a table from its value to the fingerprints that hold it.
+Two fingerprints that differ in at most ``bits`` bits are near in at least one segment: with radius s and remainder a of
+bits / segments, in one of the first a + 1 segments by s bits or in one of the others by s - 1. A search enumerates the
+Hamming ball of that radius within each segment, fetches what the tables hold there, and verifies the complete distance.
+Of two values of a segment only the one with a zero in their lowest different bit looks up the other.
+
+A table entry of more than ``BUCKET`` fingerprints, as a large group of near copies makes it, is not fetched as a whole:
+those that hold or look up such an entry are split by the rest of the code. They meet at the codes halfway between them,
+where at most 65 fingerprints can be, and link to the smallest there; any two of them are two such links apart, so no
+connection is lost and no pairs of a large group are made.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
-from .common import map_batches, table
+from .common import join_counted, map_batches, spread_rows, table
 
-SEED, SHINGLE, MOST_BITS, SEGMENTS = 42, 3, 2, 2
+SEED, SHINGLE, MOST_BITS, SEGMENTS, BUCKET = 42, 3, 2, 2, 64
 _MAX_CHUNK = 1 << 18
 
 
@@ -51,23 +58,74 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).cast(key_type).alias("id"), F.col(text_col).alias("text")), run, f"id {key_type}, fp long")
 
 
-def _ball(code, segments: int = SEGMENTS):
-    """The code itself and, per segment, the codes with one bit of that segment changed."""
-    width = 64 // segments
-    flips = [F.array(*[code.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(s * width, (s + 1) * width)]) for s in range(segments)]
-    return F.concat(F.array(code), *flips)
+def radii(bits: int, segments: int) -> list[int]:
+    """The radius to search in each segment; -1: a segment that needs no table."""
+    near, more = divmod(bits, segments)
+    return [near if s <= more else near - 1 for s in range(segments)]
+
+
+def _cuts(segments: int) -> list[tuple[int, int]]:
+    """(first bit, number of bits) of each segment."""
+    ends = [64 * s // segments for s in range(segments + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in on) for n in range(radius + 1) for on in combinations(range(width), n)]
+
+
+def _signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
+
+
+def _entry(code: Column, s: int, first: int, width: int) -> Column:
+    """The table entry of segment ``s``: its value, with the segment's number above it."""
+    value = F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return value.bitwiseOR(F.lit(s << 33).cast("long"))
+
+
+def _balls(code: Column, bits: int, segments: int) -> Column:
+    """The entries to look up: in each segment its own value and those within the radius above it, null for those below."""
+    out = []
+    for s, ((first, width), radius) in enumerate(zip(_cuts(segments), radii(bits, segments))):
+        own = _entry(code, s, first, width)
+        for mask in _masks(width, radius) if radius >= 0 else []:
+            flipped = own.bitwiseXOR(F.lit(mask).cast("long"))
+            out.append(F.when(own.bitwiseAND(F.lit(mask & -mask).cast("long")) == 0, flipped) if mask else own)
+    return F.array(*out)
+
+
+def _code_links(codes: DataFrame, bits: int, segments: int, bucket: int) -> DataFrame:
+    """Links (a, b), a < b, between the different codes (fp)."""
+    if segments < 2 or bits % 2:
+        raise ValueError("at least two segments, and an even number of bits")
+    cuts, needed = _cuts(segments), radii(bits, segments)
+    own = [_entry(F.col("fp"), s, *cuts[s]) for s in range(segments) if needed[s] >= 0]
+    entries = codes.select(F.explode_outer(F.array(*own)).alias("entry"), "fp")
+    # outer generators here and below: for others Spark computes the arrays once more to filter empty ones
+    probes = codes.select(F.explode_outer(_balls(F.col("fp"), bits, segments)).alias("entry"), "fp").filter("entry is not null")
+    large = cut_lineage(entries.groupBy("entry").count().filter(F.col("count") > bucket).select("entry"))
+    distance = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    fetched = probes.join(large, "entry", "left_anti").join(entries.withColumnRenamed("fp", "other"), "entry")
+    found = fetched.filter((F.col("fp") != F.col("other")) & (distance("fp", "other") <= bits)).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    split = probes.join(large, "entry", "left_semi").select("fp").distinct()
+    around = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(m)).cast("long")) for m in _masks(64, bits // 2)])
+    halfway = split.select("fp", F.explode_outer(around).alias("code"))
+    met = halfway.groupBy("code").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
+    star = met.select("a", F.explode("members").alias("b")).filter((F.col("a") != F.col("b")) & (distance("a", "b") <= bits))
+    return found.unionByName(star).distinct()
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, between class representatives of (node, fp) whose fingerprints differ in 1 or 2 bits.
+def links(classes: DataFrame, bits: int = MOST_BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b), a < b, between class representatives of (node, fp), one per fingerprint, that differ in at most ``bits`` bits.
 
-    They hold at least one path between any two representatives within that distance, and no link beyond it.
+    They hold at least one path between any two representatives within that distance, and no link beyond it. Neither
+    ``segments`` nor ``bucket`` changes what is connected.
     """
-    probes = classes.select("node", "fp", F.explode_outer(_ball(F.col("fp"))).alias("code"))  # not explode: Spark would compute the ball twice
-    first = probes.groupBy("code").agg(F.min(F.struct("node", "fp")).alias("least"), F.collect_list(F.struct("node", "fp")).alias("members"))
-    met = first.filter(F.size("members") > 1).select("least", F.explode("members").alias("m"))
-    verified = (F.col("m.node") != F.col("least.node")) & (F.bit_count(F.col("m.fp").bitwiseXOR(F.col("least.fp"))) <= MOST_BITS)
-    return met.filter(verified).select(F.col("least.node").alias("a"), F.col("m.node").alias("b")).distinct()
+    found = _code_links(classes.select("fp"), bits, segments, bucket)
+    for end in ("a", "b"):
+        found = found.join(classes.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -100,10 +158,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id have a fingerprint and component null. An empty table gives an empty result.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    classes = cut_lineage(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    labels = components(links(classes))
-    named = classes.join(labels, "node", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "node").alias("component"))
-    out = prints.join(named, prints.fp == named.class_fp, "left")
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("rows_of_key")))
+    told = cut_lineage(spread_rows(classes.filter("node is not null")))
+    labels = components(links(told))
+    named = classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "rows_of_key")
+    out = join_counted(prints, named, ["fp"])
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 

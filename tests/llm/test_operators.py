@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from stratalog.llm import automaton, decontaminate, htmltext, mixing, pii, secrets, simhash, tokens, topk, toxicity, urlfilter
+from stratalog.llm import automaton, common, decontaminate, htmltext, mixing, pii, secrets, simhash, tokens, topk, toxicity, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, row string, size string, words string, label string, spans string"
 
@@ -202,6 +202,31 @@ def test_links_and_components_of_planted_codes(spark):
     assert [got.get(i, i) for i in range(len(codes))] == plain_components(codes)
 
 
+@pytest.mark.parametrize(("segments", "bucket"), [(2, 64), (2, 3), (3, 64), (4, 2)])
+def test_segments_and_buckets_change_no_connection(spark, segments, bucket):
+    rnd = random.Random(60)
+    codes = [rnd.getrandbits(64) for _ in range(30)]
+    for c in codes[:6]:  # large groups: one segment alike, both near, chains
+        codes += [c ^ (1 << rnd.randrange(32)) ^ (1 << rnd.randrange(32)) for _ in range(12)] + [c ^ (1 << rnd.randrange(64)) for _ in range(12)]
+        codes += [c ^ rnd.getrandbits(32) << 32 for _ in range(8)]
+    codes = list(dict.fromkeys(codes))
+    rows = [(i, simhash._signed(c)) for i, c in enumerate(codes)]
+    edges = simhash.links(spark.createDataFrame(rows, "node long, fp long"), segments=segments, bucket=bucket)
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert [got.get(i, i) for i in range(len(codes))] == plain_components(codes)
+
+
+def test_radii_cover_every_split_of_the_bits():
+    assert [simhash.radii(2, s) for s in (2, 3, 4)] == [[1, 0], [0, 0, 0], [0, 0, 0, -1]] and simhash.radii(6, 4) == [1, 1, 1, 0]
+
+
+def test_hot_keys_are_dealt_over_parts(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)], "id long, fp long")
+    counted = rows.groupBy("fp").count().withColumnRenamed("count", "rows_of_key").withColumn("said", common.F.col("fp") * 2)
+    out = common.join_counted(rows, counted, ["fp"], most=10).collect()
+    assert sorted((r.id, r.fp, r.said) for r in out) == [(i, 7 if i % 3 else i, 14 if i % 3 else 2 * i) for i in range(300)]
+
+
 # --- 5 toxicity
 
 

@@ -1,25 +1,25 @@
 """Benchmark decontamination through a distributed positional inverted index; built-in functions only.
 
-The index has one posting for each place of a term in the corpus: (row, doc_id, term, pos), with the words around it.
-The words of a test window are looked up from its rarest term, by the counts of the whole corpus: the places of that
-term, less its offset in the window, are the candidate starts; the place of the second rarest term has to agree; then
-the whole phrase is compared. Only terms that are the rarest of some window are stored, so common words are not.
-The empty term, which no text holds, marks the end of each row: its place is the row's length in words.
-
-Test windows are taken in blocks of bounded size, whose terms are broadcast; each block costs two passes over the texts.
+The index has one posting (row, term, pos) for each place of a wanted term in the corpus. A test window is looked up
+from its rarest terms, by the counts of the whole corpus: the posting lists of the rarest and the second rarest are
+adjusted by the terms' offsets in the window and intersected; where both agree on a start, the whole phrase is compared
+with the words that the rarest term's posting has around it. Windows with the same two terms at the same distance share
+one intersection. Only terms that are one of the two rarest of some window have postings, so common words have none.
+
+The index is built once for all windows, in one pass over the texts after one pass that counts the terms, and is stored
+in the shared folder, so its row numbers are given once. The empty term, which no text holds, marks the end of each row:
+its place is the row's length in words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
-from .common import ascii_lower, table
+from .common import ascii_lower, broadcast_if_small, table
 
-WINDOW, WINDOW_BLOCK = 10, 50_000
+WINDOW = 10
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -45,79 +45,89 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, freq): how often each of the bounded set of terms occurs in the whole corpus."""
-    found = rows.select(F.explode_outer("words").alias("term")).join(F.broadcast(terms), "term")
+    """(term, freq): how often each of the terms, which are stored, occurs in the whole corpus."""
+    found = rows.select(F.explode_outer("words").alias("term")).join(broadcast_if_small(terms), "term")
     return found.groupBy("term").agg(F.count("*").alias("freq"))
 
 
 def build_index(rows: DataFrame, terms: DataFrame, radius: int = WINDOW - 1) -> DataFrame:
-    """Postings (row, doc_id, term, pos, low, near) of a bounded set of terms, and the end of each row under the empty term.
+    """Postings (row, doc_id, term, pos, low, near) of the terms (term, anchor), and the end of each row under the empty term.
 
-    ``near`` holds the words from place ``low`` to ``pos`` + ``radius``. The index is stored in the shared folder.
+    At anchors ``near`` holds the words from place ``low`` to ``pos`` + ``radius``; elsewhere it is null, and ``doc_id`` is
+    null but at ends. Without a column ``anchor`` no term is one. The index is stored in the shared folder.
     """
-    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    anchor = F.col("anchor") if "anchor" in terms.columns else F.lit(False)
+    ends = terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(False).alias("anchor"))
+    wanted = cut_lineage(terms.select("term", anchor.alias("anchor")).unionByName(ends))
     places = rows.select("row", "doc_id", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("pos", "term"))
     low = F.greatest(F.col("pos") - radius, F.lit(0))
     near = F.slice("words", F.col("low") + 1, F.col("pos") - F.col("low") + 1 + radius)
-    met = places.join(F.broadcast(wanted), "term").withColumn("low", low)
-    return cut_lineage(met.select("row", "doc_id", "term", "pos", "low", F.when(F.col("term") != "", near).alias("near")))
-
+    met = places.join(broadcast_if_small(wanted), "term").withColumn("low", low)
+    return cut_lineage(met.select("row", F.when(F.col("term") == "", F.col("doc_id")).alias("doc_id"), "term", "pos", "low", F.when(F.col("anchor"), near).alias("near")))
 
-def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, lookups): the windows to look up at each term that is the rarest of theirs; windows with an absent term are left out."""
-    places = windows.select("window", "items", F.posexplode("window").alias("off", "term")).join(F.broadcast(counts), "term", "left")
-    rare = places.groupBy("window", "items").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term", "off"))).alias("rare"))
-    rare = rare.filter(F.col("rare")[0]["freq"] > 0)
-    second = F.coalesce(F.get("rare", F.lit(1)), F.col("rare")[0])
-    lookup = F.struct(F.col("rare")[0]["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2"), "window", "items")
-    return rare.groupBy(F.col("rare")[0]["term"].alias("term")).agg(F.collect_list(lookup).alias("lookups"))
 
+def lookups(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(window, n, term, off, term2, gap, pair): the rarest and second rarest place of each window; windows with an absent term are left out.
 
-def phrase_matches(index: DataFrame, lookups: DataFrame) -> DataFrame:
-    """(row, low, high, items): for each posting with exact matches, the places that they cover and the items that hold them."""
-
-    def agrees(w):
-        start = F.col("pos") - F.col("low") - w["off"]
-        return F.when(start < 0, False).when(~F.get("near", start + w["off2"]).eqNullSafe(w["term2"]), False).otherwise(F.slice("near", start + 1, F.size(w["window"])) == w["window"])
-
-    met = index.join(F.broadcast(lookups), "term").withColumn("hits", F.filter("lookups", agrees)).filter(F.size("hits") > 0)
-    first = F.col("pos") - F.array_max(F.transform("hits", lambda w: w["off"]))
-    end = F.col("pos") + F.array_max(F.transform("hits", lambda w: F.size(w["window"]) - w["off"]))
-    return met.select("row", first.alias("low"), end.alias("high"), F.array_distinct(F.flatten(F.transform("hits", lambda w: w["items"]))).alias("items"))
+    ``pair`` is a number for (term, term2, gap); windows of one word have it twice.
+    """
+    places = windows.select("window", F.posexplode("window").alias("off", "term")).join(broadcast_if_small(counts), "term", "left")
+    rare = places.groupBy("window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term", "off"))).alias("rare"))
+    first, second = F.col("rare")[0], F.coalesce(F.get("rare", F.lit(1)), F.col("rare")[0])
+    told = rare.filter(first["freq"] > 0).select("window", F.size("window").alias("n"), first["term"].alias("term"), first["off"].alias("off"), second["term"].alias("term2"), (second["off"] - first["off"]).alias("gap"))
+    return told.withColumn("pair", F.xxhash64("term", "term2", "gap"))
+
+
+def phrase_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, low, high, window): every place of every window of ``wanted`` (as ``lookups`` gives them), from its first word to behind its last."""
+    pairs = cut_lineage(wanted.select("term", "term2", "gap", "pair").distinct())
+    shapes = cut_lineage(wanted.groupBy("pair").agg(F.collect_set(F.struct("off", "n")).alias("shapes")))  # at most a window's length squared each
+    postings = index.filter("term <> ''")
+    first = postings.join(broadcast_if_small(pairs.select("term", "pair")), "term").select("row", "pos", "pair", "low", "near")
+    second = postings.select("row", "pos", F.col("term").alias("term2")).join(broadcast_if_small(pairs.select("term2", "gap", "pair")), "term2").select("row", (F.col("pos") - F.col("gap")).alias("pos"), "pair")
+    met = first.join(second, ["row", "pos", "pair"]).join(broadcast_if_small(shapes), "pair").select("row", "pos", "low", "near", F.explode("shapes").alias("s"))
+    start = F.col("pos") - F.col("s.off")
+    met = met.filter(start >= F.col("low")).select("row", start.alias("low"), (start + F.col("s.n")).alias("high"), F.slice("near", start - F.col("low") + 1, F.col("s.n")).alias("window"))
+    return met.join(broadcast_if_small(wanted.select("window")), "window").select("row", "low", "high", "window")
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, within: int = WINDOW - 1) -> DataFrame:
     """(row, doc_id, a, b, pos, gap): places of a with b at most ``within`` words away, gap < 0 if before; nearest first, the earlier of ties.
 
-    ``pairs`` (a, b) is a bounded set; the index has to hold every a, with a radius of at least ``within``.
+    The index has to hold every a and b of ``pairs`` (a, b). Postings meet by row and stretch of ``within`` + 1 words.
     """
-    met = index.join(F.broadcast(pairs), index.term == pairs.a)
-    gaps = F.transform("near", lambda w, i: F.when((w == F.col("b")) & (F.abs(i + F.col("low") - F.col("pos")) <= within) & (i + F.col("low") != F.col("pos")), i + F.col("low") - F.col("pos")))
-    best = F.array_min(F.transform(F.filter(gaps, lambda g: g.isNotNull()), lambda g: F.struct(F.abs(g).alias("far"), g.alias("gap"))))
-    return met.withColumn("best", best).filter("best is not null").select("row", "doc_id", "a", "b", "pos", F.col("best.gap").alias("gap"))
+    pairs, stretch = cut_lineage(pairs.select("a", "b").distinct()), within + 1
+    own = F.floor(F.col("pos") / stretch)
+    left = index.join(broadcast_if_small(pairs), index.term == pairs.a).select("row", "a", "b", "pos", F.explode(F.array(own - 1, own, own + 1)).alias("stretch"))
+    right = index.filter("term <> ''").select("row", F.col("term").alias("b"), F.col("pos").alias("at"), own.alias("stretch"))
+    gap = F.col("at") - F.col("pos")
+    met = left.join(right, ["row", "b", "stretch"]).filter((gap != 0) & (F.abs(gap) <= within))
+    best = met.groupBy("row", "a", "b", "pos").agg(F.min(F.struct(F.abs(gap).alias("far"), gap.alias("gap"))).alias("best"))
+    ends = index.filter("term = ''").select("row", "doc_id")
+    return best.join(ends, "row").select("row", "doc_id", "a", "b", "pos", F.col("best.gap").alias("gap"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """(row, doc_id, n_words, n_hit, items) for every row of ``docs``, repeated rows and null ids included.
 
     Null and empty texts have no words and no hits; without items with words no row has hits. A word is hit if it lies
-    in any occurrence of a test window.
+    in any occurrence of a test window. An empty table of documents gives an empty result; further columns don't matter.
     """
-    windows = cut_lineage(test_windows(items, size=size))
-    n = max(1, -(-windows.count() // WINDOW_BLOCK))
-    lengths, matches = None, []
-    for k in range(n):
-        block = windows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
-        counts = cut_lineage(term_counts(numbered(docs, id_col, text_col), block.select(F.explode("window").alias("term")).distinct()))
-        lookups = cut_lineage(anchors(block, counts))
-        index = build_index(numbered(docs, id_col, text_col), lookups, size - 1)
-        lengths = lengths if lengths is not None else index.filter("term = ''").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
-        matches.append(phrase_matches(index.filter("term <> ''"), lookups))
-    spans = reduce(DataFrame.unionByName, matches).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    held = cut_lineage(test_windows(items, size=size))
+    rows = numbered(docs, id_col, text_col)
+    terms = cut_lineage(held.select(F.explode("window").alias("term")).distinct())
+    wanted = cut_lineage(lookups(held, cut_lineage(term_counts(rows, terms))))
+    rare = wanted.select("term", F.lit(True).alias("anchor")).unionByName(wanted.select(F.col("term2").alias("term"), F.lit(False).alias("anchor")))
+    index = build_index(rows, rare.groupBy("term").agg(F.bool_or("anchor").alias("anchor")), size - 1)
+    matches = cut_lineage(phrase_matches(index, wanted))
+    spans = matches.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["high"] - F.greatest(s["low"], a["end"]))).cast("long").alias("n"), F.greatest(a["end"], s["high"]).alias("end"))
-    hit = spans.select("row", F.aggregate("spans", start, step, lambda a: a["n"]).alias("n_hit"), "items")
-    out = lengths.join(hit, "row", "left")
+    hit = spans.select("row", F.aggregate("spans", start, step, lambda a: a["n"]).alias("n_hit"))
+    of = matches.select("row", "window").distinct().join(broadcast_if_small(held), "window").select("row", F.explode("items").alias("item")).distinct()
+    of = of.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    lengths = index.filter("term = ''").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    out = lengths.join(hit, "row", "left").join(of, "row", "left")
     return out.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -125,12 +125,12 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
-def test_many_windows_go_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "WINDOW_BLOCK", 5)
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "broadcast_if_small", lambda df: common.broadcast_if_small(df, 5))
     rnd = random.Random(4)
     item = words_of(rnd, 30)
-    out = decontaminate.decontaminate(table(spark, [f"a b {item} c", "none"]), spark.createDataFrame([(7, item)], "item_id long, text string"))
-    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in out.collect()) == [(0, 30, ["7"]), (1, 0, [])]
+    out = decontaminate.decontaminate(table(spark, [f"a b {item} c", "none", f"{item} {item}"]), spark.createDataFrame([(7, item), (8, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in out.collect()) == [(0, 30, ["7", "8"]), (1, 0, []), (2, 60, ["7", "8"])]
 
 
 def test_proximity(spark):
@@ -140,6 +140,24 @@ def test_proximity(spark):
     assert sorted((r.doc_id, r.pos, r.gap) for r in out.collect()) == [(0, 0, 3), (1, 1, -1)]
 
 
+def test_proximity_equals_brute_force(spark):
+    rnd = random.Random(14)
+    texts = [words_of(rnd, 60, 12) for _ in range(20)]
+    terms = [f"w{k}" for k in range(5)]
+    index = decontaminate.build_index(decontaminate.numbered(table(spark, texts)), spark.createDataFrame([(t,) for t in terms], "term string"))
+    pairs = [(a, b) for a in terms for b in terms[:3]]
+    out = decontaminate.proximity_matches(index, spark.createDataFrame(pairs, "a string, b string"), within=4)
+    want = set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for p, x in enumerate(w):
+            for a, b in pairs:
+                gaps = [g for g in sorted(range(-4, 5), key=lambda g: (abs(g), g)) if g and 0 <= p + g < len(w) and w[p + g] == b]
+                if x == a and gaps:
+                    want.add((i, a, b, p, gaps[0]))
+    assert {(r.doc_id, r.a, r.b, r.pos, r.gap) for r in out.collect()} == want
+
+
 # --- 4 SimHash
 
 

@@ -91,6 +91,83 @@ def test_blocks_without_an_article():
     assert htmltext.main_text(page) == "\n".join(["Title", good.strip(), "Short.", good.strip()])
 
 
+GOOD_TEXT = ("the cat of the house and the dog in the garden is on a wall that was built by her. " * 4).strip()
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "article ad-free", "content has-social-share", "story related-topic", "entry search-result", "main-content login-required", "single-post has-sidebar nav-above", "page-template widget-ready"])
+@pytest.mark.parametrize("tag", ["div", "article", "section", "main"])
+def test_names_of_what_holds_an_article(tag, name):
+    for attribute in ("class", "id"):
+        inner = f"<h1>T</h1><p>{GOOD_TEXT}</p><p>x</p><p>{GOOD_TEXT}</p>"
+        assert htmltext.main_text(f"<body><nav>m</nav><{tag} {attribute}='{name}'>{inner}</{tag}></body>") == f"T\n{GOOD_TEXT}\nx\n{GOOD_TEXT}"
+        assert htmltext.main_text(f"<div {attribute}='{name}'><article>{inner}</article></div>") == f"T\n{GOOD_TEXT}\nx\n{GOOD_TEXT}"
+
+
+@pytest.mark.parametrize("out", [
+    "<div class='sidebar'><p>{t}</p></div>", "<div class='left-sidebar widget'>{t}</div>", "<aside>{t}</aside>", "<div class=cookie-notice>{t}</div>", "<div class='site-footer'>{t}</div>", "<section class='comments'><p>{t}</p></section>",
+    "<ol class='commentList'><li>{t}</ol>", "<div id=disqus_thread>{t}</div>", "<form><p>{t}</p></form>", "<div role=alert>{t}</div>", "<div class='ad-slot google'>{t}</div>", "<div class='newsletter-signup'>{t}</div>", "<div class=related-posts><article><p>{t}</p></article></div>",
+    "<nav>{t}</nav>", "<div class=share-buttons>{t}</div>", "<div id='comments' class='post-comments'><article class=comment>{t}</article></div>", "<!-- {t} -->", "<script>var a = '<p>{t}</p>'</script>", "<div style='display: none'>{t}</div>",
+])
+def test_what_goes_inside_and_outside_of_an_article(out):
+    out = out.replace("{t}", GOOD_TEXT.replace("cat", "rat"))
+    assert htmltext.main_text(f"<body><article><h1>T</h1><p>{GOOD_TEXT}</p>{out}<p>x</p></article></body>") == f"T\n{GOOD_TEXT}\nx"
+    assert htmltext.main_text(f"<body><article><h1>T</h1><p>{GOOD_TEXT}</p></article>{out}</body>") == f"T\n{GOOD_TEXT}"
+    if "form" not in out:
+        assert htmltext.main_text(f"<body><h1>T</h1><p>{GOOD_TEXT}</p>{out}<p>{GOOD_TEXT}</p></body>") == f"T\n{GOOD_TEXT}\n{GOOD_TEXT}"
+
+
+def test_links_and_other_scripts_stay():
+    cjk = "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3088\u3044\u3002" * 42
+    assert htmltext.main_text(f"<body><nav>m</nav><p>{cjk}</p><p>{cjk}</p></body>") == f"{cjk}\n{cjk}"
+    page = f"<article><h1><a href=x>Title</a></h1><p>{GOOD_TEXT}</p><p><a href=y>{GOOD_TEXT}</a></p><ul><li><a>one</a><li><a>two</a></ul><h2 id=search>Search</h2><section id='related-work'><p>w</p></section></article>"
+    assert htmltext.main_text(page) == f"Title\n{GOOD_TEXT}\n{GOOD_TEXT}\none\ntwo\nSearch\nw"
+    assert htmltext.main_text(f"<form id=aspnetForm><div><p>{GOOD_TEXT}</p></div></form>") == GOOD_TEXT
+    assert htmltext.main_text(f"<form><div><article><p>{GOOD_TEXT}</p></article></div></form>") == GOOD_TEXT
+    assert htmltext.main_text("<nav>m</nav><form><label>Name</label><p>Send</p></form>") == ""
+    menu = "".join(f"<li><a>entry {k}</a>" for k in range(9))
+    assert htmltext.main_text(f"<div><ul>{menu}</ul></div><h2><a>Title</a></h2><p>{GOOD_TEXT}</p><div><ul>{menu}</ul></div>") == f"Title\n{GOOD_TEXT}"
+
+
+def plain_second_pass(labels, headings, marked):
+    """The rules of the second pass, block by block over all others."""
+    n, kept = len(labels), []
+    decided = {k: x for k, x in enumerate(labels) if x}
+    if not marked:
+        decided |= {-1: -1, n: -1}
+    for k, label in enumerate(labels):
+        below = [j for j in decided if k < j < n]
+        if headings[k] and below and labels[min(below)] == 1 and min(below) - k <= 2:
+            kept.append(True)
+        elif label:
+            kept.append(label == 1)
+        elif 1 not in labels:
+            kept.append(True)
+        else:
+            # beyond the ends of an unmarked page lies outside, as far as the last decided block or the end
+            left, right = [j for j in decided if -1 < j < k], below
+            a, b = (max(left) if left else -1), (min(right) if right else n)
+            la, lb = decided.get(a, 0), decided.get(b, 0)
+            near = {x for x, d in ((la, k - a), (lb, b - k)) if x and d == min(d2 for x2, d2 in ((la, k - a), (lb, b - k)) if x2)} if la or lb else set()
+            kept.append(not near or (1 in near if marked else near == {1}))
+    return kept
+
+
+def test_second_pass_equals_a_plain_one():
+    rnd = random.Random(15)
+    for _ in range(4000):
+        n = rnd.randrange(9)
+        labels, headings, marked = [rnd.choice([1, 0, 0, -1]) for _ in range(n)], [rnd.random() < 0.2 for _ in range(n)], rnd.random() < 0.5
+        if marked:
+            labels = [max(x, 0) for x in labels]
+        assert htmltext.second_pass(labels, headings, marked) == plain_second_pass(labels, headings, marked), (labels, headings, marked)
+
+
+def test_long_and_broken_pages():
+    assert len(htmltext.main_text("<article>" + f"<p>{GOOD_TEXT}</p>" * 5000)) == 5000 * (len(GOOD_TEXT) + 1) - 1
+    assert htmltext.main_text("<div>" * 20_000 + "x") == "x" and htmltext.main_text("<article " + "a='" * 5000) == ""
+    assert htmltext.main_text("<p>" + "x" * 300_000) == "x" * 300_000
+
+
 def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "old"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = htmltext.extract(pages)

@@ -81,7 +81,7 @@ def _named(name: str) -> str | None:
     return next((kind for kind, known in (("comments", _COMMENT_PARTS), ("other", _OTHER_PARTS), ("layout", _LAYOUT_PARTS)) if parts & known), None)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _judged(attributes: str, inside: bool) -> tuple[bool, bool]:
     """(outside for good, outside by names alone) of an element with these attributes, ``inside`` an article or not."""
     hard, said, holder = False, set(), False
@@ -168,7 +168,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 state()
             if name in _VOID or m[4].endswith("/") and name not in _BLOCK:
                 continue
-            own_hard, own_soft = _judged(m[4], inside) if m[4] and m[4].strip() else (False, False)
+            own_hard, own_soft = (_judged if len(m[4]) < 500 else _judged.__wrapped__)(m[4], inside) if m[4] and m[4].strip() else (False, False)
             if name in ("html", "body"):
                 own_hard = own_soft = False
             whole = name in ("article", "main") or "main" in (m[4] or "") and re.search(r"role\s*=\s*[\"']?main", m[4], re.I)

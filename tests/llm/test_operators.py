@@ -497,13 +497,105 @@ def test_personal_data_equals_brute_force(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def luhn_number(rnd, n=16, first="4"):
+    body = first + "".join(str(rnd.randrange(10)) for _ in range(n - 2))
+    return body + next(c for c in "0123456789" if luhn(body + c))
+
+
+def personal_texts(n=500, seed=61):
+    """Texts with planted base and loose spans and with decoys, and the places of the loose ones."""
+    rnd = random.Random(seed)
+    d = lambda k: "".join(str(rnd.randrange(10)) for _ in range(k))
+    w = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    four = lambda t, gap: gap.join(t[k : k + 4] for k in range(0, len(t), 4))
+    base = [lambda: f"{w()}.{d(2)}@{w()}.example.com", lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: ".".join(str(rnd.randrange(256)) for _ in range(4)), lambda: luhn_number(rnd)]
+    loose = {
+        "mail_like": lambda: rnd.choice(["{} [at] {} [dot] org", "{}(at){}.example.com", "{} @ {}.net", "{}é@{}ü.example.de"]).format(w(), w()), "card_like": lambda: four(luhn_number(rnd, first=rnd.choice("3456")), rnd.choice([".", "_", "  ", " / "[1]])),
+        "number_like": lambda: rnd.choice([f"(98{d(1)}) 555-{d(4)}", f"030 {d(4)} {d(4)}", f"0{d(3)}/{d(3)}-{d(3)}"]), "ip6": lambda: ":".join(f"{rnd.randrange(1, 65536):x}" for _ in range(8)),
+    }
+    decoys = [lambda: f"20{d(2)}-0{rnd.randrange(1, 10)}-1{d(1)}", lambda: f"({d(2)}) {d(2)}-{d(2)}", lambda: f"{w()}@{w()}", lambda: f"see (at {w()}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(4)}-{d(3)}", lambda: f"x{d(16)}y", lambda: f"{d(3)}.{d(3)}", lambda: f"1{d(1)}:2{d(1)}:3{d(1)}:4{d(1)}"]
+    texts, planted = [], set()
+    for i in range(n):
+        parts, at = [], 0
+        for _ in range(rnd.randrange(1, 7)):
+            kind = rnd.choice([None, None, "base", "loose", "decoy"])
+            name = rnd.choice(list(loose)) if kind == "loose" else None
+            piece = w() if kind is None else rnd.choice(base)() if kind == "base" else loose[name]() if name else rnd.choice(decoys)()
+            lead = w() + " "
+            if name:
+                planted.add((i, at + len(lead), at + len(lead) + len(piece), name))
+            parts.append(lead + piece + " . ")
+            at += len(parts[-1])
+        texts.append("".join(parts))
+    return texts, planted
+
+
+def test_loose_kinds_are_added(spark):
+    texts, planted = personal_texts()
+    found = pii.find_personal_data(table(spark, texts)).collect()
+    base = {(r.id, s.start, s.end) for r in found for s in r.spans if s.base}
+    assert base == {(i, a, b) for i, t in enumerate(texts) for a, b, _ in plain_personal(t)}
+    apart = {x for x in planted if not any(i == x[0] and a < x[2] and x[1] < b for i, a, b in base)}
+    added = {(r.id, s.start, s.end, s.kind) for r in found for s in r.spans if not s.base}
+    right = {(i, a, b) for i, a, b, _ in added} & {(i, a, b) for i, a, b, _ in apart}
+    precision, recall = len(right) / len({(i, a, b) for i, a, b, _ in added}), len(right) / len(apart)
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+    assert {k for *_, k in added} == set(pii.LOOSE)
+
+
+def plain_cell(kind, m, before, after):
+    n = len(re.sub("[^0-9]", "", m))
+    bucket = next((b for least, b in ((20, 7), (16, 6), (13, 5), (10, 4), (8, 3), (5, 2), (1, 1)) if n >= least), 0)
+    gaps = next((g for p, g in ((r"[\[{(]\x20?[^\W\d_]", 4), (r"[\x20_./-]{2}", 3), (r"[/_:]|\x20@|@\x20", 2), (r"[\x20-]", 1)) if re.search(p, m)), 0)
+    to_python = lambda p: p.replace("\\p{L}", "[^\\W\\d_]").replace("$", "\\Z")
+    said = [kind in kinds for p, kinds in pii._CONTEXT.items() if re.search(to_python(p), before)]
+    glued = lambda p, t: int(bool(re.search(p, t)))
+    values = [pii.KINDS.index(kind), bucket, min(4, len(re.findall("[^0-9]+", m))), gaps, 2 if True in said else 1 if said else 0, glued(r"(?:[^\W\d_]|[0-9=\"'_:/.-])\Z", before), glued(r"\A(?:[^\W\d_]|[0-9=\"'_:/-])", after)]
+    out = 0
+    for v, k in zip(values, pii.FEATURES.values()):
+        out = out * k + v
+    return out
+
+
+def test_added_spans_equal_a_plain_scoring(spark):
+    """Every loose proposal, found by Python and scored tree by tree, is added if and only if it reaches its threshold."""
+    import regex
+
+    texts, _ = personal_texts(150, 62)
+    docs = table(spark, texts)
+    found = pii.judged(docs)
+    model = pii.fit(found)
+    want, cells, names = set(), {}, list(pii.FEATURES)
+    for i, t in enumerate(texts):
+        base = [(a, b) for a, b, _ in plain_personal(t)]
+        for kind in pii.LOOSE:
+            for m in regex.finditer(pii._PATTERNS[kind], t):
+                if any(a < m.end() and m.start() < b for a, b in base):
+                    continue
+                cell = plain_cell(kind, m[0], t[max(0, m.start() - 24) : m.start()], t[m.end() : m.end() + 1])
+                cells[i, m.start(), kind] = cell
+                x, rest = {}, cell
+                for name in reversed(names):
+                    x[name], rest = rest % pii.FEATURES[name], rest // pii.FEATURES[name]
+                f = model.bias
+                for name, cut, sides in model.trees:
+                    g, c, low, high = sides[0 if x[name] <= cut else 1]
+                    f += low if x[g] <= c else high
+                if kind in model.least and f >= model.least[kind]:
+                    want.add((i, m.start(), m.end(), kind))
+    got_cells = {(r.id, s.start, s.kind): s.cell for r in found.collect() for s in r.rest if s.kind in pii.LOOSE}
+    assert got_cells == cells
+    assert want and {(r.id, s.start, s.end, s.kind) for r in pii.find_personal_data(docs).collect() for s in r.spans if not s.base} == want
+
+
 def test_boosted_trees_and_thresholds():
-    cells, n = np.arange(4000), np.full(4000, 10.0)
-    x0 = cells // (4000 // 8)
-    good = np.where(x0 >= 4, 9.0, 0.0)
+    size = int(np.prod(list(pii.FEATURES.values())))
+    cells, n = np.arange(size), np.full(size, 10.0)
+    x0 = cells // (size // 8)
+    good = np.where(x0 >= 4, 9.5, 0.0)
     trees = pii.boost(cells, n, good, n, good)
-    assert len(trees.trees) > 0 and all(f in pii.FEATURES for f, _, _ in trees.trees)
-    assert pii.boost(np.zeros(0, np.int64), *[np.zeros(0)] * 4).least == {}
+    assert len(trees.trees) > 0 and all(f in pii.FEATURES for f, _, _ in trees.trees) and set(trees.least) == set(pii.LOOSE)
+    assert pii.boost(np.zeros(0, np.int64), *[np.zeros(0)] * 4).least == {} and pii.boost(cells, n, good * 0, n, good * 0).least == {}
 
 
 # --- 9 urls

@@ -1,9 +1,12 @@
 """Token counts by scanning flat token files for end-of-document ids.
 
 A token file is a bare run of little-endian token ids in which an id that no text gives ends each document; there is
-no index. A file is taken in blocks. Each block is searched for that id by one vectorised comparison; a document that
+no index. A file is taken in blocks, which are read apart from each other, so its size doesn't matter. Each block is searched for that id by one vectorised comparison; a document that
 crosses blocks is stitched by a prefix scan over the blocks' sums (tokens so far, last end so far, documents so far),
-taken in two levels so that one huge file doesn't make one huge task.
+taken in two levels so that one huge file doesn't make one huge task. What the search finds, two numbers a document, is
+stored once; tokens are neither stored nor searched again.
+
+Encoding needs the packages ``tiktoken`` and, for its vocabulary file and split pattern, ``public_tokenizers``.
 """
 
 from __future__ import annotations
@@ -13,20 +16,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from ..lineage import cut_lineage
+from .common import map_batches, spread_rows, table
 
 BLOCK, GROUP, END_OF_DOCUMENT, VOCABULARY = 1 << 18, 1024, 50256, "byte_bpe_multi_50k.tiktoken"
-_BLOCKS = "file string, block long, data binary, ids array<long>"
+_BLOCKS = "file string, block long, width int, data binary, ids array<long>"
 _encoders: dict[str, object] = {}
 
 
 def vocabulary(path: str | None = None) -> tuple[str, bytes]:
     """(split pattern, ranks file) of a public byte-pair vocabulary; by default the one for many languages."""
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ImportError as e:
+        raise ImportError("token counts need the package public_tokenizers, which holds vocabulary files") from e
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         return public_tokenizers.PATTERN, f.read()
 
@@ -43,14 +50,18 @@ def encoder(pattern: str, ranks: bytes):
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block: int = BLOCK, end: int = END_OF_DOCUMENT) -> DataFrame:
-    """Blocks (file, block, data, ids) of flat token files, one file for each partition of ``docs``.
+    """Blocks (file, block, width, data, ids) of flat token streams, one stream for each partition of ``docs``.
 
-    ``data`` holds little-endian 16-bit ids (32-bit for vocabularies beyond that). ``ids`` are the ids of the documents
-    whose end lies in the block, in order; the scan hands them on. Null and empty texts are an end only.
+    ``data`` holds little-endian ids of ``width`` bytes: 2, or 4 for vocabularies beyond 65,536. ``ids`` are the ids of the
+    documents whose end lies in the block, in order; the scan hands them on. Null and empty texts are an end only. ``end``
+    is an id that no text gives; one of the vocabulary's own is refused.
     """
     pattern, ranks = vocabulary(path)
+    most = max((int(line.split()[1]) for line in ranks.splitlines() if line), default=-1)
+    if end <= most:
+        raise ValueError(f"the end id {end} is a token of the vocabulary, whose ids go to {most}")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file, about 1 MB
-    kind = np.dtype("<u2" if max(end, len(ranks.splitlines())) < 1 << 16 else "<u4")
+    width = 2 if end < 1 << 16 else 4
 
     def run(batches):
         from pyspark import TaskContext
@@ -68,7 +79,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 piece = flat[at : at + block]
                 own = [i for i, e in ends if e < at + len(piece)]
                 ends = ends[len(own) :]
-                yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([number], pa.int64()), "data": [piece.astype(kind).tobytes()], "ids": pa.array([own], pa.list_(pa.int64()))})
+                data = piece.astype(f"<u{width}").tobytes()
+                yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([number], pa.int64()), "width": pa.array([width], pa.int32()), "data": [data], "ids": pa.array([own], pa.list_(pa.int64()))})
                 at, number = at + len(piece), number + 1
             parts, held, ends = [flat[at:]], len(flat) - at, [(i, e - at) for i, e in ends]
 
@@ -86,36 +98,71 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _BLOCKS)
 
 
+def save_token_files(blocks: DataFrame, folder: str) -> int:
+    """Writes blocks as ``encode`` gives them to flat token files in ``folder``, which all machines share; how many tokens that makes.
+
+    Each file is written under another name first and then renamed, so a repeated task replaces its own file.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        out, names, total = None, None, 0
+        for b in batches:
+            for r in b.to_pylist():
+                if out is None:
+                    names = f"{root}/.{r['file']}.{TaskContext.get().taskAttemptId()}", f"{root}/{r['file']}.tokens"
+                    out = store.open_output_stream(names[0])
+                out.write(r["data"])
+                total += len(r["data"]) // r["width"]
+        if out is not None:
+            out.close()
+            store.move(*names)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
+
+    return blocks.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Blocks of the token files at ``path`` (a file, folder or pattern that Spark reads), of ``width`` bytes a token.
+    """Blocks of the token files at ``path`` (a file, folder or pattern that Spark lists), of ``width`` bytes a token.
 
-    A file is read by one task, and Spark takes files of less than 2 GB; larger ones have to be split between tokens.
+    Spark lists names and sizes; every block is its own row and is read by its place in the file, so files may have any
+    size. A last odd byte is not a token and is left out.
     """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    last = F.floor((F.floor(F.col("length") / width) - 1) / block)
+    rows = files.filter(F.col("length") >= width).select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
 
     def run(batch):
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = memoryview(content.as_buffer())
-            for k, at in enumerate(range(0, len(data), block * width)):
-                yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": [bytes(data[at : at + block * width])], "ids": pa.array([None], pa.list_(pa.int64()))})
+        for name, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            store, at = fs.FileSystem.from_uri(name if "://" in name or not name.startswith("file:") else "file://" + name.removeprefix("file:"))
+            with store.open_input_file(at) as f:
+                f.seek(k * block * width)
+                data = f.read(block * width)
+            yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "width": pa.array([width], pa.int32()), "data": [data[: len(data) // width * width]], "ids": pa.array([None], pa.list_(pa.int64()))})
 
-    return map_batches(spark.read.format("binaryFile").load(path).select("path", "content"), run, _BLOCKS)
+    return map_batches(spread_rows(cut_lineage(rows), 64), run, _BLOCKS)
 
 
 def scan(blocks: DataFrame, width: int = 2, end: int = END_OF_DOCUMENT) -> DataFrame:
     """(file, number, id, start, n_tokens, ended): every document of the files, numbered from 0 in each.
 
     ``start`` counts tokens from the file's beginning; an end itself counts for no document. Tokens after the last end
-    are a document that has not ended. ``id`` is what the blocks carry, or null. Empty files give no rows.
+    are a document that has not ended. ``id`` is what the blocks carry, or null. Empty files give no rows. ``width`` is
+    that of blocks without such a column.
     """
 
     def search(batch):
         found = []
-        for data in batch.column(2):
-            tokens = np.frombuffer(data.as_buffer(), f"<u{width}")
+        for data, own in zip(batch.column(2), batch.column(4).to_pylist()):
+            tokens = np.frombuffer(data.as_buffer(), f"<u{own}")
             found.append((len(tokens), np.flatnonzero(tokens == end)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([e for _, e in found], pa.list_(pa.int64())), batch.column(3)], names=["file", "block", "n", "ends", "ids"])
 
-    x = map_batches(blocks, search, "file string, block long, n long, ends array<long>, ids array<long>")
+    own = F.col("width") if "width" in blocks.columns else F.lit(width)
+    x = cut_lineage(map_batches(blocks.select("file", "block", "data", "ids", own.alias("width")), search, "file string, block long, n long, ends array<long>, ids array<long>"))
     x = x.withColumn("part", F.floor(F.col("block") / GROUP)).withColumn("k", F.size("ends").cast("long")).withColumn("last", F.element_at("ends", F.when(F.size("ends") > 0, -1)))
     within = Window.partitionBy("file", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("n0", F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("k0", F.coalesce(F.sum("k").over(within), F.lit(0)))
@@ -136,5 +183,9 @@ def scan(blocks: DataFrame, width: int = 2, end: int = END_OF_DOCUMENT) -> DataF
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document."""
+    """Tokens of every document: doc_id, n_tokens.
+
+    Null and empty texts have 0 tokens. Null and repeated ids come out as they came in; an empty table gives an empty
+    result; further columns are not read.
+    """
     return scan(encode(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "n_tokens")

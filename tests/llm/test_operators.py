@@ -69,6 +69,27 @@ def test_token_counts_equal_the_tokenizer(spark):
     assert tokens.scan(tokens.encode(table(spark, []))).count() == 0
 
 
+def test_files_written_once_and_read_in_blocks(spark, tmp_path):
+    rnd = random.Random(63)
+    texts = [*EDGE[:6], *(words_of(rnd, rnd.randrange(3000)) for _ in range(30))]
+    docs = table(spark, texts).repartition(3)
+    folder = f"file://{tmp_path}/flat"
+    bpe = tokens.encoder(*tokens.vocabulary())
+    sizes = sorted(len(bpe.encode_ordinary(t or "")) for t in texts)
+    assert tokens.save_token_files(tokens.encode(docs, block=500), folder) == sum(sizes) + len(sizes)
+    for block in (100, 1 << 18):
+        assert sorted(r.n_tokens for r in tokens.scan(tokens.read_token_files(spark, f"{tmp_path}/flat", block=block)).collect()) == sizes
+    (tmp_path / "odd.bin").write_bytes(np.array([1, 2, 50256, 3], "<u4").tobytes() + b"x")
+    assert sorted((r.start, r.n_tokens, r.ended) for r in tokens.scan(tokens.read_token_files(spark, f"{tmp_path}/odd.bin", width=4, block=3)).collect()) == [(0, 2, True), (3, 1, False)]
+
+
+def test_end_and_ids(spark):
+    with pytest.raises(ValueError):
+        tokens.encode(table(spark, ["a"]), end=50255)
+    wide = tokens.scan(tokens.encode(table(spark, ["a b", "c"], ids=[None, 3]), end=100_000), end=100_000).collect()
+    assert sorted((r.id or -1, r.n_tokens) for r in wide) == [(-1, 2), (3, 1)]
+
+
 # --- 2 pages
 
 

@@ -1,8 +1,13 @@
-"""One deterministic automaton for many byte patterns.
+"""Deterministic automata for byte patterns.
 
 Patterns (literals, classes, groups, alternatives, ?, *, + and {m,n}) become one nondeterministic automaton by
 Thompson's construction; subset construction over classes of equivalent bytes and minimisation by refinement of
-partitions make transition arrays from it. A scan runs many pieces of text side by side, one byte of each at a time.
+partitions make transition arrays from it.
+
+``compile_rules`` combines many rules, each of which may begin anywhere. Its scan runs many pieces of text side by side,
+one byte of each at a time. Where no rule is longer than some length, the state depends on no more bytes than that, so a
+text is cut anywhere and each piece begins so many bytes early. ``compile_tail`` makes an automaton that begins at a
+given place only; it follows one place to the last accepted end, and skips a run of bytes that keep its state at once.
 """
 
 from __future__ import annotations
@@ -147,31 +152,35 @@ class Automaton:
     moves: np.ndarray
     accepts: np.ndarray
     n: int
-    resets: np.ndarray
+    start: int
+    longest: int | None
 
-    def events(self, data: np.ndarray, starts: np.ndarray, piece: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def events(self, data: np.ndarray, starts: np.ndarray, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Places where rules end and which, in order, of the texts that begin at ``starts``; the last ends with ``data``.
 
-        A text is cut after bytes that lead every state back to the first one, and the pieces advance together.
+        Texts are cut into pieces of about ``piece`` bytes, if no rule has unbounded length.
         """
         if len(data) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        after = np.flatnonzero(self.resets[data]) + 1
-        want = np.searchsorted(after, np.arange(piece, len(data), piece))
-        cuts = np.unique(np.concatenate((starts, after[want[want < len(after)]])))
-        cuts = cuts[cuts < len(data)]
-        sizes = np.diff(np.append(cuts, len(data)))
+        sizes = np.diff(np.append(starts, len(data)))
+        parts = np.maximum(1, -(-sizes // piece)) if self.longest is not None else np.ones(len(sizes), np.int64)
+        first = np.repeat(starts, parts)
+        own = first + (np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)) * piece
+        ends = np.minimum(own + piece, np.repeat(starts + sizes, parts)) if self.longest is not None else starts + sizes
+        at = np.maximum(own - (self.longest or 0), first)
+        sizes = ends - at
         order = np.argsort(-sizes, kind="stable")
-        at, sizes = cuts[order], sizes[order]
+        at, own, sizes = at[order], own[order], sizes[order]
         running = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-        state, symbol = np.zeros(len(at), np.int32), self.classes[data]
+        state, symbol = np.full(len(at), self.start, np.int32), self.classes[data]
         places, masks = [], []
-        for t, k in enumerate(running.tolist()):
+        for t, k in enumerate(running):
             s = self.moves[state[:k] + symbol[at[:k] + t]]
             state[:k] = s
             mask = self.accepts[s]
             if mask.any():
                 hit = np.flatnonzero(mask)
+                hit = hit[at[hit] + t >= own[hit]]
                 places.append(at[hit] + t)
                 masks.append(mask[hit])
         if not places:
@@ -181,14 +190,24 @@ class Automaton:
         return where[order], what[order].astype(np.int64)
 
 
-def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
-    """The automaton of the rules (pattern, ignore case), each of which may begin anywhere; rule k has bit k."""
+def _longest(tree) -> int | None:
+    kind = tree[0]
+    if kind == "set":
+        return 1
+    parts = [_longest(x) for x in (tree[1] if kind in ("seq", "alt") else [tree[1]])]
+    if None in parts or kind == "rep" and tree[3] is None:
+        return None
+    return sum(parts) if kind == "seq" else max(parts) if kind == "alt" else parts[0] * tree[3]
+
+
+def _tables(trees: list, everywhere: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of bytes, next states by state and class, rules that end in each state) of the minimal automaton; state 0 is the first."""
     nfa = _Nfa()
     first, ends = nfa.state(), {}
-    for k, (pattern, ignore_case) in enumerate(rules):
+    for k, tree in enumerate(trees):
         own = nfa.state()
         nfa.free[first].append(own)
-        ends[nfa.add(_Parser(pattern, ignore_case).parse(), own)] = 1 << k
+        ends[nfa.add(tree, own)] = 1 << k
     sets = sorted({s for m in nfa.moves for s, _ in m}, key=sorted)
     kinds: dict[tuple, int] = {}
     classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.int64)
@@ -204,13 +223,14 @@ def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
         return frozenset(x for x in seen if nfa.moves[x] or x in ends)
 
     start = closed([first])
+    again = start if everywhere else frozenset()
     numbers, table, accepts, todo = {start: 0}, [], [], [start]
     while todo:
         now = todo.pop(0)
         accepts.append(sum(ends.get(x, 0) for x in now))
         row = []
         for c in range(n):
-            to = closed([t for x in now for s, t in nfa.moves[x] if sample[c] in s]) | start
+            to = closed([t for x in now for s, t in nfa.moves[x] if sample[c] in s]) | again
             if to not in numbers:
                 numbers[to] = len(numbers)
                 todo.append(to)
@@ -227,7 +247,54 @@ def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
         names[g] = k  # the first state is 0
     groups = names[groups]
     least = np.array([int(np.flatnonzero(groups == g)[0]) for g in range(groups.max() + 1)])
-    small = groups[moves[least]]
-    flat_accepts = np.zeros(len(least) * n, np.int32)
-    flat_accepts[np.arange(len(least)) * n] = np.array(accepts)[least]
-    return Automaton(classes.astype(np.uint8), (small * n).reshape(-1).astype(np.int32), flat_accepts, n, (small == 0).all(axis=0)[classes])
+    return classes.astype(np.uint8), groups[moves[least]], np.array(accepts)[least]
+
+
+def compile_rules(rules: list[tuple[str, bool]], before: bytes = b"") -> Automaton:
+    """The automaton of the rules (pattern, ignore case), each of which may begin anywhere; rule k has bit k. A text begins as if after ``before``."""
+    trees = [_Parser(pattern, ignore_case).parse() for pattern, ignore_case in rules]
+    classes, moves, accepts = _tables(trees, True)
+    sizes, n = [_longest(t) for t in trees], moves.shape[1]
+    flat_accepts = np.zeros(len(moves) * n, np.int32)
+    flat_accepts[np.arange(len(moves)) * n] = accepts
+    start = 0
+    for b in before:
+        start = int(moves[start, classes[b]])
+    return Automaton(classes, (moves * n).reshape(-1).astype(np.int32), flat_accepts, n, start * n, None if None in sizes else max(sizes, default=0))
+
+
+@dataclass(frozen=True)
+class Tail:
+    """``moves[state][byte]`` is the next state, -1 none; ``keeps[state]``, if any, tells of each byte whether it keeps the state."""
+
+    moves: list[list[int]]
+    accepts: list[bool]
+    keeps: list[np.ndarray | None]
+
+    def follow(self, text: bytes, data: np.ndarray, at: int, stop: int) -> tuple[int, int] | None:
+        """The first and the last place from ``at`` on, before ``stop``, behind which the pattern is complete; None if nowhere."""
+        state, first, last = 0, -1, -1
+        while at < stop:
+            to = self.moves[state][text[at]]
+            if to < 0:
+                break
+            keeps, at, size = self.keeps[to] if to == state else None, at + 1, 64
+            while keeps is not None and at < stop:  # the rest of the run, in pieces that grow
+                ends = np.flatnonzero(~keeps[data[at : min(stop, at + size)]])
+                if len(ends):
+                    at += int(ends[0])
+                    break
+                at, size = min(stop, at + size), size * 4
+            state = to
+            if self.accepts[state]:
+                first, last = first if first >= 0 else at, at
+        return (first, last) if last >= 0 else None
+
+
+def compile_tail(pattern: str, ignore_case: bool = False) -> Tail:
+    """The automaton of a pattern that begins where it is told to, and does not match the empty text."""
+    classes, moves, accepts = _tables([_Parser(pattern, ignore_case).parse()], False)
+    dead = [not a and (m == k).all() for k, (m, a) in enumerate(zip(moves, accepts))]
+    full = [[-1 if dead[t] else int(t) for t in row[classes]] for row in moves]
+    keeps = [k if (k := np.array(row) == s).any() else None for s, row in enumerate(full)]
+    return Tail(full, [bool(a) for a in accepts], keeps)

@@ -1,22 +1,23 @@
 """Secret scans by one combined automaton.
 
-All rules are compiled into a single transition table. One pass over the bytes gives the places where keywords end and
-where keys, hexadecimal runs and other tokens become long enough; spans follow from those places, and an exact check of
-what stands after a keyword follows for assignments. Beyond the base kinds (assign, access, hex) the operator adds
-``github``, ``slack`` and ``pem`` spans. A ``pem`` span is a whole private key, to its END line or over the base64 lines.
+All rules are compiled into a single transition table. One pass over the bytes gives the places where keywords, the
+beginnings of keys and of tokens, and hexadecimal runs of the least length end. No rule of that table is longer than 33
+bytes, so texts are cut into pieces anywhere. From each such place an automaton of the rule's rest goes on to the span's
+end; runs of any length are skipped at once. Beyond the base kinds (assign, access, hex) the operator adds ``github``,
+``slack`` and ``pem`` spans. A ``pem`` span is a whole private key, to its END line or over the base64 lines.
 """
 
 from __future__ import annotations
 
-import re
 from functools import cache
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .automaton import Automaton, compile_rules
+from .automaton import Automaton, Tail, compile_rules, compile_tail
 from .common import map_batches, rows_by, table
 
 KINDS = ("assign", "access", "hex", "github", "slack", "pem")
@@ -25,72 +26,79 @@ _VALUE = "[A-Za-z0-9+/_.=-]"
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 _RULES = [
     *((k, True) for k in KEYWORDS),
-    ("(" + "|".join(KEYWORDS) + ")[\"']?\\x20*[:=]\\x20*[\"']?" + _VALUE, True),
-    ("AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4), False),
-    ("[0-9a-f]{%d}" % LEAST_HEX, False),
+    ("AKIA[A-Z0-9]{2}", False),
+    ("[^0-9a-f][0-9a-f]{%d}" % LEAST_HEX, False),
     ("gh[pousr]_[A-Za-z0-9]{4}", False),
     ("xox[abprs]-[A-Za-z0-9-]{4}", False),
-    ("-----BEGIN [A-Z ]*PRIVATE KEY-----", False),
+    ("-----BEGIN ", False),
+    ("-----END ", False),
 ]
 _N = len(KEYWORDS)
-_TAIL = re.compile(rb"[\"']?\x20*[:=]\x20*[\"']?(" + _VALUE.encode() + rb"+)")
-_GITHUB, _SLACK = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}"), re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}")
-#: What follows the header of a key without an END line: header fields, base64 lines (ends of lines may be written as \\n), a short last one.
-_BODY = re.compile(
-    rb"(?:(?:\r?\n|\\r|\\n)\s*+[A-Za-z][A-Za-z-]*+:[^\r\n\\]*+)*+(?:(?:\s|\\r|\\n)++(?:>\x20?)*+[A-Za-z0-9+/=]{16,}+(?![^\s\\\"',;<]))++"
-    rb"(?:(?:\r?\n|\\n)[\x20\t>]*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n\\\"'<]|\Z)))?+"
-)
+_END_OF_LINE, _B64, _SPACE = r"(\r?\n|\\r|\\n)", "[A-Za-z0-9+/=]", r"[\x20\x09-\x0D]"
+#: What goes on from the place of a rule to the end of the span. A body is what follows the header of a key without an END
+#: line: header fields, base64 lines (ends of lines may be written as \n), a short last one, and what may stand behind.
+_TAILS = {
+    "assign": "[\"']?\\x20*[:=]\\x20*[\"']?" + _VALUE + "+",
+    "access": "[A-Z0-9]{%d,}" % (LEAST_ACCESS - 6),
+    "hex": "[0-9a-f]+",
+    "github": "[A-Za-z0-9]{32,}",
+    "slack": "[A-Za-z0-9-]{6,}",
+    "header": "[A-Z\\x20]*PRIVATE\\x20KEY-----",
+    "body": f"({_END_OF_LINE}{_SPACE}*[A-Za-z][A-Za-z-]*:[^\\r\\n\\\\]*)*(({_SPACE}|\\\\r|\\\\n)+(>\\x20?)*{_B64}{{16,}})+"
+    + f"([\\x20\\x09-\\x0D\\\\\"',;<]|(\\r?\\n|\\\\n)[\\x20\\x09>]*{_B64}+[\\x20\\x09]*[\\r\\n\\\\\"'<])",
+}
 
 
 @cache
 def automaton() -> Automaton:
-    return compile_rules(_RULES)
-
-
-def _runs(where: np.ndarray) -> list[tuple[int, int]]:
-    """First and last of each run of adjacent places."""
-    if len(where) == 0:
-        return []
-    breaks = np.flatnonzero(np.diff(where) > 1)
-    return list(zip(where[np.concatenate(([0], breaks + 1))].tolist(), where[np.concatenate((breaks, [len(where) - 1]))].tolist()))
-
-
-def _keys(text: bytes, ends: list[int]) -> list[tuple[int, int, str]]:
-    """Spans of private keys whose header lines end at these places, each up to the next header at most."""
-    heads = [(text.rindex(b"-----BEGIN ", 0, e + 1), e + 1) for e in ends]
-    out = []
-    for (start, body), (most, _) in zip(heads, [*heads[1:], (len(text), 0)]):
-        close = b"-----END " + text[start + len(b"-----BEGIN ") : body]
-        at = text.find(close, body, most)
-        if at >= 0:
-            out.append((start, at + len(close), "pem"))
-        else:
-            m = _BODY.match(text, body, most)
-            out.append((start, m.end() if m else body, "pem"))
+    return compile_rules(_RULES, b"\n")
+
+
+@cache
+def tail(kind: str) -> Tail:
+    return compile_tail(_TAILS[kind])
+
+
+def _keys(text: bytes, begins: list[int], ends: list[int]) -> list[tuple[int, int, str]]:
+    """Spans of private keys whose BEGIN and END marks end before these places, each up to the next header at most."""
+    data = np.frombuffer(text, np.uint8)
+    whole = lambda places: [(at, got[1]) for at in places if (got := tail("header").follow(text, data, at, len(text)))]
+    heads, closes = whole(begins), whole(ends)
+    out, k = [], 0
+    for (at, body), (most, _) in zip(heads, [*heads[1:], (len(text) + 11, 0)]):
+        most -= 11  # the next header's own mark
+        while k < len(closes) and closes[k][0] < body:
+            k += 1
+        label = text[at:body]
+        close = next((e for p, e in takewhile(lambda c: c[0] < most, islice(closes, k, None)) if e <= most and text[p:e] == label), None)
+        if close is None:
+            padded = text[body:most] + b"\n"
+            got = tail("body").follow(padded, np.frombuffer(padded, np.uint8), 0, len(padded))
+            close = body + len(padded[: got[1] - 1].rstrip(b"\x20\t")) if got else body
+        out.append((at - 11, close, "pem"))
     return out
 
 
 def _spans(text: bytes, where: np.ndarray, what: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans in bytes of one text from the places where rules end."""
-    of = lambda k: where[(what >> k) & 1 == 1]
-    out = []
-    if len(of(_N)):
+    data = np.frombuffer(text, np.uint8)
+    of = lambda k: (where[(what >> k) & 1 == 1] + 1).tolist()
+    out, last = [], 0
+    for end, size in sorted((e, len(k)) for i, k in enumerate(KEYWORDS) for e in of(i)):
+        if end - size >= last and (got := tail("assign").follow(text, data, end, len(text))):
+            last = got[1]
+            if got[1] - got[0] + 1 >= LEAST_VALUE:
+                out.append((end - size, last, "assign"))
+    for k, kind, size in ((0, "access", 6), (1, "hex", LEAST_HEX), (2, "github", 8), (3, "slack", 9)):
         last = 0
-        ends = sorted((int(e) + 1, len(k)) for i, k in enumerate(KEYWORDS) for e in of(i))
-        for end, size in ends:
-            if end - size >= last and (m := _TAIL.match(text, end)):
-                last = m.end()
-                if len(m[1]) >= LEAST_VALUE:
-                    out.append((end - size, last, "assign"))
-    out += [(a - LEAST_ACCESS + 1, b + 1, "access") for a, b in _runs(of(_N + 1))]
-    out += [(a - LEAST_HEX + 1, b + 1, "hex") for a, b in _runs(of(_N + 2))]
-    for k, kind, back, exact in ((3, "github", 7, _GITHUB), (4, "slack", 8, _SLACK)):
-        last = 0
-        for e in of(_N + k).tolist():
-            if e - back >= last and (m := exact.match(text, e - back)):
-                out.append((m.start(), m.end(), kind))
-                last = m.end()
-    out += _keys(text, of(_N + 5).tolist())
+        for end in of(_N + k):
+            if end - size >= last:
+                got = tail(kind).follow(text, data, end, len(text))
+                last = got[1] if got else last
+                if got or kind == "hex":
+                    last = max(last, end)
+                    out.append((end - size, last, kind))
+    out += _keys(text, of(_N + 4), of(_N + 5))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -116,7 +124,11 @@ def scan_texts(texts: pa.Array, scanner: Automaton) -> dict[int, list[tuple[int,
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts, ends, kinds) for every row, spans in code points by start, then kind; null and empty texts have none."""
+    """(id, starts, ends, kinds) for every row, spans in code points by start, then kind.
+
+    Null and empty texts have none. Null and repeated ids come out as they came in; an empty table gives an empty result;
+    further columns are not read.
+    """
     scanner = automaton()
 
     def run(batch):
@@ -156,7 +168,11 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and spans of every document."""
+    """Counts and spans of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Null and empty texts have counts 0, the hash of the empty string and no spans. Null and repeated ids come out as they
+    came in; an empty table gives an empty result.
+    """
     found = find_secrets(table(spark, sf_dir, "documents"))
     told = F.zip_with(F.zip_with("kinds", "starts", lambda k, s: F.concat(k, F.lit(":"), s.cast("string"))), "ends", lambda x, e: F.concat(x, F.lit(":"), e.cast("string")))
     base = F.filter("told", lambda x: F.split(x, ":")[0].isin(*KINDS[:3]))

@@ -413,6 +413,56 @@ def test_secrets_equal_brute_force():
         assert [s for s in found.get(i, []) if s[2] in secrets.KINDS[:3]] == plain_secrets(t), t[:200]
 
 
+def plain_more(t):
+    """Tokens by Python's regular expressions, and keys with an END line or without any body."""
+    out = [(m.start(), m.end(), "github") for m in re.finditer("gh[pousr]_[A-Za-z0-9]{36,}", t)] + [(m.start(), m.end(), "slack") for m in re.finditer("xox[abprs]-[A-Za-z0-9-]{10,}", t)]
+    heads = list(re.finditer("-----BEGIN ([A-Z ]*PRIVATE KEY-----)", t))
+    for m, most in zip(heads, [*(h.start() for h in heads[1:]), len(t)]):
+        at = t.find("-----END " + m[1], m.end(), most)
+        out.append((m.start(), m.end() if at < 0 else at + 9 + len(m[1]), "pem"))
+    return sorted(out)
+
+
+def test_more_kinds_equal_brute_force():
+    rnd = random.Random(64)
+    bits = ["ghp_", "gho_", "gh", "_", "xoxb-", "xox", "a1B2" * 9, "Z9" * 5, "k", " ", "\n", ".", "-----BEGIN ", "-----END ", "RSA ", "PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "é", "-"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    found = secrets.scan_texts(pa.array(texts), secrets.automaton())
+    for i, t in enumerate(texts):
+        if not re.search(r"KEY-----(?:\s|\\[rn])+>?\x20?[A-Za-z0-9+/=]{16}", t):
+            assert sorted(s for s in found.get(i, []) if s[2] not in secrets.KINDS[:3]) == plain_more(t), t
+
+
+def test_pieces_are_cut_anywhere():
+    import time
+
+    rnd = random.Random(65)
+    words = [rnd.choice(["token", "akia", "deadbeef", "word", "7", "zz"]) for _ in range(300_000)]
+    spent = {}
+    for gap in (" ", ", ", ""):
+        text = gap.join(words) + gap + "".join(f"password={'x' * 9}{gap or ' '}AKIA{'Q' * 20}{gap or ' '}{'0f' * 20}{gap or ' '}" for _ in range(50))
+        began = time.process_time()
+        found = secrets.scan_texts(pa.array([text, "x", text]), secrets.automaton())
+        spent[gap] = (time.process_time() - began) / len(text)
+        assert [s for s in found[0] if s[2] in secrets.KINDS[:3]] == plain_secrets(text) and found[0] == found[2] and 1 not in found
+    assert spent[" "] < 2 * spent[", "] + 1e-8 and spent[""] < 3 * spent[", "] + 1e-8
+    for run in ("token=" + "A" * 3_000_000, "AKIA" + "7" * 3_000_000, "f" * 3_000_000, "token" + " " * 3_000_000 + "=abcdefgh", "xoxb-" + "-" * 3_000_000):
+        began = time.process_time()
+        assert len(secrets.scan_texts(pa.array([run]), secrets.automaton())[0]) >= 1 and time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("pattern", ["ab{2,3}c", "[^a-c]x?d", "(a|bc)d", "[0-9a-f]{4}"])
+@pytest.mark.parametrize("piece", [1, 3, 50])
+def test_cuts_change_nothing(pattern, piece):
+    rnd = random.Random(66)
+    scanner = automaton.compile_rules([(pattern, False)])
+    texts = ["".join(rnd.choice("abcdxf0\n") for _ in range(rnd.randrange(60))).encode() for _ in range(100)]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])).astype(np.int64)
+    places, _ = scanner.events(data, starts, piece=piece)
+    want = [int(s) + e for t, s in zip(texts, starts) for e in range(len(t)) if any(re.compile(pattern.encode()).fullmatch(t, b, e + 1) for b in range(e + 1))]
+    assert places.tolist() == want
+
+
 def test_more_kinds_and_redaction(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----"
     texts = [f"é {key} x", "ghp_" + "a1" * 18 + " end", "xoxb-" + "1" * 12, "ghp_short", None, "token=abcdefgh12 and password='secret_value_1'", ""]

@@ -691,6 +691,58 @@ def test_templates_take_purity(spark):
     assert out[0].template == "/de/*" and out[len(urls) - 1].template == "/*/x" and out[61].verdict == "allow"
 
 
+def plain_shares(urls):
+    """Template and share of each url, by loops over dictionaries."""
+    cut = lambda u: (m[1].lower(), m[2]) if (m := re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")) else ("", "")
+    rules = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+    rows = []
+    for u in urls:
+        host, path = cut(u)
+        said = next((v for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), None)
+        rows.append((host, tuple(re.sub("[0-9]+", "*", path).split("/")[1:]) if path else (), said))
+    seen = Counter((h, j, x) for h, s, _ in rows for j, x in enumerate(s))
+    rows = [(h, tuple(x if seen[h, j, x] >= urlfilter.LEAST_ROWS else "*" for j, x in enumerate(s)), said) for h, s, said in rows]
+    count = {}
+
+    def add(key, said):
+        n = count.setdefault(key, [0, 0])
+        n[0] += said is not None
+        n[1] += said == "block"
+
+    for h, s, said in rows:
+        for key in [("all",), ("host", h), ("shape", s), *(("node", h, s[: j + 1]) for j in range(len(s)))]:
+            add(key, said)
+    groups, nodes = {}, [k for k in count if k[0] == "node"]
+    for _, h, s in nodes:
+        l, b = count["node", h, s]
+        pl, pb = np.sum([count[k] for k in nodes if k[1] == h and k[2][:-1] == s[:-1] and len(k[2]) == len(s)], axis=0).tolist()
+        r, rb = pl - l, pb - b
+        same = l >= 5 and r >= 5 and abs(b / l - rb / r) <= 1.96 * np.sqrt(pb / pl * (1 - pb / pl) * (1 / l + 1 / r)) + 1e-9
+        groups.setdefault((h, s[:-1], len(s)) if same else ("own", h, s), []).append((h, s))
+    of = {k: np.sum([count["node", *x] for x in members], axis=0).tolist() for members in groups.values() for k in members}
+    smooth = lambda n, prior: (n[1] + 2 * prior) / (n[0] + 2)
+    out = []
+    for h, s, said in rows:
+        p = smooth(count["shape", s], smooth(count["host", h], (count["all",][1] + 1) / (count["all",][0] + 2)))
+        for j in range(len(s)):
+            p = smooth(of[h, s[: j + 1]], p)
+        out.append(("".join("/" + x for x in s), p, said or ("block" if p >= 0.5 else "allow")))
+    return out
+
+
+def test_tree_equals_a_plain_one(spark):
+    rnd = random.Random(67)
+    hosts = ["a.example.com", "b.example.com", "example.net", "c.org", "d.net", "x.io"]
+    step = lambda: rnd.choice(["de", "en", "fr", "news", "p", f"u{rnd.choice('abcdefghijk') * 2}", str(rnd.randrange(99)), ""])
+    urls = [f"http://{rnd.choice(hosts)}" + "".join(f"/{step()}" for _ in range(rnd.randrange(7))) + rnd.choice(["", "?q=1", "#x"]) for _ in range(1500)] + [None, "", "no host"]
+    urls += ["http://a.example.com/de/" + "/".join("abcdefghij"[k % 10] for k in range(n)) for n in (6, 6, 7, 400)] + ["http://x.io/" + "y" * 100_000]
+    rows = {r.id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    want = plain_shares(urls)
+    assert len({t for t, *_ in want}) > 60
+    for i, (template, p, verdict) in enumerate(want):
+        assert (rows[i].template, rows[i].verdict) == (template, verdict) and abs(rows[i].p - p) < 1e-9, (urls[i], rows[i], template, p)
+
+
 # --- 10 search
 
 

@@ -1,12 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its words and the first 4, 5 and 6 letters of longer ones, after lower-casing, each hashed into
-2^60 slots; a term is present or absent, however long the text. Terms whose presence says something about the label by
-a likelihood-ratio test become features. The machine has a bias, a weight per feature and a vector of factors per
+2^60 slots; a term is present or absent, however long the text. Every slot whose presence says something about the label
+by a likelihood-ratio test becomes a feature. The machine has a bias, a weight per feature and a vector of factors per
 feature, whose inner products weigh pairs of features that occur together, such as an insult with a group mention.
 
-The machine is fitted on at most ``SAMPLE`` labelled documents, the first by a hash of their id, with at most
-``FEATURES`` features; what is sent to the driver is bounded by both. Scoring reads every whole text.
+The machine is fitted on a bounded sample: at most ``sample`` labelled rows, the first by a hash of their id and text.
+The slots of its texts are all there can be of features, and what is sent to the driver is bounded by it. ``least_texts``
+and ``least_ratio`` are the parameters of the test; the README has the recall for other values. Scoring reads every
+whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage
 from .common import map_batches, table
 
-SAMPLE, FEATURES, FACTORS, LEAST_TEXTS, LEAST_RATIO, FOLDS = 16_000, 8_192, 4, 3, 24.0, 5
+SAMPLE, FACTORS, LEAST_TEXTS, LEAST_RATIO, FOLDS = 16_000, 4, 3, 24.0, 5
 LEAST_SHARE = 1e-3
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _SLOTS = (1 << 60) - 1
@@ -110,14 +112,29 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """The machine for the labelled documents that are not held out. Repeated labels count as the highest of them; null labels do not count.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """(id, text, label), stored: the different texts of the documents with a label, ``sample`` at most. Those held out are left out.
+
+    Repeated labels count as the highest of them; null ids and labels do not count. Rows that repeat an id and its text
+    count once; other texts under the same id count as rows of their own.
+    """
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    first = cut_lineage(known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample).drop("h"))
+    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(first), "id").withColumn("h", F.xxhash64("text"))
+    told = cut_lineage(told.groupBy("id", "h").agg(F.first("text").alias("text"), F.first("label").alias("label")))
+    keys = cut_lineage(told.select("id", "h").orderBy(F.xxhash64("id", "h"), "id", "h").limit(sample))
+    return cut_lineage(told.join(F.broadcast(keys), ["id", "h"]).select("id", "text", "label"))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, least_texts: int = LEAST_TEXTS, least_ratio: float = LEAST_RATIO
+) -> Machine:
+    """The machine for the labelled documents that are not held out.
 
     Without any labelled document there is nothing to tell by: every score is that of the least share, far under a half.
+    With labels of one kind only, every score is their smoothed share.
     """
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    sample = cut_lineage(known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(SAMPLE).drop("h"))
-    texts = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"))
+    texts = labelled(docs, labels, id_col, text_col, label_col, sample)
 
     def count(batches):
         for b in batches:
@@ -136,12 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Machine({}, float(np.log(LEAST_SHARE / (1 - LEAST_SHARE))), np.zeros(0), np.zeros((0, FACTORS)))
     if not toxic or toxic == total:
         return Machine({}, float(np.log((toxic + 0.5) / (total - toxic + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
-    counts = texts.select("text", "label").mapInArrow(count, "slot long, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter(F.col("n") >= LEAST_TEXTS)
+    counts = texts.select("text", "label").mapInArrow(count, "slot long, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter(F.col("n") >= least_texts)
     cell = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     table_ = [(pos, n * toxic / total), (n - pos, n * (total - toxic) / total), (toxic - pos, (total - n) * toxic / total), ((total - n) - (toxic - pos), (total - n) * (total - toxic) / total)]
     ratio = 2 * sum((cell(k, e) for k, e in table_), F.lit(0.0))
-    best = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "slot").limit(FEATURES).select("slot").collect()
+    best = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= least_ratio).select("slot").orderBy("slot").collect()
     at = {r.slot: k for k, r in enumerate(best)}
 
     def chosen(batch):
@@ -149,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = [sorted({f for x in words(t.as_py()) for f in cache[x]}) for t in batch.column(1)]
         yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "f": pa.array(found, pa.list_(pa.int64()))})
 
-    rows = map_batches(texts.select(F.col("id").cast("long").alias("id"), "text", "label"), chosen, "id long, label int, f array<long>").orderBy("id").collect()
+    rows = map_batches(texts, chosen, "id long, label int, f array<long>").orderBy("id", "f").collect()
     bias, w, v = train([np.array(r.f, np.int64) for r in rows], np.array([float(r.label > 0) for r in rows]), len(at))
     return Machine(at, bias, w, v)
 
@@ -180,7 +197,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document."""
+    """Score of every document: doc_id, held_out, score, predicted.
+
+    Null and empty texts score the bias alone. Null ids are not held out; null and repeated ids come out as they came in;
+    an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -368,8 +369,6 @@ def test_toxicity_held_out_and_pairs(spark):
     machine = toxicity.fit(docs, labels)
     rows = toxicity.score(docs, machine).withColumn("held", toxicity.held_out(toxicity.F.col("id"))).collect()
     held = [r for r in rows if r.held]
-    import zlib
-
     assert {r.id for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
     right = sum((r.score >= 0.5) == bool(truth[r.id]) for r in held)
     assert right / len(held) > 0.97
@@ -380,6 +379,31 @@ def test_toxicity_held_out_and_pairs(spark):
     assert kept.columns == docs.columns and {truth[r.doc_id] for r in kept.select("doc_id").collect()} >= {0}
 
 
+def test_scores_equal_a_plain_machine(spark):
+    docs, labels, _ = labelled(spark)
+    m = toxicity.fit(docs, labels)
+    texts = [*EDGE, "Dolt!", "grubs northerners", *(r.text for r in docs.limit(60).collect())]
+    got = {r.id: r.score for r in toxicity.score(table(spark, texts), m).collect()}
+    for i, t in enumerate(texts):
+        own = set()
+        for x in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+", (t or "").lower()):
+            for name in [x, *(x[:n] + "*" for n in (4, 5, 6) if len(x) > n)]:
+                if (slot := xxhash.xxh64_intdigest(name.encode(), 7) % (1 << 60)) in m.at:
+                    own.add(m.at[slot])
+        own = sorted(own)
+        z = m.bias + sum(m.w[f] for f in own) + sum(float(m.v[a] @ m.v[b]) for k, a in enumerate(own) for b in own[:k])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9, t
+
+
+def test_rows_to_fit_on_are_bounded(spark):
+    docs, labels, _ = labelled(spark, 40)
+    texts = [r.text for r in docs.collect()]
+    many = table(spark, texts * 3 + [f"other {k}" for k in range(200)], ids=[*range(40)] * 3 + [7] * 200)
+    rows = toxicity.labelled(many, labels, sample=50).collect()
+    assert len(rows) == 50 and len({(r.id, r.text) for r in rows}) == 50
+    assert len(toxicity.labelled(many, labels, sample=10_000).filter("id <> 7").collect()) == len({i for i in range(40) if i != 7 and zlib.crc32(str(i).encode()) % 5})
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = labelled(spark, 8)
     m = toxicity.fit(docs, labels.limit(0))

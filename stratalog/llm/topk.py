@@ -3,7 +3,8 @@
 A term is a vector component; its postings are the components of a block of candidates. For each term, the query rows
 that hold it (weight not zero) scatter weight x posting into a dense score array of queries x candidates. Each block
 gives its k best by partition selection; the blocks' best are merged. Blocks of queries meet blocks of candidates by
-an equi-join on the cells of a grid, so no row waits for one task and nothing unbounded is broadcast or collected.
+an equi-join on the cells of a grid, whose sides follow the numbers of blocks: a cell has a bounded number of pairs of
+blocks, and each side is copied as rarely as that allows. Nothing unbounded is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -13,43 +14,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
 from .common import map_batches, table
 
 K, QUERY_BLOCK, CANDIDATE_BLOCK = 5, 512, 1024
-#: The grid of cells in which query blocks meet candidate blocks.
-ROWS, COLUMNS = 24, 8
+#: Pairs of blocks in a cell of the grid.
+PAIRS = 64
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id, v array<long>): floor(scale * x) of every component; rows with a null id, a null vector, or a null or non-finite component take no part."""
+    """(id, v array<long>): floor(scale * x) of every component; beyond 64 bits the largest or smallest long.
+
+    Rows with a null id, a null vector, or a null or non-finite component take no part.
+    """
     v, inf = F.col(vector_col), float("inf")
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda e: e.cast("double")).alias("x"))
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(inf))
-    return x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad)).select("id", F.transform("x", lambda e: F.floor(F.lit(scale) * e)).alias("v"))
+    whole = lambda e: F.floor(F.least(F.greatest(F.lit(scale) * e, F.lit(-(2.0**63))), F.lit(2.0**63)))
+    return x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad)).select("id", F.transform("x", whole).alias("v"))
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """Rows (block, id, v) of one block as one row of the ids and the zero-padded matrix."""
+    """Rows (block, id, v) of one block as one row of the ids and the zero-padded matrix, in as few bytes a component as it takes."""
     lists = rows.column("v").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     flat, dim = lists.flatten().to_numpy(zero_copy_only=False), int(sizes.max(initial=0))
-    m = np.zeros((len(sizes), dim), np.int64)
+    least, most = int(flat.min(initial=0)), int(flat.max(initial=0))
+    kind = next(t for t in map(np.dtype, ("<i1", "<i2", "<i4", "<i8")) if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
+    m = np.zeros((len(sizes), dim), kind)
     m[np.arange(dim)[None, :] < sizes[:, None]] = flat
     ids = rows.column("id").to_numpy().astype(np.int64)
-    return pa.table({"block": rows.column("block").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32()), "data": pa.array([m.tobytes()], pa.binary())})
+    return pa.table({"block": rows.column("block").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32()), "kind": pa.array([kind.str]), "data": pa.array([m.tobytes()], pa.binary())})
+
 
+def _blocks(vectors: DataFrame, size: int, rows: int) -> DataFrame:
+    """(block, ids, dim, kind, data): the ``rows`` vectors dealt by their place into blocks of about ``size``."""
+    n = max(1, -(-rows // size))
+    dealt = vectors.select("id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("block"))
+    return dealt.select("block", "id", "v").groupBy("block").applyInArrow(_pack, "block long, ids binary, dim int, kind string, data binary")
 
-def _blocks(vectors: DataFrame, size: int, number: str) -> DataFrame:
-    """(block, ids, dim, data): the rows dealt by a hash of their number into blocks of about ``size``."""
-    n = max(1, -(-vectors.count() // size))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64(F.col(number)), F.lit(n)))
-    return dealt.select("block", "id", "v").groupBy("block").applyInArrow(_pack, "block long, ids binary, dim int, data binary")
+
+def grid(queries: int, candidates: int, parallelism: int, pairs: int = PAIRS) -> tuple[int, int]:
+    """(rows, columns) of the grid for so many blocks: candidates are dealt over rows and copied to every column, queries the other way round."""
+    cells = max(min(3 * parallelism, queries * candidates), -(-queries * candidates // pairs))
+    columns = min(queries, max(1, round((cells * queries / candidates) ** 0.5)))
+    return min(candidates, -(-cells // columns)), columns
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of q and c, one term after another."""
+    """Integer inner products of the rows of q and c, one term after another; beyond 64 bits the largest or smallest long."""
     terms = min(q.shape[1], c.shape[1])
-    top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(terms, 1)
+    most = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+    top = most(q) * most(c) * max(terms, 1)
     scores = np.zeros((len(q), len(c)), np.int64 if top < 1 << 62 else object)
     for t in range(terms):
         holders = np.flatnonzero(q[:, t])
@@ -60,7 +76,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
             scores += weights[:, None] * postings[None, :]
         else:
             scores[holders] += weights[:, None] * postings[None, :]
-    return scores
+    return scores if scores.dtype != object else np.clip(scores, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, qids: np.ndarray, cids: np.ndarray, k: int):
@@ -72,12 +88,9 @@ def _best(scores: np.ndarray, qids: np.ndarray, cids: np.ndarray, k: int):
         if (own := ids == q).any():
             row, ids = row[~own], ids[~own]
         if len(row) > k:
-            if row.dtype == object:
-                at = np.array(sorted(range(len(row)), key=lambda j: (-row[j], ids[j]))[:k])
-            else:
-                least = row[np.argpartition(row, len(row) - k)[len(row) - k]]
-                above, ties = np.flatnonzero(row > least), np.flatnonzero(row == least)
-                at = np.concatenate((above, ties[: k - len(above)]))
+            least = row[np.argpartition(row, len(row) - k)[len(row) - k]]
+            above, ties = np.flatnonzero(row > least), np.flatnonzero(row == least)
+            at = np.concatenate((above, ties[: k - len(above)]))
         else:
             at = np.arange(len(row))
         for j in at:
@@ -87,33 +100,38 @@ def _best(scores: np.ndarray, qids: np.ndarray, cids: np.ndarray, k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query (id, v) among the candidates (id, v).
 
-    Shorter vectors count as padded with zeros. Ties go to the smaller id; a query never finds its own id. A repeated
-    query id counts once (the smallest vector by order); rows that repeat an id among the candidates are one candidate
-    with the best of their scores. No queries or no candidates give no rows.
+    Shorter vectors count as padded with zeros. Ties go to the smaller id; a query never finds its own id. Rows that
+    repeat an id among the candidates are candidates of their own; those that repeat a query's id are ranked together as
+    one query. Scores beyond 64 bits are the largest or smallest long. No queries or no candidates give no rows.
     """
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    q = _blocks(queries, QUERY_BLOCK, "id").withColumn("col", F.pmod("block", F.lit(COLUMNS))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))))
-    numbered = candidates.withColumn("number", F.monotonically_increasing_id())
-    c = _blocks(numbered, CANDIDATE_BLOCK, "number").withColumn("row", F.pmod("block", F.lit(ROWS)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COLUMNS - 1).cast("long"))))
-    met = q.alias("q").join(c.alias("c"), ["row", "col"]).select("q.ids", "q.dim", "q.data", F.col("c.ids").alias("c_ids"), F.col("c.dim").alias("c_dim"), F.col("c.data").alias("c_data"))
+    queries, candidates = cut_lineage(queries), cut_lineage(candidates)
+    n_queries, n_candidates = queries.count(), candidates.count()
+    rows, columns = grid(max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_candidates // CANDIDATE_BLOCK)), queries.sparkSession.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = _blocks(queries, QUERY_BLOCK, n_queries).withColumn("col", F.pmod("block", F.lit(columns))).withColumn("row", every(rows))
+    c = _blocks(candidates, CANDIDATE_BLOCK, n_candidates).withColumn("row", F.pmod("block", F.lit(rows))).withColumn("col", every(columns))
+    sides = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in "qc" for name in ("ids", "dim", "kind", "data")]
+    met = q.alias("q").join(c.alias("c"), ["row", "col"]).select(*sides)
 
     def run(batch):
-        found = []
         for r in batch.to_pylist():
-            qids, cids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-            qm, cm = np.frombuffer(r["data"], np.int64).reshape(len(qids), r["dim"]), np.frombuffer(r["c_data"], np.int64).reshape(len(cids), r["c_dim"])
-            found += _best(_scores(qm, cm), qids, cids, k)
-        a = list(zip(*found)) or [[], [], []]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(a[0], pa.int64()), "vec_id": pa.array(a[1], pa.int64()), "score": pa.array(a[2], pa.int64())})
+            ids = [np.frombuffer(r[f"{x}_ids"], np.int64) for x in "qc"]
+            m = [np.frombuffer(r[f"{x}_data"], r[f"{x}_kind"]).reshape(len(i), r[f"{x}_dim"]) for x, i in zip("qc", ids)]
+            a = list(zip(*_best(_scores(*m), *ids, k))) or [[], [], []]
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(a[0], pa.int64()), "vec_id": pa.array(a[1], pa.int64()), "score": pa.array(a[2], pa.int64())})
 
-    best = map_batches(met, run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = map_batches(met, run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 best of every vector whose vec_id is divisible by 50 against all vectors."""
-    vectors = quantise(table(spark, sf_dir, "embeddings"))
+    """The 5 best of every vector whose vec_id is divisible by 50 against all vectors: query_id, rank, vec_id, score.
+
+    Vectors null or with null or non-finite components take no part, nor do null ids; repeated rows are candidates of
+    their own; ties go to the smaller id; an empty table gives an empty result.
+    """
+    vectors = quantise(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return top_k(vectors.filter("id % 50 = 0"), vectors)
 
 

@@ -776,6 +776,8 @@ def test_top_k_equals_brute_force(spark):
     v[50:60] = v[40]  # ties
     v[::7, 3:9] = 0
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+    v[7] *= 9  # the repeated one is among the best
+    rows[7] = (7, v[7].tolist(), 0)
     rows += [(1000, None, 0), (1050, [None] * 16, 0), (1100, [float("nan")] * 16, 0), (1150, [float("inf")] * 16, 0), (None, v[0].tolist(), 0), (7, v[7].tolist(), 0), (1200, [1.0, 2.0], 0), (1250, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     got = {}
@@ -785,13 +787,23 @@ def test_top_k_equals_brute_force(spark):
     ints = {i: [int(np.floor(256 * float(x))) for x in e] for i, e, _ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
     assert set(got) == {q for q in ints if q % 50 == 0}
     for q, found in got.items():
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:5]
+        every = [i for i, e, _ in rows if i in ints and e is not None]  # id 7 twice
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in every if c != q)[:5]
         assert found == [(k + 1, c, -s) for k, (s, c) in enumerate(scores)]
     assert topk.top_k(vec.limit(0), vec).count() == 0 and topk.top_k(vec.filter("id = 0"), vec.filter("id = 0")).count() == 0
 
 
-def test_huge_components(spark):
-    rows = [(i, [3e13 * (i + 1)] * 4) for i in range(3)]
-    vec = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    with pytest.raises(Exception):  # a score beyond 64 bits is an error, not a wrong number
-        topk.top_k(vec, vec).collect()
+def test_huge_components_and_clashing_names(spark):
+    rows = [(i, [3e13 * (i + 1)] * 4, 1, "x", 2, 3) for i in range(3)] + [(9, [-1e300, 0.0, 0.0, 1e300], 1, "x", 2, 3)]
+    vec = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int, v string, row int, id int"))
+    most = (1 << 63) - 1
+    assert sorted(vec.filter("id = 9").first().v) == [-(1 << 63), 0, 0, most]
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(vec, vec).collect()}
+    assert got[0, 1] == got[2, 1] == most and len(got) == 12 and got[0, 9] == sum(256 * 30_000_000_000_000 * x for x in (-(1 << 63), most))  # exact on the way
+
+
+@pytest.mark.parametrize(("queries", "candidates"), [(1, 1), (1, 5000), (40, 2000), (2000, 2000), (7, 3)])
+def test_grid_follows_the_blocks(queries, candidates):
+    rows, columns = topk.grid(queries, candidates, 8)
+    assert 1 <= rows <= candidates and 1 <= columns <= queries
+    assert -(-candidates // rows) * -(-queries // columns) <= 4 * topk.PAIRS and rows * columns >= min(24, queries * candidates) / 2

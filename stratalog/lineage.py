@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on this machine.
+
+    What has been stored there is removed by Spark once nothing refers to it, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set for the session.
+    """
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints", f"stratalog-{os.getpid()}")
     sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

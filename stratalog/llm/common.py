@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,3 +71,17 @@ def spread_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
     """``df``, which is stored, dealt evenly over tasks: for steps that make many rows of each."""
     n = df.count()
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_task)))
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of its column over all rows before this one in the order; nulls first.
+
+    Rows are dealt by ranges of the order; the parts' own sums, one row a part, are added, so no task sees all rows.
+    """
+    parted = cut_lineage(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("__part", F.spark_partition_id()))
+    one = parted.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    one = one.select("__part", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    within = Window.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    out = parted.join(F.broadcast(one), "__part")
+    return out.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__{n}") for n, c in sums.items()}).drop("__part", *[f"__{n}" for n in sums])

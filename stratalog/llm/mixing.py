@@ -9,13 +9,15 @@ on 0 or 1. A source is cut into blocks of bounded size; each block ends with at
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
-from .common import table
+from .common import running, table
 
 WEIGHTS, SHARE, MOST_COPIES, BLOCK, HELD, SEED = (3, 1, 2), 1.5, 2, 2048, 12, 42
 _EPS = 1e-9
@@ -33,18 +35,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     ``most`` times its source's size, and the excess is shared again by weight. That is one level for all: with the
     sources in the order in which they reach their stop, the level is the first at which no more of them do.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
-    s = s.withColumn("w", weight).withColumn("stop", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy(F.col("stop") / F.col("w"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy(F.lit(0))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    s = s.withColumn("at", F.row_number().over(order))
-    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("stop") * (1 + 1e-12), F.struct("at", "level"))).over(every)
-    s = s.withColumn("level", first["level"])
-    return s.select("source", "source_size", F.least("stop", F.col("level") * F.col("w")).alias("target"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    s = running(s, ["last", "source"], {"number": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    s = s.withColumn("w", weight).withColumn("stop", F.lit(float(most)) * F.col("source_size")).withColumn("reach", F.col("stop") / F.col("w"))
+    s = cut_lineage(running(s, ["reach", "last", "source"], {"at": F.lit(1), "stops": F.col("stop"), "ws": F.col("w")}))
+    every = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    level = (F.lit(float(share) * every["size"]) - F.col("stops")) / (F.lit(every["w"]) - F.col("ws"))
+    first = s.withColumn("level", level).filter(F.col("level") * F.col("w") <= F.col("stop") * (1 + 1e-12)).agg(F.min(F.struct("at", "level")).alias("first")).first()["first"]
+    goal = F.least("stop", F.lit(first["level"]) * F.col("w")) if first else F.col("stop")
+    return s.select("source", "source_size", goal.alias("target"))
 
 
 def _unit(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -108,37 +108,53 @@ def last_block(pi: np.ndarray, x: np.ndarray, chance: np.ndarray) -> np.ndarray:
 
 def _round(last: bool, salt: int):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("id", "ascending"), ("size", "ascending"), ("row", "ascending")])
+        rows = rows.sort_by([("id", "ascending"), ("size", "ascending"), ("nth", "ascending")])
         row, size = rows.column("row").to_numpy(), rows.column("size").to_numpy()
         ids = rows.column("id").fill_null(-1).to_numpy()
         pi = (last_block if last else flight)(rows.column("pi").to_numpy(), size, _unit(ids ^ (np.arange(len(ids)) << 40), salt))
-        return pa.table({"row": row, "id": rows.column("id"), "source": rows.column("source"), "size": size, "pi": pi})
+        return pa.table({"row": row, "id": rows.column("id"), "source": rows.column("source"), "size": size, "nth": rows.column("nth"), "pi": pi})
 
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """(row, id, source, size, source_size, target, copies, taken) for every row of ``docs``.
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """The rows with ``nth``: 0, or the number of the row among those that repeat its source, id and size.
+
+    So rows that repeat each other are dealt over blocks like any others, in the same way whatever their places.
+    """
+    key = ["source", "id", "size"]
+    twice = cut_lineage(rows.groupBy(*key).count().filter("count > 1").select(*[F.col(c).alias(f"k_{c}") for c in key]))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key])
+    if twice.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    placed = running(rows.join(twice, same, "left_semi"), [*key, "row"], {"place": F.lit(1).cast("long")})
+    first = placed.groupBy(*key).agg(F.min("place").alias("first")).select(*[F.col(c).alias(f"k_{c}") for c in key], "first")
+    again = placed.join(first, same).withColumn("nth", F.col("place") - F.col("first")).select("row", "id", "source", "size", "pi", "nth")
+    return cut_lineage(rows.join(twice, same, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(again))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, id, source, size, source_size, target, copies, taken) for every row of ``docs``, and its columns ``keep``.
 
     Null and empty texts have size 0 and may be taken any number of times at no cost. A null source is a source of its
     own. Rows that repeat an id are sampled one by one. With no words at all every target is 0 and nothing is taken.
     Results depend on ids, sizes and sources alone, so reruns agree.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
     sized = cut_lineage(sized.withColumn("row", F.monotonically_increasing_id()))
     goals = cut_lineage(targets(sized).withColumnRenamed("source", "goal_source"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     with_rate = sized.join(F.broadcast(goals) if goals.limit(10_001).count() <= 10_000 else goals, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("rate", rate)
     parts = with_rate.withColumn("whole", F.floor(F.col("rate") + _EPS)).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("goal_source")
     parts = cut_lineage(parts)
-    open_ = parts.filter(F.col("pi") > _EPS).select("row", "id", "source", "size", "pi")
+    open_ = _told_apart(parts.filter(F.col("pi") > _EPS).select("row", "id", "source", "size", "pi"))
     largest = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     decided, depth = None, 0
     while largest:
         blocks = -(-largest // BLOCK)
         per_source = open_.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("n")).withColumnRenamed("source", "n_source")
-        dealt = open_.join(per_source, F.col("source").eqNullSafe(F.col("n_source"))).withColumn("block", F.pmod(F.xxhash64("id", "size", F.lit(seed + depth)), F.col("n")))
-        done = cut_lineage(dealt.groupBy("source", "block").applyInArrow(_round(blocks == 1, seed + depth), "row long, id long, source string, size long, pi double"))
+        dealt = open_.join(per_source, F.col("source").eqNullSafe(F.col("n_source"))).withColumn("block", F.pmod(F.xxhash64("id", "size", "nth", F.lit(seed + depth)), F.col("n")))
+        done = cut_lineage(dealt.groupBy("source", "block").applyInArrow(_round(blocks == 1, seed + depth), "row long, id long, source string, size long, nth long, pi double"))
         settled = done.filter(f"pi <= {_EPS} or pi >= {1 - _EPS}").select("row", F.round("pi").cast("long").alias("extra"))
         decided = settled if decided is None else decided.unionByName(settled)
         if blocks == 1:
@@ -147,9 +163,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         largest = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     out = parts if decided is None else parts.join(decided, "row", "left")
     copies = F.col("whole").cast("long") + (F.coalesce(F.col("extra"), F.lit(0)) if decided is not None else F.lit(0))
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", "id", "source", "size", "source_size", "target", "copies", "taken")
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", "id", "source", "size", "source_size", "target", "copies", "taken", *keep)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document: doc_id, size, source_size, target, taken.
+
+    Null and empty texts have size 0; a null source is a source of its own, last in order; null and repeated ids are
+    sampled row by row; with no words every target is 0; an empty table gives an empty result.
+    """
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

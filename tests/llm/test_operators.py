@@ -555,6 +555,27 @@ def test_mix_edges(spark):
     assert mixing.mix(twice).count() == 4
 
 
+def test_running_sums(spark):
+    rows = [(k, (k * 7) % 40 if k % 9 else None) for k in range(200)]
+    out = common.running(spark.createDataFrame(rows, "k long, v long"), ["v", "k"], {"n": common.F.lit(1), "s": common.F.coalesce("v", common.F.lit(0))}).collect()
+    before = 0
+    for place, r in enumerate(sorted(out, key=lambda r: (r.v is not None, r.v or 0, r.k))):
+        assert (r.n, r.s) == (place, before)
+        before += r.v or 0
+
+
+def test_rows_that_repeat_each_other_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 32)
+    docs = table(spark, ["a b c"] * 400 + ["d e"] * 50, ids=[None] * 200 + [5] * 200 + list(range(50)), source=lambda i: "hot" if i < 400 else "z")
+    sizes = mixing._told_apart(docs.selectExpr("monotonically_increasing_id() row", "doc_id id", "source", "3L size", "0.5D pi")).groupBy("id", "source").agg({"nth": "max"}).collect()
+    assert {(r.id, r.source): r[2] for r in sizes}.items() >= {(None, "hot"): 199, (5, "hot"): 199, (7, "z"): 0}.items()
+    taken = Counter()
+    for r in mixing.mix(docs, keep=("lang",)).collect():
+        taken[r.source] += r.taken
+    goal = plain_targets({"hot": 1200, "z": 100})
+    assert all(abs(taken[k] - goal[k]) <= 3 for k in goal)
+
+
 def test_flight_keeps_totals():
     rnd = np.random.default_rng(11)
     x = rnd.integers(0, 1000, 500)

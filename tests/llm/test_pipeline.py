@@ -62,10 +62,20 @@ def test_stages(spark, tmp_path):
             assert all(t[0] == before[i] for i, t in text.items() if i != names["secret"])
         kept, last = now, docs
     assert last.filter("taken > 2 * size or copies < 1").count() == 0
+    masked = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/out3").collect()}
+    assert {c.split()[0] for c in KINDS.split(", ")} <= set(last.columns) and all(r.text == masked[r.doc_id] for r in last.collect())
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.taken) for r in whole} == {(r.doc_id, r.taken) for r in last.collect()}
 
 
+def test_no_documents(spark, tmp_path):
+    write(spark, tmp_path / "full")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    spark.createDataFrame([], KINDS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_registered():
     assert [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
     assert set(registry.ORACLES) <= set(registry.QUERIES) and corpus_pipeline.QUERIES["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None

@@ -30,11 +30,16 @@ def first_hit(order: list[str]) -> Column:
     return F.struct(*order)
 
 
+def rule_files(hits: DataFrame) -> DataFrame:
+    """(rule_id, artifact_path, hit_count): one row per rule and file, for corpora where a rule's files don't fit one cell of a report."""
+    return hits.groupBy("rule_id", "artifact_path").agg(F.count("*").alias("hit_count"))
+
+
 def findings_by_rule(hits: DataFrame, pack: Pack, order=("artifact_ord", "chunk_no", "kind_ord", "pos", "rule_ord")) -> DataFrame:
     """One row per rule with hits, most severe first: counts, distinct files, and what its first hit in scan order says.
 
     Distinct files are found by a grouping of (rule, file) before they are gathered, so a frequent rule gathers paths
-    and not hits.
+    and not hits. The report names all of a rule's files in one cell; ``rule_files`` has them as rows.
     """
     said = ["product", "issue_category", "component", "severity", "kb_candidate_ids"]
     one = hits.groupBy("rule_id", "artifact_path").agg(

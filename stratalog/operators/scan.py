@@ -72,9 +72,23 @@ def with_context(lines: DataFrame, block: int = LINE_BLOCK, n: int = T.CONTEXT)
 
 
 def row_hits(lines: DataFrame, pack: Pack, encoding: str = "utf-8") -> DataFrame:
-    """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line): for logs too large for one row."""
-    x = with_context(lines.withColumn("encoding", F.lit(encoding)))
-    return _shape(_as_text(_exploded(x, pack, True)))
+    """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line): for logs too large for one row.
+
+    Hits are found where the lines are; only lines next to a line with hits go through a shuffle for their context. A
+    null line counts as empty; lines of one path have different numbers.
+    """
+    hits = _exploded(lines.withColumn("encoding", F.lit(encoding)), pack, True)
+    may, _ = compiled("raw_line", pack, True)
+    steps = F.array(*[F.lit(k) for k in range(-T.CONTEXT, T.CONTEXT + 1) if k])
+    wanted = lines.filter(may).select("artifact_path", "line_number").select("artifact_path", F.col("line_number").alias("at"), F.explode(steps).alias("step"))
+    wanted = wanted.select("artifact_path", "at", (F.col("at") + F.col("step")).alias("line_number"))
+    near = lines.select("artifact_path", "line_number", F.coalesce("raw_line", F.lit("")).alias("line")).join(wanted, ["artifact_path", "line_number"])
+    said = F.sort_array(F.collect_list(F.struct("line_number", "line")))
+    near = near.groupBy("artifact_path", "at").agg(said.alias("near"))  # at most the lines of the context
+    joined = lambda on: F.array_join(F.transform(F.filter("near", on), lambda x: x["line"]), "\n")
+    context = near.select("artifact_path", F.col("at").alias("line_number"), joined(lambda x: x["line_number"] < F.col("at")).alias("context_before"), joined(lambda x: x["line_number"] > F.col("at")).alias("context_after"))
+    x = hits.join(context, ["artifact_path", "line_number"], "left").na.fill("", ["context_before", "context_after"])
+    return _shape(_as_text(x))
 
 
 def fragments(artifacts: DataFrame, exact_chunks: bool = True) -> DataFrame:

@@ -12,9 +12,9 @@ from ..operators import casenum
 from ..operators import findings as G
 from ..operators.classify import by_suffix, marker_family
 from ..operators.coverage import classified, coverage
-from ..operators.scan import fragments, numbered, pattern_flags, row_hits, with_context
+from ..operators.scan import binary_hits, fragments, line_arrays, numbered, pattern_flags, row_hits, with_context
 from ..schema import RULE_FINDING_COLUMNS
-from ..sources.artifacts import from_table
+from ..sources.artifacts import from_contents, from_table
 from ..streaming.dropfolder import windowed_hits
 from . import views as V
 
@@ -258,10 +258,10 @@ def case_number_mode(spark, sf_dir):
     return casenum.most_common(found.select((F.col("o_orderkey") * 2 + F.col("i")).alias("ord"), "case_number"))
 
 
-@query("case_numbers_in_text", "SELECT o_orderkey, CAST(60000000 + o_custkey AS VARCHAR) AS case_number, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY ALL")
+@query("case_numbers_in_text", "SELECT o_orderkey, CAST(60000000 + o_custkey AS VARCHAR) AS case_number, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 5 <> 4 GROUP BY ALL")
 def case_numbers_in_text(spark, sf_dir):
-    """Case numbers that report texts call so, in three spellings."""
-    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'See Case Number: ' WHEN 1 THEN 'our CASE # ' WHEN 2 THEN 'case-' ELSE 'order ' END || (60000000 + o_custkey) || ' closed'")
+    """Case numbers that report texts call so, in all four spellings."""
+    text = F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'See Case Number: ' WHEN 1 THEN 'our CASE # ' WHEN 2 THEN 'case-' WHEN 3 THEN 'the case  ' ELSE 'order ' END || (60000000 + o_custkey) || ' closed'")
     found = V.read(spark, sf_dir, "orders").select("o_orderkey", F.explode(casenum.in_text(text)).alias("case_number"))
     return found.groupBy("o_orderkey", "case_number").agg(F.count("*").alias("n"))
 
@@ -310,3 +310,107 @@ def not_decoded(spark, sf_dir):
     """What the reports list as not decoded."""
     cover = _event_coverage(spark, sf_dir).filter("review_mode <> 'stream-scanned'")
     return cover.select(F.format_string("%s (%s; %s) %s", "artifact_path", "artifact_family", "review_mode", "limitations").alias("line"))
+
+
+_RUNS = r"regexp_extract_all(text, '[\x20-\x7e]{4,}') AS m, string_split_regex(text, '[\x20-\x7e]{4,}') AS g"
+
+
+@query("utf16_fragments", rf"""WITH t AS (SELECT doc_id, {_RUNS} FROM documents)
+SELECT 'doc-' || doc_id || '.bin' AS artifact_path, CAST(1 + doc_id % 2 AS INT) AS kind_ord, CAST(doc_id % 2 + 2 * (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)) AS BIGINT) AS byte_offset, m[i] AS raw_line
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM t)""")
+def utf16_fragments(spark, sf_dir):
+    """Wide printable runs of the documents' UTF-16LE bytes, at even and odd offsets."""
+    wide = F.concat(F.when(F.col("doc_id") % 2 == 1, F.lit(b"\x01")).otherwise(F.lit(b"")), F.encode(F.coalesce("text", F.lit("")), "UTF-16LE"))
+    docs = V.read_texts(spark, sf_dir, "documents").select(_bin_name("doc_id").alias("artifact_ord"), _bin_name("doc_id").alias("artifact_path"), wide.alias("content"))
+    return fragments(docs).filter("kind_ord > 0").select("artifact_path", "kind_ord", "byte_offset", "raw_line")
+
+
+def _bin_name(column: str):
+    return F.concat(F.lit("doc-"), F.col(column).cast("string"), F.lit(".bin"))
+
+
+@query("chunk_cut_fragments", """SELECT n_name AS artifact_path, CAST(1048576 - 2 * n_nationkey AS BIGINT) AS byte_offset, left(n_name || ' and what follows it', CASE WHEN n_nationkey = 0 THEN 1000 ELSE 2 * n_nationkey END) AS raw_line
+FROM nation WHERE n_nationkey <> 1 UNION ALL SELECT n_name, CAST(10 AS BIGINT), 'begin' FROM nation""")
+def chunk_cut_fragments(spark, sf_dir):
+    """Runs that cross the end of a 1 MiB chunk are seen as far as the chunk; with less than four characters of room they are not."""
+    gap = F.expr("repeat(chr(1), cast(1048576 - 15 - 2 * n_nationkey as int))")
+    content = F.concat(F.expr("repeat(chr(1), 10)"), F.lit("begin"), gap, F.col("n_name"), F.lit(" and what follows it")).cast("binary")
+    return fragments(V.read(spark, sf_dir, "nation").select(F.col("n_name").alias("artifact_ord"), F.col("n_name").alias("artifact_path"), content.alias("content"))).select("artifact_path", "byte_offset", "raw_line")
+
+
+_TERMS = "terms(term) AS (VALUES " + ", ".join(f"({V._q(t)})" for t in _PACK.terms) + ")"
+
+
+@query("binary_term_hits", rf"""WITH t AS (SELECT doc_id, {_RUNS} FROM (SELECT doc_id, coalesce(text, '') || chr(1) || 'DNS and Proxy ' || doc_id || chr(2) || 'tls' || chr(3) || 'Access Denied' AS text FROM documents)), {_TERMS},
+r AS (SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: strlen(x))), 0) AS BIGINT) AS byte_offset, m[i] AS raw_line FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM t))
+SELECT 'doc-' || doc_id || '.bin' AS artifact_path, byte_offset, 'GENERIC_SEARCH' AS rule_id, term AS matched_text, raw_line, 'ascii-string' AS match_type, 'binary-string-scanner' AS scanner, 'binary' AS encoding FROM r, terms WHERE contains(lower(raw_line), term)""")
+def binary_term_hits(spark, sf_dir):
+    """Terms in printable runs of binary content; rules are not tried there."""
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\x01DNS and Proxy "), F.col("doc_id").cast("string"), F.lit("\x02tls\x03Access Denied")).cast("binary")
+    docs = V.read_texts(spark, sf_dir, "documents").select(_bin_name("doc_id").alias("artifact_ord"), _bin_name("doc_id").alias("artifact_path"), content.alias("content"))
+    return binary_hits(fragments(docs).filter("kind_ord = 0"), _PACK).select("artifact_path", "byte_offset", "rule_id", "matched_text", "raw_line", "match_type", "scanner", "encoding")
+
+
+@query("decode_chain", r"""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'utf-8-sig' WHEN doc_id % 5 = 3 THEN 'latin-1' WHEN doc_id % 5 = 4 THEN 'utf-16' WHEN doc_id % 5 = 2 AND regexp_matches(t, '[\x{a0}-\x{ff}]') THEN 'cp1252' ELSE 'utf-8' END AS encoding,
+CAST(len(CASE WHEN s[-1] = '' THEN s[1 : len(s) - 1] ELSE s END) AS BIGINT) AS n_lines, CAST(length(t) AS BIGINT) AS n_chars
+FROM (SELECT doc_id, t, string_split_regex(t, '\r\n|\r|\n') AS s FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 3 THEN chr(129) ELSE '' END AS t FROM documents))""")
+def decode_chain(spark, sf_dir):
+    """Marks and strict decodings in turn: the documents as UTF-8, UTF-8 with a mark, cp1252, latin-1 with an odd byte, UTF-16 with a mark."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
+    known = F.regexp_replace(t, r"[^\x00-\x7f\xa0-\xff]", "?")  # bytes that mean the same in cp1252 and latin-1
+    content = (
+        F.when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), t.cast("binary"))).when(k == 2, F.encode(known, "ISO-8859-1"))
+        .when(k == 3, F.concat(F.encode(known, "ISO-8859-1"), F.lit(b"\x81"))).when(k == 4, F.concat(F.lit(b"\xff\xfe"), F.encode(t, "UTF-16LE"))).otherwise(t.cast("binary"))
+    )
+    files = V.read_texts(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    x = line_arrays(from_contents(files))
+    return x.select(F.col("artifact_path").cast("long").alias("doc_id"), "encoding", F.size("lines").cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+
+
+_HEADS = ["<?xml version=\"1.0\"?><a>", "{\"k\": [1, 2], \"s\": \"x\"}", "{\"k\": 1} trailing", "  <Event a=\"1\"/>", "<!-- x --><!DOCTYPE HTML>", "plain words", "\\x00\\x01 bytes", "[not json"]
+
+
+@query("content_families", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'xml' WHEN 1 THEN 'json' WHEN 3 THEN 'xml' WHEN 4 THEN 'html' WHEN 6 THEN 'opaque_binary' ELSE 'text_log' END AS family,
+CASE page_id % 8 WHEN 0 THEN 'content:xml' WHEN 1 THEN 'content:json' WHEN 3 THEN 'content:xml' WHEN 4 THEN 'content:html' WHEN 6 THEN 'fallback:binary' ELSE 'content:text' END AS identified_by,
+CASE page_id % 8 WHEN 6 THEN 'binary-string-scanned' ELSE 'stream-scanned' END AS review_mode FROM pages""")
+def content_families(spark, sf_dir):
+    """Families of files without a suffix, by their first bytes: XML, JSON that parses, HTML, text, bytes with NUL."""
+    head = F.get(F.array(*[F.lit(h.replace("\\x00\\x01", "\x00\x01")) for h in _HEADS]), (F.col("page_id") % 8).cast("int"))
+    files = V.read(spark, sf_dir, "pages").select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("path"), head.cast("binary").alias("content"))
+    found = coverage(classified(from_contents(files)))
+    return found.select(F.substring("artifact_path", 2, 30).cast("long").alias("page_id"), F.col("artifact_family").alias("family"), "identified_by", "review_mode")
+
+
+@query("findings_order", f"{_EVENT_CTX}, one AS (SELECT rule_id, any_value(severity) AS severity FROM hits GROUP BY rule_id) SELECT CAST(row_number() OVER (ORDER BY list_position([{', '.join(V._q(s) for s in fixed.SEVERITIES)}], severity), rule_id) AS INT) AS place, rule_id FROM one")
+def findings_order(spark, sf_dir):
+    """The order in which the report lists rules: by severity, then by id."""
+    found = G.findings_by_rule(_event_hits(spark, sf_dir), _PACK)
+    return found.select(F.row_number().over(Window.orderBy(G.severity_rank(F.col("severity")), "rule_id")).alias("place"), "rule_id")
+
+
+@query("rule_files", f"{_EVENT_CTX} SELECT rule_id, artifact_path, count(*) AS hit_count FROM hits GROUP BY ALL")
+def rule_files(spark, sf_dir):
+    """Rules and files as rows."""
+    return G.rule_files(_event_hits(spark, sf_dir))
+
+
+_STATUS = "CASE o_orderkey % 6 WHEN 0 THEN 'scan-failed' WHEN 1 THEN 'unsafe-archive-path-refused' WHEN 2 THEN 'archive-loop-detected' WHEN 3 THEN 'scanned' WHEN 4 THEN 'unreadable' ELSE 'metadata-only' END"
+
+
+@query("warnings_by_status", f"SELECT 'w' || o_custkey || ': ' || {_STATUS} AS warning, min('w' || o_orderkey) AS first_ord FROM orders WHERE o_orderkey % 6 NOT IN (3, 5) GROUP BY 1")
+def warnings_by_status(spark, sf_dir):
+    """Warnings that come from a status alone, each once, with where it came first."""
+    rows = V.read(spark, sf_dir, "orders").select(F.expr("'w' || o_orderkey").alias("artifact_ord"), F.expr("'w' || o_custkey").alias("artifact_path"), F.lit("").alias("limitations"), F.expr(_STATUS).alias("decoder_status"))
+    return G.warnings(rows)
+
+
+@query("policy_rows", """SELECT 's' || s_suppkey AS artifact_path, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE 'zip' END AS artifact_family, CASE s_suppkey % 3 WHEN 0 THEN 'hash:sha256' ELSE 'content:zipfile' END AS identified_by,
+CASE s_suppkey % 3 WHEN 0 THEN 'skipped-by-policy' ELSE 'metadata-only' END AS review_mode, CASE s_suppkey % 3 WHEN 0 THEN 'archive-loop-detected' WHEN 1 THEN 'extracted-with-limitations' ELSE 'archive-detected' END AS decoder_status,
+CASE s_suppkey % 3 WHEN 0 THEN 'seen before' WHEN 1 THEN 'one two' ELSE '' END AS limitations, CASE WHEN s_suppkey % 3 = 0 THEN CAST(0 AS BIGINT) ELSE strlen(s_name) END AS bytes_scanned, false AS decoded_successfully, 'none' AS decoder_used FROM supplier""")
+def policy_rows(spark, sf_dir):
+    """Coverage of what is not scanned: policy rows, archives with and without limitations of their members."""
+    base = from_table(V.read(spark, sf_dir, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.col("s_name"))
+    number = F.substring("artifact_path", 2, 20).cast("long") % 3
+    policy = F.struct(*[F.lit(v).alias(n) for n, v in (("family", "unknown"), ("identified_by", "hash:sha256"), ("review_mode", "skipped-by-policy"), ("status", "archive-loop-detected"), ("limitations", "seen before"))])
+    rows = base.withColumns({"policy": F.when(number == 0, policy), "is_zip": F.lit(True), "archive_limitations": F.when(number == 1, F.array(F.lit("one"), F.lit("two"))).otherwise(F.array().cast("array<string>"))})
+    return coverage(classified(rows)).select("artifact_path", "artifact_family", "identified_by", "review_mode", "decoder_status", "limitations", "bytes_scanned", "decoded_successfully", "decoder_used")

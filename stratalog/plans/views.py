@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ MESSAGES = {
     "click": "GetSslError[16] certificate check, CERT_CN_INVALID",
     "view": "page view ok",
 }
+
+
+def sample(pattern: str) -> str:
+    """A text that a pattern of the built-in pack matches."""
+    text = re.sub(r"\((\w+)\|[^)]*\)", r"\1", pattern)
+    for part, said in ((r"\s+", " "), (r"\s*", " "), (r"\d+", "57"), (".*", " n. ")):
+        text = text.replace(part, said)
+    return re.sub(r"\\(.)", r"\1", text)
+
+
+#: What every fourth event would have logged instead: a line for each pattern and each term of the built-in pack, in turn.
+SAMPLES = [f"svc: {sample(p)} end" for r in built_in().rules for p in r.patterns] + [f"note {t} x" for t in built_in().terms]
 #: A small pack for prose: licences and addresses.
 PROSE = Pack(
     (
@@ -32,15 +46,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Text tables smaller than this are dealt to all cores after reading; larger ones are read in enough splits.
-SMALL = 128 << 20
-
-
 def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = read(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL else df
+    """A table of texts. Scans are split by ``spark.sql.files.maxPartitionBytes``; a small file of few row groups is one split."""
+    return read(spark, sf_dir, name)
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +58,23 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.lit("")
     for kind, text in MESSAGES.items():
         message = F.when(F.col("event_type") == kind, text).otherwise(message)
+    turn = F.floor(F.col("event_id") / 4) % len(SAMPLES)
+    other = F.get(F.array(*map(F.lit, SAMPLES)), turn.cast("int"))
+    message = F.when(F.col("event_id") % 8 == 0, F.upper(other)).when(F.col("event_id") % 4 == 0, other).otherwise(message)
     path = F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".log"))
     numbered = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     return read(spark, sf_dir, "events").select(path.alias("artifact_ord"), path.alias("artifact_path"), numbered.alias("line_number"), message.alias("raw_line"), "ts")
 
 
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MESSAGES.items()) + " ELSE '' END"
-EVENT_LINES = f"""lines AS (SELECT 'user-' || user_id || '.log' AS artifact_path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_number, {_CASE} AS raw_line, ts FROM events)"""
+_OTHER = f"samples.s[event_id // 4 % {len(SAMPLES)} + 1]"
+EVENT_LINES = f"""samples AS (SELECT [{", ".join(map(_q, SAMPLES))}] AS s),
+lines AS (SELECT 'user-' || user_id || '.log' AS artifact_path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_number,
+  CASE WHEN event_id % 8 = 0 THEN upper({_OTHER}) WHEN event_id % 4 = 0 THEN {_OTHER} ELSE {_CASE} END AS raw_line, ts FROM events, samples)"""
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +117,6 @@ def probe_sql(text: str, table: str, key: str, probe: int = 4096) -> str:
   FROM (SELECT {key}, t, CASE WHEN strlen(t) <= {probe} THEN 0 ELSE {step(probe // 4, probe + 1, 64)} END AS k1 FROM (SELECT {key}, coalesce({text}, '') AS t FROM {table})))"""
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def hits_sql(pack: Pack | None = None, source: str = "ctx") -> str:
     """``hits``: all hits of the lines in ``source`` by the pack."""
     pack = pack or built_in()

@@ -313,20 +313,47 @@ def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits:
     return manifest.mapInArrow(plain, schema).unionByName(cut_lineage(nested.mapInArrow(expand, schema)))
 
 
-def from_binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Artifacts from any store that Spark reads, files not expanded, in path order; files of up to 2 GB."""
+def from_contents(files: DataFrame, root: str = "") -> DataFrame:
+    """Artifacts from rows (path, content), probed but not expanded; they keep their order by path."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = spark.createDataFrame([], ARTIFACT_SCHEMA).schema
+    schema = files.sparkSession.createDataFrame([], ARTIFACT_SCHEMA).schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield _arrow([_row(path, path, root or path, "", content)], arrow)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def expanded(files: DataFrame, root: str = "", limits: Limits | None = None, tools: decoders.Tools | None = None) -> DataFrame:
+    """Artifacts from rows (path, content), archives and tool formats expanded; every file has its own limits, so all expand in parallel.
+
+    Members stay in the rows, so files may come from any store; formats that need a program use the task's scratch folder.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    limits, tools = limits or Limits(), tools or decoders.Tools()
+    schema = files.sparkSession.createDataFrame([], ARTIFACT_SCHEMA).schema
     arrow = to_arrow_schema(schema)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                yield _arrow([_row(r["path"], r["path"], path, "", bytes(r["content"]))], arrow)
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                walk = Expander(root or "expanded", limits, tools, hashlib.sha256(path.encode()).hexdigest()[:12] + "-")
+                walk.prefix, walk.seq, walk.number = path, 0, 1
+                for row in walk.file(path, root or path, "", content, 0):
+                    yield _arrow([row], arrow)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
 
-    return found.mapInArrow(run, schema)
+def from_binary_files(spark: SparkSession, path: str, limits: Limits | None = None, tools: decoders.Tools | None = None) -> DataFrame:
+    """Artifacts from any store that Spark reads, in path order, archives expanded; files of up to 2 GB."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return expanded(found, path, limits, tools)
 
 
 def from_table(df: DataFrame, path: F.Column, text: F.Column) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..api import scan_frames
 from ..functions.rules import Pack, built_in, line_hits, may_hit
-from ..schema import ARTIFACT_SCHEMA
-from ..sources.artifacts import _arrow, _row
+from ..lineage import cut_lineage
+from ..sources.artifacts import Limits, expanded
+from ..sources.decoders import Tools
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -18,24 +19,18 @@ def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000)
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path", "content")
 
 
-def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, pack: Pack | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Scans new files and writes coverage and hits as Parquet to ``output``, one folder per batch, so a repeated batch replaces itself."""
+def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, pack: Pack | None = None, trigger: dict | None = None, limits: Limits | None = None, tools: Tools | None = None) -> StreamingQuery:
+    """Scans new files, archives expanded, and writes coverage and hits as Parquet to ``output``, one folder per batch, so a repeated batch replaces itself.
+
+    Hits are numbered within their batch, whose number is the first part of their id.
+    """
     pack = pack or built_in()
 
     def batch(df: DataFrame, number: int) -> None:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = df.sparkSession.createDataFrame([], ARTIFACT_SCHEMA).schema
-        arrow = to_arrow_schema(schema)
-
-        def probed(batches):
-            for b in batches:
-                for r in b.to_pylist():
-                    yield _arrow([_row(r["path"], r["path"], folder, "", bytes(r["content"]))], arrow)
-
-        frames = scan_frames(df.mapInArrow(probed, schema), pack)
+        frames = scan_frames(cut_lineage(expanded(df, folder, limits, tools)), pack)
+        named = frames.hits.withColumn("hit_id", F.concat(F.lit(f"B{number:06d}-"), F.col("hit_id")))
         frames.coverage.write.mode("overwrite").parquet(f"{output}/coverage/batch={number}")
-        frames.hits.write.mode("overwrite").parquet(f"{output}/hits/batch={number}")
+        named.write.mode("overwrite").parquet(f"{output}/hits/batch={number}")
 
     return stream_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

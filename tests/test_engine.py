@@ -255,6 +255,27 @@ def test_drop_folder(spark, tmp_path):
     assert hits.count() == 2 and hits.select("artifact_path").distinct().count() == 2
 
 
+def test_archives_in_the_drop_folder(spark, tmp_path):
+    from tests.test_files import NONE, make_zip
+
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        inner = make_zip({"deep.log": b"dns down\n"})
+        (tmp_path / "in" / f"b{k}.zip").write_bytes(make_zip({f"a{k}.log": b"error\nok\n", "inner.zip": inner, "../up.log": b"x"}))
+        dropfolder.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), tools=NONE).awaitTermination(120)
+    hits = spark.read.parquet(str(tmp_path / "out/hits")).collect()
+    assert sorted(h.matched_text for h in hits) == ["dns", "dns", "error", "error"] and len({h.hit_id for h in hits}) == 4
+    cover = spark.read.parquet(str(tmp_path / "out/coverage"))
+    assert cover.filter("decoder_status = 'unsafe-archive-path-refused'").count() == 2 and cover.filter("extracted_from <> ''").count() == 8
+
+
+def test_samples_match_their_patterns():
+    from stratalog.plans import views
+
+    pack, samples = R.built_in(), iter(views.SAMPLES)
+    assert all(re.search(p, next(samples), re.I) for r in pack.rules for p in r.patterns) and all(t in next(samples) for t in pack.terms)
+
+
 def test_windowed_hits(spark):
     rows = [("2024-01-01 00:10:00", "error"), ("2024-01-01 00:50:00", "ERROR timeout"), ("2024-01-01 01:10:00", "ok"), ("2024-01-01 02:10:00", "dns")]
     df = spark.createDataFrame(rows, "t string, raw_line string").select(F.to_timestamp("t").alias("ts"), "raw_line")

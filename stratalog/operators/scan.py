@@ -71,17 +71,24 @@ def with_context(lines: DataFrame, block: int = LINE_BLOCK, n: int = T.CONTEXT)
     return out.filter(F.col("__block") == F.col("__own")).drop("__own", "__block")
 
 
+def _few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, stored, with a broadcast hint if it has at most ``most`` rows; beyond that both sides of a join are shuffled."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def row_hits(lines: DataFrame, pack: Pack, encoding: str = "utf-8") -> DataFrame:
     """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line): for logs too large for one row.
 
-    Hits are found where the lines are; only lines next to a line with hits go through a shuffle for their context. A
-    null line counts as empty; lines of one path have different numbers.
+    Hits are found where the lines are; lines next to a line with hits are then looked for, and only they go through a
+    shuffle for their context, as long as they are few enough to be told to all tasks. A null line counts as empty; lines
+    of one path have different numbers.
     """
     hits = _exploded(lines.withColumn("encoding", F.lit(encoding)), pack, True)
     may, _ = compiled("raw_line", pack, True)
     steps = F.array(*[F.lit(k) for k in range(-T.CONTEXT, T.CONTEXT + 1) if k])
     wanted = lines.filter(may).select("artifact_path", "line_number").select("artifact_path", F.col("line_number").alias("at"), F.explode(steps).alias("step"))
-    wanted = wanted.select("artifact_path", "at", (F.col("at") + F.col("step")).alias("line_number"))
+    wanted = _few(wanted.select("artifact_path", "at", (F.col("at") + F.col("step")).alias("line_number")))
     near = lines.select("artifact_path", "line_number", F.coalesce("raw_line", F.lit("")).alias("line")).join(wanted, ["artifact_path", "line_number"])
     said = F.sort_array(F.collect_list(F.struct("line_number", "line")))
     near = near.groupBy("artifact_path", "at").agg(said.alias("near"))  # at most the lines of the context

@@ -87,7 +87,7 @@ def phrase_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
     second = postings.select("row", "pos", F.col("term").alias("term2")).join(broadcast_if_small(pairs.select("term2", "gap", "pair")), "term2").select("row", (F.col("pos") - F.col("gap")).alias("pos"), "pair")
     met = cut_lineage(first.join(second, ["row", "pos", "pair"]).join(broadcast_if_small(shapes), "pair").select("row", "pos", "shapes"))
     around = postings.filter("near is not null").select("row", "pos", "low", "near")
-    met = around.join(broadcast_if_small(met), ["row", "pos"]).select("row", "pos", "low", "near", F.explode("shapes").alias("s"))
+    met = around.join(met, ["row", "pos"]).select("row", "pos", "low", "near", F.explode("shapes").alias("s"))
     start = F.col("pos") - F.col("s.off")
     met = met.filter(start >= F.col("low")).select("row", start.alias("low"), (start + F.col("s.n")).alias("high"), F.slice("near", start - F.col("low") + 1, F.col("s.n")).alias("window"))
     return met.join(broadcast_if_small(wanted.select("window")), "window").select("row", "low", "high", "window")

@@ -20,6 +20,8 @@ from ..lineage import cut_lineage
 from .common import running, table
 
 WEIGHTS, SHARE, MOST_COPIES, BLOCK, HELD, SEED = (3, 1, 2), 1.5, 2, 2048, 12, 42
+#: Rows that one task moves through its blocks.
+TASK = 8 * BLOCK
 _EPS = 1e-9
 
 
@@ -133,6 +135,12 @@ def _told_apart(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(twice, same, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(again))
 
 
+def _blocks(open_: DataFrame) -> tuple[int, int]:
+    """How many blocks the largest source needs, and how many tasks of ``TASK`` rows all rows need."""
+    most, rows = open_.groupBy("source").count().agg(F.max("count"), F.sum("count")).first()
+    return -(-(most or 0) // BLOCK), -(-(rows or 0) // TASK)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """(row, id, source, size, source_size, target, copies, taken) for every row of ``docs``, and its columns ``keep``.
 
@@ -148,19 +156,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = with_rate.withColumn("whole", F.floor(F.col("rate") + _EPS)).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("goal_source")
     parts = cut_lineage(parts)
     open_ = _told_apart(parts.filter(F.col("pi") > _EPS).select("row", "id", "source", "size", "pi"))
-    largest = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    blocks, tasks = _blocks(open_)
     decided, depth = None, 0
-    while largest:
-        blocks = -(-largest // BLOCK)
+    while blocks:
         per_source = open_.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("n")).withColumnRenamed("source", "n_source")
         dealt = open_.join(per_source, F.col("source").eqNullSafe(F.col("n_source"))).withColumn("block", F.pmod(F.xxhash64("id", "size", "nth", F.lit(seed + depth)), F.col("n")))
+        dealt = dealt.repartition(tasks, "source", "block")  # a block is little data and much work
         done = cut_lineage(dealt.groupBy("source", "block").applyInArrow(_round(blocks == 1, seed + depth), "row long, id long, source string, size long, nth long, pi double"))
         settled = done.filter(f"pi <= {_EPS} or pi >= {1 - _EPS}").select("row", F.round("pi").cast("long").alias("extra"))
         decided = settled if decided is None else decided.unionByName(settled)
         if blocks == 1:
             break
         open_, depth = done.filter(f"pi > {_EPS} and pi < {1 - _EPS}"), depth + 1
-        largest = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        blocks, tasks = _blocks(open_)
     out = parts if decided is None else parts.join(decided, "row", "left")
     copies = F.col("whole").cast("long") + (F.coalesce(F.col("extra"), F.lit(0)) if decided is not None else F.lit(0))
     return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", "id", "source", "size", "source_size", "target", "copies", "taken", *keep)

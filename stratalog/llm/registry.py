@@ -1,9 +1,12 @@
 """Queries of the corpus operators, with SQL where SQL can express them."""
 
+from .codes import OP13_SQL, op13_vector_codes
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .fillmiddle import op12_fill_in_middle
 from .htmltext import op2_html_extraction
 from .mixing import op7_mix_sources
 from .pii import op8_pii
+from .quality import op11_quality_classifier
 from .secrets import op6_secret_scans
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op5_toxicity
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
     "op10_exact_top_k_search": op10_exact_top_k_search,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES = {"op3_benchmark_decontamination": OP3_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k_search": OP10_SQL}
+ORACLES = {"op3_benchmark_decontamination": OP3_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k_search": OP10_SQL, "op13_vector_codes": OP13_SQL}

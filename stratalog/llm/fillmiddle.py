@@ -32,7 +32,7 @@ PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 MARKS = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
 #: Place of the stretch behind each mark in the text.
 PLACE = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
-SEED, RATE, SPM, PIECE = 7, 100, 50, 1 << 16
+SEED, RATE, SPM, PIECE, PART_BYTES = 7, 100, 50, 1 << 16, 32 << 20
 ROW = "doc_id long, n long, form string, prefix_chars long, middle_chars long"
 #: Sorts behind every piece.
 _LAST = (9, 0)
@@ -104,13 +104,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
                 for i, x in enumerate(_cuts(data, begin, end, piece), 1):
                     yield (key, (k, i)), x
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).rdd
-    keyed = rows.mapPartitionsWithIndex(cut)
-    return keyed.repartitionAndSortWithinPartitions(_parts(docs, parts), _owner)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    keyed = texts.rdd.mapPartitionsWithIndex(cut)
+    return keyed.repartitionAndSortWithinPartitions(parts or parts_for(texts), _owner)
 
 
-def _parts(docs: DataFrame, parts: int | None) -> int:
-    return parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def parts_for(texts: DataFrame) -> int:
+    """As many partitions as keep the text of each near PART_BYTES: nothing adapts the number of an RDD's partitions later on."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
 
 
 def _head(data: bytes) -> tuple:

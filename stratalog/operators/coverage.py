@@ -45,7 +45,7 @@ def coverage(found: DataFrame, exact_chunks: bool = True) -> DataFrame:
     x = found.withColumn("kind", kind).withColumn("utf16", F.col("utf16_text").isNotNull())
     x = x.withColumn("e", F.when(F.col("kind") == "text", encoding_of(F.col("content"), F.col("utf16"))))
     x = x.withColumn("text", F.when(F.col("e.ok"), decoded(F.col("content"), F.col("e.encoding"), F.col("utf16_text"))))
-    x = x.withColumns({"n_lines": line_count(F.col("text")), "flags": pattern_flags(F.col("text")), "size": F.octet_length("content").cast("long")}).drop("content", "text", "utf16_text", "marker_text")
+    x = x.withColumns({"n_lines": line_count(F.col("text")), "flags": pattern_flags(F.col("text")), "size": F.coalesce("size", F.octet_length("content").cast("long"))}).drop("content", "text", "utf16_text", "marker_text")
     counts = fragments(binary_part(found), exact_chunks).groupBy("artifact_ord").agg(F.count("*").alias("runs"))
     x = x.join(counts, "artifact_ord", "left")
     ok, runs, told = F.coalesce(F.col("e.ok"), F.lit(False)), F.coalesce("runs", F.lit(0)), F.col("decoder").isNotNull()

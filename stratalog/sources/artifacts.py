@@ -10,9 +10,10 @@ import stat
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ PROBE = 4096
 
 @dataclass(frozen=True)
 class Limits:
-    """``per_input`` gives every top-level input its own budget and seen archives, so that all expand in parallel; else they share one, in scan order."""
+    """``per_input`` gives every top-level input its own budget and seen archives, else all share one, in scan order."""
 
     max_archive_depth: int = 5
     max_total_extracted_bytes: int = 1_073_741_824
@@ -75,11 +76,16 @@ def probe(content: bytes) -> dict:
     return out
 
 
-def _row(ord_: str, path: str, original: str, parent: str, content: bytes | None, policy: tuple | None = None, decoder=None) -> dict:
-    """policy: (family, identified_by, review_mode, status, limitations)."""
+def row_of(ord_: str, path: str, original: str, parent: str, content: bytes | None, policy: tuple | None = None, size: int | None = None, known: dict | None = None) -> dict:
+    """A row of ARTIFACT_SCHEMA. policy: (family, identified_by, review_mode, status, limitations); known: what ``probe`` told of the content."""
     named = policy and dict(zip(("family", "identified_by", "review_mode", "status", "limitations"), policy))
-    row = {"artifact_ord": ord_, "artifact_path": path, "original_input_path": original, "extracted_from": parent, "content": content, "policy": named, "decoder": decoder, "archive_limitations": []}
-    return row | (probe(content) if content is not None else dict.fromkeys(("is_zip", "is_tar", "is_json", "marker_text", "utf16_text", "utf16_error")))
+    row = {"artifact_ord": ord_, "artifact_path": path, "original_input_path": original, "extracted_from": parent, "content": content, "policy": named, "decoder": None, "archive_limitations": [], "size": size}
+    told = known or (probe(content) if content is not None else {})
+    return row | {k: told.get(k) for k in ("is_zip", "is_tar", "is_json", "marker_text", "utf16_text", "utf16_error")}
+
+
+def policy_row(ord_: str, path: str, original: str, parent: str, by: str, status: str, limits: str, mode: str = "skipped-by-policy") -> dict:
+    return row_of(ord_, path, original, parent, None, ("unknown", by, mode, status, limits))
 
 
 def _specialised(path: str) -> str | None:
@@ -90,6 +96,26 @@ def _specialised(path: str) -> str | None:
     return fixed.TOOL_ARCHIVE_SUFFIXES.get(suffix) or fixed.DECODER_SUFFIXES.get(suffix)
 
 
+def _content_decides(row: dict) -> bool:
+    """Whether markers, XML or HTML decide the family before the name does."""
+    low = (row["marker_text"] or "").lower()
+    counts = [sum(m.lower() in low for m in ms) for ms in fixed.MARKERS.values()]
+    if max(counts) >= 2 or max(counts) == 1 and any(m.lower() in low for m in fixed.STRONG_MARKERS):
+        return True
+    head = row["content"][:PROBE].lstrip()
+    return head.startswith((b"<?xml", b"<Event")) or b"<html" in head[:512].lower() or b"<!doctype html" in head[:512].lower()
+
+
+def named_archive(path: str, row: dict) -> bool:
+    """An archive by name alone: it takes a number and a hash although nothing comes out of it."""
+    return path.lower().endswith((".zip", *fixed.TAR_SUFFIXES)) and not row["is_json"] and not _content_decides(row)
+
+
+def decodable(path: str, row: dict) -> str | None:
+    """The format by name of a file that a tool may open."""
+    return None if row["is_json"] or _content_decides(row) else _specialised(path)
+
+
 def _needs_expanding(path: str) -> bool:
     """Whether more artifacts may come out of this file: archives by content or name, and formats with tools. Reads no more than it has to."""
     if path.lower().endswith((".zip", *fixed.TAR_SUFFIXES)) or _specialised(path):
@@ -125,11 +151,11 @@ class Expander:
         if depth:
             self.extra += 1
         artifact_no = self.number + self.extra
-        row = _row(self.next_ord(), path, original, parent, content)
+        row = row_of(self.next_ord(), path, original, parent, content)
         children: list[tuple[str, bytes]] = []
         is_archive = row["is_zip"] or row["is_tar"]
-        named = self._named_archive(path, row)
-        if content is not None and not is_archive and not named and (kind := self._decodable(path, row)):
+        named = content is not None and named_archive(path, row)
+        if content is not None and not is_archive and not named and (kind := decodable(path, row)):
             row["decoder"], children = decoders.decode(kind, path, content, f"{artifact_no:06d}", self.root, self.tools, self._budget)
         later: list[dict] = []
         members: list[tuple[str, bytes]] = []
@@ -140,37 +166,14 @@ class Expander:
         for child, data in members or children:
             yield from self.file(child, original, path, data, depth + 1)
 
-    @staticmethod
-    def _named_archive(path: str, row: dict) -> bool:
-        """An archive by name alone: it takes a number and a hash although nothing comes out of it."""
-        from_content = row["is_json"] or Expander._content_decides(row)
-        return not from_content and path.lower().endswith((".zip", *fixed.TAR_SUFFIXES))
-
-    @staticmethod
-    def _decodable(path: str, row: dict) -> str | None:
-        return None if row["is_json"] or Expander._content_decides(row) else _specialised(path)
-
-    @staticmethod
-    def _content_decides(row: dict) -> bool:
-        """Whether markers, XML or HTML decide the family before the name does."""
-        low = (row["marker_text"] or "").lower()
-        counts = [sum(m.lower() in low for m in ms) for ms in fixed.MARKERS.values()]
-        if max(counts) >= 2 or max(counts) == 1 and any(m.lower() in low for m in fixed.STRONG_MARKERS):
-            return True
-        head = row["content"][:PROBE].lstrip()
-        return head.startswith((b"<?xml", b"<Event")) or b"<html" in head[:512].lower() or b"<!doctype html" in head[:512].lower()
-
     def _budget(self, size: int) -> str | None:
         """Takes ``size`` from the budget; why it can't, if so."""
-        if size > self.limits.max_single_file_bytes:
-            return f"File exceeds max_single_file_bytes ({self.limits.max_single_file_bytes})."
-        if self.total + size > self.limits.max_total_extracted_bytes:
-            return f"Extraction exceeds max_total_extracted_bytes ({self.limits.max_total_extracted_bytes})."
-        self.total += size
-        return None
+        why = budget_refusal(size, self.total, self.limits)
+        self.total += 0 if why else size
+        return why
 
     def _policy(self, path, original, parent, by, status, limits, mode="skipped-by-policy") -> dict:
-        return _row(self.next_ord(), path, original, parent, None, ("unknown", by, mode, status, limits))
+        return policy_row(self.next_ord(), path, original, parent, by, status, limits, mode)
 
     def _extract(self, path: str, original: str, content: bytes, depth: int, row: dict, later: list[dict]) -> list[tuple[str, bytes]]:
         if depth >= self.limits.max_archive_depth:
@@ -193,68 +196,103 @@ class Expander:
             refused.append(self._policy(f"{path}!{name}", original, path, "archive-member:zip-encrypted", "password-required", fixed.LIMIT_PASSWORD, "skipped-password-required"))
 
         try:
-            if row["is_zip"]:
-                self._zip(content, folder, refuse, locked, members)
-            elif row["is_tar"]:
-                self._tar(content, folder, refuse, members)
-        except (OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, zlib.error) as e:
+            for m in directory(io.BytesIO(content), row["is_zip"]) if row["is_zip"] or row["is_tar"] else ():
+                if m.refusal:
+                    refuse(m.name, m.refusal)
+                elif m.locked:
+                    locked(m.name)
+                elif why := self._budget(m.size):
+                    refuse(m.name, why)
+                else:
+                    try:
+                        data = m.read()
+                    except Locked:
+                        self.total -= m.size
+                        locked(m.name)
+                        continue
+                    if data is None:
+                        refuse(m.name, fixed.LIMIT_TAR_UNREADABLE)
+                    else:
+                        members.append((os.path.join(folder, m.target), data))
+        except BROKEN as e:
             later += [*refused, self._policy(path, original, path, "extract:error", "unreadable", f"Archive extraction failed: {e}", "unreadable")]
             return []
         later += refused
         row["archive_limitations"] = list(dict.fromkeys(limitations))
         return members
 
-    def _zip(self, content, folder, refuse, locked, members):
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            for m in archive.infolist():
-                if m.is_dir():
-                    continue
-                target = safe_target(m.filename, folder)
-                if target is None:
-                    refuse(m.filename, fixed.LIMIT_UNSAFE_PATH)
-                elif stat.S_ISLNK(m.external_attr >> 16):
-                    refuse(m.filename, fixed.LIMIT_ZIP_LINK)
-                elif m.flag_bits & 1:
-                    locked(m.filename)
-                elif why := self._budget(m.file_size):
-                    refuse(m.filename, why)
-                else:
-                    try:
-                        members.append((target, archive.read(m)))
-                    except NotImplementedError:
-                        raise
-                    except RuntimeError as e:
-                        if "password required" not in str(e).lower():
-                            raise OSError(str(e)) from e
-                        self.total -= m.file_size
-                        locked(m.filename)
-
-    def _tar(self, content, folder, refuse, members):
-        with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-            for m in archive.getmembers():
-                if m.isdir():
-                    continue
-                target = safe_target(m.name, folder)
-                if target is None:
-                    refuse(m.name, fixed.LIMIT_UNSAFE_PATH)
-                elif m.issym() or m.islnk():
-                    refuse(m.name, fixed.LIMIT_TAR_LINK)
-                elif not m.isfile():
-                    refuse(m.name, fixed.LIMIT_TAR_KIND)
-                elif why := self._budget(m.size):
-                    refuse(m.name, why)
-                elif (source := archive.extractfile(m)) is None:
-                    refuse(m.name, fixed.LIMIT_TAR_UNREADABLE)
-                else:
-                    members.append((target, source.read()))
+
+@dataclass(frozen=True)
+class Member:
+    """A file of an archive as its directory tells it: ``target`` is its path below the folder it goes to; ``refusal`` says why it may not."""
+
+    no: int
+    name: str
+    size: int
+    target: str | None
+    refusal: str | None
+    locked: bool
+    read: Callable[[], bytes | None]
+
+
+class Locked(Exception):
+    """A member turned out to need a password."""
 
 
-def safe_target(name: str, folder: str) -> str | None:
-    """Where a member goes under ``folder``; None if its path is absolute, empty, begins with a drive or climbs."""
+#: What an archive that can't be read raises.
+BROKEN = (OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, zlib.error)
+
+
+def _zip_reader(archive: zipfile.ZipFile, m: zipfile.ZipInfo):
+    def read():
+        try:
+            return archive.read(m)
+        except NotImplementedError:
+            raise
+        except RuntimeError as e:
+            if "password required" in str(e).lower():
+                raise Locked from e
+            raise OSError(str(e)) from e
+
+    return read
+
+
+def _tar_reader(archive: tarfile.TarFile, m: tarfile.TarInfo):
+    return lambda: source.read() if (source := archive.extractfile(m)) is not None else None
+
+
+def directory(f: BinaryIO, is_zip: bool) -> Iterator[Member]:
+    """The files of an archive in order, links and special files too; folders are left out. Contents are read on demand."""
+    if is_zip:
+        with zipfile.ZipFile(f) as archive:
+            files = [m for m in archive.infolist() if not m.is_dir()]
+            for k, m in enumerate(files):
+                target = safe_target(m.filename)
+                refusal = fixed.LIMIT_UNSAFE_PATH if target is None else fixed.LIMIT_ZIP_LINK if stat.S_ISLNK(m.external_attr >> 16) else None
+                yield Member(k, m.filename, m.file_size, target, refusal, bool(m.flag_bits & 1), _zip_reader(archive, m))
+        return
+    with tarfile.open(fileobj=f) as archive:
+        for k, m in enumerate(m for m in archive.getmembers() if not m.isdir()):
+            target = safe_target(m.name)
+            refusal = fixed.LIMIT_UNSAFE_PATH if target is None else fixed.LIMIT_TAR_LINK if m.issym() or m.islnk() else None if m.isfile() else fixed.LIMIT_TAR_KIND
+            yield Member(k, m.name, m.size, target, refusal, False, _tar_reader(archive, m))
+
+
+def budget_refusal(size: int, total: int, limits: Limits) -> str | None:
+    """Why a file of this size may not be added to the total; None if it may."""
+    if size > limits.max_single_file_bytes:
+        return f"File exceeds max_single_file_bytes ({limits.max_single_file_bytes})."
+    if total + size > limits.max_total_extracted_bytes:
+        return f"Extraction exceeds max_total_extracted_bytes ({limits.max_total_extracted_bytes})."
+    return None
+
+
+def safe_target(name: str) -> str | None:
+    """Where a member goes below its folder; None if its path is absolute, empty, begins with a drive or climbs."""
     parts = PurePosixPath(name.replace("\\", "/")).parts
     if not parts or parts[0].startswith("/") or parts[0].endswith(":") or ".." in parts:
         return None
-    return os.path.join(folder, *parts)
+    return os.path.join(*parts)
 
 
 def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -264,9 +302,9 @@ def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits: Limits | None = None, tools: decoders.Tools | None = None, files_per_task: int = 64) -> DataFrame:
     """All artifacts of the entries, in ARTIFACT_SCHEMA.
 
-    Plain files are read in parallel. Those out of which more may come are expanded in scan order by one task, for they
-    share a byte budget and the archives seen; with ``limits.per_input`` each has its own and all expand in parallel.
-    What is expanded is stored in the shared folder; plain files are read again by whoever needs their bytes again.
+    All files are read in parallel. Those out of which more may come share a byte budget and the archives seen, in scan
+    order; ``bundles`` gives what one walk after another would. With ``limits.per_input`` each has its own. What is
+    expanded is stored in the shared folder; plain files are read again by whoever needs their bytes again.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -280,9 +318,9 @@ def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits:
     def plain(batches):
         for b in batches:
             for e in b.to_pylist():
-                ord_ = f"{e['ord']:09d}-{1:09d}"
+                ord_ = f"{e['ord']:09d}"
                 if e["by"]:
-                    yield _arrow([_row(ord_, e["path"], e["original"], "", None, ("unknown", e["by"], e["mode"], e["status"], e["limits"]))], arrow)
+                    yield _arrow([policy_row(ord_, e["path"], e["original"], "", e["by"], e["status"], e["limits"], e["mode"])], arrow)
                     continue
                 if _needs_expanding(e["path"]):
                     continue
@@ -291,7 +329,7 @@ def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits:
                         content = f.read()
                 except OSError:
                     content = None
-                yield _arrow([_row(ord_, e["path"], e["original"], "", content)], arrow)
+                yield _arrow([row_of(ord_, e["path"], e["original"], "", content)], arrow)
 
     def which(batches):
         for b in batches:
@@ -299,18 +337,20 @@ def artifacts(spark: SparkSession, entries: list[Entry], workspace: str, limits:
             yield b.filter(pa.array(keep, pa.bool_()))
 
     def expand(batches):
-        walk = Expander(workspace, limits, tools)
         for b in batches:
             for e in b.to_pylist():
-                if limits.per_input:
-                    walk = Expander(workspace, limits, tools, f"{e['ord']:06d}-")
-                for row in walk.top(e):
+                for row in Expander(workspace, limits, tools, f"{e['ord']:06d}-").top(e):
                     yield _arrow([row], arrow)
 
     nested = manifest.mapInArrow(which, manifest.schema)
-    if not limits.per_input:
-        nested = nested.repartition(1).sortWithinPartitions("ord")
-    return manifest.mapInArrow(plain, schema).unionByName(cut_lineage(nested.mapInArrow(expand, schema)))
+    if limits.per_input:
+        found = nested.mapInArrow(expand, schema)
+    else:
+        from .bundles import expanded_together
+
+        sources = nested.select(F.lpad(F.col("ord").cast("string"), 9, "0").alias("key"), "path", "original", "file_no", F.lit(None).cast("binary").alias("content"))
+        found = expanded_together(cut_lineage(sources), workspace, limits, tools)
+    return manifest.mapInArrow(plain, schema).unionByName(cut_lineage(found))
 
 
 def from_contents(files: DataFrame, root: str = "") -> DataFrame:
@@ -323,7 +363,7 @@ def from_contents(files: DataFrame, root: str = "") -> DataFrame:
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield _arrow([_row(path, path, root or path, "", content)], arrow)
+                yield _arrow([row_of(path, path, root or path, "", content)], arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -361,8 +401,8 @@ def from_table(df: DataFrame, path: F.Column, text: F.Column) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     fields = {"is_zip": F.lit(False), "is_tar": F.lit(False), "is_json": F.lit(False)}
     out = df.select(path.alias("artifact_path"), text.cast("binary").alias("content")).withColumns(fields)
-    out = out.withColumns({"artifact_ord": F.col("artifact_path"), "original_input_path": F.col("artifact_path"), "extracted_from": F.lit(""), "marker_text": F.substring("content", 1, PROBE).cast("string"), "utf16_text": none("string"), "utf16_error": none("string")})
+    out = out.withColumns({"artifact_ord": F.col("artifact_path"), "original_input_path": F.col("artifact_path"), "extracted_from": F.lit(""), "marker_text": F.substring("content", 1, PROBE).cast("string"), "utf16_text": none("string"), "utf16_error": none("string"), "size": none("long")})
     schema = ARTIFACT_SCHEMA.split("policy ", 1)[1]
     policy, rest = schema.split(", decoder ", 1)
-    decoder, limits = rest.split(", archive_limitations ", 1)
+    decoder, limits = rest.removesuffix(", size long").split(", archive_limitations ", 1)
     return out.withColumns({"policy": none(policy), "decoder": none(decoder), "archive_limitations": F.array().cast(limits)})

@@ -51,6 +51,13 @@ class Tools:
         return next((p for b in bundled if os.path.isfile(p := os.path.join(self.folder, b))), None) or next((p for n in on_path if (p := shutil.which(n))), None)
 
 
+def available(kind: str, tools: Tools) -> bool:
+    """Whether this machine has what opens the format."""
+    if kind == "pdf":
+        return any(util.find_spec(m) is not None for m in ("pypdf", "PyPDF2"))
+    return tools.find({"pcap": "tshark", "pcapng": "tshark", "evtx": "wevtutil", "etl": "tracerpt", "seven_zip": "seven_zip"}.get(kind, "expand")) is not None
+
+
 def _told(used: str, status: str, limitations: str = "", fallback: bool = False) -> dict:
     return {"used": used, "status": status, "limitations": limitations, "fallback": fallback}
 

@@ -30,12 +30,13 @@ PROBE = 4096
 
 @dataclass(frozen=True)
 class Limits:
-    """``per_input`` gives every top-level input its own budget and seen archives, else all share one, in scan order."""
+    """``task_bytes`` of a file on disk are looked at whole, and so many bytes of a ZIP file's members are read by one task. ``per_input`` gives every top-level input its own budget and seen archives, else all share one, in scan order."""
 
     max_archive_depth: int = 5
     max_total_extracted_bytes: int = 1_073_741_824
     max_single_file_bytes: int = 268_435_456
     per_input: bool = False
+    task_bytes: int = 268_435_456
 
 
 def _is_tar(content: bytes) -> bool:

@@ -35,8 +35,6 @@ from ..schema import ARTIFACT_SCHEMA
 from . import decoders
 from .artifacts import BROKEN, PROBE, Limits, Locked, Member, budget_refusal, decodable, directory, named_archive, policy_row, probe, row_of
 
-#: Bytes of members that one task reads of a ZIP file on disk; files of up to this size are looked at whole.
-RANGE, WHOLE = 256 << 20, 256 << 20
 SOURCE = "key string, path string, original string, file_no long, content binary"
 _NODE = "node string, kind string, path string, content binary"
 _CHUNK = f"{_NODE}, first long, last long"
@@ -48,14 +46,14 @@ def _opened(path: str, content: bytes | None):
     return io.BytesIO(content) if content is not None else open(path, "rb")
 
 
-def _head(path: str, content: bytes | None) -> tuple[bytes | None, int]:
-    """(content as far as it is kept, size): whole up to WHOLE bytes, else the head; None if the file can't be read."""
+def _head(path: str, content: bytes | None, limits: Limits) -> tuple[bytes | None, int]:
+    """(content as far as it is kept, size): whole up to ``limits.task_bytes``, else the head; None if the file can't be read."""
     if content is not None:
         return content, len(content)
     try:
         size = os.path.getsize(path)
         with open(path, "rb") as f:
-            return f.read() if size <= WHOLE else f.read(PROBE), size
+            return f.read() if size <= limits.task_bytes else f.read(PROBE), size
     except OSError:
         return None, 0
 
@@ -68,12 +66,12 @@ def _digest(path: str, content: bytes | None) -> str:
     return out.hexdigest()
 
 
-def node_of(path: str, content: bytes | None, tools: decoders.Tools) -> tuple[str, str] | None:
+def node_of(path: str, content: bytes | None, limits: Limits, tools: decoders.Tools) -> tuple[str, str] | None:
     """(node, kind) of a file out of which more may come: zip, tar, named (an archive by name alone) or tool; None for others.
 
     Archives are known by their content, files for a tool by name and content.
     """
-    head, size = _head(path, content)
+    head, size = _head(path, content, limits)
     if head is None:
         return None
     row = _probed(path, head, size)
@@ -111,6 +109,11 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 32 << 20) -> I
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over all tasks: its rows are small, what is read for each is not, so their number must not be adapted to their size."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
     """``f`` of each row as a dict gives rows of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -123,7 +126,7 @@ def _map(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _ranges(node: dict) -> Iterator[dict]:
+def _ranges(node: dict, limits: Limits) -> Iterator[dict]:
     """One row for each range of members of a ZIP file on disk, one for anything else."""
     cuts = [0]
     if node["kind"] == "zip" and node["content"] is None:
@@ -131,7 +134,7 @@ def _ranges(node: dict) -> Iterator[dict]:
             with open(node["path"], "rb") as f:
                 held = 0
                 for m in directory(f, True):
-                    if held and held + m.size > RANGE:
+                    if held and held + m.size > limits.task_bytes:
                         cuts.append(m.no)
                         held = 0
                     held += m.size
@@ -146,12 +149,12 @@ def _listed(chunk: dict, limits: Limits, tools: decoders.Tools) -> Iterator[dict
     base = {"node": chunk["node"], "chunk": chunk["first"], "upto": chunk["last"], "fault": None, "said": None, "child": None, "child_kind": None, "shown": None, "content": None}
 
     def child(path: str, shown: str, data: bytes) -> dict:
-        found = node_of(path, data, tools)
+        found = node_of(path, data, limits, tools)
         return {"child": found[0], "child_kind": found[1], "shown": shown, "content": data} if found else {}
 
     if chunk["kind"] == "tool":
         sizes: list[int] = []
-        _, found = decoders.decode(chunk["node"].split(":", 1)[0], chunk["path"], chunk["content"] if chunk["content"] is not None else _head(chunk["path"], None)[0], "\0", "\1", tools, lambda size: sizes.append(size))
+        _, found = decoders.decode(chunk["node"].split(":", 1)[0], chunk["path"], chunk["content"] if chunk["content"] is not None else _head(chunk["path"], None, limits)[0], "\0", "\1", tools, lambda size: sizes.append(size))
         for k, (shown, data) in enumerate(found):
             size = sizes[k] if sizes else 0
             if size <= limits.max_single_file_bytes:
@@ -189,7 +192,7 @@ def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tupl
     """
 
     def top(r):
-        if found := node_of(r["path"], r["content"], tools):
+        if found := node_of(r["path"], r["content"], limits, tools):
             yield {k: r[k] for k in ("key", "path", "original", "file_no")} | {"node": found[0], "kind": found[1]}
 
     tops = cut_lineage(_map(sources, top, "key string, path string, original string, file_no long, node string, kind string"))
@@ -198,8 +201,8 @@ def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tupl
     known, members, depth = None, [], 0
     contents = [frontier.select("node", "content", F.col("path").alias("at"))]
     while True:
-        chunks = _map(frontier, _ranges, _CHUNK)
-        found = cut_lineage(_map(chunks.repartition("node", "first"), lambda c: _listed(c, limits, tools), _MEMBER))
+        chunks = _map(frontier, lambda n: _ranges(n, limits), _CHUNK)
+        found = cut_lineage(_map(_dealt(chunks, "node", "first"), lambda c: _listed(c, limits, tools), _MEMBER))
         members.append(found.drop("content"))
         nodes = frontier.select("node")
         known = cut_lineage(nodes if known is None else known.unionByName(nodes))
@@ -303,7 +306,7 @@ def _say(key: str, k: int) -> str:
 
 def _leaf(key: str, path: str, original: str, parent: str, data: bytes | None, depth: int, number: str, root: str, limits: Limits, tools: decoders.Tools) -> Iterator[dict]:
     """The rows of a file out of which nothing comes: archives at the depth limit or seen before say so, files for a missing tool too."""
-    head, size = _head(path, data)
+    head, size = _head(path, data, limits)
     row = row_of(key, path, original, parent, head, size=size, known=head is not None and _probed(path, head, size))
     archive = row["is_zip"] or row["is_tar"]
     if archive:
@@ -349,7 +352,7 @@ def _emit(r: dict, root: str, limits: Limits, tools: decoders.Tools, tag: str) -
     """The artifacts of one range of an opened node: with the first range the node's own row and what was refused, then what came out."""
     key, path, original, up, depth = r["key"], r["path"], r["original"], r["extracted_from"], r["depth"]
     opened, at = set(r["kids"]), r["at"]
-    head, size = _head(at, r["content"])
+    head, size = _head(at, r["content"], limits)
     if r["kind"] == "tool":
         left = [r["total"]]
 
@@ -431,7 +434,7 @@ def emitted(sources: DataFrame, tops: DataFrame, members: DataFrame, contents: D
     if not tooled:
         x = x.withColumn("file", F.lit(0).cast("long"))
     fields = ["key", "node", "kind", "depth", "path", "original", "extracted_from", "number", "file", "first", "last", "total", "end", "faults", "kids", "content", "at"]
-    todo = x.join(contents, "node").select(*fields).repartition("key", "first")
+    todo = _dealt(x.join(contents, "node").select(*fields), "key", "first")
     out = _map(todo, lambda r: _emit(r, root, limits, tools, tag), ARTIFACT_SCHEMA)
     others = sources.join(opened.filter("parent is null").select("key"), "key", "left_anti")
     return out.unionByName(_map(others, lambda r: _leaf(r["key"], r["path"], r["original"], "", r["content"], 0, f"{r['file_no']:06d}", root, limits, tools), ARTIFACT_SCHEMA))

@@ -83,13 +83,13 @@ def together(spark, files, limits, tools):
     return found.orderBy("artifact_ord").collect()
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_random_bundles_expand_like_the_walk(spark, seed):
     rnd = random.Random(seed)
     pool: list = []
     files = [some_file(rnd, 4, pool) for _ in range(14)]
     tools = NONE if seed % 3 else Tools("", "tool", "", "", "", execute=unpack)
-    limits = Limits(rnd.choice((2, 3, 5)), (10**9, 2_000, 600)[seed % 3], (10**9, 900)[seed % 2])
+    limits = Limits(rnd.choice((2, 3, 5)), (2_000, 10**9, 600, 1_000)[seed], (10**9, 900)[seed % 2])
     want, got = walked(files, limits, tools), together(spark, files, limits, tools)
     assert [told(r.asDict(recursive=True)) for r in got] == [told(r) for r in want]
     for g, w in zip(got, want):
@@ -108,20 +108,17 @@ def test_copies_of_one_archive_are_opened_once(spark):
     assert sum(r.policy is not None for r in got) == 3 * 5 + 1 and sum(r.artifact_path.endswith(".log") for r in got) == 6
 
 
-def test_files_on_disk_are_read_by_ranges(spark, tmp_path, monkeypatch):
+def test_files_on_disk_are_read_by_ranges(spark, tmp_path):
     members = {f"{k:03d}.log": bytes([97 + k % 26]) * (k % 9) for k in range(60)} | {"in.zip": make_zip({"deep.log": b"error"}), "../up": b"x"}
+    path = str(tmp_path / "wide.zip")
     (tmp_path / "wide.zip").write_bytes(make_zip(members))
-    source = spark.createDataFrame([("000000000", str(tmp_path / "wide.zip"), "o0", 1, None)], SCHEMA)
-    for limits in (Limits(), Limits(5, 150, 7)):
-        want = walked([(str(tmp_path / "wide.zip"), (tmp_path / "wide.zip").read_bytes())], limits, NONE)
-        for span, whole in ((20, 1 << 20), (100, 8)):
-            monkeypatch.setattr(bundles, "RANGE", span)
-            monkeypatch.setattr(bundles, "WHOLE", whole)
-            got = bundles.expanded_together(source, "/w", limits, NONE).orderBy("artifact_ord").collect()
-            assert [told(r.asDict(recursive=True)) for r in got] == [told(r) for r in want]
-        nodes, _, _ = bundles.catalogue(source, limits, NONE)
-        chunks = bundles._map(nodes.selectExpr("node", "kind", "path", "cast(null as binary) content"), bundles._ranges, bundles._CHUNK).count()
-        assert chunks > 2
+    source = spark.createDataFrame([("000000000", path, "o0", 1, None)], SCHEMA)
+    for limits in (Limits(task_bytes=20), Limits(5, 150, 7, task_bytes=50)):
+        want = walked([(path, (tmp_path / "wide.zip").read_bytes())], limits, NONE)
+        found = bundles.expanded_together(source, "/w", limits, NONE).withColumn("task", F.spark_partition_id())
+        got = found.orderBy("artifact_ord").collect()
+        assert [told(r.asDict(recursive=True)) for r in got] == [told(r) for r in want] and got[0].size == (tmp_path / "wide.zip").stat().st_size
+        assert len(list(bundles._ranges({"kind": "zip", "path": path, "content": None}, limits))) > 4 and len({r.task for r in got}) > 1
 
 
 def test_no_task_gets_all_archives(spark):

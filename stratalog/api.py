@@ -16,7 +16,7 @@ from .functions.rules import Pack, built_in
 from .lineage import cut_lineage
 from .operators import findings as G
 from .operators.coverage import binary_part, classified, coverage, text_part
-from .operators.scan import binary_hits, fragments, line_arrays, numbered, row_hits, text_hits
+from .operators.scan import add_context, binary_hits, fragments, line_arrays, numbered, row_hits, text_hits
 from .schema import COVERAGE_COLUMNS, FILE_FINDING_COLUMNS, HIT_COLUMNS, RULE_FINDING_COLUMNS
 from .sources.artifacts import Limits, artifacts
 from .sources.decoders import Tools
@@ -97,7 +97,8 @@ def scan(spark: SparkSession, inputs: list[str], workspace: str, options: Option
 
 def scan_large_logs(spark: SparkSession, path: str, pack: Pack | None = None) -> DataFrame:
     """Numbered hits of plain UTF-8 logs of any size at a path that Spark reads; files are split among tasks."""
-    return numbered(row_hits(text_lines(spark, path), pack or built_in()))
+    lines = text_lines(spark, path)
+    return numbered(add_context(row_hits(lines, pack or built_in()), lines))
 
 
 def run_scan(spark: SparkSession, inputs: list[str], output: str, options: Options | None = None) -> Result:

@@ -14,6 +14,7 @@ LINE_BLOCK = 8192
 _KEYS = ["rule_id", "severity", "product", "issue_category", "component", "kb_candidate_ids", "matched_text"]
 #: Columns of hits before they are numbered: what orders them, then what they say.
 HIT_ORDER = ["artifact_ord", "chunk_no", "kind_ord", "pos", "rule_ord"]
+CONTEXT = ("context_before", "context_after")
 HITS = [*HIT_ORDER, "artifact_path", "line_number", "byte_offset", *_KEYS, "raw_line", "context_before", "context_after", "match_type", "scanner", "encoding"]
 
 
@@ -78,24 +79,31 @@ def _few(df: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def row_hits(lines: DataFrame, pack: Pack, encoding: str = "utf-8") -> DataFrame:
-    """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line): for logs too large for one row.
+    """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line), without context: for logs too large for one row.
 
-    Hits are found where the lines are; lines next to a line with hits are then looked for, and only they go through a
-    shuffle for their context, as long as they are few enough to be told to all tasks. A null line counts as empty; lines
-    of one path have different numbers.
+    Lines are matched where they are; nothing is shuffled and nothing runs before the result is asked for. Lines of one path
+    have different numbers. ``add_context`` gives the lines around.
     """
-    hits = _exploded(lines.withColumn("encoding", F.lit(encoding)), pack, True)
-    may, _ = compiled("raw_line", pack, True)
+    x = _as_text(_exploded(lines.withColumn("encoding", F.lit(encoding)), pack, True))
+    return x.select(*[F.col(f"__h.{c}") if c in (*_KEYS, "rule_ord") else F.col(c) for c in HITS if c not in CONTEXT])
+
+
+def add_context(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """HITS of the hits of ``row_hits``, with context from the ``lines`` they were found in. A null line counts as empty.
+
+    Hits are stored; the lines next to a line with hits are then looked for in one more pass, and only they go through a
+    shuffle, as long as they are few enough to be told to all tasks.
+    """
+    hits = cut_lineage(hits)
     steps = F.array(*[F.lit(k) for k in range(-T.CONTEXT, T.CONTEXT + 1) if k])
-    wanted = lines.filter(may).select("artifact_path", "line_number").select("artifact_path", F.col("line_number").alias("at"), F.explode(steps).alias("step"))
+    wanted = hits.select("artifact_path", F.col("line_number").alias("at")).distinct().withColumn("step", F.explode(steps))
     wanted = _few(wanted.select("artifact_path", "at", (F.col("at") + F.col("step")).alias("line_number")))
     near = lines.select("artifact_path", "line_number", F.coalesce("raw_line", F.lit("")).alias("line")).join(wanted, ["artifact_path", "line_number"])
     said = F.sort_array(F.collect_list(F.struct("line_number", "line")))
     near = near.groupBy("artifact_path", "at").agg(said.alias("near"))  # at most the lines of the context
     joined = lambda on: F.array_join(F.transform(F.filter("near", on), lambda x: x["line"]), "\n")
     context = near.select("artifact_path", F.col("at").alias("line_number"), joined(lambda x: x["line_number"] < F.col("at")).alias("context_before"), joined(lambda x: x["line_number"] > F.col("at")).alias("context_after"))
-    x = hits.join(context, ["artifact_path", "line_number"], "left").na.fill("", ["context_before", "context_after"])
-    return _shape(_as_text(x))
+    return hits.join(context, ["artifact_path", "line_number"], "left").na.fill("", list(CONTEXT)).select(*HITS)
 
 
 def fragments(artifacts: DataFrame, exact_chunks: bool = True) -> DataFrame:

@@ -8,32 +8,23 @@ from pyspark.sql import functions as F
 from .. import fixed, sinks
 from ..functions.rules import built_in, dynamic_hits, rule_match, rules_table
 from ..functions.text import split_lines
+from ..lineage import cut_lineage
 from ..operators import casenum
 from ..operators import findings as G
 from ..operators.classify import by_suffix, marker_family
 from ..operators.coverage import classified, coverage
-from ..operators.scan import binary_hits, fragments, line_arrays, numbered, pattern_flags, row_hits, with_context
+from ..operators.scan import add_context, binary_hits, fragments, line_arrays, numbered, pattern_flags, row_hits, with_context
 from ..schema import RULE_FINDING_COLUMNS
 from ..sources.artifacts import from_contents, from_table
 from ..streaming.dropfolder import windowed_hits
+from . import bundled  # noqa: F401
 from . import views as V
+from .register import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "findings_by_rule"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 _PACK = built_in()
 
 
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
-
-
 def _event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_hits(V.event_lines(spark, sf_dir), _PACK)
 
@@ -85,7 +76,8 @@ def rule_hits_first_pattern(spark, sf_dir):
 @query("all_hits", f"{_EVENT_CTX} SELECT printf('H%06d', row_number() OVER (ORDER BY artifact_path, line_number, rule_ord)) AS hit_id, rule_id, severity, product, issue_category, component, artifact_path, CAST(line_number AS BIGINT) AS line_number, matched_text, raw_line, context_before, context_after, kb_candidate_ids FROM hits")
 def all_hits(spark, sf_dir):
     """Every hit of the event logs in scan order, with context and number."""
-    return numbered(_event_hits(spark, sf_dir)).select("hit_id", "rule_id", "severity", "product", "issue_category", "component", "artifact_path", "line_number", "matched_text", "raw_line", "context_before", "context_after", "kb_candidate_ids")
+    lines = V.event_lines(spark, sf_dir)
+    return numbered(add_context(row_hits(lines, _PACK), lines)).select("hit_id", "rule_id", "severity", "product", "issue_category", "component", "artifact_path", "line_number", "matched_text", "raw_line", "context_before", "context_after", "kb_candidate_ids")
 
 
 @query("hits_with_context", f"WITH {V.DOCUMENT_LINES}, {V.CONTEXT}, {V.hits_sql(V.PROSE)} SELECT artifact_path, CAST(line_number AS BIGINT) AS line_number, rule_id, matched_text, context_before, context_after FROM hits")
@@ -175,7 +167,7 @@ _EVIDENCE = f"""{_EVENT_CTX}, {_COVER}, {_TOKENS}, available AS (SELECT token FR
 
 @query("evidence_tokens", f"{_EVIDENCE} SELECT token FROM available")
 def evidence_tokens(spark, sf_dir):
-    return G.available_evidence(_event_coverage(spark, sf_dir), _event_hits(spark, sf_dir))
+    return G.available_evidence(_event_coverage(spark, sf_dir), cut_lineage(_event_hits(spark, sf_dir)))
 
 
 _ITEMS = [(f, i) for f, items in fixed.CHECKLIST.items() for i in items]
@@ -185,7 +177,7 @@ _ALIAS_SQL = "CASE " + " ".join(f"WHEN contains(lower(item), '{k}') THEN EXISTS
 
 @query("missing_evidence", f"{_EVIDENCE}, {_ITEM_SQL} SELECT item_ord, family, item, {_ALIAS_SQL} ELSE EXISTS (SELECT 1 FROM available WHERE contains(lower(item), token) OR contains(token, lower(item))) END AS observed FROM items")
 def missing_evidence(spark, sf_dir):
-    return G.checklist(_event_coverage(spark, sf_dir), _event_hits(spark, sf_dir))
+    return G.checklist(cut_lineage(_event_coverage(spark, sf_dir)), cut_lineage(_event_hits(spark, sf_dir)))
 
 
 def _marker_sql(text: str) -> str:

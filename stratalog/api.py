@@ -18,9 +18,9 @@ from .operators import findings as G
 from .operators.coverage import binary_part, classified, coverage, text_part
 from .operators.scan import add_context, binary_hits, fragments, line_arrays, numbered, row_hits, text_hits
 from .schema import COVERAGE_COLUMNS, FILE_FINDING_COLUMNS, HIT_COLUMNS, RULE_FINDING_COLUMNS
+from .sources import blocks
 from .sources.artifacts import Limits, artifacts
 from .sources.decoders import Tools
-from .sources.lines import text_lines
 from .sources.manifest import discover
 
 LOG = logging.getLogger(__name__)
@@ -95,10 +95,15 @@ def scan(spark: SparkSession, inputs: list[str], workspace: str, options: Option
     return scan_frames(found, options.pack, options.exact_chunks)
 
 
-def scan_large_logs(spark: SparkSession, path: str, pack: Pack | None = None) -> DataFrame:
-    """Numbered hits of plain UTF-8 logs of any size at a path that Spark reads; files are split among tasks."""
-    lines = text_lines(spark, path)
-    return numbered(add_context(row_hits(lines, pack or built_in()), lines))
+def scan_large_logs(spark: SparkSession, path: str, pack: Pack | None = None, block: int = blocks.BLOCK) -> DataFrame:
+    """Numbered hits of logs of any size and of all encodings at a path that Spark lists; files are read by blocks."""
+    _, lines = blocks.decoded_lines(blocks.index(spark, path, block), blocks.read)
+    return numbered(add_context(row_hits(lines, pack or built_in(), None), lines))
+
+
+def scan_large_binaries(spark: SparkSession, path: str, pack: Pack | None = None, block: int = blocks.BLOCK, exact_chunks: bool = True) -> DataFrame:
+    """Numbered hits in the printable runs of binary files of any size at a path that Spark lists."""
+    return numbered(binary_hits(blocks.block_fragments(blocks.read(blocks.index(spark, path, block)), exact_chunks), pack or built_in()))
 
 
 def run_scan(spark: SparkSession, inputs: list[str], output: str, options: Options | None = None) -> Result:

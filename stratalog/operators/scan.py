@@ -78,13 +78,13 @@ def _few(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def row_hits(lines: DataFrame, pack: Pack, encoding: str = "utf-8") -> DataFrame:
+def row_hits(lines: DataFrame, pack: Pack, encoding: str | None = "utf-8") -> DataFrame:
     """Hits of lines that come as rows (artifact_ord, artifact_path, line_number, raw_line), without context: for logs too large for one row.
 
     Lines are matched where they are; nothing is shuffled and nothing runs before the result is asked for. Lines of one path
-    have different numbers. ``add_context`` gives the lines around.
+    have different numbers. Without ``encoding`` lines have a column of that name. ``add_context`` gives the lines around.
     """
-    x = _as_text(_exploded(lines.withColumn("encoding", F.lit(encoding)), pack, True))
+    x = _as_text(_exploded(lines.withColumn("encoding", F.lit(encoding)) if encoding else lines, pack, True))
     return x.select(*[F.col(f"__h.{c}") if c in (*_KEYS, "rule_ord") else F.col(c) for c in HITS if c not in CONTEXT])
 
 

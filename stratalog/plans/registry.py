@@ -17,7 +17,7 @@ from ..operators.scan import add_context, binary_hits, fragments, line_arrays, n
 from ..schema import RULE_FINDING_COLUMNS
 from ..sources.artifacts import from_contents, from_table
 from ..streaming.dropfolder import windowed_hits
-from . import bundled  # noqa: F401
+from . import blocked, bundled  # noqa: F401
 from . import views as V
 from .register import ORACLE_SQL, QUERIES, query  # noqa: F401
 
@@ -348,13 +348,7 @@ CAST(len(CASE WHEN s[-1] = '' THEN s[1 : len(s) - 1] ELSE s END) AS BIGINT) AS n
 FROM (SELECT doc_id, t, string_split_regex(t, '\r\n|\r|\n') AS s FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 3 THEN chr(129) ELSE '' END AS t FROM documents))""")
 def decode_chain(spark, sf_dir):
     """Marks and strict decodings in turn: the documents as UTF-8, UTF-8 with a mark, cp1252, latin-1 with an odd byte, UTF-16 with a mark."""
-    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
-    known = F.regexp_replace(t, r"[^\x00-\x7f\xa0-\xff]", "?")  # bytes that mean the same in cp1252 and latin-1
-    content = (
-        F.when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), t.cast("binary"))).when(k == 2, F.encode(known, "ISO-8859-1"))
-        .when(k == 3, F.concat(F.encode(known, "ISO-8859-1"), F.lit(b"\x81"))).when(k == 4, F.concat(F.lit(b"\xff\xfe"), F.encode(t, "UTF-16LE"))).otherwise(t.cast("binary"))
-    )
-    files = V.read_texts(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    files = V.read_texts(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), V.encoded_text().alias("content"))
     x = line_arrays(from_contents(files))
     return x.select(F.col("artifact_path").cast("long").alias("doc_id"), "encoding", F.size("lines").cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
 

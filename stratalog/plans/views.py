@@ -93,6 +93,17 @@ DOCUMENT_LINES = f"""parts AS (SELECT 'doc-' || doc_id || '.txt' AS artifact_pat
 lines AS (SELECT artifact_path, i AS line_number, s[i] AS raw_line FROM (SELECT artifact_path, s, unnest(range(1, len(s) + 1)) AS i FROM parts))"""
 
 
+def encoded_text():
+    """A document's text in one of five encodings by its id: UTF-8, with a mark, cp1252, latin-1 with an odd byte, UTF-16 with a mark."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
+    known = F.regexp_replace(t, r"[^\x00-\x7f\xa0-\xff]", "?")  # bytes that mean the same in cp1252 and latin-1
+    content = (
+        F.when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), t.cast("binary"))).when(k == 2, F.encode(known, "ISO-8859-1"))
+        .when(k == 3, F.concat(F.encode(known, "ISO-8859-1"), F.lit(b"\x81"))).when(k == 4, F.concat(F.lit(b"\xff\xfe"), F.encode(t, "UTF-16LE"))).otherwise(t.cast("binary"))
+    )
+    return content
+
+
 def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4: a log per conversation, a line per turn."""
     from pyspark.sql import Window

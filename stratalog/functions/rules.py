@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark import SparkContext
@@ -153,8 +154,28 @@ def literal_of(pattern: str) -> str:
         else:
             run.append(c)
         i += 1
-    found = max([*runs, "".join(run)], key=len).lower()
-    return found if found.isascii() else ""
+    return max((x for r in [*runs, "".join(run)] for x in re.split(r"[^\x00-\x7f]+", r.lower())), key=len)
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between bars that stand outside groups and classes: one of them matches wherever the pattern does."""
+    parts, depth, inside, begin, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            i += pattern[i + 1 : i + 2] == "]" or 2 * (pattern[i + 1 : i + 3] == "^]")  # a bracket that comes first is a member
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[begin:i])
+            begin = i + 1
+        i += 1
+    return [*parts, pattern[begin:]]
 
 
 def _bound(line: Column, f) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +156,12 @@ def numbered(hits: DataFrame, prefix: str = "H", width: int = 6) -> DataFrame:
 
 
 def pattern_flags(text: Column, specs=fixed.NEGATIVE_SEARCHES) -> Column:
-    """A bit for each negative search whose words occur together in one line of the text."""
+    """A bit for each negative search whose words, one or two, occur together in one line of the text; for up to 31 searches.
+
+    ``index.negative_specs`` takes any number of searches and words.
+    """
+    if len(specs) > 31 or any(len(needles) > 2 for _, _, needles, _ in specs):
+        raise ValueError("more than 31 searches, or more than two words in one: use index.negative_specs")
 
     def bits(low: Column) -> Column:
         out = F.lit(0)
@@ -162,7 +169,7 @@ def pattern_flags(text: Column, specs=fixed.NEGATIVE_SEARCHES) -> Column:
             if len(needles) == 1:
                 out = out + F.when(F.contains(low, F.lit(needles[0])), 1 << k).otherwise(0)
             elif needles:
-                a, b = needles
+                a, b = (re.sub(r"(\W)", r"\\\1", n) for n in needles)
                 out = out + F.when(low.rlike(rf"{a}[^\r\n]*{b}|{b}[^\r\n]*{a}"), 1 << k).otherwise(0)
         return out
 

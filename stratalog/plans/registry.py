@@ -17,7 +17,7 @@ from ..operators.scan import add_context, binary_hits, fragments, line_arrays, n
 from ..schema import RULE_FINDING_COLUMNS
 from ..sources.artifacts import from_contents, from_table
 from ..streaming.dropfolder import windowed_hits
-from . import blocked, bundled  # noqa: F401
+from . import blocked, bundled, indexed  # noqa: F401
 from . import views as V
 from .register import ORACLE_SQL, QUERIES, query  # noqa: F401
 

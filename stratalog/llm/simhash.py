@@ -152,18 +152,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component) for every row of ``docs``.
+    """(id, fp, component) for every row of ``docs``; a component is the smallest id that can be reached.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows come out as often as they came in.
-    Rows with a null id have a fingerprint and component null. An empty table gives an empty result.
+    Rows with a null id link like any other, also two others that are near to them alone; they do not name a component, which
+    is null only where no row of it has an id. An empty table gives an empty result.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("rows_of_key")))
-    told = cut_lineage(spread_rows(classes.filter("node is not null")))
-    labels = components(links(told))
-    named = classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "rows_of_key")
-    out = join_counted(prints, named, ["fp"])
-    return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows_of_key")))
+    nodes = cut_lineage(spread_rows(classes.select(F.col("fp").alias("node"), "fp")))
+    labels = components(links(nodes))
+    named = cut_lineage(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component"))
+    roots = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("rows_of_key"))
+    told = join_counted(named.select("root", "fp", F.col("rows_of_key").alias("n")), roots, ["root"]).select("fp", "component", F.col("n").alias("rows_of_key"))
+    return join_counted(prints, told, ["fp"]).select("id", "fp", "component")
 
 
 def code_groups(rows: DataFrame) -> DataFrame:
@@ -197,6 +199,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """Fingerprint and component of every document: doc_id, fingerprint, component_id.
+
+    Null and empty texts have fingerprint zero and link like any other; equal fingerprints are linked; null ids link but do not
+    name a component; null and repeated ids come out as they came in; an empty table gives an empty result.
+    """
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

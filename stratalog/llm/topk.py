@@ -23,7 +23,8 @@ PAIRS = 64
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id, v array<long>): floor(scale * x) of every component; beyond 64 bits the largest or smallest long.
+    """(id, row, v array<long>): floor(scale * x) of every component; beyond 64 bits the largest or smallest long. ``row`` tells rows
+    apart that repeat an id; to be the same in two places the result has to be stored.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part.
     """
@@ -31,11 +32,11 @@ def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda e: e.cast("double")).alias("x"))
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(inf))
     whole = lambda e: F.floor(F.least(F.greatest(F.lit(scale) * e, F.lit(-(2.0**63))), F.lit(2.0**63)))
-    return x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad)).select("id", F.transform("x", whole).alias("v"))
+    return x.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad)).select("id", F.monotonically_increasing_id().alias("row"), F.transform("x", whole).alias("v"))
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """Rows (block, id, v) of one block as one row of the ids and the zero-padded matrix, in as few bytes a component as it takes."""
+    """Rows (block, id, row, v) of one block as one row of the ids, the rows' numbers and the zero-padded matrix, in as few bytes a component as it takes."""
     lists = rows.column("v").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     flat, dim = lists.flatten().to_numpy(zero_copy_only=False), int(sizes.max(initial=0))
@@ -43,15 +44,15 @@ def _pack(rows: pa.Table) -> pa.Table:
     kind = next(t for t in map(np.dtype, ("<i1", "<i2", "<i4", "<i8")) if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
     m = np.zeros((len(sizes), dim), kind)
     m[np.arange(dim)[None, :] < sizes[:, None]] = flat
-    ids = rows.column("id").to_numpy().astype(np.int64)
-    return pa.table({"block": rows.column("block").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32()), "kind": pa.array([kind.str]), "data": pa.array([m.tobytes()], pa.binary())})
+    ids, own = (pa.array([rows.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("id", "row"))
+    return pa.table({"block": rows.column("block").slice(0, 1), "ids": ids, "rows": own, "dim": pa.array([dim], pa.int32()), "kind": pa.array([kind.str]), "data": pa.array([m.tobytes()], pa.binary())})
 
 
 def _blocks(vectors: DataFrame, size: int, rows: int) -> DataFrame:
-    """(block, ids, dim, kind, data): the ``rows`` vectors dealt by their place into blocks of about ``size``."""
+    """(block, ids, rows, dim, kind, data): the ``rows`` vectors dealt by their place into blocks of about ``size``."""
     n = max(1, -(-rows // size))
-    dealt = vectors.select("id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("block"))
-    return dealt.select("block", "id", "v").groupBy("block").applyInArrow(_pack, "block long, ids binary, dim int, kind string, data binary")
+    dealt = vectors.select("id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(n)).alias("block"))
+    return dealt.select("block", "id", "row", "v").groupBy("block").applyInArrow(_pack, "block long, ids binary, rows binary, dim int, kind string, data binary")
 
 
 def grid(queries: int, candidates: int, parallelism: int, pairs: int = PAIRS) -> tuple[int, int]:
@@ -79,13 +80,13 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return scores if scores.dtype != object else np.clip(scores, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def _best(scores: np.ndarray, qids: np.ndarray, cids: np.ndarray, k: int):
-    """(query, candidate, score) of the k best of each row, ties to the smaller id, the query's own id left out."""
+def _best(scores: np.ndarray, qids: np.ndarray, qrows: np.ndarray, cids: np.ndarray, crows: np.ndarray, k: int):
+    """(query, its row, candidate, score) of the k best of each row, ties to the smaller id, the query's own row left out."""
     order = np.argsort(cids, kind="stable")
-    cids, scores = cids[order], scores[:, order]
+    cids, crows, scores = cids[order], crows[order], scores[:, order]
     for i, q in enumerate(qids):
         row, ids = scores[i], cids
-        if (own := ids == q).any():
+        if (own := crows == qrows[i]).any():
             row, ids = row[~own], ids[~own]
         if len(row) > k:
             least = row[np.argpartition(row, len(row) - k)[len(row) - k]]
@@ -94,57 +95,56 @@ def _best(scores: np.ndarray, qids: np.ndarray, cids: np.ndarray, k: int):
         else:
             at = np.arange(len(row))
         for j in at:
-            yield int(q), int(ids[j]), int(row[j])
+            yield int(q), int(qrows[i]), int(ids[j]), int(row[j])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of each query (id, v) among the candidates (id, v).
+    """(query_id, rank, vec_id, score): the k highest inner products of each query (id, row, v) among the candidates (id, row, v), both stored.
 
-    Shorter vectors count as padded with zeros. Ties go to the smaller id; a query never finds its own id. Rows that
-    repeat an id among the candidates are candidates of their own; those that repeat a query's id are ranked together as
-    one query. Scores beyond 64 bits are the largest or smallest long. No queries or no candidates give no rows.
+    Shorter vectors count as padded with zeros. Ties go to the smaller id; a query never finds its own row. Rows that
+    repeat an id are candidates of their own and, among the queries, queries of their own: each has its k best, in which the
+    other rows of its id may stand. Scores beyond 64 bits are the largest or smallest long. No queries or no candidates give no rows.
     """
-    queries, candidates = cut_lineage(queries), cut_lineage(candidates)
     n_queries, n_candidates = queries.count(), candidates.count()
     rows, columns = grid(max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_candidates // CANDIDATE_BLOCK)), queries.sparkSession.sparkContext.defaultParallelism)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = _blocks(queries, QUERY_BLOCK, n_queries).withColumn("col", F.pmod("block", F.lit(columns))).withColumn("row", every(rows))
     c = _blocks(candidates, CANDIDATE_BLOCK, n_candidates).withColumn("row", F.pmod("block", F.lit(rows))).withColumn("col", every(columns))
-    sides = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in "qc" for name in ("ids", "dim", "kind", "data")]
+    sides = [F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in "qc" for name in ("ids", "rows", "dim", "kind", "data")]
     met = q.alias("q").join(c.alias("c"), ["row", "col"]).select(*sides)
 
     def run(batch):
         for r in batch.to_pylist():
-            ids = [np.frombuffer(r[f"{x}_ids"], np.int64) for x in "qc"]
-            m = [np.frombuffer(r[f"{x}_data"], r[f"{x}_kind"]).reshape(len(i), r[f"{x}_dim"]) for x, i in zip("qc", ids)]
-            a = list(zip(*_best(_scores(*m), *ids, k))) or [[], [], []]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(a[0], pa.int64()), "vec_id": pa.array(a[1], pa.int64()), "score": pa.array(a[2], pa.int64())})
+            ids = [np.frombuffer(r[f"{x}_{name}"], np.int64) for x in "qc" for name in ("ids", "rows")]
+            m = [np.frombuffer(r[f"{x}_data"], r[f"{x}_kind"]).reshape(len(i), r[f"{x}_dim"]) for x, i in zip("qc", ids[::2])]
+            a = list(zip(*_best(_scores(*m), *ids, k))) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in a], names=["query_id", "query_row", "vec_id", "score"])
 
-    best = map_batches(met, run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = map_batches(met, run, "query_id long, query_row long, vec_id long, score long")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of every vector whose vec_id is divisible by 50 against all vectors: query_id, rank, vec_id, score.
 
-    Vectors null or with null or non-finite components take no part, nor do null ids; repeated rows are candidates of
-    their own; ties go to the smaller id; an empty table gives an empty result.
+    Vectors null or with null or non-finite components take no part, nor do null ids; repeated rows are candidates and
+    queries of their own; ties go to the smaller id; an empty table gives an empty result.
     """
-    vectors = quantise(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    vectors = cut_lineage(quantise(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
     return top_k(vectors.filter("id % 50 = 0"), vectors)
 
 
 OP10_SQL = """
-WITH v AS (
-  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id
+  SELECT q.id AS query_id, q.n, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id % 50 = 0 AND q.n <> c.n
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """

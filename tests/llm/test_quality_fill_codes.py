@@ -9,7 +9,7 @@ from math import floor, isfinite
 import numpy as np
 import pytest
 
-from stratalog.llm import codes, fillmiddle, quality
+from stratalog.llm import codes, fillmiddle, quality, simhash, topk
 
 from .test_operators import DOCS, EDGE, table, words_of
 
@@ -264,3 +264,28 @@ def test_codes_decode(spark):
     errors = {r.id: r.error for r in codes.encode(blocks, book).collect()}
     for i, v, _ in rows:
         assert sum((a - floor(4096 * b)) ** 2 for a, b in zip(back[i], v)) == errors[i]
+
+
+# --- rows without an id between others, queries that repeat an id
+
+
+def test_null_ids_link_others(spark, monkeypatch):
+    c = 0x0123456789ABCDEF
+    rows = [(5, c), (None, c ^ 3), (9, c ^ 15), (None, c ^ (0xFFFF << 40)), (7, c ^ (0xFF << 20)), (7, c ^ (0xFF << 20))]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("id", "fp"))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "id long, fp long")).collect()
+    assert Counter((r.id, r.component) for r in got) == Counter([(5, 5), (None, 5), (9, 5), (None, None), (7, 7), (7, 7)])
+
+
+def test_queries_that_repeat_an_id(spark):
+    rnd = np.random.default_rng(17)
+    v = rnd.normal(0, 0.3, (60, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, rnd.normal(0, 0.3, 8).tolist()), (50, v[50].tolist()), (0, v[0].tolist())]
+    vec = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).cache()
+    ints = [(i, [floor(256 * a) for a in x]) for i, x in rows]
+    want = Counter()
+    for k, (q, x) in enumerate(ints):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for j, (c, y) in enumerate(ints) if j != k)[:5]
+            want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(best))
+    assert Counter(tuple(r) for r in topk.top_k(vec.filter("id % 50 = 0"), vec).collect()) == want and sum(want.values()) == 25

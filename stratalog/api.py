@@ -126,19 +126,18 @@ def run_scan(spark: SparkSession, inputs: list[str], output: str, options: Optio
         frames = scan(spark, inputs, str(folder), options)
         cover, hits = frames.coverage, frames.hits
         by_rule, by_file = cut_lineage(frames.by_rule), cut_lineage(frames.by_file)
-        sinks.write_csv(cover.orderBy("artifact_ord"), COVERAGE_COLUMNS, folder / sinks.REPORTS[0])
+        sinks.write_csv(cover, COVERAGE_COLUMNS, folder / sinks.REPORTS[0], ["artifact_ord"])
         say(f"Wrote artifact coverage: {folder / sinks.REPORTS[0]}")
-        sinks.write_csv(hits.selectExpr("*", "'' as timestamp").orderBy("hit_no"), HIT_COLUMNS, folder / sinks.REPORTS[1])
+        sinks.write_csv(hits.selectExpr("*", "'' as timestamp"), HIT_COLUMNS, folder / sinks.REPORTS[1], ["hit_no"])
         say(f"Wrote all hits: {folder / sinks.REPORTS[1]}")
-        sinks.write_csv(by_rule.orderBy(G.severity_rank(by_rule.severity), "rule_id"), RULE_FINDING_COLUMNS, folder / sinks.REPORTS[2])
-        sinks.write_csv(by_file.orderBy("artifact_path"), FILE_FINDING_COLUMNS, folder / sinks.REPORTS[3])
+        sinks.write_csv(by_rule.withColumn("rank", G.severity_rank(by_rule.severity)), RULE_FINDING_COLUMNS, folder / sinks.REPORTS[2], ["rank", "rule_id"])
+        sinks.write_csv(by_file, FILE_FINDING_COLUMNS, folder / sinks.REPORTS[3], ["artifact_path"])
         items = sinks.checklist_text(G.checklist(cover, hits).collect())
         (folder / sinks.REPORTS[4]).write_text(items, encoding="utf-8")
         negatives = [r.message for r in G.negative_searches(cover).collect()]
         summary = G.scan_summary(hits).first()
-        facts = sinks.Facts(cover, hits, by_file.orderBy("artifact_path"), summary, G.kb_list(hits, frames.pack).collect(), negatives, items)
-        sinks.write_html_report(facts, folder / sinks.REPORTS[5], options.title)
-        sinks.write_text_report(facts, folder / sinks.REPORTS[6], options.title)
+        facts = sinks.Facts(cover.count(), summary, G.kb_list(hits, frames.pack).collect(), negatives, items)
+        sinks.write_reports(cover, hits, by_file, facts, folder / sinks.REPORTS[6], folder / sinks.REPORTS[5], options.title)
         say(f"Wrote triage report: {folder / sinks.REPORTS[5]}")
         counts, severities = G.scanned_count(cover).first(), G.severity_counts(hits).first().asDict()
         told = [r.warning for r in G.warnings(cover).toLocalIterator()]

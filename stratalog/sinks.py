@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
+from .lineage import cut_lineage
+from .operators.ordered import by_ranges
 
 REPORTS = ["artifact_coverage.csv", "all_hits.csv", "findings_by_rule.csv", "findings_by_file.csv", "missing_evidence_checklist.txt", "triage_report.html", "triage_report.txt"]
 TITLE = "Log Evidence Triage Report"
@@ -27,12 +32,46 @@ def csv_record(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws(",", *fields)
 
 
-def write_csv(df: DataFrame, columns: list[str], path: Path) -> None:
-    """One local file in the order of ``df``, records streamed partition by partition."""
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        f.write(",".join(f'"{c}"' for c in columns) + "\r\n")
-        for r in df.select(csv_record(df, columns).alias("r")).toLocalIterator():
-            f.write(r.r + "\r\n")
+def write_ordered(lines: DataFrame, order: list[str], path: Path, head: str = "") -> None:
+    """One file of ``head`` and the texts of ``lines`` (order columns, text) in their order, written by the executors.
+
+    Texts are dealt by ranges of the order and stored; the sizes of the parts, one row each, give every part its place in the
+    file, and each task writes there. A task that is repeated writes the same bytes again. The file has to be in a folder that
+    all machines share: a task that does not find it fails.
+    """
+    parted = by_ranges(lines.select(*order, F.coalesce("text", F.lit("")).alias("text")), order)
+    sizes = parted.groupBy("__part").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy("__part").collect()
+    first, at = head.encode(), {}
+    end = len(first)
+    for r in sizes:
+        at[r["__part"]], end = end, end + r["n"]
+    with open(path, "wb") as f:
+        f.write(first)
+        f.truncate(end)
+    name, columns = str(path), parted.select("__part", "text")
+
+    def write(batches):
+        place, written = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            with open(name, "r+b") as f:
+                place = at[b.column(0)[0].as_py()] if place is None else place
+                f.seek(place)
+                data = "".join(b.column(1).to_pylist()).encode()
+                f.write(data)
+                place, written = place + len(data), written + len(data)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+
+    done = columns.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    if done + len(first) != end:
+        raise RuntimeError(f"{path}: {done + len(first)} bytes written of {end}")
+
+
+def write_csv(df: DataFrame, columns: list[str], path: Path, order: list[str]) -> None:
+    """One CSV file with a header, in the given order, written by the executors."""
+    records = df.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.concat(csv_record(df, columns), F.lit("\r\n")).alias("text"))
+    write_ordered(records, [f"__o{k}" for k in range(len(order))], path, ",".join(f'"{c}"' for c in columns) + "\r\n")
 
 
 def write_csv_folder(df: DataFrame, columns: list[str], path: str) -> None:
@@ -80,62 +119,6 @@ def _html_finding(h) -> str:
     return f"<div class='hit'><p>{told}</p><pre>raw_line: {e(h.raw_line)}\ncontext_before: {e(h.context_before)}\ncontext_after: {e(h.context_after)}</pre></div>"
 
 
-class Facts:
-    """What both reports tell, in scan order; hits are streamed anew for each section."""
-
-    def __init__(self, coverage: DataFrame, hits: DataFrame, by_file: DataFrame, summary, kbs, negatives, checklist: str):
-        self.coverage, self.hits, self.by_file = coverage.orderBy("artifact_ord"), hits, by_file
-        self.summary, self.kbs, self.negatives, self.checklist = summary, kbs, negatives, checklist
-        self.not_decoded = [f"{r.artifact_path} ({r.artifact_family}; {r.review_mode}) {r.limitations}" for r in self.coverage.filter("not decoded_successfully and review_mode <> 'stream-scanned'").toLocalIterator()]
-        self.limitations = [f"{r.artifact_path}: {r.limitations}" for r in self.coverage.filter("limitations <> ''").toLocalIterator()] + fixed.CLOSING_LIMITATIONS
-        self.artifacts = coverage.count()
-        self.cautions = fixed.CAUTIONS if summary.hit_count else fixed.CAUTIONS_NO_HITS
-        self.kb_lines = [f"KB candidate {r.kb_id}: {r.title}" for r in kbs] or ["None"]
-
-    def hits_of(self, severity: str | None = None):
-        found = self.hits if severity is None else self.hits.filter(F.col("severity") == severity)
-        return found.orderBy("hit_no").toLocalIterator()
-
-
-def write_text_report(facts: Facts, path: Path, title: str = TITLE) -> None:
-    s = facts.summary
-    with open(path, "w", encoding="utf-8") as f:
-        put = lambda *lines: f.writelines(line + "\n" for line in lines)
-        section = lambda name: put("", name, "-" * len(name))
-        listed = lambda items: put(*(f"- {i}" for i in items)) if items else put("- None")
-        put(title, "=" * len(title), f"Terminology: {TERMINOLOGY}", PURPOSE)
-        section(fixed.SECTIONS_BEFORE[0])
-        put(f"Artifacts reviewed: {facts.artifacts}", f"Hits observed: {s.hit_count}", f"Rules observed: {s.rule_count}")
-        section(fixed.SECTIONS_BEFORE[1])
-        put(s.product)
-        section(fixed.SECTIONS_BEFORE[2])
-        for r in facts.by_file.toLocalIterator():
-            put(f"- {r.artifact_path} ({r.artifact_family}) hits={r.hit_count}")
-        section(fixed.SECTIONS_BEFORE[3])
-        listed(facts.not_decoded)
-        for severity in fixed.SEVERITIES:
-            section(fixed.SECTION_OF_SEVERITY.format(severity))
-            none = True
-            for h in facts.hits_of(severity):
-                none = False
-                put(_text_finding(h))
-            if none:
-                put("- None")
-        section(fixed.SECTIONS_AFTER[0])
-        put(facts.checklist.rstrip())
-        section(fixed.SECTIONS_AFTER[1])
-        listed(facts.negatives)
-        section(fixed.SECTIONS_AFTER[2])
-        put(*facts.kb_lines)
-        section(fixed.SECTIONS_AFTER[3])
-        listed(facts.cautions)
-        section(fixed.SECTIONS_AFTER[4])
-        for h in facts.hits_of():
-            put(f"- {h.rule_id} {h.artifact_path}:{_at(h)} {h.raw_line}")
-        section(fixed.SECTIONS_AFTER[5])
-        put(*facts.limitations)
-
-
 _CSS = """
 :root { --line: #b9c4d0; --tint: #eef3f8; --ink: #14202b; }
 html { background: var(--tint); color: var(--ink); font: 15px/1.5 "Segoe UI", "Noto Sans", Ubuntu, sans-serif; }
@@ -150,44 +133,103 @@ th { text-align: left; padding-right: 1.2rem; }
 """
 
 
-def write_html_report(facts: Facts, path: Path, title: str = TITLE) -> None:
-    e, s = html.escape, facts.summary
-    with open(path, "w", encoding="utf-8") as f:
-        put = lambda x: f.write(x + "\n")
-        listed = lambda items: "<ul>" + "".join(f"<li>{e(i)}</li>" for i in items) + "</ul>" if items else "<p>None</p>"
-
-        def section(name, parts):
-            put(f"<section><h2>{e(name)}</h2>")
-            for p in parts:
-                put(p)
-            put("</section>")
-
-        def findings(severity=None):
-            none = True
-            for h in facts.hits_of(severity):
-                none = False
-                yield _html_finding(h)
-            if none:
-                yield "<p>None</p>"
-
-        def files():
-            yield "<table><tr>" + "".join(f"<th>{h}</th>" for h in fixed.FILE_TABLE_HEAD) + "</tr>"
-            for r in facts.by_file.toLocalIterator():
-                yield "<tr>" + "".join(f"<td>{e(str(x))}</td>" for x in (r.artifact_path, r.artifact_family, r.hit_count, r.matched_rule_ids, r.limitations)) + "</tr>"
-            yield "</table>"
-
-        put(f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{e(title)}</title><style>{_CSS}</style></head><body><h1>{e(title)}</h1>")
-        put(f"<p><strong>Terminology:</strong> {TERMINOLOGY} {PURPOSE}</p>")
-        section(fixed.SECTIONS_BEFORE[0], [f"<p>Artifacts reviewed: {facts.artifacts}<br>Hits observed: {s.hit_count}<br>Rules observed: {s.rule_count}</p>"])
-        section(fixed.SECTIONS_BEFORE[1], [f"<p>{e(s.product)}</p>"])
-        section(fixed.SECTIONS_BEFORE[2], files())
-        section(fixed.SECTIONS_BEFORE[3], [listed(facts.not_decoded)])
-        for severity in fixed.SEVERITIES:
-            section(fixed.SECTION_OF_SEVERITY.format(severity), findings(severity))
-        section(fixed.SECTIONS_AFTER[0], [f"<pre>{e(facts.checklist)}</pre>"])
-        section(fixed.SECTIONS_AFTER[1], [listed(facts.negatives)])
-        section(fixed.SECTIONS_AFTER[2], [listed(facts.kb_lines)])
-        section(fixed.SECTIONS_AFTER[3], [listed(facts.cautions)])
-        section(fixed.SECTIONS_AFTER[4], findings())
-        section(fixed.SECTIONS_AFTER[5], [listed(facts.limitations)])
-        put("</body></html>")
+#: Sections of both reports, in order.
+(OVERVIEW, PRODUCT, FILES, UNDECODED), FIRST_SEVERITY = range(4), 4
+(CHECKLIST, NEGATIVES, KBS, CAUTIONS, APPENDIX, LIMITATIONS) = range(4 + len(fixed.SEVERITIES), 10 + len(fixed.SEVERITIES))
+_LINES = "report string, section int, no long, key string, text string"
+TEXT, HTML = "text", "html"
+_HEAD, _TAIL = -2, 1 << 62
+
+
+def _lines_of(df: DataFrame, said: Callable[..., Iterable[tuple]]) -> DataFrame:
+    """Rows of _LINES that ``said`` makes of each row."""
+
+    def run(batches):
+        for b in batches:
+            rows = [x for r in b.to_pylist() for x in said(SimpleNamespace(**r))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()))], names=["report", "section", "no", "key", "text"])
+
+    return df.mapInArrow(run, _LINES)
+
+
+def _said_of_hit(h) -> Iterator[tuple]:
+    if h.severity in fixed.SEVERITIES:
+        section = FIRST_SEVERITY + fixed.SEVERITIES.index(h.severity)
+        yield TEXT, section, h.hit_no, "", _text_finding(h) + "\n"
+        yield HTML, section, h.hit_no, "", _html_finding(h) + "\n"
+    yield TEXT, APPENDIX, h.hit_no, "", f"- {h.rule_id} {h.artifact_path}:{_at(h)} {h.raw_line}\n"
+    yield HTML, APPENDIX, h.hit_no, "", _html_finding(h) + "\n"
+
+
+def _said_of_artifact(r) -> Iterator[tuple]:
+    if not r.decoded_successfully and r.review_mode != "stream-scanned":
+        yield from _listed(UNDECODED, 0, r.artifact_ord, f"{r.artifact_path} ({r.artifact_family}; {r.review_mode}) {r.limitations}")
+    if r.limitations:
+        yield from _listed(LIMITATIONS, 0, r.artifact_ord, f"{r.artifact_path}: {r.limitations}", "")
+
+
+def _said_of_file(r) -> Iterator[tuple]:
+    yield TEXT, FILES, 0, r.artifact_path, f"- {r.artifact_path} ({r.artifact_family}) hits={r.hit_count}\n"
+    cells = (r.artifact_path, r.artifact_family, r.hit_count, r.matched_rule_ids, r.limitations)
+    yield HTML, FILES, 0, r.artifact_path, "<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in cells) + "</tr>\n"
+
+
+def _listed(section: int, no: int, key: str, item: str, dash: str = "- ") -> list[tuple]:
+    return [(TEXT, section, no, key, f"{dash}{item}\n"), (HTML, section, no, key, f"<li>{html.escape(item)}</li>")]
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What the reports say besides hits, artifacts and files: all of it small."""
+
+    artifacts: int
+    summary: object
+    kbs: list
+    negatives: list[str]
+    checklist: str
+
+
+def _frame(facts: Facts, title: str, filled: set[tuple[str, int]]) -> list[tuple]:
+    """Headings, ends and fixed sections; ``filled`` are the (report, section) that have rows."""
+    s, e, out = facts.summary, html.escape, []
+    names = [*fixed.SECTIONS_BEFORE, *[fixed.SECTION_OF_SEVERITY.format(x) for x in fixed.SEVERITIES], *fixed.SECTIONS_AFTER]
+    counts = (f"Artifacts reviewed: {facts.artifacts}", f"Hits observed: {s.hit_count}", f"Rules observed: {s.rule_count}")
+    kb_lines = [f"KB candidate {r.kb_id}: {r.title}" for r in facts.kbs] or ["None"]
+    cautions = fixed.CAUTIONS if s.hit_count else fixed.CAUTIONS_NO_HITS
+    lists = {NEGATIVES: (facts.negatives, "- "), KBS: (kb_lines, ""), CAUTIONS: (cautions, "- "), LIMITATIONS: (fixed.CLOSING_LIMITATIONS, "")}
+    out.append((TEXT, -1, 0, "", f"{title}\n{'=' * len(title)}\nTerminology: {TERMINOLOGY}\n{PURPOSE}\n"))
+    out.append((HTML, -1, 0, "", f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{e(title)}</title><style>{_CSS}</style></head><body><h1>{e(title)}</h1>\n<p><strong>Terminology:</strong> {TERMINOLOGY} {PURPOSE}</p>\n"))
+    for k, name in enumerate(names):
+        items, dash = lists.get(k, ([], "- "))
+        for n, item in enumerate(items):
+            out += _listed(k, 1, f"{n:06d}", item, dash)
+        there = {report: bool(items) or (report, k) in filled for report in (TEXT, HTML)}
+        body = {OVERVIEW: ("\n".join(counts) + "\n", f"<p>{'<br>'.join(counts)}</p>\n"), PRODUCT: (f"{s.product}\n", f"<p>{e(s.product)}</p>\n"), CHECKLIST: (facts.checklist.rstrip() + "\n", f"<pre>{e(facts.checklist)}</pre>\n")}.get(k)
+        told = f"\n{name}\n{'-' * len(name)}\n" + (body[0] if body else "" if there[TEXT] or k in (FILES, APPENDIX) else "- None\n")
+        out.append((TEXT, k, _HEAD, "", told))
+        begin, end = ("", "")
+        if k == FILES:
+            begin, end = "<table><tr>" + "".join(f"<th>{h}</th>" for h in fixed.FILE_TABLE_HEAD) + "</tr>\n", "</table>\n"
+        elif k in (UNDECODED, *lists):
+            begin, end = ("<ul>", "</ul>\n") if there[HTML] else ("<p>None</p>\n", "")
+        elif not body and not there[HTML]:
+            begin = "<p>None</p>\n"
+        out.append((HTML, k, _HEAD, "", f"<section><h2>{e(name)}</h2>\n" + (body[1] if body else begin)))
+        out.append((HTML, k, _TAIL, "", f"{end}</section>\n"))
+    out.append((HTML, len(names), 0, "", "</body></html>\n"))
+    return out
+
+
+def write_reports(coverage: DataFrame, hits: DataFrame, by_file: DataFrame, facts: Facts, text_path: Path, html_path: Path, title: str = TITLE) -> None:
+    """Both reports, written by the executors; hits, coverage and files are read once, for all sections of both.
+
+    Every piece of a report is a row with its section and place in it; what comes to the driver is which sections have rows.
+    """
+    fields = ["rule_id", "severity", "issue_category", "component", "artifact_path", "line_number", "byte_offset", "raw_line", "context_before", "context_after", "kb_candidate_ids", "matched_text", "product", "hit_no"]
+    said = _lines_of(hits.select(*fields), _said_of_hit)
+    said = said.unionByName(_lines_of(coverage.select("artifact_ord", "artifact_path", "artifact_family", "review_mode", "limitations", "decoded_successfully"), _said_of_artifact))
+    said = cut_lineage(said.unionByName(_lines_of(by_file.select("artifact_path", "artifact_family", "hit_count", "matched_rule_ids", "limitations"), _said_of_file)))
+    filled = {(r.report, r.section) for r in said.select("report", "section").distinct().collect()}
+    lines = said.unionByName(coverage.sparkSession.createDataFrame(_frame(facts, title, filled), _LINES))
+    for report, path in ((TEXT, text_path), (HTML, html_path)):
+        write_ordered(lines.filter(F.col("report") == report), ["section", "no", "key"], path)

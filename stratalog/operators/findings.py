@@ -35,25 +35,35 @@ def rule_files(hits: DataFrame) -> DataFrame:
     return hits.groupBy("rule_id", "artifact_path").agg(F.count("*").alias("hit_count"))
 
 
-def findings_by_rule(hits: DataFrame, pack: Pack, order=("artifact_ord", "chunk_no", "kind_ord", "pos", "rule_ord")) -> DataFrame:
-    """One row per rule with hits, most severe first: counts, distinct files, and what its first hit in scan order says.
+_SAID = ["product", "issue_category", "component", "severity", "kb_candidate_ids"]
 
-    Distinct files are found by a grouping of (rule, file) before they are gathered, so a frequent rule gathers paths
-    and not hits. The report names all of a rule's files in one cell; ``rule_files`` has them as rows.
-    """
-    said = ["product", "issue_category", "component", "severity", "kb_candidate_ids"]
-    one = hits.groupBy("rule_id", "artifact_path").agg(
-        F.count("*").alias("n"), F.min(F.struct(*order, *said, location(F.col("line_number"), F.col("byte_offset")).alias("at"))).alias("first")
-    )
+
+def rule_partials(hits: DataFrame, order=("artifact_ord", "chunk_no", "kind_ord", "pos", "rule_ord")) -> DataFrame:
+    """(rule_id, artifact_path, n, first): hits of a rule in a file and what the first of them says. Unions of these merge by ``merged_by_rule``."""
+    return hits.groupBy("rule_id", "artifact_path").agg(F.count("*").alias("n"), F.min(F.struct(*order, *_SAID, location(F.col("line_number"), F.col("byte_offset")).alias("at"))).alias("first"))
+
+
+def merged_by_rule(partials: DataFrame, pack: Pack) -> DataFrame:
+    """Findings by rule from the partials of any number of scans."""
+    one = partials.groupBy("rule_id", "artifact_path").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     by = one.groupBy("rule_id").agg(F.sum("n").alias("hit_count"), F.array_join(F.sort_array(F.collect_list("artifact_path")), ";").alias("artifacts_hit"), F.min(F.struct("first", "artifact_path")).alias("f"))
-    x = by.select("rule_id", "hit_count", "artifacts_hit", *[F.col(f"f.first.{c}").alias(c) for c in said], F.col("f.artifact_path").alias("first_seen_file"), F.col("f.first.at").alias("first_seen_line"))
-    x = x.join(F.broadcast(_looked_up(hits.sparkSession, pack)), "rule_id", "left")
+    x = by.select("rule_id", "hit_count", "artifacts_hit", *[F.col(f"f.first.{c}").alias(c) for c in _SAID], F.col("f.artifact_path").alias("first_seen_file"), F.col("f.first.at").alias("first_seen_line"))
+    x = x.join(F.broadcast(_looked_up(partials.sparkSession, pack)), "rule_id", "left")
     known = F.col("missing_evidence").isNotNull()
     x = x.withColumn("required_evidence_status", F.when(known & (F.col("rule_id") != fixed.GENERIC_RULE), fixed.STATUS_RULE).otherwise(fixed.STATUS_GENERIC))
     x = x.withColumns({"missing_evidence": F.coalesce("missing_evidence", F.lit(fixed.STATUS_GENERIC)), "false_positive_cautions": F.coalesce("false_positive_cautions", F.lit(fixed.CAUTION_GENERIC))})
     return x.select(*RULE_FINDING_COLUMNS).orderBy(severity_rank(F.col("severity")), "rule_id")
 
 
+def findings_by_rule(hits: DataFrame, pack: Pack) -> DataFrame:
+    """One row per rule with hits, most severe first: counts, distinct files, and what its first hit in scan order says.
+
+    Distinct files are found by a grouping of (rule, file) before they are gathered, so a frequent rule gathers paths
+    and not hits. The report names all of a rule's files in one cell; ``rule_files`` has them as rows.
+    """
+    return merged_by_rule(rule_partials(hits), pack)
+
+
 def last_rows(coverage: DataFrame) -> DataFrame:
     """Of rows with one path the last in scan order."""
     rest = [c for c in coverage.columns if c != "artifact_path"]
@@ -61,16 +71,25 @@ def last_rows(coverage: DataFrame) -> DataFrame:
     return x.select("artifact_path", "r.*")
 
 
-def findings_by_file(coverage: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row per path, by path: hits by severity and distinct rules; files without hits too."""
+def file_partials(hits: DataFrame) -> DataFrame:
+    """(artifact_path, rule_id, severity, n): hits of a file by rule. Unions of these merge by ``merged_by_file``."""
+    return hits.groupBy("artifact_path", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+def merged_by_file(coverage: DataFrame, partials: DataFrame) -> DataFrame:
+    """Findings by file from the coverage and the partials of any number of scans."""
     low = F.lower("severity")
     count = lambda s: F.sum(F.when(low == s, F.col("n")).otherwise(0)).alias(f"{s}_count")
-    one = hits.groupBy("artifact_path", "rule_id", "severity").agg(F.count("*").alias("n"))
-    by = one.groupBy("artifact_path").agg(F.sum("n").alias("hit_count"), *[count(s.lower()) for s in fixed.SEVERITIES], F.array_join(F.sort_array(F.collect_set("rule_id")), ";").alias("matched_rule_ids"))
+    by = partials.groupBy("artifact_path").agg(F.sum("n").alias("hit_count"), *[count(s.lower()) for s in fixed.SEVERITIES], F.array_join(F.sort_array(F.collect_set("rule_id")), ";").alias("matched_rule_ids"))
     x = last_rows(coverage).join(by, "artifact_path", "left").na.fill(0, [c for c in FILE_FINDING_COLUMNS if c.endswith("_count")]).na.fill("", ["matched_rule_ids"])
     return x.select(*FILE_FINDING_COLUMNS).orderBy("artifact_path")
 
 
+def findings_by_file(coverage: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per path, by path: hits by severity and distinct rules; files without hits too."""
+    return merged_by_file(coverage, file_partials(hits))
+
+
 def severity_counts(hits: DataFrame) -> DataFrame:
     """One row: hits by severity, unknown ones as info."""
     low = F.lower("severity")

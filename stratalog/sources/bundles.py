@@ -230,9 +230,9 @@ def _mark(df: DataFrame) -> tuple:
     return r.n, r.s
 
 
-def _tree(tops: DataFrame, members: DataFrame, limits: Limits, refused: DataFrame | None, first: DataFrame | None) -> DataFrame:
+def _tree(tops: DataFrame, members: DataFrame, limits: Limits, refused: DataFrame | None, first: DataFrame | None, seen: DataFrame | None = None) -> DataFrame:
     """Every node that is reached (key, node, kind, depth, parent, no, shown, opened, end) when ``refused`` members and all but
-    the ``first`` occurrences of archives are left out; ``end`` is the number of the member at which an archive breaks off, if it does."""
+    the ``first`` occurrences of archives, or all of those ``seen`` before (node), are left out; ``end`` is the number of the member at which an archive breaks off, if it does."""
     own = ("key", "node", "kind", "depth", "parent", "no", "shown")
     level = tops.select("key", "node", "kind", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("no"), F.col("path").alias("shown"))
     broken = members.filter("fault = 'broken'").select("node", F.col("no").alias("at"))
@@ -244,6 +244,9 @@ def _tree(tops: DataFrame, members: DataFrame, limits: Limits, refused: DataFram
         if first is not None:
             level = level.join(first.select("node", F.col("key").alias("first")), "node", "left")
             fits = fits & (F.col("first").isNull() | (F.col("key") <= F.col("first")))
+        if seen is not None:
+            level = level.join(seen.select("node", F.lit(True).alias("seen")).distinct(), "node", "left")
+            fits = fits & F.col("seen").isNull()
         opened = (F.col("kind") == "tool") | (fits & (F.col("depth") < limits.max_archive_depth))
         level = level.select(*own, F.coalesce(opened, F.lit(False)).alias("opened"))
         ends = level.filter("opened").join(broken, "node").select("key", "at")
@@ -263,7 +266,7 @@ def _tree(tops: DataFrame, members: DataFrame, limits: Limits, refused: DataFram
     return out
 
 
-def fold(tops: DataFrame, members: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def fold(tops: DataFrame, members: DataFrame, limits: Limits, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(reached, opened keys, requests): what the walk comes to.
 
     ``reached`` are all nodes it meets, ``opened`` is true for those that it opens; requests are the members that ask for bytes, with
@@ -271,7 +274,7 @@ def fold(tops: DataFrame, members: DataFrame, limits: Limits) -> tuple[DataFrame
     """
     refused = first = mark = None
     while True:
-        reached = cut_lineage(_tree(tops, members, limits, refused, first))
+        reached = cut_lineage(_tree(tops, members, limits, refused, first, seen))
         deep_enough = reached.filter(F.col("depth") < limits.max_archive_depth).filter("kind <> 'tool'")
         now = cut_lineage(deep_enough.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n")))
         really = reached.filter("kind = 'tool'").select("key", "node", "end").unionByName(reached.filter("opened").join(now.select("node", "key"), ["node", "key"]).select("key", "node", "end"))
@@ -461,9 +464,16 @@ def expanded_together(sources: DataFrame, root: str, limits: Limits | None = Non
     Rows with content need no file; without, the path is opened by the task. Keys have nine digits and are the order of the
     walk. The same rows as ``Expander`` gives one source after another. No sources give no rows.
     """
+    return expanded_and_opened(sources, root, limits, tools, tag)[0]
+
+
+def expanded_and_opened(sources: DataFrame, root: str, limits: Limits | None = None, tools: decoders.Tools | None = None, tag: str = "", seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, opened (node)) as ``expanded_together``, where archives ``seen`` (node) in earlier scans count as seen."""
     limits, tools = limits or Limits(), tools or decoders.Tools()
     tops, members, contents = catalogue(sources, limits, tools)
-    return emitted(sources, tops, members, contents, fold(tops, members, limits), root, limits, tools, tag)
+    folded = fold(tops, members, limits, seen)
+    opened = folded[0].filter("opened and kind <> 'tool'").select("node")
+    return emitted(sources, tops, members, contents, folded, root, limits, tools, tag), opened
 
 
 def keyed(files: DataFrame) -> DataFrame:

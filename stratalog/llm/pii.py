@@ -4,16 +4,17 @@ Generators propose spans: base kinds by their exact patterns, loose kinds by wid
 letters beyond A-Z or written-out marks; cards with other gaps; phone numbers without a plus; IPv6). Proposals of
 different generators may overlap. Every proposal has a label and features, from evidence apart from each other:
 
-* the label comes from a check of its content: octets, Luhn and issuer digit, number of digits and no date, the whole
-  mail grammar once marks are undone, the groups of an IPv6 address;
+* the label comes from a check of its content: octets, the length and first digit of a card issuer, number of digits and
+  no date, the whole mail grammar once marks are undone, the groups of an IPv6 address;
 * the features are its format and context: generator, digits, groups, separators, words before it (of its own kind or of
-  another), what it is glued to. None of them is that check.
+  another), what it is glued to, and whether the check digit of a card number holds. None of them is the label's check.
 
 Loose proposals that overlap a passing base span are not judged, since the base span stays. One grouping counts all
 others of the corpus by label and feature values; there are at most a few thousand value combinations whatever the
 corpus, so these counts go to the driver, where trees of depth two are boosted on one fold and thresholds calibrated on
 the other: for a loose kind the least score, of at least even odds, beyond which the held-out labels have the wanted
-precision. A kind with too few held-out positives to tell takes the threshold of all kinds together, base ones included.
+precision. A kind whose own held-out positives can't tell takes the threshold of itself and its base kind together, and if
+that can't tell either, that of all kinds. Cards inside a longer run of digits, whose base match fails, are proposed alone.
 The trees return as one expression. Base spans stay; loose spans at or beyond their threshold are added, whether or not
 they pass the check: it says what the format is worth on the whole, as for a card number with one wrong digit.
 """
@@ -32,6 +33,8 @@ from .common import table
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("mail_like", "card_like", "number_like", "ip6")
 KINDS = BASE + LOOSE
+#: The base kind of each loose one.
+FAMILY = ("email", "card", "phone", "ip")
 _LOCAL = "A-Za-z0-9._%+-"
 _AT, _DOT = r"(?:\x20?@\x20?|\x20?[\[({]\x20?(?:at|AT|At|@)\x20?[\])}]\x20?)", r"(?:\.|\x20?[\[({]\x20?(?:dot|DOT|Dot|\.)\x20?[\])}]\x20?)"
 _NAME = r"[\p{L}0-9_%+-]"
@@ -60,7 +63,7 @@ _MAIL = r"\A[\p{L}0-9_%+-]+(?:\.[\p{L}0-9_%+-]+)*@(?:[\p{L}0-9](?:[\p{L}0-9-]*[\
 _IP6 = r"\A(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]*:){2,7}[0-9A-Fa-f]+\z)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{1,4})*::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*))\z"
 _DATE = r"(?:\A|\D)(?:(?:19|20)[0-9]{2}[./\x20-][0-9]{2}[./\x20-][0-9]{2}|[0-9]{2}[./\x20-][0-9]{2}[./\x20-](?:19|20)[0-9]{2})(?:\D|\z)"
 #: Feature -> number of values.
-FEATURES = {"generator": len(KINDS), "digits": 8, "groups": 5, "gaps": 5, "context": 3, "glued_before": 2, "glued_after": 2}
+FEATURES = {"generator": len(KINDS), "digits": 8, "groups": 5, "gaps": 5, "context": 3, "glued_before": 2, "glued_after": 2, "check": 3}
 ROUNDS, RATE, PRECISION, LEAST_POSITIVES, CHUNK = 60, 0.3, 0.9, 5, 64
 
 
@@ -81,6 +84,7 @@ def _features(kind: Column, m: Column, before: Column, after: Column) -> Column:
     values = [
         F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1, bucket, groups, gaps, F.when(own, 2).when(other, 1).otherwise(0),
         F.when(before.rlike(r"[\p{L}0-9=\"'_:/.-]\z"), 1).otherwise(0), F.when(after.rlike(r"\A[\p{L}0-9=\"'_:/-]"), 1).otherwise(0),
+        F.when(~kind.isin("card", "card_like") | ~digits.between(13, 19), 0).when(_luhn(_digits(m), 13), 2).otherwise(1),
     ]
     out = F.lit(0)
     for v, n in zip(values, FEATURES.values()):
@@ -93,8 +97,13 @@ def _luhn(digits: Column, low: int) -> Column:
     return n.between(low, 19) & F.call_function("luhn_check", F.when(n.between(low, 19), digits).otherwise("1"))
 
 
+def _label(kind: Column, m: Column, good: Column) -> Column:
+    """What a proposal counts as when trees are fitted: for cards the length and first digit of an issuer, since their check digit is a feature."""
+    return F.when(kind.isin("card", "card_like"), _digits(m).rlike(r"\A[3-6][0-9]{12,18}\z")).otherwise(good)
+
+
 def _passes(kind: Column, m: Column) -> Column:
-    """Whether a proposal's content passes the check of its kind."""
+    """Whether a proposal's content passes the check of its kind; for base kinds, whether it is a base span."""
     digits = _digits(m)
     marks = F.regexp_replace(F.regexp_replace(m, rf"(?:{_AT})", "@"), rf"(?:{_DOT})", ".")
     return (
@@ -105,7 +114,7 @@ def _passes(kind: Column, m: Column) -> Column:
 
 
 def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array<struct<kind, start, end, good, cell>>) of every row, in code points; null and empty texts have none.
+    """(id, spans array<struct<kind, start, end, good, label, cell>>) of every row, in code points; null and empty texts have none.
 
     Matches and the gaps between them come from the same pattern; a match begins after all gaps and matches before it.
     The sums are taken in chunks, so a text with many matches costs no more than in proportion.
@@ -125,7 +134,7 @@ def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def placed(p):
         def one_span(m, i):
             at = F.get(p["c"], F.floor(i / CHUNK).cast("int")) + total(F.slice(p["n"], F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK)) + F.length(F.get(p["g"], i))
-            return F.struct(p["kind"].alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), _passes(p["kind"], m).alias("good"), _features(p["kind"], m, F.right(F.get(p["g"], i), F.lit(24)), F.left(F.get(p["g"], i + 1), F.lit(1))).alias("cell"))
+            return F.struct(p["kind"].alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), _passes(p["kind"], m).alias("good"), _label(p["kind"], m, _passes(p["kind"], m)).alias("label"), _features(p["kind"], m, F.right(F.get(p["g"], i), F.lit(24)), F.left(F.get(p["g"], i + 1), F.lit(1))).alias("cell"))
 
         return F.transform(p["m"], one_span)
 
@@ -195,7 +204,7 @@ def boost(cells: np.ndarray, n: np.ndarray, pos: np.ndarray, held_n: np.ndarray,
 
 
 def thresholds(generator: np.ndarray, f: np.ndarray, n: np.ndarray, pos: np.ndarray) -> dict[str, float]:
-    """Each loose kind's least score, from the held-out counts of the cells; that of all kinds where it has too few positives; none: not added."""
+    """Each loose kind's least score, from the held-out counts of its own cells; where they can't tell, of those of its base kind too, then of all; none: not added."""
 
     def least(own: np.ndarray, enough: int) -> float | None:
         own = own[np.argsort(-f[own], kind="stable")]
@@ -203,10 +212,11 @@ def thresholds(generator: np.ndarray, f: np.ndarray, n: np.ndarray, pos: np.ndar
         at = [i for i in range(len(own)) if f[own[i]] >= 0 and good[i] >= enough and good[i] >= PRECISION * every[i] and (i + 1 == len(own) or f[own[i + 1]] < f[own[i]])]
         return float(f[own[at[-1]]]) - 1e-9 if at else None
 
-    every, out = least(np.arange(len(f)), LEAST_POSITIVES), {}
-    for kind in LOOSE:
-        own = np.flatnonzero(generator == KINDS.index(kind))
-        told = least(own, LEAST_POSITIVES) if pos[own].sum() >= LEAST_POSITIVES else every
+    out = {}
+    for kind, base in zip(LOOSE, FAMILY):
+        groups = [np.flatnonzero(generator == KINDS.index(kind)), np.flatnonzero(np.isin(generator, (KINDS.index(kind), KINDS.index(base)))), np.arange(len(f))]
+        found = (least(own, LEAST_POSITIVES) for own in groups if pos[own].sum() >= LEAST_POSITIVES)
+        told = next((t for t in found if t is not None), None)
         if told is not None:
             out[kind] = told
     return out
@@ -219,7 +229,7 @@ def _is_base(s: Column) -> Column:
 def fit(found: DataFrame) -> Trees:
     """Trees and thresholds from all proposals of ``found`` (id, base, rest); rows fall into folds by a hash of their id."""
     told = found.filter(F.size("rest") + F.size("base") > 0).select((F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("held"), F.explode(F.concat("base", "rest")).alias("s"))
-    told = told.select("held", F.col("s.cell").alias("cell"), F.col("s.good").cast("long").alias("y"))
+    told = told.select("held", F.col("s.cell").alias("cell"), F.col("s.label").cast("long").alias("y"))
     held = F.col("held")
     of = lambda c, on: F.coalesce(F.sum(F.when(on, c)), F.lit(0))
     rows = told.groupBy("cell").agg(of(F.lit(1), ~held).alias("n"), of(F.col("y"), ~held).alias("pos"), of(F.lit(1), held).alias("hn"), of(F.col("y"), held).alias("hpos")).orderBy("cell").collect()

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, table
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select|audio|video)(?=[\s/>])(?:[^=>]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+>(?:.*?</\1\s*>|.*)"
+    r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|title|svg|iframe|select|audio|video)(?=[\s/>])(?:[^=>]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+>(?:.*?</\1\s*>|.*)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -40,6 +41,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Closed by the next of the same group.
 _IMPLIED = {"p": "p", "li": "li", "dt": "d", "dd": "d", "td": "t", "th": "t", "tr": "r", "option": "o"}
+_SAME = {group: [x for x, g in _IMPLIED.items() if g == group] for group in _IMPLIED.values()}
 _OUTSIDE_TAGS = frozenset("nav footer aside dialog menu button fieldset head".split())
 _OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
 #: Parts of class and id names: of adverts and other articles, which never hold the page's own; of reader comments; of layout and notices, which may.
@@ -51,7 +53,7 @@ _LAYOUT_PARTS = frozenset(
     "cookie cookies consent gdpr newsletter newsletters subscribe subscription signup popup modal overlay breadcrumb breadcrumbs pagination pager share sharing sharethis addthis social toolbar login search skip "
     "masthead navbar topbar copyright nav menu menus navigation navigate footer sidebar sidebars side aside banner banners notice notices alert alerts widget widgets header headers".split()
 )
-_COMMENT_PARTS = frozenset("comment comments commentlist respond replies disqus".split())
+_COMMENT_PARTS = frozenset("comment comments commentlist commenter commenters discussion discussions feedback reaction reactions respond replies disqus".split())
 #: Parts that say nothing alone; a name is judged only if all its parts are in one of these sets.
 _NEUTRAL_PARTS = frozenset(
     "a area article articles bar block blocks body bottom box buttons button center col column container content entry fixed float form global google group holder home icons image images inner item items "
@@ -107,25 +109,35 @@ def _judged(attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, characters in links, outside: 0 no, 1 by names or a form alone, 2 for good, in an article, heading) of the blocks of a page, in order."""
+    """(text, characters in links, outside: 0 no, 1 by names alone, 2 for good or in a form, in an article, heading) of the blocks of a page, in order."""
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[list] = []  # [name, outside for good, outside by names or a form, in article]
+    stack: list[list] = []  # [name, outside for good, outside by names (1) or in a form (2), in article]
     text: list[str] = []
     linked = breaks = links = 0
-    hard = soft = inside = heading = first = False
+    open_names: Counter = Counter()  # of the stack: what is not open need not be looked for
+    hard = inside = heading = first = False
+    soft = 0
 
     def flush():
         nonlocal linked, breaks, heading
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, linked, 2 if hard else int(soft), inside, heading))
+                out.append((joined, linked, 2 if hard else soft, inside, heading))
             text.clear()
         linked = breaks = 0
 
     def state():
         nonlocal hard, soft, inside
-        hard, soft, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, False)
+        hard, soft, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, 0, False)
+
+    def push(*item):
+        stack.append(list(item))
+        open_names[item[0]] += 1
+
+    def cut(k):
+        open_names.subtract(x[0] for x in stack[k:])
+        del stack[k:]
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -156,15 +168,16 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 flush()
                 links = links if name == "a" else 0
                 heading = name in _HEADINGS
-                if group := _IMPLIED.get(name):
+                group = _IMPLIED.get(name)
+                if group and any(open_names[x] for x in _SAME[group]):
                     for k in range(len(stack) - 1, -1, -1):
                         if _IMPLIED.get(stack[k][0]) == group:
-                            del stack[k:]
+                            cut(k)
                             break
                         if stack[k][0] not in _IMPLIED and stack[k][0] in _BLOCK:
                             break
-                elif stack and stack[-1][0] == "p":
-                    stack.pop()
+                elif not group and stack and stack[-1][0] == "p":
+                    cut(len(stack) - 1)
                 state()
             if name in _VOID or m[4].endswith("/") and name not in _BLOCK:
                 continue
@@ -174,22 +187,22 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             whole = name in ("article", "main") or "main" in (m[4] or "") and re.search(r"role\s*=\s*[\"']?main", m[4], re.I)
             if whole and not own_hard:
                 while stack and stack[-1][0] in ("nav", "header", "head"):
-                    stack.pop()
+                    cut(len(stack) - 1)
                 state()
-                around = own_soft or soft and first
-                stack.append([name, hard, around, not hard and not around])
+                around = own_soft or bool(soft) and first
+                push(name, hard, int(around), not hard and not around)
                 first = first or not hard and not around
             elif name in _BLOCK or own_hard or own_soft:
                 outside = own_hard or name in _OUTSIDE_TAGS or name == "header" and not inside
-                stack.append([name, hard or outside, soft or own_soft or name == "form", inside])
+                push(name, hard or outside, max(soft, int(own_soft), 2 if name == "form" else 0), inside)
             state()
         else:
             if name in _BLOCK:
                 flush()
                 heading = False
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_names[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    cut(k)
                     break
             state()
     if last < len(page):

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from math import floor, isfinite
 
 import numpy as np
 import pytest
 
-from stratalog.llm import codes, fillmiddle, quality, simhash, topk
+from stratalog.llm import codes, fillmiddle, htmltext, quality, simhash, topk
 
 from .test_operators import DOCS, EDGE, table, words_of
 
@@ -289,3 +290,21 @@ def test_queries_that_repeat_an_id(spark):
             best = sorted((-sum(a * b for a, b in zip(x, y)), c) for j, (c, y) in enumerate(ints) if j != k)[:5]
             want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(best))
     assert Counter(tuple(r) for r in topk.top_k(vec.filter("id % 50 = 0"), vec).collect()) == want and sum(want.values()) == 25
+
+
+# --- pages
+
+
+def test_pages_of_many_open_and_stray_tags():
+    began = time.time()
+    for page in ("<div>" * 60_000 + "</span>" * 60_000 + "text", "<td><div>" * 30_000 + "<p>x</i>" * 60_000, "</p>" * 200_000):
+        htmltext.main_text(page)
+    assert time.time() - began < 10
+
+
+def test_what_stands_in_an_article_and_what_does_not():
+    said = "It is the one and it was so, as they have had it. "
+    page = f"<article><p>{said * 4}Let <math><mi>x</mi></math> be in <object>the plot</object>.</p><div class='reader-feedback'><p>{said * 5}</p></div><form><p>{said * 5}</p></form></article>"
+    assert htmltext.main_text(page) == f"{said * 4}Let x be in the plot."
+    assert htmltext.main_text(f"<form><p>{said * 9}</p></form>") == ""
+    assert htmltext.main_text(f"<form><article><p>{said * 9}</p></article></form>") == (said * 9).strip()  # a page may be one form

@@ -49,18 +49,27 @@ def _steps(path: Column) -> Column:
 def templates(urls: DataFrame) -> DataFrame:
     """(host, written, l, b, rows_of_key, template) of (host, written, blocked 1/0/null): labels, blocked ones and rows of each written path."""
     t = cut_lineage(urls.groupBy("host", "written").agg(F.count("blocked").alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.count("*").alias("rows_of_key")))
-    x = t.select("host", "written", F.col("rows_of_key").alias("n"), F.posexplode(_steps(F.col("written"))).alias("j", "step"))
+    keyed = t.withColumn("key", F.md5("written"))  # the rows of a deep path's steps carry no path
+    x = keyed.select("host", "key", F.col("rows_of_key").alias("n"), F.posexplode(_steps(F.col("written"))).alias("j", "step"))
     places = cut_lineage(x.groupBy("host", "j", "step").agg((F.sum("n") >= LEAST_ROWS).alias("literal"), F.count("*").alias("rows_of_key")))
-    told = join_counted(x.drop("n"), places, ["host", "j", "step"]).groupBy("host", "written").agg(F.sort_array(F.collect_list(F.struct("j", F.when(F.col("literal"), F.col("step")).otherwise("*").alias("step")))).alias("steps"))
+    told = join_counted(x.drop("n"), places, ["host", "j", "step"]).groupBy("host", "key").agg(F.sort_array(F.collect_list(F.struct("j", F.when(F.col("literal"), F.col("step")).otherwise("*").alias("step")))).alias("steps"))
     written = F.concat(F.lit("/"), F.array_join(F.transform("steps", lambda s: s["step"]), "/"))
-    return cut_lineage(t.join(told.select("host", "written", written.alias("template")), ["host", "written"], "left").na.fill("", ["template"]))
+    return cut_lineage(keyed.join(told.select("host", "key", written.alias("template")), ["host", "key"], "left").na.fill("", ["template"]).drop("key"))
 
 
 def branches(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the leaves (host, template, l, b): the nodes above each (host, template, j, node), and each node's counts (host, j, node, gl, gb, rows_of_key), merged or own."""
-    ids = lambda s: F.transform(s, lambda _, i: F.xxhash64(F.array_join(F.slice(s, F.lit(1), i + 1), "/")))
-    x = leaves.select("host", "template", "l", "b", ids(_steps(F.col("template"))).alias("ids")).select("host", "template", "l", "b", "ids", F.posexplode("ids").alias("j", "node"))
-    nodes = x.select("host", "template", "l", "b", "j", "node", F.coalesce(F.get("ids", F.col("j") - 1), F.lit(0)).alias("parent"))
+    """Of the leaves (host, key, template, l, b): the nodes above each (host, key, j, node), and each node's counts (host, j, node, gl, gb, rows_of_key), merged or own.
+
+    A node's hash is that of its parent's hash and its own step, so a path of any depth is hashed once.
+    """
+    start = F.struct(F.array().cast("array<struct<node:bigint,parent:bigint>>").alias("way"), F.lit(0).cast("long").alias("last"))
+
+    def step(a, s):
+        node = F.xxhash64(a["last"], s)
+        return F.struct(F.concat(a["way"], F.array(F.struct(node.alias("node"), a["last"].alias("parent")))).alias("way"), node.alias("last"))
+
+    way = F.aggregate(_steps(F.col("template")), start, step, lambda a: a["way"])
+    nodes = leaves.select("host", "key", "l", "b", way.alias("way")).select("host", "key", "l", "b", F.posexplode("way").alias("j", "n")).select("host", "key", "l", "b", "j", "n.node", "n.parent")
     one = cut_lineage(nodes.groupBy("host", "j", "node").agg(F.min("parent").alias("parent"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("rows_of_key")))
     around = one.groupBy("host", "j", "parent").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"), F.count("*").alias("rows_of_key"))
     rest, told = F.col("pl") - F.col("l"), (F.col("l") >= LEAST_LABELS) & (F.col("pl") - F.col("l") >= LEAST_LABELS)
@@ -70,7 +79,7 @@ def branches(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged = one.filter("alike").groupBy("host", "j", "parent").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"), F.count("*").alias("rows_of_key"))
     both = join_counted(one, merged, ["host", "j", "parent"])
     counts = both.select("host", "j", "node", F.when(F.col("alike"), F.col("ml")).otherwise(F.col("l")).alias("gl"), F.when(F.col("alike"), F.col("mb")).otherwise(F.col("b")).alias("gb"), "rows_of_key")
-    return nodes.select("host", "template", "j", "node"), cut_lineage(counts)
+    return nodes.select("host", "key", "j", "node"), cut_lineage(counts)
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
@@ -78,12 +87,12 @@ def template_tree(urls: DataFrame) -> DataFrame:
     t = templates(urls)
     every = t.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("l"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     total = F.lit((every.b + 1.0) / (every.l + 2.0))
-    leaves = cut_lineage(t.groupBy("host", "template").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("rows_of_key")))
+    leaves = cut_lineage(t.groupBy("host", "template").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("rows_of_key")).withColumn("key", F.md5("template")))
     nodes, counts = branches(leaves)
-    way = join_counted(nodes, counts, ["host", "j", "node"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("j", "gl", "gb"))).alias("way"))
+    way = join_counted(nodes, counts, ["host", "j", "node"]).groupBy("host", "key").agg(F.sort_array(F.collect_list(F.struct("j", "gl", "gb"))).alias("way"))
     hosts = leaves.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"), F.count("*").alias("rows_of_key"))
     shapes = leaves.groupBy("template").agg(F.sum("l").alias("sl"), F.sum("b").alias("sb"), F.count("*").alias("rows_of_key"))
-    x = join_counted(join_counted(leaves, cut_lineage(hosts), ["host"]), cut_lineage(shapes), ["template"]).join(way, ["host", "template"], "left")
+    x = join_counted(join_counted(leaves, cut_lineage(hosts), ["host"]), cut_lineage(shapes), ["template"]).join(way, ["host", "key"], "left")
     smooth = lambda b, n, prior: (b + STRENGTH * prior) / (n + STRENGTH)
     shape = smooth(F.col("sb"), F.col("sl"), smooth(F.col("hb"), F.col("hl"), total))
     p = F.coalesce(F.aggregate("way", shape, lambda prior, g: smooth(g["gb"], g["gl"], prior)), shape)

@@ -10,7 +10,7 @@ from math import floor, isfinite
 import numpy as np
 import pytest
 
-from stratalog.llm import codes, fillmiddle, htmltext, quality, simhash, topk
+from stratalog.llm import codes, fillmiddle, htmltext, quality, simhash, topk, urlfilter
 
 from .test_operators import DOCS, EDGE, table, words_of
 
@@ -308,3 +308,9 @@ def test_what_stands_in_an_article_and_what_does_not():
     assert htmltext.main_text(page) == f"{said * 4}Let x be in the plot."
     assert htmltext.main_text(f"<form><p>{said * 9}</p></form>") == ""
     assert htmltext.main_text(f"<form><article><p>{said * 9}</p></article></form>") == (said * 9).strip()  # a page may be one form
+
+
+def test_deep_paths(spark):
+    rows = [(1, "http://a.org/" + "/".join("abcdefghij"[k % 10] for k in range(3000))), (2, "http://b.net/x"), (3, "http://a.org/a/b")]
+    found = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"))
+    assert {r.id: (r.verdict, r.template.count("/")) for r in found.collect()} == {1: ("block", 3000), 2: ("block", 1), 3: ("block", 2)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints", f"stratalog-{os.getpid()}")
     sc.setCheckpointDir(named)

@@ -134,7 +134,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hit words and items of every document."""
+    """Hit words and items of every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts, and texts of separators alone, have no words and no hits; items without words, or with a null id, count
+    for nothing; rows that repeat each other come out as often as they came in, null ids too; an item that several windows
+    name counts once. Without documents there are no rows, without items no hits. Further columns are not read.
+    """
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -174,6 +174,12 @@ def _said_of_file(r) -> Iterator[tuple]:
     yield HTML, FILES, 0, r.artifact_path, "<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in cells) + "</tr>\n"
 
 
+def hit_lines(hits: DataFrame) -> DataFrame:
+    """Rows of _LINES for numbered hits, in the severity sections and the appendix of both reports."""
+    fields = ["rule_id", "severity", "issue_category", "component", "artifact_path", "line_number", "byte_offset", "raw_line", "context_before", "context_after", "kb_candidate_ids", "matched_text", "product", "hit_no"]
+    return _lines_of(hits.select(*fields), _said_of_hit)
+
+
 def _listed(section: int, no: int, key: str, item: str, dash: str = "- ") -> list[tuple]:
     return [(TEXT, section, no, key, f"{dash}{item}\n"), (HTML, section, no, key, f"<li>{html.escape(item)}</li>")]
 
@@ -225,9 +231,7 @@ def write_reports(coverage: DataFrame, hits: DataFrame, by_file: DataFrame, fact
 
     Every piece of a report is a row with its section and place in it; what comes to the driver is which sections have rows.
     """
-    fields = ["rule_id", "severity", "issue_category", "component", "artifact_path", "line_number", "byte_offset", "raw_line", "context_before", "context_after", "kb_candidate_ids", "matched_text", "product", "hit_no"]
-    said = _lines_of(hits.select(*fields), _said_of_hit)
-    said = said.unionByName(_lines_of(coverage.select("artifact_ord", "artifact_path", "artifact_family", "review_mode", "limitations", "decoded_successfully"), _said_of_artifact))
+    said = hit_lines(hits).unionByName(_lines_of(coverage.select("artifact_ord", "artifact_path", "artifact_family", "review_mode", "limitations", "decoded_successfully"), _said_of_artifact))
     said = cut_lineage(said.unionByName(_lines_of(by_file.select("artifact_path", "artifact_family", "hit_count", "matched_rule_ids", "limitations"), _said_of_file)))
     filled = {(r.report, r.section) for r in said.select("report", "section").distinct().collect()}
     lines = said.unionByName(coverage.sparkSession.createDataFrame(_frame(facts, title, filled), _LINES))

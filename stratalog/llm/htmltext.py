@@ -109,9 +109,9 @@ def _judged(attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, characters in links, outside: 0 no, 1 by names alone, 2 for good or in a form, in an article, heading) of the blocks of a page, in order."""
+    """(text, characters in links, outside: 0 no, 1 by names or a form alone, 2 for good, in an article, heading) of the blocks of a page, in order."""
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[list] = []  # [name, outside for good, outside by names (1) or in a form (2), in article]
+    stack: list[list] = []  # [name, outside for good, outside by names or a form, in article]
     text: list[str] = []
     linked = breaks = links = 0
     open_names: Counter = Counter()  # of the stack: what is not open need not be looked for
@@ -194,7 +194,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 first = first or not hard and not around
             elif name in _BLOCK or own_hard or own_soft:
                 outside = own_hard or name in _OUTSIDE_TAGS or name == "header" and not inside
-                push(name, hard or outside, max(soft, int(own_soft), 2 if name == "form" else 0), inside)
+                push(name, hard or outside, int(soft or own_soft or name == "form"), inside)
             state()
         else:
             if name in _BLOCK:

@@ -50,6 +50,11 @@ class Frames:
     def by_rule(self) -> DataFrame:
         return G.findings_by_rule(self.hits, self.pack)
 
+    @property
+    def rule_files(self) -> DataFrame:
+        """One row per rule and file, for scans where a rule's files don't fit one cell of ``by_rule``."""
+        return G.rule_files(self.hits)
+
     @property
     def by_file(self) -> DataFrame:
         return G.findings_by_file(self.coverage, self.hits)

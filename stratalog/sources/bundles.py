@@ -184,11 +184,11 @@ def _listed(chunk: dict, limits: Limits, tools: decoders.Tools) -> Iterator[dict
             yield base | {"no": -1, "need": 0, "net": 0, "fault": "broken", "said": str(e)}
 
 
-def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tuple[DataFrame, DataFrame, DataFrame]:
+def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(tops, members, contents): the sources that are nodes, the members of all nodes, and once for every node its content or the path it is ``at``.
 
     Every node is read once, at the level where it is first met. Archives no deeper than the depth limit are listed; what is at
-    the limit is known by its node and not opened.
+    the limit is known by its node and not opened. None if no source is a node.
     """
 
     def top(r):
@@ -196,6 +196,8 @@ def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tupl
             yield {k: r[k] for k in ("key", "path", "original", "file_no")} | {"node": found[0], "kind": found[1]}
 
     tops = cut_lineage(_map(sources, top, "key string, path string, original string, file_no long, node string, kind string"))
+    if tops.isEmpty():
+        return None
     first = tops.groupBy("node").agg(F.min(F.struct("key", "kind", "path")).alias("x")).select("node", "x.kind", "x.path", "x.key")
     frontier = first.join(sources.select("key", "content"), "key").select("node", "kind", "path", "content")
     known, members, depth = None, [], 0
@@ -439,8 +441,11 @@ def emitted(sources: DataFrame, tops: DataFrame, members: DataFrame, contents: D
     fields = ["key", "node", "kind", "depth", "path", "original", "extracted_from", "number", "file", "first", "last", "total", "end", "faults", "kids", "content", "at"]
     todo = _dealt(x.join(contents, "node").select(*fields), "key", "first")
     out = _map(todo, lambda r: _emit(r, root, limits, tools, tag), ARTIFACT_SCHEMA)
-    others = sources.join(opened.filter("parent is null").select("key"), "key", "left_anti")
-    return out.unionByName(_map(others, lambda r: _leaf(r["key"], r["path"], r["original"], "", r["content"], 0, f"{r['file_no']:06d}", root, limits, tools), ARTIFACT_SCHEMA))
+    return out.unionByName(_leaves(sources.join(opened.filter("parent is null").select("key"), "key", "left_anti"), root, limits, tools))
+
+
+def _leaves(sources: DataFrame, root: str, limits: Limits, tools: decoders.Tools) -> DataFrame:
+    return _map(sources, lambda r: _leaf(r["key"], r["path"], r["original"], "", r["content"], 0, f"{r['file_no']:06d}", root, limits, tools), ARTIFACT_SCHEMA)
 
 
 def _tool_paths(opened: DataFrame, reached: DataFrame, members: DataFrame, requests: DataFrame | None, root: str) -> DataFrame:
@@ -470,7 +475,10 @@ def expanded_together(sources: DataFrame, root: str, limits: Limits | None = Non
 def expanded_and_opened(sources: DataFrame, root: str, limits: Limits | None = None, tools: decoders.Tools | None = None, tag: str = "", seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(artifacts, opened (node)) as ``expanded_together``, where archives ``seen`` (node) in earlier scans count as seen."""
     limits, tools = limits or Limits(), tools or decoders.Tools()
-    tops, members, contents = catalogue(sources, limits, tools)
+    found = catalogue(sources, limits, tools)
+    if found is None:
+        return _leaves(sources, root, limits, tools), sources.select(F.col("key").alias("node")).limit(0)
+    tops, members, contents = found
     folded = fold(tops, members, limits, seen)
     opened = folded[0].filter("opened and kind <> 'tool'").select("node")
     return emitted(sources, tops, members, contents, folded, root, limits, tools, tag), opened

@@ -89,3 +89,19 @@ def test_files_on_disk(spark, tmp_path):
     ]
     hits = api.scan_large_binaries(spark, str(tmp_path / "payload.bin"), built_in(), block=8).collect()
     assert [(h.matched_text, h.byte_offset, h.match_type) for h in hits] == [("timeout", 2, "ascii-string"), ("services.bit9.com", 2, "ascii-string")]
+
+
+def test_contents_are_computed_once(spark):
+    """A content that is costly to compute is not computed again for every block of it."""
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def costly(n):
+        met.add(1)
+        return b"ab" * n
+
+    files = spark.range(3).select(F.col("id").cast("string").alias("artifact_path"), costly((F.col("id") * 500).cast("int")).alias("content"))
+    got = blocks.cut(files, 64).groupBy("artifact_path").count().collect()
+    assert {(r.artifact_path, r["count"]) for r in got} == {("0", 1), ("1", 16), ("2", 32)} and met.value == 3
+    plan = blocks.cut(files, 64)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "substring" not in plan

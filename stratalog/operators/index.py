@@ -1,55 +1,173 @@
 """Lines against tables of patterns or word lists of any size, by an inverted index of what each of them needs.
 
-Whatever a pattern matches holds a literal text; of the literal's three-letter grams the one that is rarest in the lines
-becomes the key under which the pattern is indexed. Lines meet patterns by an equi-join on their grams, and what meets is
-tested in full. Neither table is collected. There are at most 69^3 + 69^2 + 69 grams of up to three lower-case ASCII
-characters, so the set of grams in use, which every task is told, is bounded however many patterns there are. Postings are
+Whatever a pattern matches holds a literal text. Of the literal's grams of the greatest length in ``LENGTHS`` that it has, the
+one that is rarest in the lines becomes the key under which the pattern is indexed: up to eight characters that is the
+whole literal, so what meets grows with what matches and not with patterns times lines. Lines meet patterns by an
+equi-join on hashes of grams, and what meets is tested in full. Neither table is collected. Tasks are told a Bloom filter
+of the keys in use, of at most ``MOST_BITS`` bits however many patterns there are, and pass on only the grams in it. Postings are
 copied to a few salts and lines dealt over them, so a frequent gram is no hot key. A pattern without any literal text is
 indexed under the empty gram, which every line has: it has to be tried on all of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import alternatives, literal_of, to_java
-
-GRAM, SALTS = 3, 16
+from ..lineage import cut_lineage
+
+SALTS = 16
+#: Lengths of grams, in bytes of ASCII.
+LENGTHS = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32)
+#: Grams of one literal among which the rarest is chosen; bits of a filter, of one piece of it, and of text that is looked at at once.
+CHOICE, LEAST_BITS, MOST_BITS, PIECE, SLICE = 8, 1 << 15, 1 << 28, 1 << 15, 4 << 20
+EMPTY = 0
 #: Letters that match s or i without case although their lower case is another letter.
 _ODD = ("ſıİ", "sii")
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _low(text: Column) -> Column:
     return F.lower(F.translate(text, *_ODD))
 
 
-def grams(text: Column) -> Column:
-    """The different grams of one to three characters of a text in lower case, and the empty gram; in time that grows with its length."""
-    found = [F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *found))
+def gram_hashes(raw: np.ndarray, lengths) -> dict[int, np.ndarray]:
+    """For each length a hash of the gram at every place of the bytes, put together from those of half the length."""
+    powers = {1: (raw.astype(np.uint64) + np.uint64(1)) * _A}
+
+    def joined(a, b):
+        x = a * _B + b
+        return x ^ (x >> np.uint64(29))
+
+    def power(k):
+        if k not in powers:
+            h = power(k // 2)
+            powers[k] = joined(h[: len(h) - k // 2], h[k // 2 :])
+        return powers[k]
+
+    out = {}
+    for k in lengths:
+        n, at, h = len(raw) - k + 1, 0, None
+        if n <= 0:
+            continue
+        for p in (1 << b for b in reversed(range(k.bit_length())) if k >> b & 1):
+            part = power(p)[at : at + n]
+            h, at = part if h is None else joined(h, part), at + p
+        out[k] = h + np.uint64(k)
+    return out
+
 
+def _length(n: int) -> int:
+    return max((k for k in LENGTHS if k <= n), default=0)
 
-def _keys(text: Column) -> Column:
-    """The grams by one of which a literal text may be indexed: all of its longest ones."""
-    n = F.least(F.length(text), F.lit(GRAM))
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.filter(grams(text), lambda g: F.length(g) == n)))
+
+def keys_of(literal: str) -> tuple[int, list[int]]:
+    """(length, hashes) of the grams by one of which a literal may be indexed."""
+    raw = np.frombuffer(literal.encode(), np.uint8)
+    k = _length(len(raw))
+    if not k:
+        return 0, [EMPTY]
+    found = gram_hashes(raw, [k])[k]
+    places = np.unique(np.linspace(0, len(found) - 1, min(CHOICE, len(found))).astype(int))
+    return k, np.unique(found[places]).view(np.int64).tolist()
+
+
+def _keyed(needed: DataFrame) -> DataFrame:
+    """(literal, length, key) of the different literals."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(x, k, h) for x in b.column(0).to_pylist() for k, hs in [keys_of(x)] for h in hs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.string(), pa.int32(), pa.int64()))], names=["literal", "length", "key"])
+
+    return cut_lineage(needed.select("literal").distinct().mapInArrow(run, "literal string, length int, key long"))
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of two probes over (key), at least thirty bits a key up to ``MOST_BITS``; its pieces are made by tasks."""
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (30 * n).bit_length()))
+    slots = keys.select(F.explode(F.array(F.col("key"), F.shiftrightunsigned("key", 32))).alias("x")).select(F.pmod("x", F.lit(bits)).alias("x"))
+
+    def made(rows: pa.Table) -> pa.Table:
+        x = rows.column("x").to_numpy()
+        part = np.zeros(PIECE, np.uint8)
+        part[x % PIECE] = 1
+        return pa.table({"piece": pa.array([int(x[0]) // PIECE], pa.int64()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in slots.groupBy(F.floor(F.col("x") / PIECE).alias("p")).applyInArrow(made, "piece long, part binary").toLocalIterator():
+        out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(r.part, np.uint8)
+    return out
+
+
+def _sliced(batch: pa.RecordBatch, at: int):
+    """(rows, bytes, where each text begins and ends) of a batch, some megabytes of the texts in column ``at`` at a time."""
+    text = batch.column(at).cast(pa.large_string())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    raw = np.frombuffer(text.buffers()[2], np.uint8) if len(text) and text.buffers()[2] is not None else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, side="right")) - 1)
+        yield batch.slice(a, b - a), raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        a = b
+
+
+def _held(raw: np.ndarray, ends: np.ndarray, lengths: list[int], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every place of the texts with a gram that the filter holds."""
+    mask = np.uint64(len(told) * 8 - 1)
+    flags = np.unpackbits(told, bitorder="little").view(bool) if len(told) <= 1 << 18 else None  # a byte each while they are few
+    rows, keys = [], []
+    if EMPTY in lengths:
+        rows.append(np.arange(len(ends) - 1))
+        keys.append(np.full(len(ends) - 1, EMPTY, np.int64))
+    for k, h in gram_hashes(raw, [k for k in lengths if k]).items():
+        first = h & mask
+        at = np.flatnonzero(flags[first] if flags is not None else (told[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8)) & 1)
+        second = (h[at] >> np.uint64(32)) & mask
+        at = at[(told[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        row = np.searchsorted(ends, at, side="right") - 1
+        inside = at + k <= ends[row + 1]
+        rows.append(row[inside])
+        keys.append(h[at[inside]].view(np.int64))
+    return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *keys])
 
 
 def _met(lines: DataFrame, needed: DataFrame, text: Column) -> DataFrame:
     """(lines' columns, entry) that share the entry's key; ``needed`` is (entry struct, need int, literal string): every need of an
     entry has to be met by one of its literals, and the entry is indexed by the need that is rarest. ``lines`` have __row."""
-    asked = needed.select("entry", "need", "literal", F.explode(_keys(F.col("literal"))).alias("gram"))
-    used = F.broadcast(asked.select("gram").distinct())  # bounded: see above
-    said = lines.select(F.explode(grams(_low(text))).alias("gram")).join(used, "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    priced = asked.join(F.broadcast(said), "gram", "left").groupBy("entry", "need", "literal").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-    by_need = priced.groupBy("entry", "need").agg(F.sum("best.n").alias("n"), F.collect_set("best.gram").alias("grams"))  # as many as a pattern has alternatives
-    posted = by_need.groupBy("entry").agg(F.min(F.struct("n", "need", "grams")).alias("x")).select("entry", F.explode("x.grams").alias("gram"))
-    posted = posted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    chosen = F.broadcast(posted.select("gram").distinct())
-    dealt = lines.withColumn("gram", F.explode(grams(_low(text)))).join(chosen, "gram").withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
-    return dealt.join(posted, ["gram", "salt"]).drop("gram", "salt")
+    sc, names = lines.sparkSession.sparkContext, lines.columns
+    keyed = _keyed(needed)
+    lengths = [r.length for r in keyed.select("length").distinct().collect()]  # as many as LENGTHS
+    every = sc.broadcast(_filter_of(keyed.select("key").distinct()))
+
+    def counted(batches):
+        for b in batches:
+            for _, raw, ends in _sliced(b, 0):
+                found, n = np.unique(_held(raw, ends, lengths, every.value)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    said = lines.select(_low(text).alias("__low")).mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    asked = needed.join(keyed.join(said, "key", "left").groupBy("literal").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best")), "literal")
+    by_need = asked.groupBy("entry", "need").agg(F.sum("best.n").alias("n"), F.collect_set("best.key").alias("keys"))  # as many as a pattern has alternatives
+    posted = cut_lineage(by_need.groupBy("entry").agg(F.min(F.struct("n", "need", "keys")).alias("x")).select("entry", F.explode("x.keys").alias("key")))
+    chosen = sc.broadcast(_filter_of(posted.select("key").distinct()))
+
+    def dealt(batches):
+        for b in batches:
+            for own, raw, ends in _sliced(b, len(names)):
+                row, key = _held(raw, ends, lengths, chosen.value)
+                pairs = np.unique(np.stack([row, key]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+                out = own.take(pa.array(pairs[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*out.columns[: len(names)], pa.array(pairs[1], pa.int64())], names=[*names, "key"])
+
+    schema = T.StructType([*lines.schema.fields, T.StructField("key", T.LongType())])
+    there = lines.withColumn("__low", _low(text)).mapInArrow(dealt, schema).withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+    return there.join(posted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).drop("key", "salt")
 
 
 def _literals(rules: DataFrame) -> DataFrame:
@@ -74,7 +192,7 @@ def indexed_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     patterns = _literals(rules)
     entry = F.struct("rule_ord", "rule_id", "place", "java")
     needed = patterns.select(entry.alias("entry"), F.lit(0).alias("need"), F.explode("literals").alias("literal")).distinct()
-    met = _met(own, needed, F.col("raw_line")).distinct()
+    met = _met(own, needed, F.col("raw_line"))
     found = met.filter("raw_line rlike entry.java").withColumn("matched_text", F.expr("regexp_extract(raw_line, entry.java, 0)"))
     first = found.groupBy("__row", *names, "entry.rule_ord").agg(F.min(F.struct("entry.place", "entry.rule_id", "matched_text")).alias("x"))
     return first.select(*names, "rule_ord", "x.rule_id", "x.matched_text")
@@ -88,10 +206,11 @@ def lines_of_specs(lines: DataFrame, specs: DataFrame) -> DataFrame:
     own = lines.filter("raw_line is not null").withColumn("__row", F.monotonically_increasing_id())
     known = specs.filter((F.size("needles") > 0) & ~F.exists("needles", lambda n: n.isNull())).select("spec_ord", F.array_sort(F.array_distinct(F.transform("needles", lambda n: F.lower(n)))).alias("needles"))
     needed = known.select(F.struct("spec_ord", "needles").alias("entry"), F.posexplode("needles").alias("need", "literal"))
-    ascii_part = F.regexp_extract(F.col("literal"), r"([\x00-\x7f]*)", 1)  # other letters may have several lower cases
-    met = _met(own, needed.withColumn("literal", ascii_part), F.col("raw_line")).distinct()
+    runs = F.regexp_extract_all("literal", F.lit(r"[\x00-\x7f]+"), F.lit(0))  # other letters may have several lower cases
+    longest = F.coalesce(F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"], F.lit(""))
+    met = _met(own, needed.withColumn("literal", longest), F.col("raw_line"))
     low = F.lower("raw_line")
-    return met.filter(F.forall("entry.needles", lambda n: F.contains(low, n))).select(*lines.columns, "entry.spec_ord")
+    return met.filter(F.forall("entry.needles", lambda n: F.contains(low, n))).select("__row", *lines.columns, "entry.spec_ord").distinct().drop("__row")
 
 
 def negative_specs(families: DataFrame, lines: DataFrame, specs: DataFrame) -> DataFrame:

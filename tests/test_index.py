@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.functions import rules as R
 from stratalog.operators import index
@@ -72,6 +75,25 @@ def test_two_hundred_specs(spark):
     assert sorted(map(tuple, index.negative_specs(families, df, table).collect())) == want and 0 < len(want) < 200
 
 
+def test_what_meets_grows_with_what_matches(spark):
+    """Rules whose texts share all short grams meet only the lines that hold their long ones."""
+    said = lambda k: " ".join("abcdefgh"[k >> 3 * i & 7] * 2 for i in range(5))
+    lines = frame(spark, [said(k * 37) for k in range(400)]).withColumn("__row", F.monotonically_increasing_id())
+    needed = spark.createDataFrame([((k,), 0, said(k * 37 + k % 2)) for k in range(400)], "entry struct<k:int>, need int, literal string")
+    assert index._met(lines, needed, F.col("raw_line")).count() <= 4 * 400
+
+
+def test_grams_over_slices(spark, monkeypatch):
+    """Texts that are looked at in several slices, null and empty ones among them, give the same as whole ones."""
+    batch = pa.record_batch({"t": pa.array(["", "abcdé", "x" * 50, "cde"])}).slice(1)
+    whole = [(r.num_rows, bytes(raw)) for r, raw, _ in index._sliced(batch, 0)]
+    monkeypatch.setattr(index, "SLICE", 10)
+    parts = [(r.num_rows, bytes(raw)) for r, raw, _ in index._sliced(batch, 0)]
+    assert len(whole) == 1 and len(parts) == 3 and b"".join(x for _, x in parts) == whole[0][1]
+    h = index.gram_hashes(np.frombuffer(b"abcdeabcde", np.uint8), [3, 5])
+    assert h[3][0] == h[3][5] and h[5][0] == h[5][5] and index.keys_of("cde")[1] == [int(h[3][2].view(np.int64))]
+
+
 def test_flags_say_what_they_hold():
     with pytest.raises(ValueError, match="negative_specs"):
         pattern_flags(None, [("m", (), ("a", "b", "c"), "t")])

@@ -32,6 +32,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more), the document with the smallest id.
 
+    Fingerprints are linked as operator 4 does and checked by that similarity; what they have not joined is found by the shingles.
     Null and empty texts have no shingles and are copies of each other alone; texts of fewer than five words are one shingle; of rows
     that repeat each other one stays; rows without an id stay only where no row of their group has one. No documents give none.
     """

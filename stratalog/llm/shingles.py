@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly.
+"""Near copies by SimHash and multi-index hashing, with the Jaccard similarity of word shingles as the exact check.
+
+The fingerprints of the texts' sets of shingles are linked by the segment tables of ``simhash``; a link stays if the sets are near
+enough. No bit radius bounds the similarity, so what fingerprints have not joined is then looked for by the shingles themselves.
 
 Two sets of similarity ``least`` or more share a shingle among the first ``n - ceil(least * n) + 1`` of each, whatever
 order all sets are sorted in. Shingles that are common in a sample of the texts come last in that order, so a line that
@@ -19,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
-from .common import map_batches
-from .simhash import components
+from . import simhash
+from .common import map_batches, spread_rows
+from .simhash import components, shingle_hashes
 
 WORDS, LEAST, SEED = 5, 0.8, 42
 #: Every ``SAMPLE``-th text tells which shingles are common; any choice of them gives the same result.
@@ -29,16 +33,7 @@ SAMPLE, COMMON, MOST_COMMON, STARS = 16, 3, 50_000, 2
 
 def shingle_set(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of ``text``; no words: none; fewer words than a shingle: all of them as one."""
-    parts = ("" if text is None else text).encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(1, len(parts) - words + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[min(words, len(parts)) - 1 :].tolist())]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, words, seed).view(np.int64))
 
 
 def _needed(n: int, least: float) -> int:
@@ -62,11 +57,11 @@ def common_shingles(rows: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, common: np.ndarray, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """(id, h, node, n, own, prefix) of every row of (id, h, text): a hash of its set, its size, how many shingles are not common, and the first ones."""
+    """(id, h, node, fp, n, own, prefix) of every row of (id, h, text): a hash of its set, its set's fingerprint and size, how many shingles are not common, and the first ones."""
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batch):
-        last, nodes, sizes, owns, found = sent.value, [], [], [], []
+        last, nodes, codes, sizes, owns, found = sent.value, [], [], [], [], []
         for t in batch.column(2):
             s = shingle_set(t.as_py(), words)
             at = np.searchsorted(last, s)
@@ -74,13 +69,15 @@ def prefixes(rows: DataFrame, common: np.ndarray, words: int = WORDS, least: flo
             n = len(s)  # a smaller set has no other near enough
             found.append(np.concatenate((s[~late], s[late]))[: n - _needed(n, least) + 1] if n >= least * (n + 1) - 1e-9 else s[:0])
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+            codes.append(simhash.code_of(s.view(np.uint64)))
             sizes.append(n)
             owns.append(int(np.count_nonzero(~late)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(owns, pa.int64()), _lists(found)], names=["id", "h", "node", "n", "own", "prefix"]
+            [batch.column(0), batch.column(1), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, codes)), pa.array(sizes, pa.int64()), pa.array(owns, pa.int64()), _lists(found)],
+            names=["id", "h", "node", "fp", "n", "own", "prefix"],
         )
 
-    return map_batches(rows.select("id", "h", "text"), run, "id long, h long, node long, n long, own long, prefix array<long>")
+    return map_batches(rows.select("id", "h", "text"), run, "id long, h long, node long, fp long, n long, own long, prefix array<long>")
 
 
 def _buckets(prints: DataFrame) -> DataFrame:
@@ -137,23 +134,39 @@ def _alike(able: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least
     return cut_lineage(both.filter(F.col("shared") >= least * (F.col("n") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
+def fingerprint_pairs(nodes: DataFrame, bits: int = simhash.MOST_BITS, segments: int = simhash.SEGMENTS) -> DataFrame:
+    """Pairs (a, b), a < b, of the nodes (node, fp, n) that the segment tables link at ``bits`` or fewer different bits; equal fingerprints link to one of them."""
+    heads = cut_lineage(spread_rows(cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("node")))))
+    same = nodes.select("fp", F.col("node").alias("b")).join(heads.withColumnRenamed("node", "a"), "fp").filter("a <> b").select("a", "b")
+    return cut_lineage(simhash.links(heads, bits, segments).unionByName(same))
+
+
+def _not_joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are not in one component of (node, component)."""
+    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    told = pairs.join(left, "a", "left").join(right, "b", "left")
+    return told.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(id, h, component) of every row of (id, h, text): one component for rows that a chain of near copies joins.
 
     Texts without words are copies of each other. Repeated rows come out as often as they came in.
     """
     prints = cut_lineage(prefixes(rows, common_shingles(rows, words), words, least))
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("k"), F.max("fp").alias("fp"), F.max("n").alias("n"), F.max(F.size("prefix")).alias("p")))
+    by_code = _alike(fingerprint_pairs(nodes), nodes, rows, words, least)
+    joined = components(by_code)
     buckets = cut_lineage(_buckets(prints))
     met = buckets.select(F.explode("members").alias("node")).distinct()
-    nodes = prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("k"), F.max("n").alias("n"), F.max(F.size("prefix")).alias("p"))
     nodes = cut_lineage(nodes.join(met, "node", "left_semi"))
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     # stars count only the shingles of buckets that one of the two leads; what they leave out by that is left to the last round
     star = lambda k: F.array_max(F.transform("members", lambda x: F.struct(F.xxhash64(x, F.lit(k)).alias("x"), x.alias("other"))))["other"]
     stars = buckets.select("members", "w", F.explode(F.array_distinct(F.array(F.col("leader"), *[star(k) for k in range(1, STARS)]))).alias("other"))
     stars = stars.select("w", "other", F.explode("members").alias("node")).filter("node <> other").select(*pair, "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    tried = cut_lineage(_able(stars, nodes, least))
-    edges = _alike(tried, nodes, rows, words, least)
+    tried = cut_lineage(_not_joined(_able(stars, nodes, least), joined))
+    edges = by_code.unionByName(_alike(tried, nodes, rows, words, least))
     labels = components(edges)
     told = nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"))
     held = buckets.select(F.xxhash64("members").alias("t"), F.explode(F.arrays_zip("members", "at")).alias("m")).select("t", F.col("m.members").alias("node"), F.col("m.at").alias("at"))

@@ -29,25 +29,34 @@ SEED, SHINGLE, MOST_BITS, SEGMENTS, BUCKET = 42, 3, 2, 2, 64
 _MAX_CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the word shingles of ``text``, repeats included; no words: 0; fewer words than a shingle: all of them as one."""
+def shingle_hashes(text: str | None, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles of ``text``, repeats included; no words: none; fewer words than a shingle: all of them as one."""
     parts = ("" if text is None else text).encode().lower().split()  # bytes: A-Z only, and \x20\x09-\x0D only
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - words + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())]
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def code_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: a bit is 1 if it is set in over half of them; none: 0."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, _MAX_CHUNK):
-        chunk = np.array(hashes[at : at + _MAX_CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        chunk = hashes[at : at + _MAX_CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(chunk, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the word shingles of ``text``, repeats included; no words: 0; fewer words than a shingle: all of them as one."""
+    return code_of(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_type: str = "long") -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every row; null text counts as empty."""
 

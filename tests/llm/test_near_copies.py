@@ -81,3 +81,27 @@ def test_texts_under_one_id_and_without_id(spark, groups):
     rows = [(1, x), (7, x), (7, y), (7, z), (7, z), (None, u), (None, u), (None, v), (None, y), (9, v)]
     kept = simhash.keep_one(rows_of(spark, rows), groups=groups).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, x), (7, y), (7, z), (None, u), (9, v)])
+
+
+def test_fingerprints_link_first_and_shingles_check(spark, monkeypatch):
+    linked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda classes, bits, segments: linked.append((classes.count(), bits, segments)) or links(classes, bits, segments))
+    rnd = random.Random(33)
+    long = words_of(rnd, 2000, 5000)
+    texts = [long, edited(rnd, long, 1), edited(rnd, long, 2), long + " " + long, *edited_texts()]
+    kept = corpus_pipeline.near_copies_out(spark, rows_of(spark, enumerate(texts)), "")
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(plain_groups(texts)))
+    codes = {n: simhash.code_of(shingles.shingle_set(t).view("u8")) for n, t in enumerate(texts)}
+    assert linked == [(len(set(codes.values())), simhash.MOST_BITS, simhash.SEGMENTS)]
+    nodes = spark.createDataFrame([(n, c - (1 << 64) if c >> 63 else c) for n, c in codes.items()], "node long, fp long")
+    found = {(r.a, r.b) for r in shingles.fingerprint_pairs(nodes).collect()}
+    near = {(a, b) for b in codes for a in range(b) if (codes[a] ^ codes[b]).bit_count() <= 2}
+    assert found <= near and plain_joined(found) == plain_joined(near) and any(codes[a] != codes[b] for a, b in found)
+
+
+def plain_joined(pairs):
+    up = {}
+    for x, y in sorted(pairs):
+        a, b = up.get(x, {x}), up.get(y, {y})
+        up.update(dict.fromkeys(a | b, a | b))
+    return {frozenset(g) for g in up.values()}

@@ -220,6 +220,12 @@ def line_hits(line: Column, pack: Pack, rules: bool = True) -> Column:
     return F.coalesce(_bound(line, listed), F.array().cast(f"array<{_HIT}>"))
 
 
+def listed_hits(pack: Pack) -> Column:
+    """What a hit says by its rule_ord, with an empty matched_text: constants, one of each rule and term."""
+    known = [*pack.rules, *[Rule(fixed.GENERIC_RULE, ())] * len(pack.terms)]
+    return F.array(*[_hit(k, r, F.lit("")) for k, r in enumerate(known)]) if known else F.array().cast(f"array<{_HIT}>")
+
+
 def may_hit(line: Column, pack: Pack, rules: bool = True) -> Column:
     """A cheap test that every line with hits passes: the terms and the literal texts of the patterns, less those that hold another of them."""
     texts, patterns = {t.lower() for t in pack.terms}, []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
-from ..functions.rules import Pack, compiled
+from ..functions.rules import Pack, compiled, listed_hits
 from ..lineage import cut_lineage
 
 LINE_BLOCK = 8192
@@ -59,19 +59,30 @@ def _as_text(x: DataFrame) -> DataFrame:
     })
 
 
+def _in_blocks(lines: DataFrame, block: int, n: int) -> DataFrame:
+    """``lines`` dealt to blocks of line numbers (__block; its own is __own), each with the ``n`` lines on either side."""
+    own = F.floor((F.col("line_number") - 1) / block)
+    edges = F.array_distinct(F.array(own, F.floor((F.col("line_number") - 1 - n) / block), F.floor((F.col("line_number") - 1 + n) / block)))
+    return lines.withColumn("__own", own).withColumn("__block", F.explode_outer(edges))
+
+
+def _around(dealt: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``dealt`` with context_before and context_after; every line once, in its own block."""
+    w = Window.partitionBy(*keys, "__block").orderBy("line_number")
+    line = F.coalesce("raw_line", F.lit(""))
+    before, after = [F.lag(line, k).over(w) for k in range(n, 0, -1)], [F.lead(line, k).over(w) for k in range(1, n + 1)]
+    out = dealt.withColumns({"context_before": F.concat_ws("\n", *before), "context_after": F.concat_ws("\n", *after)})
+    return out.filter(F.col("__block") == F.col("__own")).drop("__own", "__block")
+
+
 def with_context(lines: DataFrame, block: int = LINE_BLOCK, n: int = T.CONTEXT) -> DataFrame:
     """Lines (artifact_path, line_number, raw_line, ...) that come as rows, with context_before and context_after.
 
     Windows run over blocks of line numbers, each with the ``n`` lines on either side, so one huge log is many small
     groups. A null line counts as empty.
     """
-    own = F.floor((F.col("line_number") - 1) / block)
-    edges = F.array_distinct(F.array(own, F.floor((F.col("line_number") - 1 - n) / block), F.floor((F.col("line_number") - 1 + n) / block)))
-    dealt = lines.withColumn("raw_line", F.coalesce("raw_line", F.lit(""))).withColumn("__own", own).withColumn("__block", F.explode_outer(edges))
-    w = Window.partitionBy("artifact_path", "__block").orderBy("line_number")
-    joined = lambda a, b: F.array_join(F.collect_list("raw_line").over(w.rowsBetween(a, b)), "\n")
-    out = dealt.withColumn("context_before", joined(-n, -1)).withColumn("context_after", joined(1, n))
-    return out.filter(F.col("__block") == F.col("__own")).drop("__own", "__block")
+    dealt = _in_blocks(lines.withColumn("raw_line", F.coalesce("raw_line", F.lit(""))), block, n)
+    return _around(dealt, ["artifact_path"], n)
 
 
 def _few(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -135,26 +146,55 @@ def binary_hits(runs: DataFrame, pack: Pack) -> DataFrame:
     return _shape(x)
 
 
-def numbered(hits: DataFrame, prefix: str = "H", width: int = 6) -> DataFrame:
-    """Hits in their total order with ``hit_no`` and hit_id.
-
-    Rows are dealt by ranges of the order and counted by partition; each partition then numbers its own rows from the
-    sum of those before it, so no task sees all rows.
-    """
-    hits = cut_lineage(hits)  # finding the ranges reads them once more
-    parted = cut_lineage(hits.repartitionByRange(*HIT_ORDER).sortWithinPartitions(*HIT_ORDER).withColumn("__part", F.spark_partition_id()))
-    counts = {r["__part"]: r["n"] for r in parted.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+def _starts(stored: DataFrame, n: Column) -> Column:
+    """For rows of ``stored``, with ``__at`` by monotonically_increasing_id: the sum of ``n`` over all parts before their own."""
+    counts = {r["part"]: r["n"] for r in stored.select(F.spark_partition_id().alias("part"), n.alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, total = [], 0
     for k in range(max(counts, default=-1) + 1):
         before.append(total)
         total += counts.get(k, 0)
-    start = F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__part")) if before else F.lit(0)
-    w = Window.partitionBy("__part").orderBy(*HIT_ORDER)
-    x = parted.withColumn("hit_no", F.row_number().over(w) + start).drop("__part")
+    return F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.shiftright("__at", 33).cast("int")) if before else F.lit(0).cast("long")
+
+
+def _with_numbers(rows: DataFrame, start: Column, prefix: str, width: int) -> DataFrame:
+    """``rows``, in order in each part, with hit_no and hit_id: their place in their part beyond ``start``."""
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    x = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("hit_no", start + place + 1).drop("__at")
     no = F.col("hit_no").cast("string")
     return x.withColumn("hit_id", F.concat(F.lit(prefix), F.when(F.length(no) >= width, no).otherwise(F.lpad(no, width, "0"))))
 
 
+def numbered(hits: DataFrame, prefix: str = "H", width: int = 6) -> DataFrame:
+    """Hits in their total order with ``hit_no`` and hit_id.
+
+    Rows are dealt by ranges of the order, stored and counted by partition; each partition then numbers its own rows from the
+    sum of those before it, so no task sees all rows.
+    """
+    hits = cut_lineage(hits)  # finding the ranges reads them once more
+    parted = cut_lineage(hits.repartitionByRange(*HIT_ORDER).sortWithinPartitions(*HIT_ORDER))
+    return _with_numbers(parted, _starts(parted, F.lit(1)), prefix, width)
+
+
+def hits_in_order(lines: DataFrame, pack: Pack, block: int = LINE_BLOCK, prefix: str = "H", width: int = 6) -> DataFrame:
+    """The same as ``numbered(add_context(row_hits(lines, pack), lines))``, with one shuffle of the lines and none of the hits.
+
+    Lines (artifact_ord, artifact_path, line_number, raw_line) are dealt by ranges of their order, in blocks with the lines
+    next to them, and matched there. A row for each line with hits is stored, in order, with what its rules are and matched;
+    the numbers of hits by part then tell every hit its own. No task sees all rows or all of a long log. Of one path all
+    lines come, numbered without gaps, and an artifact_ord has one path.
+    """
+    keys = ["artifact_ord", "artifact_path"]
+    dealt = _in_blocks(lines.select(*keys, "line_number", "raw_line"), block, T.CONTEXT).repartitionByRange("artifact_ord", "__block")
+    may, hits = compiled("raw_line", pack, True)
+    short = F.transform(hits, lambda h: F.struct(h["rule_ord"].alias("rule_ord"), h["matched_text"].alias("matched_text")))
+    stored = cut_lineage(_around(dealt, keys, T.CONTEXT).filter(may).withColumn("__found", short))
+    told = listed_hits(pack)
+    x = stored.select(*keys, "line_number", "raw_line", *CONTEXT, F.lit("utf-8").alias("encoding"), F.explode("__found").alias("__f"))
+    x = _with_numbers(x, _starts(stored, F.size("__found")), prefix, width).withColumn("__h", F.get(told, F.col("__f.rule_ord")))
+    own = {"rule_ord": F.col("__f.rule_ord"), "matched_text": F.col("__f.matched_text")}
+    return _as_text(x).select(*[own[c].alias(c) if c in own else F.col(f"__h.{c}") if c in _KEYS else F.col(c) for c in HITS], "hit_no", "hit_id")
+
+
 def pattern_flags(text: Column, specs=fixed.NEGATIVE_SEARCHES) -> Column:
     """A bit for each negative search whose words, one or two, occur together in one line of the text; for up to 31 searches.
 

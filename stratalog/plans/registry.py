@@ -13,7 +13,7 @@ from ..operators import casenum
 from ..operators import findings as G
 from ..operators.classify import by_suffix, marker_family
 from ..operators.coverage import classified, coverage
-from ..operators.scan import add_context, binary_hits, fragments, line_arrays, numbered, pattern_flags, row_hits, with_context
+from ..operators.scan import binary_hits, fragments, hits_in_order, line_arrays, pattern_flags, row_hits, with_context
 from ..schema import RULE_FINDING_COLUMNS
 from ..sources.artifacts import from_contents, from_table
 from ..streaming.dropfolder import windowed_hits
@@ -76,8 +76,7 @@ def rule_hits_first_pattern(spark, sf_dir):
 @query("all_hits", f"{_EVENT_CTX} SELECT printf('H%06d', row_number() OVER (ORDER BY artifact_path, line_number, rule_ord)) AS hit_id, rule_id, severity, product, issue_category, component, artifact_path, CAST(line_number AS BIGINT) AS line_number, matched_text, raw_line, context_before, context_after, kb_candidate_ids FROM hits")
 def all_hits(spark, sf_dir):
     """Every hit of the event logs in scan order, with context and number."""
-    lines = V.event_lines(spark, sf_dir)
-    return numbered(add_context(row_hits(lines, _PACK), lines)).select("hit_id", "rule_id", "severity", "product", "issue_category", "component", "artifact_path", "line_number", "matched_text", "raw_line", "context_before", "context_after", "kb_candidate_ids")
+    return hits_in_order(V.event_lines(spark, sf_dir), _PACK).select("hit_id", "rule_id", "severity", "product", "issue_category", "component", "artifact_path", "line_number", "matched_text", "raw_line", "context_before", "context_after", "kb_candidate_ids")
 
 
 @query("hits_with_context", f"WITH {V.DOCUMENT_LINES}, {V.CONTEXT}, {V.hits_sql(V.PROSE)} SELECT artifact_path, CAST(line_number AS BIGINT) AS line_number, rule_id, matched_text, context_before, context_after FROM hits")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed, sinks
 from ..operators import findings as G
-from ..operators.scan import add_context, numbered, row_hits
+from ..operators.scan import hits_in_order
 from ..schema import FILE_FINDING_COLUMNS, HIT_COLUMNS
 from . import views as V
 from .register import query
@@ -45,8 +45,7 @@ UNION ALL SELECT 'text', CAST({sinks.APPENDIX} AS INT), no, md5({_SHORT}) FROM n
 
 
 def _numbered_hits(spark, sf_dir):
-    lines = V.event_lines(spark, sf_dir)
-    return numbered(add_context(row_hits(lines, _PACK), lines))
+    return hits_in_order(V.event_lines(spark, sf_dir), _PACK)
 
 
 @query("report_pieces", _PIECES)

@@ -28,7 +28,7 @@ def csv_record(df: DataFrame, columns: list[str]) -> Column:
     fields = []
     for c in columns:
         text = F.initcap(F.col(c).cast("string")) if kinds[c] == "boolean" else F.col(c).cast("string")
-        fields.append(F.concat(F.lit('"'), F.regexp_replace(F.coalesce(text, F.lit("")), '"', '""'), F.lit('"')))
+        fields.append(F.concat(F.lit('"'), F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')))
     return F.concat_ws(",", *fields)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.rules import built_in
 from stratalog.operators import scan as S
-from stratalog.plans import registry
+from stratalog.plans import registry, reported
 from stratalog.plans import views as V
 
 
@@ -29,7 +29,7 @@ def test_hits_in_order_equal_numbered_hits(spark, block):
     assert S.hits_in_order(lines.limit(0), pack).count() == 0
 
 
-@pytest.mark.parametrize("query", [registry.all_hits])
+@pytest.mark.parametrize("query", [registry.all_hits, reported.all_hits_csv])
 def test_hits_are_neither_shuffled_nor_sent_to_python(spark, tmp_path, query):
     rows = [(e, f"2024-01-01 00:{e // 60 % 60:02d}:{e % 60:02d}", e % 9, ("error", "view")[e % 2]) for e in range(400)]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))

@@ -152,15 +152,6 @@ def _lines_of(df: DataFrame, said: Callable[..., Iterable[tuple]]) -> DataFrame:
     return df.mapInArrow(run, _LINES)
 
 
-def _said_of_hit(h) -> Iterator[tuple]:
-    if h.severity in fixed.SEVERITIES:
-        section = FIRST_SEVERITY + fixed.SEVERITIES.index(h.severity)
-        yield TEXT, section, h.hit_no, "", _text_finding(h) + "\n"
-        yield HTML, section, h.hit_no, "", _html_finding(h) + "\n"
-    yield TEXT, APPENDIX, h.hit_no, "", f"- {h.rule_id} {h.artifact_path}:{_at(h)} {h.raw_line}\n"
-    yield HTML, APPENDIX, h.hit_no, "", _html_finding(h) + "\n"
-
-
 def _said_of_artifact(r) -> Iterator[tuple]:
     if not r.decoded_successfully and r.review_mode != "stream-scanned":
         yield from _listed(UNDECODED, 0, r.artifact_ord, f"{r.artifact_path} ({r.artifact_family}; {r.review_mode}) {r.limitations}")
@@ -174,10 +165,41 @@ def _said_of_file(r) -> Iterator[tuple]:
     yield HTML, FILES, 0, r.artifact_path, "<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in cells) + "</tr>\n"
 
 
+def _escaped(text: Column) -> Column:
+    """``html.escape`` of a column."""
+    for c in "&<>\"'":
+        text = F.replace(text, F.lit(c), F.lit(html.escape(c)))
+    return text
+
+
+def _finding_columns() -> tuple[Column, Column, Column]:
+    """What ``_text_finding``, ``_html_finding`` and the text's appendix say of a hit, as columns over its fields."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    at = F.coalesce(F.col("line_number"), F.col("byte_offset")).cast("string")
+    by_product = lambda ours, other: F.when(F.col("product") == fixed.PRODUCT, ours).otherwise(other)
+    head = [*map(said, ("rule_id", "severity", "issue_category", "component", "artifact_path")), F.coalesce(at, F.lit("")), F.lit("")]
+    ends = [by_product(fixed.CAUTION_HIT, fixed.CAUTION_GENERIC), by_product(fixed.STATUS_HIT, fixed.STATUS_GENERIC)]
+    kbs, matched, context = said("kb_candidate_ids"), said("matched_text"), [said(c) for c in ("raw_line", "context_before", "context_after")]
+    values = [*head, *context, kbs, F.concat(F.lit("Pattern matched text '"), matched, F.lit("'.")), *ends]
+    text = [x for k, (label, v) in enumerate(zip(fixed.LABELS_TEXT, values, strict=True)) for x in (F.lit(f"{'-' if k == 0 else chr(10) + ' '} {label}: "), v)]
+    values = [*head, kbs, F.concat(F.lit("Pattern matched text "), matched, F.lit(".")), *ends]
+    told = [x for k, (label, v) in enumerate(zip(fixed.LABELS_HTML, values, strict=True)) for x in (F.lit(f"{'<br>' if k else ''}<strong>{label}:</strong> "), _escaped(v))]
+    lines = [x for k, (c, v) in enumerate(zip(("raw_line", "context_before", "context_after"), context)) for x in (F.lit(f"{chr(10) if k else ''}{c}: "), _escaped(v))]
+    marked = F.concat(F.lit("<div class='hit'><p>"), *told, F.lit("</p><pre>"), *lines, F.lit("</pre></div>\n"))
+    short = F.concat(F.lit("- "), said("rule_id"), F.lit(" "), said("artifact_path"), F.lit(":"), F.coalesce(at, F.lit("")), F.lit(" "), said("raw_line"), F.lit("\n"))
+    return F.concat(*text, F.lit("\n")), marked, short
+
+
 def hit_lines(hits: DataFrame) -> DataFrame:
-    """Rows of _LINES for numbered hits, in the severity sections and the appendix of both reports."""
-    fields = ["rule_id", "severity", "issue_category", "component", "artifact_path", "line_number", "byte_offset", "raw_line", "context_before", "context_after", "kb_candidate_ids", "matched_text", "product", "hit_no"]
-    return _lines_of(hits.select(*fields), _said_of_hit)
+    """Rows of _LINES for numbered hits, in the severity sections and the appendix of both reports; built by expressions alone."""
+    text, marked, short = _finding_columns()
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, fixed.SEVERITIES)), F.col("severity")), F.lit(0)).cast("int")
+    x = hits.select(F.col("hit_no").cast("long").alias("no"), place.alias("place"), text.alias("text"), marked.alias("marked"), short.alias("short"))
+    section = F.col("place") + F.lit(FIRST_SEVERITY - 1)
+    piece = lambda report, section, text: F.struct(F.lit(report).alias("report"), section.cast("int").alias("section"), F.col(text).alias("text"))
+    listed = F.array(piece(TEXT, section, "text"), piece(HTML, section, "marked"), piece(TEXT, F.lit(APPENDIX), "short"), piece(HTML, F.lit(APPENDIX), "marked"))
+    x = x.select("no", F.explode_outer(listed).alias("p")).filter(F.col("p.section") >= FIRST_SEVERITY)
+    return x.select("p.report", "p.section", "no", F.lit("").alias("key"), "p.text")
 
 
 def _listed(section: int, no: int, key: str, item: str, dash: str = "- ") -> list[tuple]:

@@ -73,6 +73,17 @@ def spread_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_task)))
 
 
+def read_by_rows(df: DataFrame, n: int | None = None, rows_per_task: int = 50_000) -> DataFrame:
+    """``df``, which is stored and has ``n`` rows, read by as many tasks as these ask for.
+
+    A shuffle leaves files for each task that feeds it, so a small table in many parts costs many times its bytes of disk. No task gets
+    more than its share by that: what is stored is read in larger pieces, and what follows a shuffle stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.coalesce(cores).count() if n is None else n
+    return df.coalesce(max(cores, -(-n // rows_per_task)))
+
+
 def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """``df`` with, for each name of ``sums``, the sum of its column over all rows before this one in the order; nulls first.
 

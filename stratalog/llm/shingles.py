@@ -1,7 +1,7 @@
 """Near copies by SimHash and multi-index hashing, with the Jaccard similarity of word shingles as the exact check.
 
 The fingerprints of the texts' sets of shingles are linked by the segment tables of ``simhash``; a link stays if the sets are near
-enough. No bit radius bounds the similarity, so what fingerprints have not joined is then looked for by the shingles themselves.
+enough. No bit radius bounds the similarity, so what fingerprints have not linked is looked for by the shingles themselves.
 
 Two sets of similarity ``least`` or more share a shingle among the first ``n - ceil(least * n) + 1`` of each, whatever
 order all sets are sorted in. Shingles that are common in a sample of the texts come last in that order, so a line that
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 from . import simhash
-from .common import map_batches, spread_rows
+from .common import map_batches, read_by_rows, spread_rows
 from .simhash import components, shingle_hashes
 
 WORDS, LEAST, SEED = 5, 0.8, 42
@@ -118,6 +118,7 @@ def _able(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def _able_by_prefixes(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) that can be near by all that their first shingles share; a fifth of the sets is read for it."""
+    pairs = read_by_rows(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = cut_lineage(prints.select("node", "n", "prefix").join(keys, "node", "left_semi").dropDuplicates(["node"]))
     left, right = (first.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"f_{x}")) for x in "ab")
@@ -127,6 +128,7 @@ def _able_by_prefixes(pairs: DataFrame, prints: DataFrame, least: float) -> Data
 
 def _alike(able: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets have similarity ``least`` or more."""
+    able = read_by_rows(able)
     keys = able.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.id", "k.h"), "node")
     sets = cut_lineage(sets_of(rows, keys, words))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
@@ -141,13 +143,6 @@ def fingerprint_pairs(nodes: DataFrame, bits: int = simhash.MOST_BITS, segments:
     return cut_lineage(simhash.links(heads, bits, segments).unionByName(same))
 
 
-def _not_joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are not in one component of (node, component)."""
-    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    told = pairs.join(left, "a", "left").join(right, "b", "left")
-    return told.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
 def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(id, h, component) of every row of (id, h, text): one component for rows that a chain of near copies joins.
 
@@ -155,8 +150,7 @@ def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     """
     prints = cut_lineage(prefixes(rows, common_shingles(rows, words), words, least))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("k"), F.max("fp").alias("fp"), F.max("n").alias("n"), F.max(F.size("prefix")).alias("p")))
-    by_code = _alike(fingerprint_pairs(nodes), nodes, rows, words, least)
-    joined = components(by_code)
+    by_code = fingerprint_pairs(nodes)
     buckets = cut_lineage(_buckets(prints))
     met = buckets.select(F.explode("members").alias("node")).distinct()
     nodes = cut_lineage(nodes.join(met, "node", "left_semi"))
@@ -165,9 +159,9 @@ def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     star = lambda k: F.array_max(F.transform("members", lambda x: F.struct(F.xxhash64(x, F.lit(k)).alias("x"), x.alias("other"))))["other"]
     stars = buckets.select("members", "w", F.explode(F.array_distinct(F.array(F.col("leader"), *[star(k) for k in range(1, STARS)]))).alias("other"))
     stars = stars.select("w", "other", F.explode("members").alias("node")).filter("node <> other").select(*pair, "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    tried = cut_lineage(_not_joined(_able(stars, nodes, least), joined))
-    edges = by_code.unionByName(_alike(tried, nodes, rows, words, least))
-    labels = components(edges)
+    # links by fingerprints and stars are compared together, so sets are read once for both; a node that has met none is near to none
+    tried = cut_lineage(by_code.unionByName(_able(stars, nodes, least)).distinct())
+    labels = components(_alike(tried, nodes, rows, words, least))
     told = nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"))
     held = buckets.select(F.xxhash64("members").alias("t"), F.explode(F.arrays_zip("members", "at")).alias("m")).select("t", F.col("m.members").alias("node"), F.col("m.at").alias("at"))
     held = cut_lineage(held.join(told, "node").select("t", "node", "c", "n", (F.col("n") - F.col("at")).alias("most")))
@@ -179,6 +173,7 @@ def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     last = cut_lineage(held.join(others, "t").filter((F.col("c") < F.col("d")) & near).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
     if not last.isEmpty():
         last = _able_by_prefixes(last, prints, least)
-        labels = components(edges.unionByName(_alike(last, nodes, rows, words, least)))
+        joined = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        labels = components(joined.unionByName(_alike(last, nodes, rows, words, least)))
     out = prints.select("id", "h", "node").join(labels, "node", "left")
     return out.select("id", "h", F.coalesce("component", "node").alias("component"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
-from .common import join_counted, map_batches, spread_rows, table
+from .common import join_counted, map_batches, read_by_rows, spread_rows, table
 
 SEED, SHINGLE, MOST_BITS, SEGMENTS, BUCKET = 42, 3, 2, 2, 64
 _MAX_CHUNK = 1 << 18
@@ -141,19 +141,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links (a, b): the smallest node that can be reached.
 
     Alternating large-star and small-star rounds; each is sums by key and joins, written to the shared checkpoint
-    folder, until the set of links no longer changes.
+    folder, until the set of links no longer changes. Stored links are read by as many tasks as their number asks for.
     """
-    edges = cut_lineage(edges.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct())
+    edges = read_by_rows(cut_lineage(edges.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()))
     mark = None
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        large = cut_lineage(large)
+        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")  # no more than there were; the next step drops repeated ones
+        large = read_by_rows(cut_lineage(large), None if mark is None else mark[0])
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
-        edges = cut_lineage(small)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        stored = cut_lineage(small)
+        now = stored.coalesce(stored.sparkSession.sparkContext.defaultParallelism).agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        edges = read_by_rows(stored, now.n)
         if (now.n, now.s) == mark:
             return edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
         mark = (now.n, now.s)

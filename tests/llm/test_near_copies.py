@@ -105,3 +105,26 @@ def plain_joined(pairs):
         a, b = up.get(x, {x}), up.get(y, {y})
         up.update(dict.fromkeys(a | b, a | b))
     return {frozenset(g) for g in up.values()}
+
+
+def test_few_links_take_few_tasks_however_many_partitions_a_shuffle_has(spark):
+    """Each task that feeds a shuffle leaves files: 200 links in 60 partitions are no work for 60 tasks a step."""
+    rnd = random.Random(34)
+    pairs = [(x, rnd.randrange(max(0, x - 3), x)) for x in range(1, 201) if x % 40]
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few links", "few links")
+        found = {(r.node, r.component) for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {frozenset([top, *(n for n, c in found if c == top)]) for top in {c for _, c in found}} == plain_joined(pairs)
+    tracker = sc.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few links")]
+    tasks = [tracker.getStageInfo(s).numTasks for s in {s for j in jobs for s in j.stageIds}]
+    assert sum(n >= 60 for n in tasks) < len(tasks) / 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -31,3 +32,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the shared checkpoint folder; what follows survives lost executors without recomputing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage now, so Spark's cleaner removes the shuffle files and checkpoints that nothing refers to any more.
+
+    Otherwise they stay until the driver's memory happens to fill, and how much disk a job takes is left to chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut_lineage
+from ..lineage import cut_lineage, release
 from . import simhash
-from .common import map_batches, read_by_rows, spread_rows
+from .common import broadcast_if_small, map_batches, read_by_rows, spread_rows
 from .simhash import components, shingle_hashes
 
 WORDS, LEAST, SEED = 5, 0.8, 42
@@ -130,7 +130,7 @@ def _alike(able: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least
     """Those of the pairs (a, b) whose sets have similarity ``least`` or more."""
     able = read_by_rows(able)
     keys = able.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.id", "k.h"), "node")
-    sets = cut_lineage(sets_of(rows, keys, words))
+    sets = cut_lineage(sets_of(rows, broadcast_if_small(cut_lineage(keys)), words))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = able.join(left, "a").join(right, "b").select("a", "b", (F.size("s_a") + F.size("s_b")).alias("n"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
     return cut_lineage(both.filter(F.col("shared") >= least * (F.col("n") - F.col("shared")) - 1e-9).select("a", "b"))
@@ -152,6 +152,7 @@ def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("k"), F.max("fp").alias("fp"), F.max("n").alias("n"), F.max(F.size("prefix")).alias("p")))
     by_code = fingerprint_pairs(nodes)
     buckets = cut_lineage(_buckets(prints))
+    release(rows.sparkSession)
     met = buckets.select(F.explode("members").alias("node")).distinct()
     nodes = cut_lineage(nodes.join(met, "node", "left_semi"))
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
@@ -162,6 +163,7 @@ def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     # links by fingerprints and stars are compared together, so sets are read once for both; a node that has met none is near to none
     tried = cut_lineage(by_code.unionByName(_able(stars, nodes, least)).distinct())
     labels = components(_alike(tried, nodes, rows, words, least))
+    release(rows.sparkSession)
     told = nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"))
     held = buckets.select(F.xxhash64("members").alias("t"), F.explode(F.arrays_zip("members", "at")).alias("m")).select("t", F.col("m.members").alias("node"), F.col("m.at").alias("at"))
     held = cut_lineage(held.join(told, "node").select("t", "node", "c", "n", (F.col("n") - F.col("at")).alias("most")))
@@ -173,7 +175,9 @@ def near_groups(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     last = cut_lineage(held.join(others, "t").filter((F.col("c") < F.col("d")) & near).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
     if not last.isEmpty():
         last = _able_by_prefixes(last, prints, least)
+        release(rows.sparkSession)
         joined = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
         labels = components(joined.unionByName(_alike(last, nodes, rows, words, least)))
+    release(rows.sparkSession)
     out = prints.select("id", "h", "node").join(labels, "node", "left")
     return out.select("id", "h", F.coalesce("component", "node").alias("component"))

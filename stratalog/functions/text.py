@@ -20,10 +20,19 @@ def starts_with_bytes(content: Column, prefix: str) -> Column:
     return F.coalesce(F.hex(F.substring(content, 1, len(prefix) // 2)) == prefix.upper(), F.lit(False))
 
 
+def _odd(content: Column) -> Column:
+    return latin1(content).rlike(r"[\x81\x8d\x8f\x90\x9d]")
+
+
+def fits(content: Column, encoding: Column) -> Column:
+    """Whether bytes decode strictly in utf-8, cp1252 or latin-1."""
+    return F.when(encoding == "utf-8", F.is_valid_utf8(content.cast("string"))).when(encoding == "cp1252", ~_odd(content)).otherwise(F.lit(True))
+
+
 def encoding_of(content: Column, utf16_ok: Column) -> Column:
     """(encoding, ok): by byte order mark, which decides alone, else the first of utf-8, cp1252 and latin-1 that decodes strictly."""
     utf8 = F.is_valid_utf8(content.cast("string"))
-    odd = latin1(content).rlike(r"[\x81\x8d\x8f\x90\x9d]")
+    odd = _odd(content)
     by = F.struct
     lit = lambda name, ok: by(F.lit(name).alias("encoding"), ok.alias("ok"))
     return (

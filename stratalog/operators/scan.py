@@ -33,12 +33,15 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"__h.{c}") if c in (*_KEYS, "rule_ord") else F.col(c) for c in HITS])
 
 
-def line_arrays(artifacts: DataFrame) -> DataFrame:
+def line_arrays(artifacts: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """Text artifacts (artifact_ord, artifact_path, content, utf16_text) with encoding, ok, text and lines.
 
-    ``lines`` is null where strict decoding fails.
+    ``lines`` is null where strict decoding fails. ``told`` (artifact_path, encoding) are artifacts whose encoding, utf-8, cp1252 or latin-1, is known.
     """
     x = artifacts.withColumn("__e", T.encoding_of(F.col("content"), F.col("utf16_text").isNotNull()))
+    if told is not None:
+        x = x.join(told.select("artifact_path", F.col("encoding").alias("__told")), "artifact_path", "left")
+        x = x.withColumn("__e", F.when(F.col("__told").isNotNull(), F.struct(F.col("__told").alias("encoding"), T.fits(F.col("content"), F.col("__told")).alias("ok"))).otherwise(F.col("__e"))).drop("__told")
     x = x.select("*", "__e.encoding", "__e.ok").drop("__e")
     x = x.withColumn("text", F.when(F.col("ok"), T.decoded(F.col("content"), F.col("encoding"), F.col("utf16_text"))))
     return x.withColumn("lines", T.split_lines(F.col("text")))

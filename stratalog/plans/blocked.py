@@ -34,7 +34,7 @@ s AS (SELECT doc_id, string_split_regex(t, '\r\n|\r|\n') AS s, CASE WHEN doc_id
   WHEN doc_id % 5 = 2 AND regexp_matches(t, '[\x{a0}-\x{ff}]') THEN 'cp1252' ELSE 'utf-8' END AS encoding FROM t)
 SELECT doc_id, encoding, i AS line_number, s[i] AS raw_line FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s) WHERE i < len(s) OR s[i] <> ''""")
 def block_lines(spark, sf_dir):
-    """Numbered lines of documents in five encodings, each decided over all blocks of a file and decoded by blocks of 512 bytes."""
+    """Numbered lines of documents in five encodings, each decided over all blocks of a file, unless its bytes can't tell, and decoded by blocks of 512 bytes."""
     files = V.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("artifact_path"), V.encoded_text().alias("content"))
-    _, lines = blocks.decoded_lines(blocks.cut(files, LINES))
+    _, lines = blocks.decoded_lines(blocks.cut(files, LINES), told=V.told_encodings(spark, sf_dir))
     return lines.select(F.col("artifact_path").cast("long").alias("doc_id"), "encoding", "line_number", "raw_line")

@@ -348,7 +348,7 @@ FROM (SELECT doc_id, t, string_split_regex(t, '\r\n|\r|\n') AS s FROM (SELECT do
 def decode_chain(spark, sf_dir):
     """Marks and strict decodings in turn: the documents as UTF-8, UTF-8 with a mark, cp1252, latin-1 with an odd byte, UTF-16 with a mark."""
     files = V.read_texts(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), V.encoded_text().alias("content"))
-    x = line_arrays(from_contents(files))
+    x = line_arrays(from_contents(files), V.told_encodings(spark, sf_dir))
     return x.select(F.col("artifact_path").cast("long").alias("doc_id"), "encoding", F.size("lines").cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
 
 

@@ -254,8 +254,8 @@ def _pieces(r: dict) -> Iterator[tuple]:
         yield r["artifact_path"], r["start"], r["ended"] + k + 1, k in (0, len(parts) - 1), part
 
 
-def encodings(looked: DataFrame) -> DataFrame:
-    """(artifact_path, encoding, codec, ok, n_ends): the decision of ``text.encoding_of`` for each file, folded over its blocks."""
+def encodings(looked: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """(artifact_path, encoding, codec, ok, n_ends): the decision of ``text.encoding_of`` for each file, folded over its blocks, or the encoding it is ``told``."""
     every = lambda c: F.bool_and(c)
     x = looked.groupBy("artifact_path").agg(
         F.max("mark").alias("mark"), every("utf8").alias("utf8"), every("le").alias("le"), every("be").alias("be"), F.bool_or("odd").alias("odd"),
@@ -265,19 +265,24 @@ def encodings(looked: DataFrame) -> DataFrame:
     codec = F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("utf8"), "utf-8").when(F.col("odd"), "latin-1").otherwise("cp1252")
     ok = F.when(F.col("mark") == "utf-8-sig", F.col("utf8")).when(F.col("mark") == "utf-16-le", F.col("le")).when(F.col("mark") == "utf-16-be", F.col("be")).otherwise(F.lit(True))
     ends = F.when(F.col("mark") == "utf-16-le", F.col("ele")).when(F.col("mark") == "utf-16-be", F.col("ebe")).otherwise(F.col("e8"))
+    if told is not None:
+        x, known = x.join(told.select("artifact_path", F.col("encoding").alias("told")), "artifact_path", "left"), F.col("told").isNotNull()
+        fits = F.when(F.col("told") == "utf-8", F.col("utf8")).when(F.col("told") == "cp1252", ~F.col("odd")).otherwise(F.lit(True))
+        wide, codec, ok, ends = wide & ~known, F.coalesce("told", codec), F.when(known, fits).otherwise(ok), F.when(known, F.col("e8")).otherwise(ends)
     return x.select("artifact_path", F.when(wide, "utf-16").otherwise(codec).alias("encoding"), codec.alias("codec"), ok.alias("ok"), ends.alias("n_ends"))
 
 
-def decoded_lines(blocks: DataFrame, reader: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def decoded_lines(blocks: DataFrame, reader: Callable[[DataFrame], DataFrame] | None = None, told: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, lines) of files given as blocks of an even size: files (artifact_path, encoding, ok) and, of those that decode strictly, lines
     (artifact_ord, artifact_path, line_number, raw_line, encoding), as ``scan.line_arrays`` gives them for whole contents.
 
     ``reader`` adds the bytes to rows that have none (``read``); they are then read once to decide and once for the lines, and never
-    shuffled. Lines inside a block stay where they are; only the pieces of those that cross an edge are gathered.
+    shuffled. Lines inside a block stay where they are; only the pieces of those that cross an edge are gathered. ``told`` (artifact_path,
+    encoding) are files whose encoding, utf-8, cp1252 or latin-1, is known: bytes alone can't tell where two of them fit.
     """
     reader = reader or (lambda df: df)
     looked = cut_lineage(_each(reader(blocks), _looked_at, "artifact_path string, start long, mark string, utf8 boolean, le boolean, be boolean, odd boolean, ends long, ends_le long, ends_be long"))
-    files = cut_lineage(encodings(looked))
+    files = cut_lineage(encodings(looked, told))
     wide = lambda k: F.col("codec") == k
     own = F.when(wide("utf-16-le"), F.col("ends_le")).when(wide("utf-16-be"), F.col("ends_be")).otherwise(F.col("ends"))
     before = Window.partitionBy("artifact_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a block

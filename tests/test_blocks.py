@@ -105,3 +105,17 @@ def test_contents_are_computed_once(spark):
     assert {(r.artifact_path, r["count"]) for r in got} == {("0", 1), ("1", 16), ("2", 32)} and met.value == 3
     plan = blocks.cut(files, 64)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "substring" not in plan
+
+
+def test_encodings_that_bytes_do_not_tell(spark, tmp_path):
+    """Documents whose bytes fit another encoding by accident are read in the one they were written in, as the SQL has it."""
+    from stratalog.plans import registry
+
+    texts = [(0, "\ufeffmark"), (2, "Ã¼ber\nÃ¤"), (3, "word\nSpaß"), (5, "\ufeff"), (7, "ÿþab"), (8, "þÿ\nab"), (10, "ß"), (12, "plain"), (13, "é and ß"), (17, "Spaß"), (18, "漢É"), (6, "\ufeffx"), (9, "ÿþ"), (23, "Ã" * 600 + "É")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {k: {1: "utf-8-sig", 2: "cp1252", 3: "latin-1", 4: "utf-16"}.get(k % 5, "utf-8") for k, _ in texts} | {12: "utf-8"}
+    known = {k: ("".join(c if c < "\x80" or "\xa0" <= c <= "\xff" else "?" for c in t) if k % 5 in (2, 3) else t) + ("\x81" if k % 5 == 3 else "") for k, t in texts}
+    lines = registry.QUERIES["block_lines"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, lines)) == sorted((k, want[k], n + 1, x) for k, t in known.items() for n, x in enumerate(t.split("\n")))
+    chain = registry.QUERIES["decode_chain"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, chain)) == sorted((k, want[k], t.count("\n") + 1, len(t)) for k, t in known.items())

@@ -110,8 +110,8 @@ def _hit(ord_: int, rule: Rule, matched: Column) -> Column:
 _ODD = ("\u017f", "\u0131", "\u0130")
 
 
-def literal_of(pattern: str) -> str:
-    """The longest text, in lower case, that whatever the pattern matches has to hold; empty if none is plain to see."""
+def literal_of(pattern: str, letters: str = r"\x00-\x7f") -> str:
+    """The longest text, in lower case and of ``letters`` (a class without brackets), that whatever the pattern matches has to hold; empty if none is plain to see."""
     runs, run, i = [], [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -154,7 +154,7 @@ def literal_of(pattern: str) -> str:
         else:
             run.append(c)
         i += 1
-    return max((x for r in [*runs, "".join(run)] for x in re.split(r"[^\x00-\x7f]+", r.lower())), key=len)
+    return max((x for r in [*runs, "".join(run)] for x in re.split(f"[^{letters}]+", r.lower())), key=len)
 
 
 def alternatives(pattern: str) -> list[str]:

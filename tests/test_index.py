@@ -102,3 +102,49 @@ def test_flags_say_what_they_hold():
 def test_alternatives():
     assert R.alternatives(r"a|(b|c)|[|]|\||d") == ["a", "(b|c)", "[|]", r"\|", "d"] and R.alternatives("") == [""]
     assert R.literal_of("café closed") == " closed"
+
+
+def test_memory_follows_neither_rows_nor_lines(monkeypatch):
+    """What a search for grams has made is given back at once, and one long line is looked at some places at a time, with the same result."""
+    import gc
+    import tracemalloc
+
+    told = np.full(1 << 12, 0, np.uint8)
+    want = np.array(index.keys_of("needle in hay")[1]).view(np.uint64)
+    for probe in range(index.PROBES):
+        bit = index._bit(want, probe, len(told) * 8).astype(np.int64)
+        np.bitwise_or.at(told, bit >> 3, 1 << (bit & 7).astype(np.uint8))
+    text = (b"x" * (index.PLACES - 6) + b"needle in hay") * 24
+    gc.collect()
+    gc.disable()
+    try:
+        tracemalloc.start()
+        row, key = index._pairs(index._held(np.frombuffer(text, np.uint8), np.array([0, 5, len(text)]), list(index.LENGTHS), told))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert peak < 40 << 20 and set(row) == {1} and set(want.view(np.int64)) <= set(key)
+
+
+def test_letters_have_one_lower_case(spark):
+    """Whatever a letter of a literal matches without case is that letter in the lines' lower case."""
+    x = spark.range(0x2200).filter("id not between 55296 and 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') d")
+    c = x.filter("id between 223 and 255 and id <> 247").selectExpr("d c")
+    assert x.crossJoin(c).filter("d rlike concat('(?iUd)', c)").filter(index._low(F.col("d")) != F.col("c")).count() == 0
+    table = spark.createDataFrame([(k, f"R{k}", [p]) for k, p in enumerate(["École où", "größe", "ÿ", "ñandú"])], RULES)
+    lines = frame(spark, ["ÉCOLE OÙ", "die GRÖẞE", "Ÿ", "ÑANDÚ und größe", "ecole"])
+    assert rows(index.indexed_hits(lines, table)) == rows(R.dynamic_hits(lines, table)) and len(rows(index.indexed_hits(lines, table))) == 5
+
+
+def test_rules_that_share_patterns(spark, monkeypatch):
+    """A pattern of many rules is tried once, its rules follow in lists, and each takes its first pattern that is found."""
+    monkeypatch.setattr(index, "LIST", 7)
+    table = spark.createDataFrame([(k, f"R{k}", [f"begin {k}", "shared end", f"begin {k % 3}", "shared end"]) for k in range(60)] + [(60, "A", ["shared end"]), (61, "B", ["end", "shared end"])], RULES)
+    lines = frame(spark, ["begin 1 shared end", "shared END", "Begin 2", "begin 59 or end"])
+    want = rows(R.dynamic_hits(lines, table))
+    assert rows(index.indexed_hits(lines, table)) == want and len(want) > 120
+    monkeypatch.setattr(index, "TOLD", 0)  # postings and lines are dealt
+    assert rows(index.indexed_hits(lines, table)) == want
+    tried = index._met(lines.withColumn("__row", F.monotonically_increasing_id()), spark.createDataFrame([(("shared end",), 0, "shared end")] * 50, "entry struct<java:string>, need int, literal string"), F.col("raw_line"))
+    assert tried.count() == 2

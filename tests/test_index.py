@@ -148,3 +148,13 @@ def test_rules_that_share_patterns(spark, monkeypatch):
     assert rows(index.indexed_hits(lines, table)) == want
     tried = index._met(lines.withColumn("__row", F.monotonically_increasing_id()), spark.createDataFrame([(("shared end",), 0, "shared end")] * 50, "entry struct<java:string>, need int, literal string"), F.col("raw_line"))
     assert tried.count() == 2
+
+
+def test_searches_keep_no_lines(spark):
+    """Which searches found a line is told by family: the texts of the lines are not shuffled for it."""
+    lines = spark.createDataFrame([("fam0", f"alpha {k} beta") for k in range(50)] + [("fam1", "gamma")], "artifact_family string, raw_line string")
+    specs = spark.createDataFrame([(0, "a", ["fam0"], ["beta"], None), (1, "b", ["fam0"], ["gamma"], None), (2, "c", ["fam1"], ["gamma"], "fam0")], "spec_ord int, message string, families array<string>, needles array<string>, target string")
+    out = index.negative_specs(lines.select("artifact_family"), lines, specs)
+    assert [tuple(r) for r in out.collect()] == [(1, "b")]
+    dealt = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert dealt and not any("raw_line" in x for x in dealt)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..lineage import cut_lineage
+from ..lineage import cut_lineage, release
 from ..operators.ordered import budgeted, running
 from ..schema import ARTIFACT_SCHEMA
 from . import decoders
@@ -40,6 +40,8 @@ _NODE = "node string, kind string, path string, content binary"
 _CHUNK = f"{_NODE}, first long, last long"
 _MEMBER = "node string, no long, chunk long, upto long, need long, net long, fault string, said string, child string, child_kind string, shown string, content binary"
 _WIDTH = 9
+#: Rows without content that are told to all tasks at most.
+TOLD = 200_000
 
 
 def _opened(path: str, content: bytes | None):
@@ -114,6 +116,11 @@ def _dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *by)
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """Small rows for a join with contents: told to all tasks as long as they are few, so that contents are not shuffled."""
+    return F.broadcast(df) if df.count() <= TOLD else df
+
+
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
     """``f`` of each row as a dict gives rows of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -198,19 +205,23 @@ def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tupl
     tops = cut_lineage(_map(sources, top, "key string, path string, original string, file_no long, node string, kind string"))
     if tops.isEmpty():
         return None
-    first = tops.groupBy("node").agg(F.min(F.struct("key", "kind", "path")).alias("x")).select("node", "x.kind", "x.path", "x.key")
-    frontier = first.join(sources.select("key", "content"), "key").select("node", "kind", "path", "content")
+    first = cut_lineage(tops.groupBy("node").agg(F.min(F.struct("key", "kind", "path")).alias("x")).select("node", "x.kind", "x.path", "x.key"))
+    frontier = sources.select("key", "content").join(_told(first), "key").select("node", "kind", "path", "content")
     known, members, depth = None, [], 0
     contents = [frontier.select("node", "content", F.col("path").alias("at"))]
     while True:
         chunks = _map(frontier, lambda n: _ranges(n, limits), _CHUNK)
         found = cut_lineage(_map(_dealt(chunks, "node", "first"), lambda c: _listed(c, limits, tools), _MEMBER))
-        members.append(found.drop("content"))
+        members.append(cut_lineage(found.drop("content")))  # else the contents of all levels stay stored beside the frontiers
         nodes = frontier.select("node")
         known = cut_lineage(nodes if known is None else known.unionByName(nodes))
+        chunks = nodes = frontier = None
+        release(sources.sparkSession)
         kids = found.filter("child is not null")
-        chosen = kids.groupBy("child").agg(F.min(F.struct("node", "no")).alias("x")).join(known.withColumnRenamed("node", "child"), "child", "left_anti").select("x.node", "x.no")
-        frontier = cut_lineage(kids.join(chosen, ["node", "no"], "left_semi").select(F.col("child").alias("node"), F.col("child_kind").alias("kind"), F.col("shown").alias("path"), "content"))
+        chosen = members[-1].filter("child is not null").groupBy("child").agg(F.min(F.struct("node", "no")).alias("x")).join(known.withColumnRenamed("node", "child"), "child", "left_anti").select("x.node", "x.no")
+        frontier = cut_lineage(kids.join(_told(cut_lineage(chosen)), ["node", "no"], "left_semi").select(F.col("child").alias("node"), F.col("child_kind").alias("kind"), F.col("shown").alias("path"), "content"))
+        found = kids = chosen = None
+        release(sources.sparkSession)
         depth += 1
         contents.append(frontier.select("node", "content", F.lit(None).cast("string").alias("at")))
         if depth >= limits.max_archive_depth:
@@ -439,8 +450,11 @@ def emitted(sources: DataFrame, tops: DataFrame, members: DataFrame, contents: D
     if not tooled:
         x = x.withColumn("file", F.lit(0).cast("long"))
     fields = ["key", "node", "kind", "depth", "path", "original", "extracted_from", "number", "file", "first", "last", "total", "end", "faults", "kids", "content", "at"]
-    todo = _dealt(x.join(contents, "node").select(*fields), "key", "first")
-    out = _map(todo, lambda r: _emit(r, root, limits, tools, tag), ARTIFACT_SCHEMA)
+    x = cut_lineage(x)
+    # contents go to tasks once and meet their rows there; of files on disk the ranges are dealt
+    held = _dealt(contents.filter("content is not null"), "node").join(x, "node").select(*fields)
+    kept = _dealt(x.join(contents.filter("content is null"), "node").select(*fields), "key", "first")
+    out = _map(held, lambda r: _emit(r, root, limits, tools, tag), ARTIFACT_SCHEMA).unionByName(_map(kept, lambda r: _emit(r, root, limits, tools, tag), ARTIFACT_SCHEMA))
     return out.unionByName(_leaves(sources.join(opened.filter("parent is null").select("key"), "key", "left_anti"), root, limits, tools))
 
 
@@ -481,10 +495,12 @@ def expanded_and_opened(sources: DataFrame, root: str, limits: Limits | None = N
     tops, members, contents = found
     folded = fold(tops, members, limits, seen)
     opened = folded[0].filter("opened and kind <> 'tool'").select("node")
-    return emitted(sources, tops, members, contents, folded, root, limits, tools, tag), opened
+    out = emitted(sources, tops, members, contents, folded, root, limits, tools, tag)
+    release(sources.sparkSession)
+    return out, opened
 
 
 def keyed(files: DataFrame) -> DataFrame:
     """SOURCE rows of (path, content), in the order of their paths."""
-    n = running(files.select("path"), ["path"], {"n": F.lit(1).cast("long")})
-    return files.join(n, "path").select(F.lpad(F.col("n").cast("string"), _WIDTH, "0").alias("key"), "path", F.col("path").alias("original"), (F.col("n") + 1).alias("file_no"), "content")
+    n = cut_lineage(running(files.select("path"), ["path"], {"n": F.lit(1).cast("long")}))
+    return files.join(_told(n), "path").select(F.lpad(F.col("n").cast("string"), _WIDTH, "0").alias("key"), "path", F.col("path").alias("original"), (F.col("n") + 1).alias("file_no"), "content")

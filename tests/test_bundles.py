@@ -174,3 +174,31 @@ def test_folders_beyond_four_digits_are_named_as_in_sql(spark):
     want = sorted(f + "docs-10000.zip" for (f,) in duckdb.sql(f"SELECT {folder} FROM (VALUES {', '.join(f'({n})' for n in numbers)}) t(n)").fetchall())
     got = bundled._rows(found).collect()
     assert sorted(r.artifact_path for r in got) == want == sorted(r.extracted_from for r in got)
+
+
+def test_contents_are_shuffled_no_more_than_needed(spark, tmp_path):
+    """Numbers meet contents where these are, and documents go to their packs in one shuffle."""
+    from stratalog.plans import bundled
+
+    def dealt(df):
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in [*range(90), 130, 250]], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    packs = bundled.packs(spark, str(tmp_path))
+    assert len(dealt(packs)) == 1 and not dealt(bundles.keyed(packs.localCheckpoint()))
+    assert sorted(r.path for r in packs.select("path").collect()) == [f"pack-{k:06d}.zip" for k in (0, 1, 2, 3, 6)]
+    names = {r.path: zipfile.ZipFile(io.BytesIO(r.content)).namelist() for r in packs.collect()}
+    assert names["pack-000001.zip"] == [f"docs-{k:06d}.{'tgz' if k % 2 else 'zip'}" for k in range(5, 10)] + ["again.zip"]
+    assert names["pack-000002.zip"] == ["docs-000010.zip", "docs-000011.tgz", "again.zip"] and names["pack-000003.zip"] == ["docs-000016.zip", "again.zip"] and names["pack-000006.zip"] == ["docs-000031.tgz"]
+
+
+def test_contents_meet_many_rows(spark, monkeypatch, tmp_path):
+    """Where rows are too many to be told to all tasks, contents are dealt, with the same result."""
+    from stratalog.plans import bundled
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(map(tuple, bundled.archive_members(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(bundles, "TOLD", 0)
+    assert sorted(map(tuple, bundled.archive_members(spark, str(tmp_path)).collect())) == want and len(want) > 100

@@ -207,6 +207,7 @@ def catalogue(sources: DataFrame, limits: Limits, tools: decoders.Tools) -> tupl
         return None
     first = cut_lineage(tops.groupBy("node").agg(F.min(F.struct("key", "kind", "path")).alias("x")).select("node", "x.kind", "x.path", "x.key"))
     frontier = sources.select("key", "content").join(_told(first), "key").select("node", "kind", "path", "content")
+    release(sources.sparkSession)  # of what made the sources
     known, members, depth = None, [], 0
     contents = [frontier.select("node", "content", F.col("path").alias("at"))]
     while True:
